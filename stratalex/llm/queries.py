@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_groups
+from .jaccard_join import jaccard_components
 from .mixing import mix
 from .quality import FEATURES, quality
+from .secret_scan import secret_digest
+from .sentencepiece_codec import encode
 from .sharding import shard_by_bytes
 from .token_counts import token_counts
 
@@ -27,14 +30,26 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "position").orderBy("position", "doc_id")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).drop("_id", "_row")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_source_mixing, op8_exact_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_source_mixing, op4_sentencepiece, op6_secret_scan, op8_exact_dedup, op9_jaccard_join, op10_sharding)}
 
 ORACLES: dict[str, str] = {}
