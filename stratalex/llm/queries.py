@@ -13,6 +13,7 @@ from .quality import FEATURES, quality
 from .secret_scan import secret_digest
 from .sentencepiece_codec import encode
 from .sharding import shard_by_bytes
+from .suffix_dedup import repeated_passages
 from .token_counts import token_counts
 
 
@@ -38,6 +39,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).drop("_id", "_row")
 
@@ -50,6 +55,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_source_mixing, op4_sentencepiece, op6_secret_scan, op8_exact_dedup, op9_jaccard_join, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_source_mixing, op4_sentencepiece, op6_secret_scan, op7_suffix_dedup, op8_exact_dedup, op9_jaccard_join, op10_sharding)}
 
 ORACLES: dict[str, str] = {}
