@@ -160,7 +160,7 @@ def _against(least: int):
     return lambda docs, leaders: _spanning(docs, leaders, least) if len(docs) and len(leaders) else pd.DataFrame({"a": [], "b": []}).astype("int64")
 
 
-def jaccard_components(docs: DataFrame, least: int = LEAST, width: int = WIDTH) -> DataFrame:
+def jaccard_components(docs: DataFrame, least: int = LEAST, width: int = WIDTH, small: int = SMALL) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``.
 
     Documents link when 100 * shared >= ``least`` * union of their distinct shingles of ``width`` lower-cased (A-Z) words;
@@ -173,13 +173,13 @@ def jaccard_components(docs: DataFrame, least: int = LEAST, width: int = WIDTH)
     space = Workspace(spark, "jaccard")
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = space.save(held.mapInArrow(_sets(least, width), "doc_id bigint, n bigint, one bigint, two bigint, prefix array<bigint>"), "sets")
-    small = every.drop("prefix")
+    named = every.drop("prefix")
 
     # 1. Documents with enough repeated tokens in their l-prefix; a partner may be smaller, so its l may be.
     rows = every.filter("doc_id is not null").select(F.explode("prefix").alias("token"), F.col("doc_id").alias("doc"))
     hits = rows.repartitionByRange("token", "doc").sortWithinPartitions("token", "doc").mapInArrow(_repeated, "doc bigint, hits bigint").groupBy("doc").agg(F.sum("hits").alias("hits"))
     needed = F.expr(f"greatest(1, (({least} * n + 99) div 100) div 8)")
-    likely = space.save(small.join(hits, F.col("doc_id") == F.col("doc")).filter(F.col("hits") >= needed).select("doc_id", "n", "one", "two").distinct(), "likely")
+    likely = space.save(named.join(hits, F.col("doc_id") == F.col("doc")).filter(F.col("hits") >= needed).select("doc_id", "n", "one", "two").distinct(), "likely")
     classes = space.save(likely.groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
 
     # 2. Prefixes of the representatives under several orders: rare first, then by a hash of the order's own.
@@ -203,15 +203,16 @@ def jaccard_components(docs: DataFrame, least: int = LEAST, width: int = WIDTH)
     members = space.save(sets.join(prefixed, "doc").join(clusters, "doc"), "members")
 
     # 3. Verification.
-    few = members.filter(F.col("members") <= SMALL).select("cluster", "doc", "tokens", "prefixes")
+    few = members.filter(F.col("members") <= small).select("cluster", "doc", "tokens", "prefixes")
     found = space.save(few.groupBy("cluster").applyInPandas(_small(least), "a bigint, b bigint"), "found")
-    large = members.filter(F.col("members") > SMALL)
+    large = members.filter(F.col("members") > small)
     found = _by_leaders(large, found, space, least) if not large.isEmpty() else found
 
     roots = components(found.withColumn("part", F.lit(0)), space, "links").select(F.col("node").alias("rep"), "root")
-    named = classes.join(roots, "rep", "left").select("one", "two", F.col("n").alias("_n"), F.coalesce("root", "rep").alias("root"))
+    rooted = classes.join(roots, "rep", "left").select(F.col("one").alias("_one"), F.col("two").alias("_two"), F.col("n").alias("_n"), F.coalesce("root", "rep").alias("root"))
     own = F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("root", "doc_id"), "doc_id"))
-    return small.join(named, (small["one"] == named["one"]) & (small["two"] == named["two"]) & (small["n"] == F.col("_n")) & (small["n"] > 0), "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    same = (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two")) & (F.col("n") == F.col("_n")) & (F.col("n") > 0)
+    return named.join(rooted, same, "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def _by_leaders(large: DataFrame, found: DataFrame, space: Workspace, least: int) -> DataFrame:
@@ -234,7 +235,7 @@ def _by_leaders(large: DataFrame, found: DataFrame, space: Workspace, least: int
             return found
         held = F.greatest(F.lit(1), F.ceil(F.col("members") / ROWS))
         lists = leaders.join(large, ["cluster", "doc"]).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), held - 1))).select("cluster", "block", "deal", "doc", "tokens", "prefixes")
-        dealt = large.withColumn("deal", F.pmod(F.xxhash64("doc", F.lit("deal")), held)).join(leaders.select("cluster", "block").distinct(), "cluster").select("cluster", "block", "deal", "doc", "tokens", "prefixes")
+        dealt = large.withColumn("deal", F.pmod(F.xxhash64("doc", F.lit("deal")), held)).join(leaders.select("cluster", "block").distinct(), "cluster").select(*[F.col(c).alias(c) for c in ("cluster", "block", "deal", "doc", "tokens", "prefixes")])
         keys = ["cluster", "block", "deal"]
         more = space.save(dealt.groupBy(*keys).cogroup(lists.groupBy(*keys)).applyInPandas(_against(least), "a bigint, b bigint"), f"more{turn}")
         found = found.unionByName(more)

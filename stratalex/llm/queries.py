@@ -9,6 +9,7 @@ from .common import table
 from .exact_dedup import exact_groups
 from .jaccard_join import jaccard_components
 from .mixing import mix
+from .paragraph_dedup import repeated_paragraphs
 from .quality import FEATURES, quality
 from .secret_scan import secret_digest
 from .sentencepiece_codec import encode
@@ -35,6 +36,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
 
+def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_source_mixing, op4_sentencepiece, op6_secret_scan, op7_suffix_dedup, op8_exact_dedup, op9_jaccard_join, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_source_mixing, op4_sentencepiece, op5_paragraph_dedup, op6_secret_scan, op7_suffix_dedup, op8_exact_dedup, op9_jaccard_join, op10_sharding)}
 
 ORACLES: dict[str, str] = {}
