@@ -111,5 +111,6 @@ def exact_groups(docs: DataFrame, block_chars: int = 2048, hash_of=fingerprint)
 def drop_copies(docs: DataFrame, block_chars: int = 2048) -> DataFrame:
     """``docs`` with one row of each group of equal texts; columns unchanged."""
     kept = exact_groups(docs, block_chars).filter("kept").select("_id", "_row")
-    own = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_row": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    return own.join(kept, ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"]).select(*docs.columns)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    held = docs.select(F.struct(*docs.columns).alias("_doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_row"))
+    return held.join(kept, ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"]).select("_doc.*")

@@ -124,6 +124,7 @@ def training_order(docs: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, sc
     again = again.select("doc_id", "source", "rank", "target", "start", "source_size", copies)
     demand = F.least(F.lit(1.0), (F.col("start") + F.col("_pass") * F.col("source_size")) / F.col("target"))
     again = space.save(again.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), position(demand, F.col("rank"), schedules).alias("_position"), "_pass"), "passes")
-    joined = docs.join(again, docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")))
-    joined = space.save(joined.select(*[docs[c] for c in docs.columns], "_position", "_pass"), "copies")
-    return joined.orderBy("_position", "_id" if "_id" in docs.columns else "doc_id", "_pass").select(*docs.columns)
+    held = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source")
+    joined = held.join(again, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
+    joined = space.save(joined.select("_doc", "_position", "_pass", "_id"), "copies")
+    return joined.orderBy("_position", "_id", "_pass").select("_doc.*")
