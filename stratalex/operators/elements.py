@@ -67,7 +67,7 @@ def violations(elements: DataFrame) -> DataFrame:
     twice = F.count("*").over(W.partitionBy("doc_id", "element_id")) > 1
     rules = {"box": box, "order": F.col("reading_order") < 0, "page": F.col("page_number") < 1, "repeated_id": twice}
     broken = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]))
-    return elements.select("doc_id", F.explode(broken).alias("rule")).groupBy("doc_id", "rule").agg(F.count("*").alias("n"))
+    return elements.select("doc_id", broken.alias("rules")).select("doc_id", F.explode("rules").alias("rule")).groupBy("doc_id", "rule").agg(F.count("*").alias("n"))
 
 
 def histogram(elements: DataFrame) -> DataFrame:
