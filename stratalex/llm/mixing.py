@@ -104,8 +104,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, schedules=SCH
     start = (F.col("before") + F.col("within")).cast("long")
     part = F.greatest(F.lit(0), F.least(F.col("size"), wanted - F.col("passes") * F.col("source_size") - F.col("start")))
     placed = placed.withColumn("passes", passes).withColumn("start", start).withColumn("taken", (F.col("passes") * F.col("size") + part).cast("long"))
-    demand = F.when((F.col("taken") > 0) & (F.col("target") > 0), F.col("start") / F.col("target"))
-    return placed.withColumn("demand", F.least(F.lit(1.0), demand)).select(
+    demand = F.when((F.col("taken") > 0) & (F.col("target") > 0), F.least(F.lit(1.0), F.col("start") / F.col("target")))
+    return placed.withColumn("demand", demand).select(
         "doc_id", "source", "size", "source_size", "target", "taken", F.when(F.col("demand").isNotNull(), F.round(position(F.col("demand"), F.col("rank"), schedules), 9)).alias("position"), "rank", "start"
     )
 
