@@ -29,6 +29,10 @@ def shared_root(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir')}/stratalex-shared"
 
 
+#: Spark's setting that deletes a query's shuffle files when it ends, not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Workspace:
     """Intermediate tables of one run, written to the shared folder so that a lost executor loses nothing."""
 
@@ -38,8 +42,12 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return it as a scan: the lineage ends here."""
-        path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        path, before = f"{self.root}/{name}", self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
