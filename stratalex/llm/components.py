@@ -11,14 +11,23 @@ from .common import Workspace
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """Join neighbours to the least of them: larger ones (large star), or the smaller ones and the node itself."""
     ends = edges.select("part", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    both = ends if small else ends.unionByName(ends.select("part", F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("part", "a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-    joined = both.join(least, ["part", "a"])
+    if not small:
+        # Both directions of an edge, made in one pass over the table.
+        ways = F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+        ends = ends.select("part", F.inline(ways))
+    least = ends.groupBy("part", "a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
+    joined = ends.join(least, ["part", "a"])
     if small:
-        out = joined.select("part", F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("part", "a", F.col("m").alias("b")))
-    else:
-        out = joined.filter("b > a").select("part", F.col("b").alias("a"), F.col("m").alias("b"))
-    return out.filter("a != b").distinct()
+        pairs = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))
+        return joined.select("part", F.inline(pairs)).filter("a != b")
+    return joined.filter("b > a").select("part", F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
+
+
+def _all_stars(edges: DataFrame) -> bool:
+    """No node hangs on two others, and none that others hang on hangs on one itself."""
+    ends = F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("bears")), F.struct(F.col("b").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("bears")))
+    per = edges.select("part", F.inline(ends)).groupBy("part", "node").agg(F.sum("hangs").alias("hangs"), F.max("bears").alias("bears"))
+    return per.filter("hangs > 1 or (hangs = 1 and bears = 1)").isEmpty()
 
 
 def components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
@@ -27,13 +36,11 @@ def components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
     Parts are separate graphs. Each round is two joins by node; rounds grow with the logarithm of the size. The
     number of edges never grows, so no step holds a component in one task.
     """
-    now, last, turn = edges.filter("a != b").select("part", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), None, 0
-    while True:
-        now = space.save(_star(_star(now, small=False), small=True), f"{name}{turn}")
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("part", "a", "b").cast("decimal(38,0)"))).first())
-        if turn:
-            space.drop(f"{name}{turn - 1}")
-        if state == last or not state[0]:
-            break
-        last, turn = state, turn + 1
-    return now.select("part", F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select("part", F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    now = space.save(edges.filter("a != b").select("part", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}0")
+    turn = 0
+    while not _all_stars(now):
+        turn += 1
+        now = space.save(_star(_star(now, small=False), small=True).distinct(), f"{name}{turn}")
+        space.drop(f"{name}{turn - 1}")
+    ends = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("root")), F.struct(F.col("b").alias("node"), F.col("b").alias("root")))
+    return now.select("part", F.inline(ends)).distinct()

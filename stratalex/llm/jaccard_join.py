@@ -34,6 +34,8 @@ LEAST = 75
 ORDERS = 3
 #: Clusters up to this size are verified by one task; larger ones by leaders, so many to a block, beside so many rows.
 SMALL, BLOCK, ROWS = 256, 64, 1024
+#: Leaders drawn first; four times as many in each later turn.
+FIRST_LEADERS = 128
 
 
 def overlap_needed(n, least: int = LEAST):
@@ -173,74 +175,84 @@ def jaccard_components(docs: DataFrame, least: int = LEAST, width: int = WIDTH,
     space = Workspace(spark, "jaccard")
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = space.save(held.mapInArrow(_sets(least, width), "doc_id bigint, n bigint, one bigint, two bigint, prefix array<bigint>"), "sets")
-    named = every.drop("prefix")
+    named = space.save(every.drop("prefix"), "named")
 
     # 1. Documents with enough repeated tokens in their l-prefix; a partner may be smaller, so its l may be.
     rows = every.filter("doc_id is not null").select(F.explode("prefix").alias("token"), F.col("doc_id").alias("doc"))
     hits = rows.repartitionByRange("token", "doc").sortWithinPartitions("token", "doc").mapInArrow(_repeated, "doc bigint, hits bigint").groupBy("doc").agg(F.sum("hits").alias("hits"))
     needed = F.expr(f"greatest(1, (({least} * n + 99) div 100) div 8)")
     likely = space.save(named.join(hits, F.col("doc_id") == F.col("doc")).filter(F.col("hits") >= needed).select("doc_id", "n", "one", "two").distinct(), "likely")
-    classes = space.save(likely.groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    space.drop("sets")
+    classes = space.save(likely.groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep")), "classes")
 
     # 2. Prefixes of the representatives under several orders: rare first, then by a hash of the order's own.
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    sets = space.save(held.join(reps, "doc_id", "left_semi").mapInArrow(_tokens(width), "doc bigint, tokens array<bigint>"), "tokens")
+    # A merge join at every size: what the representatives weigh beside all texts does not decide the plan.
+    sets = space.save(held.join(reps.hint("merge"), "doc_id", "left_semi").mapInArrow(_tokens(width), "doc bigint, tokens array<bigint>"), "tokens")
     flat = sets.select("doc", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     often = flat.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     ranked = flat.join(often, "token").groupBy("doc", "n").agg(F.collect_list(F.struct("token", F.floor(F.log2("df")).alias("rare"))).alias("known"))
     first = F.expr(f"n - (({least} * n + 99) div 100) + 1 - (n - size(known))").cast("int")
-    orders = [F.transform(F.slice(F.sort_array(F.transform("known", lambda x, k=k: F.struct(x["rare"].alias("rare"), F.xxhash64(x["token"], F.lit(k)).alias("turn"), x["token"].alias("token")))), 1, F.col("first")), lambda x: x["token"]) for k in range(ORDERS)]
+
+    def order(k: int):
+        """The first tokens under order k: by rarity (doublings of df), then by a hash of this order's own."""
+        turned = F.transform("known", lambda x: F.struct(x["rare"].alias("rare"), F.xxhash64(x["token"], F.lit(k)).alias("turn"), x["token"].alias("token")))
+        return F.transform(F.slice(F.sort_array(turned), 1, F.col("first")), lambda x: x["token"])
+
+    orders = [order(k) for k in range(ORDERS)]
     prefixed = space.save(ranked.withColumn("first", first).filter("first > 0").select("doc", F.array(*orders).alias("prefixes")), "prefixes")
 
     entries = prefixed.select("doc", F.posexplode("prefixes").alias("part", "tokens")).select("doc", "part", F.explode("tokens").alias("token"))
     stars = entries.groupBy("part", "token").agg(F.min("doc").alias("b"), F.count("*").alias("members")).filter("members > 1")
-    edges = entries.join(stars, ["part", "token"]).select("part", F.col("doc").alias("a"), "b").filter("a != b").distinct()
+    edges = entries.join(stars, ["part", "token"]).select("part", F.col("doc").alias("a"), "b")
     roots = components(edges, space, "stars")
-    shared = roots.groupBy("node").agg(F.count("*").alias("orders"), F.hash(F.sort_array(F.collect_list(F.struct("part", "root")))).alias("x"), F.xxhash64(F.sort_array(F.collect_list(F.struct("part", "root")))).alias("cluster"))
-    clusters = shared.filter(F.col("orders") == ORDERS).select(F.col("node").alias("doc"), "cluster")
+    shared = roots.groupBy("node").agg(F.count("*").alias("orders"), F.xxhash64(F.sort_array(F.collect_list(F.struct("part", "root")))).alias("cluster"))
+    clusters = space.save(shared.filter(F.col("orders") == ORDERS).select(F.col("node").alias("doc"), "cluster"), "clusters")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members")).filter("members > 1")
-    clusters = space.save(clusters.join(sizes, "cluster"), "clusters")
-    members = space.save(sets.join(prefixed, "doc").join(clusters, "doc"), "members")
+    members = space.save(clusters.join(sizes, "cluster").join(prefixed, "doc").join(sets, "doc"), "members")
 
-    # 3. Verification.
+    # 3. Verification. A small cluster's task already gives each document its root.
     few = members.filter(F.col("members") <= small).select("cluster", "doc", "tokens", "prefixes")
-    found = space.save(few.groupBy("cluster").applyInPandas(_small(least), "a bigint, b bigint"), "found")
+    roots = space.save(few.groupBy("cluster").applyInPandas(_small(least), "a bigint, b bigint"), "found").select(F.col("a").alias("rep"), F.col("b").alias("root"))
     large = members.filter(F.col("members") > small)
-    found = _by_leaders(large, found, space, least) if not large.isEmpty() else found
+    if not large.isEmpty():
+        roots = roots.unionByName(_by_leaders(large, space, least))
 
-    roots = components(found.withColumn("part", F.lit(0)), space, "links").select(F.col("node").alias("rep"), "root")
     rooted = classes.join(roots, "rep", "left").select(F.col("one").alias("_one"), F.col("two").alias("_two"), F.col("n").alias("_n"), F.coalesce("root", "rep").alias("root"))
     own = F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("root", "doc_id"), "doc_id"))
     same = (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two")) & (F.col("n") == F.col("_n")) & (F.col("n") > 0)
     return named.join(rooted, same, "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-def _by_leaders(large: DataFrame, found: DataFrame, space: Workspace, least: int) -> DataFrame:
-    """Links of clusters that are too large for one task."""
-    led, turn, wanted = None, 0, BLOCK
+def _by_leaders(large: DataFrame, space: Workspace, least: int) -> DataFrame:
+    """rep, root of documents in clusters that are too large for one task."""
+    keys, columns = ["cluster", "block", "deal"], ["cluster", "block", "deal", "doc", "tokens", "prefixes"]
+    state = large.select("cluster", "doc", F.col("doc").alias("root"))
+    found, led, roots, turn, wanted = None, None, None, 0, FIRST_LEADERS
     while True:
-        roots = components(found.withColumn("part", F.lit(0)), space, f"turn{turn}_").select(F.col("node").alias("doc"), "root")
-        state = large.select("cluster", "doc").join(roots, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-        state = state.join(led, ["cluster", "doc"], "left_anti") if led is not None else state
-        # Documents that have led are settled, so they may be left out when the largest component is sought.
+        # Documents that have led are settled; of the others those outside the cluster's largest component wait.
         per = state.groupBy("cluster", "root").agg(F.count("*").alias("size"))
-        main = per.groupBy("cluster").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("rest"))
+        main = per.groupBy("cluster").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.max("size").alias("most"))
         waiting = state.join(main, "cluster").filter((F.col("root") != F.col("main")) | (F.col("most") == 1)).select("cluster", "doc")
+        waiting = space.save(waiting, f"waiting{turn}")
+        if waiting.isEmpty():
+            return roots
         left = waiting.groupBy("cluster").agg(F.count("*").alias("left"))
         draw = F.pmod(F.xxhash64("doc", F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        leaders = waiting.join(left, "cluster").filter(draw * F.col("left") < wanted)
         blocks = F.greatest(F.lit(1), F.ceil(F.least(F.col("left"), F.lit(wanted)) / BLOCK))
-        leaders = space.save(leaders.withColumn("block", F.pmod(F.xxhash64("doc", F.lit("block")), blocks)).select("cluster", "doc", "block"), f"leaders{turn}")
-        if leaders.isEmpty() and waiting.isEmpty():
-            return found
-        held = F.greatest(F.lit(1), F.ceil(F.col("members") / ROWS))
-        lists = leaders.join(large, ["cluster", "doc"]).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), held - 1))).select("cluster", "block", "deal", "doc", "tokens", "prefixes")
-        dealt = large.withColumn("deal", F.pmod(F.xxhash64("doc", F.lit("deal")), held)).join(leaders.select("cluster", "block").distinct(), "cluster").select(*[F.col(c).alias(c) for c in ("cluster", "block", "deal", "doc", "tokens", "prefixes")])
-        keys = ["cluster", "block", "deal"]
+        leaders = waiting.join(left, "cluster").filter(draw * F.col("left") < wanted).withColumn("block", F.pmod(F.xxhash64("doc", F.lit("block")), blocks)).select("cluster", "doc", "block")
+        leaders = space.save(leaders, f"leaders{turn}")
+        # Each block of leaders meets each deal of its cluster's documents in a task of its own.
+        deals = F.greatest(F.lit(1), F.ceil(F.col("members") / ROWS))
+        lists = large.join(leaders, ["cluster", "doc"]).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), deals - 1))).select(*columns)
+        asked = leaders.groupBy("cluster").agg(F.collect_set("block").alias("asked"))
+        dealt = large.withColumn("deal", F.pmod(F.xxhash64("doc", F.lit("deal")), deals)).join(asked, "cluster").withColumn("block", F.explode("asked"))
+        dealt = dealt.select(*[F.col(c).alias(c) for c in columns])
         more = space.save(dealt.groupBy(*keys).cogroup(lists.groupBy(*keys)).applyInPandas(_against(least), "a bigint, b bigint"), f"more{turn}")
-        found = found.unionByName(more)
-        now = leaders.select("cluster", "doc")
-        led = now if led is None else led.unionByName(now)
+        found = more if found is None else found.unionByName(more)
+        led = leaders.select("cluster", "doc") if led is None else led.unionByName(leaders.select("cluster", "doc"))
+        roots = components(found.withColumn("part", F.lit(0)), space, f"turn{turn}_").select(F.col("node").alias("rep"), "root")
+        state = large.select("cluster", "doc").join(led, ["cluster", "doc"], "left_anti").join(roots, F.col("doc") == F.col("rep"), "left").select("cluster", "doc", F.coalesce("root", "doc").alias("root"))
         turn, wanted = turn + 1, wanted * 4
 
 
