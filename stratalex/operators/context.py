@@ -14,7 +14,7 @@ def clause_lead_in(number: Column, text: Column) -> Column:
 
 def lead_in_by_number(context: Column, number: Column) -> Column:
     """The last ``n. ...`` of a context text."""
-    found = F.regexp_extract(context, F.concat(F.lit(r"(?s)^(?:.*\s)?("), number, F.lit(r"\.\s.*)$")), F.lit(1))
+    found = F.call_function("regexp_extract", context, F.concat(F.lit(r"(?s)^(?:.*\s)?("), number, F.lit(r"\.\s.*)$")), F.lit(1))
     return F.when(found != "", F.trim(found))
 
 

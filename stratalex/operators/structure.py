@@ -88,10 +88,9 @@ def list_items(nodes: DataFrame) -> DataFrame:
     for ending in LEAD_INS:
         lead = lead | low.endswith(ending)
     usable = nodes.filter((F.col("kind") != "ITEM") | F.col("article").isNotNull())
-    out = usable.withColumn("_opened", opened)
-    rebuilt = F.col("kind") == "ITEM"
-    kind = F.when(~rebuilt, F.col("kind")).when((F.col("_opened") == 0) | lead, "CLAUSE").otherwise("POINT")
-    return out.withColumn("kind", kind).withColumn("rebuilt", rebuilt).drop("_opened")
+    out = usable.withColumn("_opened", opened).withColumn("rebuilt", F.col("kind") == "ITEM")
+    kind = F.when(~F.col("rebuilt"), F.col("kind")).when((F.col("_opened") == 0) | lead, "CLAUSE").otherwise("POINT")
+    return out.withColumn("kind", kind).drop("_opened")
 
 
 def clause_numbers(nodes: DataFrame) -> DataFrame:
