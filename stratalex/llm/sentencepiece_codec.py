@@ -18,7 +18,7 @@ SPACE = "\u2581"
 #: A space mark that the text itself holds. It is spelled in bytes, so that decoding gives it back.
 LITERAL_SPACE = "\udc81"
 #: Segments kept between texts in each Python worker, and their longest length.
-MOST_CACHED, LONGEST_CACHED = 200_000, 40
+MOST_CACHED, LONGEST_CACHED = 400_000, 40
 #: Ids in one output batch.
 BATCH_IDS = 400_000
 _CODECS: dict = {}
@@ -46,6 +46,10 @@ class Codec:
         self.longest = max(map(len, self.known), default=1)
         self.raw = [bytes([int(p[3:5], 16)]) if kind == "byte" else p.replace(SPACE, " ").encode() if kind == "normal" else b"" if kind == "control" else b" \xe2\x81\x87 " for p, _, kind in pieces]
         self.cache: dict[str, tuple[int, ...]] = {}
+        # Pieces and, as False, their beginnings: a search from a start ends where no piece goes on.
+        self.trie: dict[str, tuple[int, float] | bool] = {p[:i]: False for p in self.known for i in range(1, len(p))} | self.known
+        # Characters that stand side by side within some piece; between others every path has a boundary.
+        self.joined = {p[i : i + 2] for p in self.known for i in range(len(p) - 1)}
         # Where no piece runs over a space mark that follows another character, every path has a boundary before it.
         free = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.known)
         self.segments = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if free else r"(?s:.+)").findall
@@ -66,33 +70,57 @@ class Codec:
 
     def stream(self, text: str) -> Iterator[list[int]]:
         """Ids of ``text`` in pieces, each as soon as it is final."""
-        known, longest, unknown = self.known, self.longest, self.unknown_score
+        find, longest, unknown, n = self.trie.get, self.longest, self.unknown_score, len(text)
         score, back, done = {0: 0.0}, {}, 0
-        for end in range(1, len(text) + 1):
-            best, why = None, None
-            for start in range(max(done, end - longest), end):
-                hit = known.get(text[start:end])
-                if hit is not None:
-                    total = score[start] + hit[1]
-                    if best is None or total > best:
-                        best, why = total, (start, hit[0])
-                elif start == end - 1:
-                    total = score[start] + unknown
-                    if best is None or total > best:
-                        best, why = total, (start, -1)
-            score[end], back[end] = best, why
-            if (end - done) % (2 * longest) == 0 and end < len(text):
-                at = self._meeting(back, range(max(done, end - longest + 1), end + 1), done)
+        for start in range(n):
+            here = score.pop(start)
+            if find(text[start]) in (None, False) and here + unknown > score.get(start + 1, -1e300):
+                score[start + 1], back[start + 1] = here + unknown, (start, -1)
+            for end in range(start + 1, min(n, start + longest) + 1):
+                hit = find(text[start:end])
+                if hit is None:
+                    break
+                if hit and here + hit[1] > score.get(end, -1e300):
+                    score[end], back[end] = here + hit[1], (start, hit[0])
+            if (start + 1 - done) % (2 * longest) == 0 and start + 1 < n:
+                # ``score`` now holds the boundaries that a piece can still start from or that one has reached.
+                at = self._meeting(back, score, done)
                 if at > done:
                     yield self._path(text, back, at, done)
-                    base, done = score[at], at
-                    score = {k: v - base for k, v in score.items() if k >= at}
-                    back = {k: v for k, v in back.items() if k > at}
-        if len(text) > done:
-            yield self._path(text, back, len(text), done)
+                    low, done = min(score.values()), at
+                    score = {k: x - low for k, x in score.items()}
+                    back = {k: x for k, x in back.items() if k > at}
+        if n > done:
+            yield self._path(text, back, n, done)
+
+    def _short(self, text: str) -> tuple[int, ...]:
+        """The same search over a short segment at once."""
+        find, unknown, n = self.trie.get, self.unknown_score, len(text)
+        score, came, by = [-1e300] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        score[0] = 0.0
+        for start in range(n):
+            here, end = score[start], start + 1
+            hit = find(text[start])
+            if not hit and here + unknown > score[end]:
+                score[end], came[end], by[end] = here + unknown, start, -1
+            while hit is not None:
+                if hit and here + hit[1] > score[end]:
+                    score[end], came[end], by[end] = here + hit[1], start, hit[0]
+                if end == n:
+                    break
+                end += 1
+                hit = find(text[start:end])
+        out, end = [], n
+        while end:
+            if by[end] >= 0:
+                out.append(by[end])
+            else:
+                out += self._spell(text[came[end]])[::-1]
+            end = came[end]
+        return tuple(out[::-1])
 
     @staticmethod
-    def _meeting(back: dict, alive: range, done: int) -> int:
+    def _meeting(back: dict, alive: dict, done: int) -> int:
         """The last boundary that the best paths to all boundaries of ``alive`` share."""
         paths = set(alive)
         while len(paths) > 1:
@@ -118,18 +146,35 @@ class Codec:
         cache = self.cache
         for segment in self.segments(SPACE + marked if self.prefix else marked):
             ids = cache.get(segment)
-            if ids is not None:
-                out.extend(ids)
-            elif len(segment) > LONGEST_CACHED:
-                for part in self.stream(segment):
-                    out.extend(part)
-            else:
-                if len(cache) >= MOST_CACHED:
-                    cache.clear()
-                ids = cache[segment] = tuple(i for part in self.stream(segment) for i in part)
-                out.extend(ids)
+            if ids is None:
+                ids = self._segment(segment)
+            out.extend(ids)
         return out
 
+    def _segment(self, segment: str) -> tuple[int, ...]:
+        """Ids of a segment that is not cached: of its parts between certain boundaries, which may be."""
+        cache, joined, n = self.cache, self.joined, len(segment)
+        cuts = [i for i in range(1, n) if segment[i - 1 : i + 1] not in joined]
+        if cuts:
+            ids: list[int] = []
+            for a, b in zip([0, *cuts], [*cuts, n]):
+                part = segment[a:b]
+                known = cache.get(part)
+                ids += self._part(part) if known is None else known
+            return tuple(ids) if n > LONGEST_CACHED else self._keep(segment, tuple(ids))
+        return self._part(segment)
+
+    def _part(self, part: str) -> tuple[int, ...]:
+        if len(part) > LONGEST_CACHED:
+            return tuple(i for ids in self.stream(part) for i in ids)
+        return self._keep(part, self._short(part))
+
+    def _keep(self, text: str, ids: tuple[int, ...]) -> tuple[int, ...]:
+        if len(self.cache) >= MOST_CACHED:
+            self.cache.clear()
+        self.cache[text] = ids
+        return ids
+
     def decode(self, ids) -> str:
         raw = self.raw
         text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
