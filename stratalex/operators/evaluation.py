@@ -60,3 +60,54 @@ def evidence_recall(required: DataFrame, found: DataFrame) -> DataFrame:
     met = required.distinct().join(found.select("query_id", "item").distinct().withColumn("_f", F.lit(1)), ["query_id", "item"], "left")
     share = F.avg(F.col("_f").isNotNull().cast("double"))
     return met.groupBy("query_id").agg(F.round(share, 6).alias("recall"), (share == 1).alias("complete"))
+
+
+def resolution_choice(pages: DataFrame) -> DataFrame:
+    """The finer scan resolution if it reads better (phrases or boxes) in at most twice the time, else the coarser.
+
+    ``pages``: document_id, dpi (300 or 600), seconds, phrase_share, box_share of pages that succeeded.
+    """
+    at = lambda dpi, c: F.avg(F.when(F.col("dpi") == dpi, F.col(c)))
+    per = pages.groupBy("document_id").agg(*[F.round(at(dpi, c), 4).alias(f"{c}_{dpi}") for dpi in (300, 600) for c in ("seconds", "phrase_share", "box_share")])
+    better = (F.col("phrase_share_600") > F.col("phrase_share_300")) | (F.col("box_share_600") > F.col("box_share_300"))
+    return per.withColumn("dpi", F.when(F.coalesce(better & (F.col("seconds_600") <= 2 * F.col("seconds_300")), F.lit(False)), 600).otherwise(300))
+
+
+def citation_scores(cited: DataFrame, gold: DataFrame) -> DataFrame:
+    """query_id, precision, recall, f1 over queries that have gold. Without citations precision is unknown, recall 0."""
+    g = gold.select("query_id", "provision_id").distinct()
+    c = cited.select("query_id", "provision_id").distinct()
+    both = g.join(c, ["query_id", "provision_id"], "left_semi").groupBy("query_id").agg(F.count("*").alias("tp"))
+    per = g.groupBy("query_id").agg(F.count("*").alias("g")).join(c.groupBy("query_id").agg(F.count("*").alias("c")), "query_id", "left").join(both, "query_id", "left")
+    tp, p, r = F.coalesce("tp", F.lit(0)), F.col("precision"), F.col("recall")
+    per = per.select("query_id", ratio(tp, F.col("c")).alias("precision"), ratio(tp, F.col("g")).alias("recall"))
+    return per.withColumn("f1", F.when(p.isNotNull(), F.when(p + r > 0, F.round(2 * p * r / (p + r), 6)).otherwise(0.0)))
+
+
+def invalid_citation_rate(cited: DataFrame, known: DataFrame) -> DataFrame:
+    """Share of citations whose provision does not exist; null without citations."""
+    marked = cited.join(known.select("provision_id").distinct().withColumn("_k", F.lit(1)), "provision_id", "left")
+    return marked.agg(F.round(F.avg(F.col("_k").isNull().cast("double")), 6).alias("invalid_rate"), F.count("*").alias("n"))
+
+
+def temporal_scores(cited: DataFrame, provisions: DataFrame) -> DataFrame:
+    """query_id, validity (share of citations valid on the query's day) and leak (some are not)."""
+    p = provisions.select("provision_id", "version", "effective_from", "effective_to", "review_status")
+    valid = (F.col("review_status") == "ACCEPTED") & (F.col("effective_from") <= F.col("query_date")) & (F.col("effective_to").isNull() | (F.col("query_date") < F.col("effective_to")))
+    met = cited.join(p, ["provision_id", "version"], "left").withColumn("ok", F.coalesce(valid, F.lit(False)))
+    return met.groupBy("query_id").agg(F.round(F.avg(F.col("ok").cast("double")), 6).alias("validity"), F.max(~F.col("ok")).alias("leak"))
+
+
+def grounding(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """numeric_accuracy and unsupported_rate: claims (query_id, claim_id, amount or null) against evidence (query_id, amount)."""
+    e = evidence.select("query_id", "amount").distinct().withColumn("_e", F.lit(1))
+    met = claims.join(e, ["query_id", "amount"], "left")
+    number = F.col("amount").isNotNull()
+    return met.agg(ratio(F.sum((number & F.col("_e").isNotNull()).cast("int")), F.sum(number.cast("int"))).alias("numeric_accuracy"), F.round(F.avg(F.col("_e").isNull().cast("double")), 6).alias("unsupported_rate"))
+
+
+def recall_of(gold: DataFrame, found: DataFrame, key: str, test: Column) -> DataFrame:
+    """Share of gold rows under ``test`` that were found: hits, total, recall; unknown without any."""
+    met = gold.filter(test).join(found.select(key).distinct().withColumn("_f", F.lit(1)), key, "left")
+    hits = F.sum(F.col("_f").isNotNull().cast("int"))
+    return met.agg(F.coalesce(hits, F.lit(0)).alias("hits"), F.count("*").alias("total"), ratio(hits, F.count("*")).alias("recall"))

@@ -77,3 +77,32 @@ class VersionedIndex:
     def rebuild(self, version: str, authority: DataFrame) -> bool:
         self.write(version, authority)
         return self.switch(version, authority.count())
+
+
+def payload(units_: DataFrame, documents: DataFrame) -> DataFrame:
+    """Index payload: the unit's fields with its document's number, type, title and status as one struct."""
+    d = documents.select("document_id", "document_number", "document_type", "document_title", "document_status")
+    joined = units_.join(d, "document_id", "left")
+    fields = [c for c in joined.columns if c not in ("point_id",)]
+    return joined.select("point_id", F.struct(*fields).alias("payload"))
+
+
+def upserted(index: DataFrame, batch: DataFrame, key: str = "point_id", order: str = "seq") -> DataFrame:
+    """The index after an idempotent upsert: within the batch the last row of a key wins, and it replaces the old one."""
+    fresh = last_wins(batch, key, order).select(*index.columns)
+    return index.join(fresh.select(key), key, "left_anti").unionByName(fresh)
+
+
+def filled(vectors: DataFrame) -> DataFrame:
+    """Sparse vectors that have weights; empty ones are not sent."""
+    return vectors.filter(F.size("indices") > 0)
+
+
+def valid_units(units_: DataFrame, day) -> DataFrame:
+    """Units valid on ``day``, the filter on plain columns so that it reaches the files."""
+    return units_.filter((F.col("effective_from") <= day) & (F.col("effective_to").isNull() | (F.col("effective_to") > day)))
+
+
+def unit_counts(units_: DataFrame) -> DataFrame:
+    """Units of each kind and their total, as one rollup; the total's kind is null."""
+    return units_.rollup("node_kind").agg(F.count("*").alias("n"))

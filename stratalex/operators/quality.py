@@ -131,3 +131,54 @@ def compare_and_pick(primary: DataFrame, alternate: DataFrame, key: str = "doc_i
     b = alternate.select(F.col(key), F.struct(*[F.coalesce(n, F.lit(-1.0)).alias(n) for n in names]).alias("_b"))
     picked = F.when(F.col("_b").isNull() | F.coalesce(F.col("_a") >= F.col("_b"), F.lit(False)), "primary").otherwise("alternate")
     return a.join(b, key, "full").select(key, picked.alias("picked"))
+
+
+def gated_outcome(primary: DataFrame, alternate: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Outcome after the gates: accepted, accepted by the alternate parser, review or failed.
+
+    Both tables have key, parser_ok (one source parser, the one selected), partial and group_a. A partial parse never
+    passes; parts of two parsers are never mixed: the whole document is one parser's.
+    """
+    a = primary.select(key, F.col("parser_ok").alias("_ok"), F.when(F.col("partial"), "failed").otherwise(F.col("group_a")).alias("_a"))
+    b = alternate.select(key, (F.col("parser_ok") & ~F.col("partial") & (F.col("group_a") == "passed")).alias("_b"))
+    outcome = F.when(~F.col("_ok"), "failed").when(F.col("_a") == "passed", "accepted").when(F.coalesce("_b", F.lit(False)), "accepted_alternate").otherwise("review")
+    return a.join(b, key, "left").select(key, outcome.alias("outcome"))
+
+
+def outcome_histogram(outcomes: DataFrame, *dimensions: str) -> DataFrame:
+    """Counts for each value of each dimension, in one pass by grouping sets: dimension, value, n."""
+    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions])
+    return outcomes.select(F.explode(pairs).alias("p")).groupBy("p.dimension", "p.value").agg(F.count("*").alias("n"))
+
+
+def manifest_intervals(provisions: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Provisions under their document's interval where the whole document is EFFECTIVE; others keep their own."""
+    m = manifests.filter("status = 'EFFECTIVE' and coalesce(effective_from, '') != ''").select("document_id", F.col("effective_from").alias("_from"), F.col("effective_to").alias("_to"))
+    joined = provisions.join(m, "document_id", "left")
+    given = F.col("_from").isNotNull()
+    return joined.withColumn("effective_to", F.when(given, F.col("_to")).otherwise(F.col("effective_to"))).withColumn("effective_from", F.coalesce("_from", "effective_from")).drop("_from", "_to")
+
+
+def certified(gates: DataFrame, scan_only: Column) -> DataFrame:
+    """Gates as routing sees them: a source that is a scan only cannot certify its text, whatever was measured."""
+    failed = lambda c: F.when(scan_only, "failed").otherwise(F.col(c))
+    return gates.withColumns({c: failed(c) for c in ("provenance_coverage_gate", "text_extraction_rate_gate", "group_a")})
+
+
+def decided(items: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Review items after decisions: the last one counts, NEEDS_REVIEW is stored as PENDING; history keeps them all."""
+    stored = F.when(F.col("decision") == "NEEDS_REVIEW", "PENDING").otherwise(F.col("decision"))
+    last = decisions.groupBy("item_id").agg(F.max_by(stored, F.struct("decided_at", "decision_id")).alias("_status"), F.count("*").alias("decisions"))
+    return items.join(last, "item_id", "left").withColumn("status", F.coalesce("_status", "status")).withColumn("decisions", F.coalesce("decisions", F.lit(0))).drop("_status")
+
+
+def repair_plan(issues: DataFrame, most: int = 3) -> DataFrame:
+    """Next step of each failed answer by its issue and the attempts so far; from ``most`` attempts on it abstains."""
+    code = F.col("issue")
+    path = (
+        F.when(code.isin("L6_EVIDENCE_INCOMPLETE", "INSUFFICIENT_EVIDENCE"), "targeted_retrieval").when(code.isin("L5_CLAIM_NOT_SUPPORTED", "L2_CITATION_NOT_IN_CONTEXT"), "regenerate")
+        .when(code == "L1_SCHEMA_INVALID", "regenerate_structured").when(code.isin("L3_TEMPORAL_INVALID", "L3_TEMPORAL_CONFLICT"), "temporal_retry")
+    )
+    reason = F.when(code.startswith("L3"), "TEMPORAL_CONFLICT").when(code.isin("L6_EVIDENCE_INCOMPLETE", "INSUFFICIENT_EVIDENCE"), "INSUFFICIENT_EVIDENCE").otherwise("CITATION_VERIFICATION_FAILED")
+    stop = (F.col("attempts") >= most) | path.isNull()
+    return issues.withColumn("step", F.when(stop, "abstain").otherwise(path)).withColumn("reason", F.when(stop, reason))
