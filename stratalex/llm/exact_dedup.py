@@ -97,6 +97,7 @@ def exact_groups(docs: DataFrame, block_chars: int = 2048, hash_of=fingerprint)
     space = Workspace(docs.sparkSession, "exact-dedup")
     named = space.save(name_documents(docs, space, block_chars, hash_of), "named")
     groups = named.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("n_chars")).alias("less"), "_id", "_row")).alias("keep"))
+    groups = space.save(groups, "groups")  # a table, so that the join below has two plain shuffles and large groups can be split
     again = F.row_number().over(W.partitionBy("_id", "_row").orderBy("_id"))
     return (
         named.join(groups, ["level", "name"])

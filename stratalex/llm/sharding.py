@@ -93,6 +93,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, whole_group: float = 0.02)
     # A group is one key; a large one is cut between its rows, the others go where their middle falls.
     share = max(1.0, total / shards)
     groups = placed.groupBy("key").agg(F.min("start").alias("first"), F.sum("size").alias("group_bytes"), F.count("*").alias("copies")).filter("copies > 1")
+    groups = space.save(groups, "groups")  # a table, so that the join below has two plain shuffles and large groups can be split
     middle = F.when(F.col("group_bytes") <= whole_group * share, F.col("first") + F.col("group_bytes") / 2).otherwise(F.col("start") + F.col("size") / 2)
     at = F.least(F.lit(shards - 1), F.floor(middle / F.lit(share))).cast("int")
     sharded = space.save(

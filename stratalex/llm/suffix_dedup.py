@@ -175,6 +175,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, n
     held = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     anchors = space.save(held.mapInArrow(_anchors(length, gram), "doc_id bigint, row bigint, place int, gram bigint"), "anchors")
     often = anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("n > 1 and low < high").select("gram")
+    often = space.save(often, "often")  # a table, so that the join below has two plain shuffles and common grams can be split
     places = anchors.join(often, "gram").groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("place")).alias("places"))
     suffixes = held.join(space.save(places, "places"), ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("doc_id", "row", "text", "places")
     suffixes = space.save(suffixes.mapInArrow(_suffixes(length), "doc_id bigint, row bigint, place int, ahead string, behind string"), "suffixes")

@@ -138,13 +138,13 @@ def manifest_intervals(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH x AS (SELECT l_orderkey AS item_id, CASE l_returnflag WHEN 'N' THEN 'NEEDS_REVIEW' WHEN 'A' THEN 'ACCEPTED' ELSE 'REJECTED' END AS decision, l_shipdate AS made, l_linenumber AS id FROM lineitem WHERE l_linestatus = 'F'),
+    """WITH x AS (SELECT l_orderkey AS item_id, CASE l_returnflag WHEN 'N' THEN 'NEEDS_REVIEW' WHEN 'A' THEN 'ACCEPTED' ELSE 'REJECTED' END AS decision, l_shipdate AS made, l_linenumber * 1000000 + l_partkey AS id FROM lineitem WHERE l_linestatus = 'F'),
     l AS (SELECT item_id, arg_max(CASE decision WHEN 'NEEDS_REVIEW' THEN 'PENDING' ELSE decision END, (made, id)) AS status, count(*) AS n FROM x GROUP BY item_id)
     SELECT o_orderkey AS item_id, coalesce(l.status, 'PENDING') AS status, coalesce(n, 0) AS decisions FROM orders LEFT JOIN l ON o_orderkey = item_id"""
 )
 def review_decisions(s: SparkSession, d: str) -> DataFrame:
     decision = F.when(F.col("l_returnflag") == "N", "NEEDS_REVIEW").when(F.col("l_returnflag") == "A", "ACCEPTED").otherwise("REJECTED")
-    made = table(s, d, "lineitem").filter("l_linestatus = 'F'").select(F.col("l_orderkey").alias("item_id"), decision.alias("decision"), F.col("l_shipdate").alias("decided_at"), F.col("l_linenumber").alias("decision_id"))
+    made = table(s, d, "lineitem").filter("l_linestatus = 'F'").select(F.col("l_orderkey").alias("item_id"), decision.alias("decision"), F.col("l_shipdate").alias("decided_at"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("decision_id"))
     items = table(s, d, "orders").select(F.col("o_orderkey").alias("item_id"), F.lit("PENDING").alias("status"))
     return qu.decided(items, made)
 
