@@ -185,10 +185,19 @@ def jaccard_components(docs: DataFrame, least: int = LEAST, width: int = WIDTH,
     space.drop("sets")
     classes = space.save(likely.groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep")), "classes")
 
-    # 2. Prefixes of the representatives under several orders: rare first, then by a hash of the order's own.
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
     # A merge join at every size: what the representatives weigh beside all texts does not decide the plan.
     sets = space.save(held.join(reps.hint("merge"), "doc_id", "left_semi").mapInArrow(_tokens(width), "doc bigint, tokens array<bigint>"), "tokens")
+    roots = linked(sets, space, least, small)
+    rooted = classes.join(roots, "rep", "left").select(F.col("one").alias("_one"), F.col("two").alias("_two"), F.col("n").alias("_n"), F.coalesce("root", "rep").alias("root"))
+    own = F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("root", "doc_id"), "doc_id"))
+    same = (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two")) & (F.col("n") == F.col("_n")) & (F.col("n") > 0)
+    return named.join(rooted, same, "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def linked(sets: DataFrame, space: Workspace, least: int = LEAST, small: int = SMALL) -> DataFrame:
+    """rep, root of every set (doc, tokens; tokens distinct) of a saved table that links connect to a smaller doc."""
+    # 2. Prefixes of the sets under several orders: rare first, then by a hash of the order's own.
     flat = sets.select("doc", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     often = flat.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     ranked = flat.join(often, "token").groupBy("doc", "n").agg(F.collect_list(F.struct("token", F.floor(F.log2("df")).alias("rare"))).alias("known"))
@@ -217,11 +226,7 @@ def jaccard_components(docs: DataFrame, least: int = LEAST, width: int = WIDTH,
     large = members.filter(F.col("members") > small)
     if not large.isEmpty():
         roots = roots.unionByName(_by_leaders(large, space, least))
-
-    rooted = classes.join(roots, "rep", "left").select(F.col("one").alias("_one"), F.col("two").alias("_two"), F.col("n").alias("_n"), F.coalesce("root", "rep").alias("root"))
-    own = F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("root", "doc_id"), "doc_id"))
-    same = (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two")) & (F.col("n") == F.col("_n")) & (F.col("n") > 0)
-    return named.join(rooted, same, "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return roots
 
 
 def _by_leaders(large: DataFrame, space: Workspace, least: int) -> DataFrame:
