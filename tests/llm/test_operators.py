@@ -313,6 +313,23 @@ def test_paragraph_dedup(docs, rows, none):
     assert repeated_paragraphs(none).count() == 0
 
 
+def test_paragraphs_are_whole_and_of_any_length(spark):
+    from stratalex.llm.paragraph_dedup import repeated_paragraphs
+
+    r = random.Random(11)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(n))
+    line, near, block, middle = prose(6), prose(40), [prose(9), prose(7)], prose(38)
+    changed = " ".join("changed" if i == 20 else w for i, w in enumerate(near.split()))
+    texts = ["Licence", "Licence", f"{prose(30)}\n{line}\n{prose(30)}", f"{line}\n{prose(70)}", f"{prose(50)}\n{near}", f"{changed}\n{prose(50)}"]
+    texts += [f"{prose(60)}\n\n{block[0]}\n{block[1]}", f"{block[0]} {block[1]}\n \n{prose(60)}"]
+    texts += [f"{prose(50)} {middle} {prose(50)}", f"{prose(33)} {middle} {prose(66)}", prose(80)]
+    got = {g.doc_id: g for g in repeated_paragraphs(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert set(got) == set(range(10))
+    assert [(got[i].n_paragraphs, got[i].n_removed, got[i].keepers) for i in range(8)] == [(1, i % 2, [i - i % 2]) for i in range(8)]
+    assert [[tuple(s) for s in got[i].removed] for i in range(8)] == [[], [(0, 1)], [], [(0, 6)], [], [(0, 40)], [], [(0, 16)]]
+    assert not got[8].removed and got[9].removed and got[9].keepers == [8]
+
+
 def test_sharding(docs, rows, none):
     from stratalex.llm.sharding import shard_by_bytes
 
