@@ -330,6 +330,23 @@ def test_paragraphs_are_whole_and_of_any_length(spark):
     assert not got[8].removed and got[9].removed and got[9].keepers == [8]
 
 
+def test_removed_spans_are_whole_matches(spark):
+    from stratalex.llm.paragraph_dedup import repeated_paragraphs
+
+    r = random.Random(12)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(n))
+    texts = []
+    for n in (36, 40, 51, 60, 75, 200, 900):  # a passage in two texts, the first has it once
+        passage = prose(n)
+        texts += [f"{prose(n // 2 + r.randint(5, 60))} {passage} {prose(r.randint(5, 60))}" for _ in range(2)]  # the lines themselves are no near copies
+    long = prose(300)
+    texts += [long, long, prose(90)]
+    rows = list(enumerate(texts))
+    got = {g.doc_id: {i for s in g.removed or [] for i in range(s.begin, s.end)} for g in repeated_paragraphs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = repeats(rows, 36)
+    assert got == {d: at if d % 2 else set() for d, at in want.items()}
+
+
 def test_sharding(docs, rows, none):
     from stratalex.llm.sharding import shard_by_bytes
 
