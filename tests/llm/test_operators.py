@@ -347,6 +347,27 @@ def test_removed_spans_are_whole_matches(spark):
     assert got == {d: at if d % 2 else set() for d, at in want.items()}
 
 
+def test_every_pair_in_a_band_value_is_verified():
+    import numpy as np
+    import pyarrow as pa
+
+    from stratalex.llm.paragraph_dedup import _banded, _colliding, tuned_bands
+
+    r = np.random.default_rng(4)
+    bands, rows = tuned_bands()
+    shared = 0
+    for _ in range(400):  # pairs of sets of similarity 0.75, of which every one that shares a value goes on
+        flat = r.integers(0, 1 << 63, 8).astype("uint64")
+        values = _banded(bands, rows)(np.concatenate([flat[:7], flat[[0, 1, 2, 3, 4, 5, 7]]]), np.array([0, 7]))
+        one, two = ([values[f"value{b}"][k].as_py() for b in range(bands)] for k in (0, 1))
+        entries = sorted([(-(1 << 63), 0)] + [(v, k) for k, own in ((1, one), (2, two)) for v in own] + [((1 << 63) - 1, 3)])
+        batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*entries)], names=["value", "content"])
+        met = {(a, b) for out in _colliding(256)([batch]) for a, b in zip(*(c.to_pylist() for c in out.columns))}
+        assert ((1, 2) in met) == bool(set(one) & set(two))
+        shared += (1, 2) in met
+    assert shared >= 0.96 * 400
+
+
 def test_sharding(docs, rows, none):
     from stratalex.llm.sharding import shard_by_bytes
 
