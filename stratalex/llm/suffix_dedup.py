@@ -1,14 +1,13 @@
-"""Repeated passages by a sparse suffix array.
+"""Repeated passages of ``length`` words by content, none lost.
 
-Of all suffixes (of a text's words) only those at minimiser positions are kept: in every run of ``length`` words the
-``gram``-word gram with the least hash. Equal runs keep equal positions, so every passage of that length is met.
-Suffixes whose gram occurs once are dropped; the others are range-sorted by content, each is compared with its
-neighbours of other documents, and matches are extended to the right and left, word by word.
+Every run of ``length`` words has a minimiser: its ``gram``-word gram with the least hash. Equal runs have equal
+minimisers, so only runs whose minimiser's gram stands in several documents can repeat; of those every one is named by
+128 bits of its words. Runs of one name are joined as stars to the least document that holds them: however many
+documents share a passage or a part of it, no limit on neighbours decides what is met.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import Workspace
-from .hashing import U, Words, mixed, runs
+from .hashing import U, Words, _powers, distinct, mixed, runs
 
-#: Words that a repeated passage has at least, words of a gram, neighbours on each side.
-LENGTH, GRAM, NEIGHBOURS = 50, 10, 4
+#: Words that a repeated passage has at least, words of a gram.
+LENGTH, GRAM = 50, 10
 
 
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -35,162 +34,92 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 def minimisers(words: Words, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(word, hash) of the least gram of every run of ``length`` words within a text.
-
-    Where equal grams follow one another at once, as in a word said over and over, every tenth is kept.
-    """
+    """(first word, hash of the minimiser's gram) of every run of ``length`` words within a text."""
     h, n = words.hash, len(words.hash)
     if n < length:
         return np.zeros(0, "int64"), np.zeros(0, U)
     grams = np.zeros(n - gram + 1, U)
     for i in range(gram):
         grams = grams * U(0x9E3779B97F4A7C15) + mixed(h[i : n - gram + 1 + i])
-    grams = mixed(grams) | U(1)
-    width = length - gram + 1
-    least = _sliding(grams, width, np.minimum)
-    least = np.where(words.text[: len(least)] == words.text[length - 1 :], least, U(0))
-    padded = np.concatenate([np.zeros(width - 1, U), least, np.zeros(width - 1, U)])
-    at = np.flatnonzero(_sliding(padded, width, np.maximum) == grams)
-    first = np.ones(len(at), bool)
-    first[1:] = (at[1:] != at[:-1] + 1) | (grams[at[1:]] != grams[at[:-1]])
-    begin = at[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))] if len(at) else at
-    at = at[(at - begin) % 10 == 0]
-    return at, grams[at]
-
-
-def _anchors(length: int, gram: int):
-    """doc_id, row, places and grams of each text that has any."""
+    least = _sliding(mixed(grams), length - gram + 1, np.minimum)
+    at = np.flatnonzero(words.text[: len(least)] == words.text[length - 1 :])
+    return at, least[at]
+
+
+def _grams(length: int, gram: int):
+    """doc_id, row and the distinct grams of the minimisers of each text that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in runs(batch.column(2)):
                 words = Words(data, offsets, lower=False)
                 at, h = minimisers(words, length, gram)
-                count = words.count()
-                text = words.text[at]
-                place = at - (np.cumsum(count) - count)[text]
+                text, h = distinct(words.text[at], h)
                 ids, rows = (batch.column(k).slice(first, end - first).take(pa.array(text)) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([ids, rows, pa.array(place.astype("int32")), pa.array(h.view("int64"))], names=["doc_id", "row", "place", "gram"])
-
-    return run
-
-
-def _suffixes(length: int):
-    """The content to the right and, reversed, to the left of each place; as far as a match can need."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for row in range(batch.num_rows):
-                doc, key, text, places = (batch.column(k)[row].as_py() for k in range(4))
-                words = text.split() if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f") else _split(text)
-                for p in places:
-                    out.append((doc, key, p, " ".join(words[p : p + length]), " ".join(words[max(0, p - length) : p][::-1])))
-                if len(out) > 5000:
-                    yield _batch(out)
-                    out = []
-            if out:
-                yield _batch(out)
+                yield pa.RecordBatch.from_arrays([ids, rows, pa.array(h.view("int64"))], names=["doc_id", "row", "gram"])
 
     return run
 
 
-def _split(text: str) -> list[str]:
-    for c in "\t\n\x0b\x0c\r":
-        text = text.replace(c, " ")
-    return [w for w in text.split(" ") if w]
+def _names(words: Words, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the runs of ``length`` words that start at ``at``."""
+    up, down = _powers(len(words.hash) + 1)
+    out = []
+    for salt in (0x1234567, 0x89ABCDE):
+        total = np.zeros(len(words.hash) + 1, U)
+        np.cumsum(mixed(words.hash ^ U(salt)) * up[:-1], out=total[1:])
+        out.append(mixed((total[at + length] - total[at]) * down[at]))
+    return out[0], out[1]
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "row", "place", "ahead", "behind"])
-
-
-def _common(a: list[str], b: list[str]) -> int:
-    n = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        n += 1
-    return n
-
-
-def _neighbours(length: int, most: int, edges: bool):
-    """Matches of a sorted partition, as doc_id, row, begin, end, other; with ``edges`` also the first and last rows of the
-    partition, whose neighbours may stand in the next one."""
+def _passages(length: int, gram: int):
+    """one, two, doc_id and place of every run of ``length`` words whose minimiser's gram is in the row's list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: OrderedDict = OrderedDict()  # of the last documents met: the suffixes of theirs that last stood together
-        head, tail = [], deque(maxlen=most)
         for batch in batches:
-            found = set()
-            for doc, key, place, ahead, behind in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                row = (doc, key, place, ahead.split(" "), behind.split(" ") if behind else [])
-                last = next(reversed(recent), None)
-                for turn, other in enumerate([d for d in reversed(recent) if d != doc][:most]):
-                    for mate in recent[other] if other == last and not turn else recent[other][-1:]:
-                        right, left = _common(row[3], mate[3]), _common(row[4], mate[4])
-                        if left + right >= length:
-                            found.add((doc, key, place - left, place + right, other))
-                            found.add((other, mate[1], mate[2] - left, mate[2] + right, doc))
-                if doc == last:
-                    recent[doc].append(row)
-                else:
-                    recent[doc] = [row]
-                    recent.move_to_end(doc)
-                    if len(recent) > most + 1:
-                        recent.popitem(last=False)
-                if edges:
-                    raw = (doc, key, place, ahead, behind)
-                    tail.append(raw)
-                    if len(head) < most:
-                        head.append(raw)
-            if found:
-                yield _found(sorted(found))
-        if edges and head:
-            rest = list(dict.fromkeys([*head, *tail]))
-            yield _found([], rest)
+            for first, end, data, offsets in runs(batch.column(1)):
+                words = Words(data, offsets, lower=False)
+                at, h = minimisers(words, length, gram)
+                count = words.count()
+                cut = np.searchsorted(words.text[at], np.arange(end - first + 1))
+                held = [np.isin(h[cut[k] : cut[k + 1]], batch.column(2)[first + k].values.to_numpy(zero_copy_only=False).view(U)) for k in range(end - first)]
+                at = at[np.concatenate(held)]
+                one, two = _names(words, at, length)
+                text = words.text[at]
+                place = (at - (np.cumsum(count) - count)[text]).astype("int32")
+                ids = batch.column(0).slice(first, end - first).take(pa.array(text))
+                yield pa.RecordBatch.from_arrays([pa.array(one.view("int64")), pa.array(two.view("int64")), ids, pa.array(place)], names=["one", "two", "doc_id", "place"])
 
     return run
 
 
-def _found(matches: list[tuple], rest: list[tuple] = ()) -> pa.RecordBatch:
-    every = [(*m, None, None) for m in matches] + [(d, k, p, None, None, a, b) for d, k, p, a, b in rest]
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*every), kinds)], names=["doc_id", "row", "begin", "end", "other", "ahead", "behind"])
-
-
-_FOUND = "doc_id bigint, row bigint, begin int, end int, other bigint, ahead string, behind string"
-
-
-def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, neighbours: int = NEIGHBOURS) -> DataFrame:
+def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Passages of at least ``length`` words that other documents hold word for word.
 
     One row per document that has any: doc_id, n_words_repeated, spans (array of begin, end: word numbers from 0, end
-    exclusive, merged) and others (doc_ids of neighbours met, ascending). Words are runs without white space, in
-    their own case. Documents are told apart by doc_id; rows with a null doc_id or text are left out, repeated rows
-    count once, other columns are not read.
+    exclusive, merged) and others (of each repeated run of ``length`` words the least doc_id that holds it, for that
+    document itself the greatest; ascending). Words are runs without white space, in their own case. Documents are
+    told apart by doc_id; rows with a null doc_id or text are left out, repeated rows count once, other columns are
+    not read. Runs are told by 128 bits.
     """
     space = Workspace(docs.sparkSession, "suffixes")
     held = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
-    anchors = space.save(held.mapInArrow(_anchors(length, gram), "doc_id bigint, row bigint, place int, gram bigint"), "anchors")
-    often = anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("n > 1 and low < high").select("gram")
+    anchors = space.save(held.mapInArrow(_grams(length, gram), "doc_id bigint, row bigint, gram bigint"), "anchors")
+    often = anchors.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("gram")
     often = space.save(often, "often")  # a table, so that the join below has two plain shuffles and common grams can be split
-    places = anchors.join(often, "gram").groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("place")).alias("places"))
-    suffixes = held.join(space.save(places, "places"), ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("doc_id", "row", "text", "places")
-    suffixes = space.save(suffixes.mapInArrow(_suffixes(length), "doc_id bigint, row bigint, place int, ahead string, behind string"), "suffixes")
-    order = ["ahead", "behind", "doc_id", "row", "place"]
-    met = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "row", "place", "ahead", "behind")
-    met = space.save(met.mapInArrow(_neighbours(length, neighbours, True), _FOUND), "met")
-    # A few rows for each partition: suffixes that stand at a border meet here.
-    border = met.filter("ahead is not null").select("doc_id", "row", F.col("begin").alias("place"), "ahead", "behind").repartition(1).sortWithinPartitions(*order).select("doc_id", "row", "place", "ahead", "behind")
-    matches = met.filter("ahead is null").unionByName(border.mapInArrow(_neighbours(length, neighbours, False), _FOUND)).select("doc_id", "begin", "end", "other").distinct()
-    # Overlapping matches of a document become one span.
-    order = W.partitionBy("doc_id").orderBy("begin", "end")
-    upto = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    islands = matches.groupBy("doc_id", "begin", "end").agg(F.collect_set("other").alias("others")).withColumn("new", F.coalesce((F.col("begin") > upto).cast("int"), F.lit(1)))
-    islands = islands.withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    spans = islands.groupBy("doc_id", "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.flatten(F.collect_list("others")).alias("others"))
+    grams = space.save(anchors.join(often, "gram").groupBy("doc_id", "row").agg(F.collect_set("gram").alias("grams")), "grams")
+    space.drop("anchors")
+    passages = held.join(grams.hint("merge"), ["doc_id", "row"]).select("doc_id", "text", "grams")
+    passages = space.save(passages.mapInArrow(_passages(length, gram), "one bigint, two bigint, doc_id bigint, place int"), "passages")
+    # Sums before the shuffle leave one row of a passage for each task, however many documents hold it.
+    stars = passages.groupBy("one", "two").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
+    stars = space.save(stars, "stars")  # a table for the same reason
+    matches = passages.join(stars, ["one", "two"]).select("doc_id", "place", F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other"))
+    # Overlapping or touching runs of a document become one span.
+    order = W.partitionBy("doc_id").orderBy("place")
+    matches = matches.withColumn("new", F.coalesce((F.col("place") > F.lag("place").over(order) + length).cast("int"), F.lit(1)))
+    matches = matches.withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    spans = matches.groupBy("doc_id", "island").agg(F.min("place").alias("begin"), (F.max("place") + length).alias("end"), F.collect_set("other").alias("others"))
     return spans.groupBy("doc_id").agg(
         F.sum(F.col("end") - F.col("begin")).alias("n_words_repeated"), F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("others")))).alias("others")
     )

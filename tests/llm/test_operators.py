@@ -302,6 +302,22 @@ def test_suffix_dedup(docs, rows, none):
     assert repeated_passages(none).count() == 0
 
 
+def test_passages_that_end_in_a_common_text(spark):
+    from stratalex.llm.suffix_dedup import repeated_passages
+
+    r = random.Random(13)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(n))
+    licence, texts = prose(45), []
+    for _ in range(12):  # two texts share ten words ahead of a licence that all hold
+        own = prose(10)
+        texts += [f"{prose(20)} {own} {licence} {prose(60)}" for _ in range(2)]
+    texts += [f"{prose(20)} {licence} {prose(60)}" for _ in range(60)]
+    rows = list(enumerate(texts))
+    got = {g.doc_id: g for g in repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert {d: {i for s in g.spans for i in range(s.begin, s.end)} for d, g in got.items()} == dict(repeats(rows, 50))
+    assert set(got) == set(range(24)) and all(g.others == [d ^ 1] for d, g in got.items())
+
+
 def test_paragraph_dedup(docs, rows, none):
     from stratalex.llm.paragraph_dedup import repeated_paragraphs, tuned_bands
 
