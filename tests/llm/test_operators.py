@@ -377,7 +377,7 @@ def test_every_pair_in_a_band_value_is_verified():
         values = _banded(bands, rows)(np.concatenate([flat[:7], flat[[0, 1, 2, 3, 4, 5, 7]]]), np.array([0, 7]))
         one, two = ([values[f"value{b}"][k].as_py() for b in range(bands)] for k in (0, 1))
         entries = sorted([(-(1 << 63), 0)] + [(v, k) for k, own in ((1, one), (2, two)) for v in own] + [((1 << 63) - 1, 3)])
-        batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*entries)], names=["value", "content"])
+        batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*[(v, k, k, -1) for v, k in entries])], names=["value", "content", "owner", "place"])
         met = {(a, b) for out in _colliding(256)([batch]) for a, b in zip(*(c.to_pylist() for c in out.columns))}
         assert ((1, 2) in met) == bool(set(one) & set(two))
         shared += (1, 2) in met
