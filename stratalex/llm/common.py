@@ -36,13 +36,17 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 class Workspace:
     """Intermediate tables of one run, written to the shared folder so that a lost executor loses nothing."""
 
+    #: Workspaces of this driver, oldest first.
+    opened: list[Workspace] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.opened.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return it as a scan: the lineage ends here."""
-        path, before = f"{self.root}/{name}", self.spark.conf.get(CLEANUP)
+        path, before = f"{self.root}/{name}", self.spark.conf.get(CLEANUP, "false")
         self.spark.conf.set(CLEANUP, "true")
         try:
             df.write.parquet(path)
@@ -50,9 +54,20 @@ class Workspace:
             self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Delete a table that no later step reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+    def drop(self, *names: str) -> None:
+        """Delete tables that no later step reads."""
+        for name in names:
+            self._delete(f"{self.root}/{name}")
+
+    @classmethod
+    def close_since(cls, opened: int) -> None:
+        """Delete the workspaces opened after the first ``opened`` ones: what they led to is written elsewhere."""
+        for space in cls.opened[opened:]:
+            space._delete(space.root)
+        del cls.opened[opened:]
+
+    def _delete(self, path: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
+def _star(edges: DataFrame, small: bool, space: Workspace, name: str) -> DataFrame:
     """Join neighbours to the least of them: larger ones (large star), or the smaller ones and the node itself."""
     ends = edges.select("part", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     if not small:
@@ -16,7 +16,8 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         ways = F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
         ends = ends.select("part", F.inline(ways))
     least = ends.groupBy("part", "a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-    joined = ends.join(least, ["part", "a"])
+    # A table of its own, so that the join has two plain shuffles and the edges of a hub can be split among tasks.
+    joined = ends.join(space.save(least, f"{name}_least").hint("merge"), ["part", "a"])
     if small:
         pairs = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))
         return joined.select("part", F.inline(pairs)).filter("a != b")
@@ -34,13 +35,16 @@ def components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
     """part, node, root of every node with an edge: root is the least node that edges (part, a, b) connect it to.
 
     Parts are separate graphs. Each round is two joins by node; rounds grow with the logarithm of the size. The
-    number of edges never grows, so no step holds a component in one task.
+    number of edges never grows. The least neighbours of all nodes are a table before they are joined, so the edges
+    of a hub are split like any skewed key, and no step holds a component in one task.
     """
     now = space.save(edges.filter("a != b").select("part", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}0")
     turn = 0
     while not _all_stars(now):
         turn += 1
-        now = space.save(_star(_star(now, small=False), small=True).distinct(), f"{name}{turn}")
-        space.drop(f"{name}{turn - 1}")
+        large = space.save(_star(now, False, space, f"{name}{turn}a").distinct(), f"{name}{turn}a")
+        now = space.save(_star(large, True, space, f"{name}{turn}b").distinct(), f"{name}{turn}")
+        for done in (f"{name}{turn - 1}", f"{name}{turn}a", f"{name}{turn}a_least", f"{name}{turn}b_least"):
+            space.drop(done)
     ends = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("root")), F.struct(F.col("b").alias("node"), F.col("b").alias("root")))
     return now.select("part", F.inline(ends)).distinct()

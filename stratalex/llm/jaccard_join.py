@@ -34,6 +34,8 @@ LEAST = 75
 ORDERS = 3
 #: Clusters up to this size are verified by one task; larger ones by leaders, so many to a block, beside so many rows.
 SMALL, BLOCK, ROWS = 256, 64, 1024
+#: Tokens that a task holds at most for one cluster, block or deal, but for a single set that has more.
+WEIGHT = 1 << 21
 #: Leaders drawn first; four times as many in each later turn.
 FIRST_LEADERS = 128
 
@@ -124,7 +126,7 @@ class _Group:
         return hits[self.start + self.n] - hits[self.start]
 
 
-def _links(left: pd.DataFrame, right: pd.DataFrame, least: int) -> Iterator[tuple[int, np.ndarray]]:
+def _links(left: dict, right: dict, least: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each row of ``left`` the rows of ``right`` that share a prefix token under all orders and verify."""
     full = _Group(list(right["tokens"]))
     orders = [_Group([p[k] for p in right["prefixes"]]) for k in range(ORDERS)]
@@ -135,7 +137,7 @@ def _links(left: pd.DataFrame, right: pd.DataFrame, least: int) -> Iterator[tupl
             yield i, np.flatnonzero(could & (100 * both >= least * (len(tokens) + full.n - both)))
 
 
-def _spanning(left: pd.DataFrame, right: pd.DataFrame, least: int) -> pd.DataFrame:
+def _spanning(left: dict, right: dict, least: int) -> list[tuple[int, int]]:
     """Links found, as edges from each document to the least one that they connect it to."""
     parent: dict[int, int] = {}
 
@@ -145,21 +147,62 @@ def _spanning(left: pd.DataFrame, right: pd.DataFrame, least: int) -> pd.DataFra
             x = parent[x]
         return x
 
-    ids, others = left["doc"].to_list(), right["doc"].to_list()
+    ids, others = [int(x) for x in left["doc"]], [int(x) for x in right["doc"]]
     for i, js in _links(left, right, least):
         for j in js:
             a, b = sorted((root(ids[i]), root(others[j])))
             parent[b] = a
     out = [(x, root(x)) for x in parent]
-    return pd.DataFrame([(a, b) for a, b in out if a != b], columns=["a", "b"]).astype("int64")
+    return [(a, b) for a, b in out if a != b]
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(ends, ends[1:])]
 
 
 def _small(least: int):
-    return lambda pdf: _spanning(pdf, pdf, least)
+    """Task function over rows (cluster, doc, tokens, prefixes) sorted by cluster: roots, one cluster in memory at a time."""
+
+    def verified(rows: pa.RecordBatch, cuts: np.ndarray) -> pa.RecordBatch:
+        docs, tokens, flat, out = rows.column(1).to_numpy(), _lists(rows.column(2)), _lists(rows.column(3).values), []
+        outer = rows.column(3).offsets.to_numpy()
+        for a, b in zip(cuts, cuts[1:]):
+            if b - a == 2:  # most clusters are one pair
+                both = len(np.intersect1d(tokens[a], tokens[a + 1], assume_unique=True))
+                if 100 * both >= least * (len(tokens[a]) + len(tokens[a + 1]) - both) and docs[a] != docs[a + 1]:
+                    out.append((max(docs[a], docs[a + 1]), min(docs[a], docs[a + 1])))
+            elif b - a > 2:
+                own = {"doc": docs[a:b], "tokens": tokens[a:b], "prefixes": [flat[outer[i] : outer[i + 1]] for i in range(a, b)]}
+                out += _spanning(own, own, least)
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            cluster = batch.column(0).to_numpy()
+            if not len(cluster):
+                continue
+            if held and held[0].column(0)[0].as_py() == cluster[0] == cluster[-1]:
+                held.append(batch)
+                continue
+            rows = pa.concat_batches([*held, batch])
+            cluster = rows.column(0).to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], cluster[1:] != cluster[:-1]]))
+            yield verified(rows, cuts)  # all but the last cluster, which may go on
+            held = [rows.slice(cuts[-1])]
+        if held:
+            rows = pa.concat_batches(held)
+            yield verified(rows, np.array([0, rows.num_rows]))
+
+    return run
 
 
 def _against(least: int):
-    return lambda docs, leaders: _spanning(docs, leaders, least) if len(docs) and len(leaders) else pd.DataFrame({"a": [], "b": []}).astype("int64")
+    def run(docs: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_spanning(docs, leaders, least) if len(docs) and len(leaders) else [], columns=["a", "b"]).astype("int64")
+
+    return run
 
 
 def jaccard_components(docs: DataFrame, least: int = LEAST, width: int = WIDTH, small: int = SMALL) -> DataFrame:
@@ -199,8 +242,8 @@ def linked(sets: DataFrame, space: Workspace, least: int = LEAST, small: int = S
     """rep, root of every set (doc, tokens; tokens distinct) of a saved table that links connect to a smaller doc."""
     # 2. Prefixes of the sets under several orders: rare first, then by a hash of the order's own.
     flat = sets.select("doc", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    often = flat.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = flat.join(often, "token").groupBy("doc", "n").agg(F.collect_list(F.struct("token", F.floor(F.log2("df")).alias("rare"))).alias("known"))
+    often = space.save(flat.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "often")  # a table, so that the join below has two plain shuffles and common tokens can be split
+    ranked = flat.join(often.hint("merge"), "token").groupBy("doc", "n").agg(F.collect_list(F.struct("token", F.floor(F.log2("df")).alias("rare"))).alias("known"))
     first = F.expr(f"n - (({least} * n + 99) div 100) + 1 - (n - size(known))").cast("int")
 
     def order(k: int):
@@ -209,21 +252,24 @@ def linked(sets: DataFrame, space: Workspace, least: int = LEAST, small: int = S
         return F.transform(F.slice(F.sort_array(turned), 1, F.col("first")), lambda x: x["token"])
 
     orders = [order(k) for k in range(ORDERS)]
-    prefixed = space.save(ranked.withColumn("first", first).filter("first > 0").select("doc", F.array(*orders).alias("prefixes")), "prefixes")
+    prefixed = space.save(ranked.withColumn("first", first).filter("first > 0").select("doc", "n", F.array(*orders).alias("prefixes")), "prefixes")
+    space.drop("often")
 
     entries = prefixed.select("doc", F.posexplode("prefixes").alias("part", "tokens")).select("doc", "part", F.explode("tokens").alias("token"))
-    stars = entries.groupBy("part", "token").agg(F.min("doc").alias("b"), F.count("*").alias("members")).filter("members > 1")
-    edges = entries.join(stars, ["part", "token"]).select("part", F.col("doc").alias("a"), "b")
+    stars = space.save(entries.groupBy("part", "token").agg(F.min("doc").alias("b"), F.count("*").alias("members")).filter("members > 1"), "tokens_shared")
+    edges = entries.join(stars.hint("merge"), ["part", "token"]).select("part", F.col("doc").alias("a"), "b")
     roots = components(edges, space, "stars")
     shared = roots.groupBy("node").agg(F.count("*").alias("orders"), F.xxhash64(F.sort_array(F.collect_list(F.struct("part", "root")))).alias("cluster"))
     clusters = space.save(shared.filter(F.col("orders") == ORDERS).select(F.col("node").alias("doc"), "cluster"), "clusters")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members")).filter("members > 1")
-    members = space.save(clusters.join(sizes, "cluster").join(prefixed, "doc").join(sets, "doc"), "members")
+    sizes = clusters.join(prefixed.select("doc", "n"), "doc").groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n").alias("weight")).filter("members > 1")
+    sizes = space.save(sizes, "sizes")
+    members = space.save(clusters.join(sizes, "cluster").join(prefixed.drop("n"), "doc").join(sets, "doc"), "members")
 
     # 3. Verification. A small cluster's task already gives each document its root.
-    few = members.filter(F.col("members") <= small).select("cluster", "doc", "tokens", "prefixes")
-    roots = space.save(few.groupBy("cluster").applyInPandas(_small(least), "a bigint, b bigint"), "found").select(F.col("a").alias("rep"), F.col("b").alias("root"))
-    large = members.filter(F.col("members") > small)
+    fits = (F.col("members") <= small) & (F.col("weight") <= WEIGHT)
+    few = members.filter(fits).select("cluster", "doc", "tokens", "prefixes").repartition("cluster").sortWithinPartitions("cluster")
+    roots = space.save(few.mapInArrow(_small(least), "a bigint, b bigint"), "found").select(F.col("a").alias("rep"), F.col("b").alias("root"))
+    large = members.filter(~fits)
     if not large.isEmpty():
         roots = roots.unionByName(_by_leaders(large, space, least))
     return roots
@@ -232,23 +278,25 @@ def linked(sets: DataFrame, space: Workspace, least: int = LEAST, small: int = S
 def _by_leaders(large: DataFrame, space: Workspace, least: int) -> DataFrame:
     """rep, root of documents in clusters that are too large for one task."""
     keys, columns = ["cluster", "block", "deal"], ["cluster", "block", "deal", "doc", "tokens", "prefixes"]
-    state = large.select("cluster", "doc", F.col("doc").alias("root"))
+    each = (F.col("weight") / F.col("members")).alias("each")  # tokens of a set in the mean
+    state = large.select("cluster", "doc", F.col("doc").alias("root"), each)
     found, led, roots, turn, wanted = None, None, None, 0, FIRST_LEADERS
     while True:
         # Documents that have led are settled; of the others those outside the cluster's largest component wait.
         per = state.groupBy("cluster", "root").agg(F.count("*").alias("size"))
         main = per.groupBy("cluster").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.max("size").alias("most"))
-        waiting = state.join(main, "cluster").filter((F.col("root") != F.col("main")) | (F.col("most") == 1)).select("cluster", "doc")
+        waiting = state.join(main, "cluster").filter((F.col("root") != F.col("main")) | (F.col("most") == 1)).select("cluster", "doc", "each")
         waiting = space.save(waiting, f"waiting{turn}")
         if waiting.isEmpty():
             return roots
-        left = waiting.groupBy("cluster").agg(F.count("*").alias("left"))
+        left = waiting.groupBy("cluster", "each").agg(F.count("*").alias("left"))
         draw = F.pmod(F.xxhash64("doc", F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        blocks = F.greatest(F.lit(1), F.ceil(F.least(F.col("left"), F.lit(wanted)) / BLOCK))
-        leaders = waiting.join(left, "cluster").filter(draw * F.col("left") < wanted).withColumn("block", F.pmod(F.xxhash64("doc", F.lit("block")), blocks)).select("cluster", "doc", "block")
+        drawn = F.least(F.col("left"), F.lit(wanted))
+        blocks = F.greatest(F.lit(1), F.ceil(drawn / BLOCK), F.ceil(drawn * F.col("each") / WEIGHT))
+        leaders = waiting.drop("each").join(left, "cluster").filter(draw * F.col("left") < wanted).withColumn("block", F.pmod(F.xxhash64("doc", F.lit("block")), blocks)).select("cluster", "doc", "block")
         leaders = space.save(leaders, f"leaders{turn}")
         # Each block of leaders meets each deal of its cluster's documents in a task of its own.
-        deals = F.greatest(F.lit(1), F.ceil(F.col("members") / ROWS))
+        deals = F.greatest(F.lit(1), F.ceil(F.col("members") / ROWS), F.ceil(F.col("weight") / WEIGHT))
         lists = large.join(leaders, ["cluster", "doc"]).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), deals - 1))).select(*columns)
         asked = leaders.groupBy("cluster").agg(F.collect_set("block").alias("asked"))
         dealt = large.withColumn("deal", F.pmod(F.xxhash64("doc", F.lit("deal")), deals)).join(asked, "cluster").withColumn("block", F.explode("asked"))
@@ -257,7 +305,7 @@ def _by_leaders(large: DataFrame, space: Workspace, least: int) -> DataFrame:
         found = more if found is None else found.unionByName(more)
         led = leaders.select("cluster", "doc") if led is None else led.unionByName(leaders.select("cluster", "doc"))
         roots = components(found.withColumn("part", F.lit(0)), space, f"turn{turn}_").select(F.col("node").alias("rep"), "root")
-        state = large.select("cluster", "doc").join(led, ["cluster", "doc"], "left_anti").join(roots, F.col("doc") == F.col("rep"), "left").select("cluster", "doc", F.coalesce("root", "doc").alias("root"))
+        state = large.select("cluster", "doc", each).join(led, ["cluster", "doc"], "left_anti").join(roots, F.col("doc") == F.col("rep"), "left").select("cluster", "doc", F.coalesce("root", "doc").alias("root"), "each")
         turn, wanted = turn + 1, wanted * 4
 
 
@@ -266,6 +314,8 @@ def one_of_each(docs: DataFrame, least: int = LEAST, width: int = WIDTH) -> Data
 
     Rows without a doc_id or without words stay.
     """
-    space = Workspace(docs.sparkSession, "one-of-each")
+    space, opened = Workspace(docs.sparkSession, "one-of-each"), len(Workspace.opened)
     gone = jaccard_components(docs, least, width).filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(space.save(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    gone = space.save(gone, "gone")
+    Workspace.close_since(opened)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
