@@ -2,7 +2,8 @@
 
 A text without its white space is cut into blocks of ``block_chars`` characters. Distinct blocks are sorted and
 numbered; then adjacent pairs of numbers are numbered in turn, until one number stands for each text. Two texts
-have the same number after as many rounds exactly when they are equal: no step rests on a fingerprint alone.
+have the same number after as many rounds exactly when they are equal: no equality of blocks rests on a fingerprint.
+Only rows that share a doc_id (or have none) are told apart by 128 bits of their texts and the length.
 """
 
 from __future__ import annotations
@@ -17,6 +18,11 @@ from .common import Workspace, shuffle_width, without_white
 NO_ID = (1 << 63) - 1
 
 
+def row_key(text: Column) -> Column:
+    """Tells rows of one doc_id apart: 128 bits of the text and its length."""
+    return F.concat_ws(":", F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.lit(1), text)), F.length(text))
+
+
 def fingerprint(block: Column) -> Column:
     return F.xxhash64(block)
 
@@ -27,7 +33,7 @@ def _blocks(text: Column, block_chars: int) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).when(F.length(text) <= block_chars, F.array(text)).otherwise(cut)
 
 
-def _numbered(distinct: DataFrame, *by: str) -> DataFrame:
+def numbered(distinct: DataFrame, *by: str) -> DataFrame:
     """Give each row of ``distinct`` an integer: its place in the sorted range it falls in, ranges interleaved."""
     ranges = 4 * shuffle_width(distinct.sparkSession)
     at = F.pmod(F.xxhash64(*by), F.lit(ranges)).cast("long")
@@ -46,21 +52,21 @@ def name_documents(docs: DataFrame, space: Workspace, block_chars: int = 2048, h
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), text.alias("_text"))
     rows = rows.withColumn("_bare", without_white(F.col("_text")))
     keyed = rows.select(
-        "doc_id", "_id", F.xxhash64("_text").alias("_row"), F.length("_text").cast("long").alias("n_chars"), F.sha2("_bare", 256).alias("text_sha256"),
+        "doc_id", "_id", row_key(F.col("_text")).alias("_row"), F.length("_text").cast("long").alias("n_chars"), F.sha2("_bare", 256).alias("text_sha256"),
         F.transform(_blocks(F.col("_bare"), block_chars), hash_of).alias("_hashes"),
     )
     keyed = space.save(keyed, "keyed")
-    spread = rows.select("_id", F.xxhash64("_text").alias("_row"), F.posexplode(_blocks(F.col("_bare"), block_chars)).alias("pos", "block"))
+    spread = rows.select("_id", row_key(F.col("_text")).alias("_row"), F.posexplode(_blocks(F.col("_bare"), block_chars)).alias("pos", "block"))
 
     # The texts are shuffled once, by block; from here on only integers move.
     distinct = spread.select(hash_of(F.col("block")).alias("hash"), "block").distinct()
-    prints = _numbered(distinct.groupBy("hash").agg(F.count("*").alias("blocks")), "hash")
+    prints = numbered(distinct.groupBy("hash").agg(F.count("*").alias("blocks")), "hash")
     prints = space.save(prints, "prints")
     first = keyed.select("_id", "_row", F.posexplode("_hashes").alias("pos", "hash")).join(prints.filter("blocks = 1"), "hash").select("_id", "_row", "pos", "name")
     clashing = prints.filter("blocks > 1").select("hash")
     if not clashing.isEmpty():
         rest = space.save(spread.withColumn("hash", hash_of(F.col("block"))).join(clashing, "hash"), "clashing")
-        named = _numbered(rest.select("hash", "block").distinct(), "hash", "block").withColumn("name", -F.col("name"))
+        named = numbered(rest.select("hash", "block").distinct(), "hash", "block").withColumn("name", -F.col("name"))
         first = first.unionByName(rest.join(named, ["hash", "block"]).select("_id", "_row", "pos", "name"))
     size = keyed.select("_id", "_row", F.size("_hashes").alias("left")).distinct()
     now = space.save(first.join(size, ["_id", "_row"]).distinct(), "level0")
@@ -76,7 +82,7 @@ def name_documents(docs: DataFrame, space: Workspace, block_chars: int = 2048, h
             .groupBy("_id", "_row", F.expr("cast(pos div 2 as int)").alias("pos"), F.expr("cast((left + 1) div 2 as int)").alias("left"))
             .agg(F.max(F.when(even, F.col("name"))).alias("one"), F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(0)).alias("two"))
         )
-        now = space.save(pairs.join(_numbered(pairs.select("one", "two").distinct(), "one", "two"), ["one", "two"]).select("_id", "_row", "pos", "left", "name"), f"level{level}")
+        now = space.save(pairs.join(numbered(pairs.select("one", "two").distinct(), "one", "two"), ["one", "two"]).select("_id", "_row", "pos", "left", "name"), f"level{level}")
         done.append(now.filter("left = 1").select("_id", "_row", F.lit(level).alias("level"), "name"))
     identity = done[0]
     for more in done[1:]:
@@ -96,6 +102,7 @@ def exact_groups(docs: DataFrame, block_chars: int = 2048, hash_of=fingerprint)
     """
     space = Workspace(docs.sparkSession, "exact-dedup")
     named = space.save(name_documents(docs, space, block_chars, hash_of), "named")
+    space.drop("keyed", "prints", "clashing", *(f"level{i}" for i in range(64)))
     groups = named.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("n_chars")).alias("less"), "_id", "_row")).alias("keep"))
     groups = space.save(groups, "groups")  # a table, so that the join below has two plain shuffles and large groups can be split
     again = F.row_number().over(W.partitionBy("_id", "_row").orderBy("_id"))
@@ -113,5 +120,5 @@ def drop_copies(docs: DataFrame, block_chars: int = 2048) -> DataFrame:
     """``docs`` with one row of each group of equal texts; columns unchanged."""
     kept = exact_groups(docs, block_chars).filter("kept").select("_id", "_row")
     text = F.coalesce(F.col("text"), F.lit(""))
-    held = docs.select(F.struct(*docs.columns).alias("_doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_row"))
+    held = docs.select(F.struct(*docs.columns).alias("_doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), row_key(text).alias("_row"))
     return held.join(kept, ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"]).select("_doc.*")

@@ -18,6 +18,10 @@ from .suffix_dedup import repeated_passages
 from .token_counts import token_counts
 
 
+#: Words of a paragraph from which its copies count as duplicates in op5_paragraph_dedup; a shorter line is boilerplate.
+SHORTEST = 26
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents")).withColumnRenamed("group", "source")
 
@@ -37,7 +41,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+    return repeated_paragraphs(table(spark, sf_dir, "documents"), shortest=SHORTEST)
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
