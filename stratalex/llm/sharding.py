@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,7 +13,8 @@ from pyspark.sql import Window as W
 
 from .common import Workspace
 
-#: Most ranges, hence most bounds that a task receives: 16 bytes each, one megabyte in all.
+#: Most ranges at first, hence bounds that a task receives: 16 bytes each, one to three megabytes in all. At 100 TB a range
+#: is some 800,000 rows of 40 bytes, which a task sorts with room to spare.
 MOST_RANGES = 65_536
 #: Sampled keys behind each bound.
 SAMPLES_PER_RANGE = 8
@@ -44,24 +48,38 @@ def _in_range(keys: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
     return keys.withColumn("part", part("key", "id"))
 
 
-def splitters(keys: DataFrame, rows: int, total: int, ranges: int | None = None, rounds: int = 3) -> list[tuple[int, int]]:
-    """Bounds of ranges of near equal size. Ranges found over twice their share are sampled anew and subdivided."""
+def splitters(keys: DataFrame, rows: int, total: int, ranges: int | None = None) -> list[tuple[int, int]]:
+    """Bounds of ranges of near equal size.
+
+    Ranges found over twice their share are sampled anew, each by itself, and subdivided until none is left. A row that
+    is over its share by itself is no reason to subdivide. The bounds stay under some multiple of ``ranges``, as every
+    piece cut off is about one share.
+    """
     ranges = ranges or min(MOST_RANGES, max(384, rows // 500))
     share = max(1.0, total / ranges)
     bounds = _bounds(_sample(keys, SAMPLES_PER_RANGE / share, 0), ranges)
-    for again in range(1, rounds + 1):
-        measured = _in_range(keys, bounds).groupBy("part").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
-        over = [r["part"] for r in measured.filter((F.col("size") > 2 * share) & (F.col("rows") > 1)).select("part").collect()]
-        if not over or len(bounds) >= 2 * MOST_RANGES:
+    for again in count(1):
+        over = [r["part"] for r in overfull(keys, bounds, share).select("part").collect()]
+        if not over:
             break
-        more = _sample(_in_range(keys, bounds).filter(F.col("part").isin(over)), 2 * SAMPLES_PER_RANGE / share, again)
-        known = len(bounds)
-        bounds = sorted({*bounds, *_bounds(more, max(2, len(more) // SAMPLES_PER_RANGE + 1))})
-        if len(bounds) == known:
+        some = F.broadcast(keys.sparkSession.createDataFrame([(x,) for x in over], "part int"))  # at most half as many as ranges
+        more = _sample(_in_range(keys, bounds).join(some, "part", "left_semi"), 2 * SAMPLES_PER_RANGE / share, again)
+        own: dict[int, list] = {}
+        for key in more:
+            own.setdefault(bisect_right(bounds, key), []).append(key)
+        cut = {b for drawn in own.values() for b in _bounds(drawn, max(2, len(drawn) // SAMPLES_PER_RANGE + 1))}
+        if cut <= set(bounds):
             break
+        bounds = sorted({*bounds, *cut})
     return bounds
 
 
+def overfull(keys: DataFrame, bounds: list[tuple[int, int]], share: float) -> DataFrame:
+    """part of the ranges over twice ``share`` that are over it even without their largest row."""
+    measured = _in_range(keys, bounds).groupBy("part").agg(F.sum("size").alias("size"), F.max("size").alias("most"))
+    return measured.filter((F.col("size") > 2 * share) & (F.col("size") - F.col("most") > share))
+
+
 def shard_by_bytes(docs: DataFrame, shards: int = 24, whole_group: float = 0.02) -> DataFrame:
     """Put every row of ``docs`` into one of ``shards`` shards of near equal bytes.
 
@@ -90,14 +108,14 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, whole_group: float = 0.02)
     placed = ranged.withColumn("upto", F.sum("size").over(order)).join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("upto") - F.col("size"))
     placed = space.save(placed.drop("upto", "before"), "placed")
 
-    # A group is one key; a large one is cut between its rows, the others go where their middle falls.
+    # A group is one text, told by 64 bits, its CRC and its size; a large one is cut between its rows, the others go where their middle falls.
     share = max(1.0, total / shards)
-    groups = placed.groupBy("key").agg(F.min("start").alias("first"), F.sum("size").alias("group_bytes"), F.count("*").alias("copies")).filter("copies > 1")
+    groups = placed.groupBy("key", "text_crc32", "size").agg(F.min("start").alias("first"), F.sum("size").alias("group_bytes"), F.count("*").alias("copies")).filter("copies > 1")
     groups = space.save(groups, "groups")  # a table, so that the join below has two plain shuffles and large groups can be split
     middle = F.when(F.col("group_bytes") <= whole_group * share, F.col("first") + F.col("group_bytes") / 2).otherwise(F.col("start") + F.col("size") / 2)
     at = F.least(F.lit(shards - 1), F.floor(middle / F.lit(share))).cast("int")
     sharded = space.save(
-        placed.join(groups, "key", "left").withColumn("first", F.coalesce("first", "start")).withColumn("group_bytes", F.coalesce("group_bytes", "size"))
+        placed.join(groups, ["key", "text_crc32", "size"], "left").withColumn("first", F.coalesce("first", "start")).withColumn("group_bytes", F.coalesce("group_bytes", "size"))
         .withColumn("shard", at).select("doc_id", "size", "text_crc32", "key", "id", "part", "shard"),
         "sharded",
     )
