@@ -84,11 +84,14 @@ def calibrate(scored: DataFrame, labels: DataFrame, risk: float = RISK, level: f
     """Certified cutoffs: one row per stratum (column stratum) and rule that has one: rule, cutoff, clean, rejected.
 
     Clean are documents with quality 1 in ``labels``; a document with several labels is clean if one says so.
-    Documents that already fail the base are not counted: rules only act on the others. A stratum with too few
+    Documents that already fail the base are not counted: rules only act on the others; rows with an equal ``_print``
+    (where ``scored`` has one) count once in a stratum. A stratum with too few
     clean labels to certify any cutoff gets none, so nothing is rejected there.
     """
+    # Copies of a text are no independent trials: each distinct text of a stratum counts once.
     clean = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_labelled")).distinct()
     held = scored.filter(~base_failed()).join(clean, F.col("doc_id") == F.col("_labelled"), "left_semi")
+    held = held.dropDuplicates(["lang", "_print"]) if "_print" in held.columns else held
     tries = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(i).alias("place"), F.lit(float(c)).alias("cutoff"), (F.expr(rate) > F.lit(float(c))).alias("over")) for name, (rate, cutoffs) in rules.items() for i, c in enumerate(cutoffs)])
     counted = (
         held.select(F.col("lang").alias("stratum"), F.explode(tries).alias("t"))
@@ -119,14 +122,14 @@ def quality(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float
     each; empty tables give empty results; other columns are not read.
     """
     space = Workspace(docs.sparkSession, "quality")
-    scored = space.save(features(docs.select("doc_id", "lang", "text")).drop("text"), "scored")
-    return judge(scored, space.save(calibrate(scored, labels, risk, level), "cutoffs"))
+    scored = space.save(features(docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("_print"))).drop("text"), "scored")
+    return judge(scored.drop("_print"), space.save(calibrate(scored, labels, risk, level), "cutoffs"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """Rows of ``docs`` that are kept; columns unchanged. The features are computed once, beside the rows."""
     space = Workspace(docs.sparkSession, "quality")
-    held = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "lang", "text")
+    held = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "lang", "text", F.xxhash64("text").alias("_print"))
     scored = space.save(features(held).drop("text"), "scored")
     cutoffs = space.save(calibrate(scored.drop("_doc"), labels, risk, level), "cutoffs")
     return judge(scored, cutoffs).filter("kept").select("_doc.*")

@@ -28,7 +28,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", *FEATURES, "base_failed", "kept")
+    return judged.select("doc_id", *FEATURES[:5], "base_failed", "kept", *FEATURES[5:])
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,15 +80,15 @@ def _quality_oracle() -> str:
     tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x, b, c) AS n FROM (SELECT doc_id, i, x, lead(x) OVER o AS b, lead(x, 2) OVER o AS c FROM flat WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE c IS NOT NULL),
     rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM tri, (SELECT unnest(range(3)) AS k) WHERE n > 1 GROUP BY doc_id),
     lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words), dup AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS d FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
-    scored AS (SELECT w.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup.d, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+    scored AS (SELECT w.doc_id, lang, text, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup.d, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
       CAST(length(text) - length(replace(text, '!', '')) AS BIGINT) AS n_shouts, coalesce(dup.n, 0) AS n_lines FROM words w LEFT JOIN rep ON rep.doc_id = w.doc_id LEFT JOIN dup ON dup.doc_id = w.doc_id),
     judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM scored),
-    held AS (SELECT * FROM judged WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+    held AS (SELECT DISTINCT ON (lang, text) * FROM judged WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
     counted AS (SELECT lang, rule, place, cutoff, count(*) AS n, count(*) FILTER ((CASE rule {rates} END) > cutoff) AS k FROM held, (VALUES {tries}) t(rule, place, cutoff) GROUP BY ALL),
     tail AS (SELECT lang, rule, place, cutoff, CASE WHEN k >= n * {p} THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p}))) FROM (SELECT unnest(range(k + 1)) AS i)) END AS p FROM counted),
     passed AS (SELECT lang, rule, cutoff, min(CASE WHEN p <= {LEVEL} / (SELECT {len(RULES)} * count(DISTINCT coalesce(lang, chr(0))) FROM held) THEN 1 ELSE 0 END) OVER (PARTITION BY lang, rule ORDER BY place) AS ok FROM tail),
     certified AS (SELECT lang, rule, min(cutoff) AS cutoff FROM passed WHERE ok = 1 GROUP BY ALL)
-    SELECT doc_id, {", ".join(FEATURES)}, base_failed, NOT base_failed AND NOT ({over}) AS kept FROM judged j"""
+    SELECT doc_id, {", ".join(FEATURES[:5])}, base_failed, NOT base_failed AND NOT ({over}) AS kept, {", ".join(FEATURES[5:])} FROM judged j"""
 
 
 ORACLES = {
