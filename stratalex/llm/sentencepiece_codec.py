@@ -3,6 +3,8 @@
 The best segmentation under the model's own piece scores is found left to right. Only boundaries within one piece
 length of the current position can still start a piece; as soon as the best paths to all of them pass through
 one common boundary, the ids up to it are final and are committed, so memory is bounded by the window, not the text.
+The stretches between boundaries that every path has (between characters that stand side by side in no piece) are
+searched once and kept for the next time they occur.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 SPACE = "\u2581"
 #: A space mark that the text itself holds. It is spelled in bytes, so that decoding gives it back.
 LITERAL_SPACE = "\udc81"
-#: Segments kept between texts in each Python worker, and their longest length.
+#: Segments whose ids are kept between texts in each Python worker, and the length up to which they are kept.
 MOST_CACHED, LONGEST_CACHED = 400_000, 40
 #: Ids in one output batch.
 BATCH_IDS = 400_000
@@ -46,6 +48,7 @@ class Codec:
         self.longest = max(map(len, self.known), default=1)
         self.raw = [bytes([int(p[3:5], 16)]) if kind == "byte" else p.replace(SPACE, " ").encode() if kind == "normal" else b"" if kind == "control" else b" \xe2\x81\x87 " for p, _, kind in pieces]
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.committed = 0  # characters whose ids the search has found, those from the cache not counted
         # Pieces and, as False, their beginnings: a search from a start ends where no piece goes on.
         self.trie: dict[str, tuple[int, float] | bool] = {p[:i]: False for p in self.known for i in range(1, len(p))} | self.known
         # Characters that stand side by side within some piece; between others every path has a boundary.
@@ -69,73 +72,69 @@ class Codec:
         return [self.bytes[b] for b in raw] if len(self.bytes) == 256 else [self.unknown]
 
     def stream(self, text: str) -> Iterator[list[int]]:
-        """Ids of ``text`` in pieces, each as soon as it is final."""
+        """Ids of ``text`` in parts, each as soon as it is final.
+
+        The lists hold the boundaries from ``done``, the last final one, to ``reach``, the last that a piece has come
+        to. Where no piece goes past the current boundary it is the only one alive, so all paths meet in it.
+        Elsewhere the paths are followed back to where they meet, once in every two piece lengths.
+        """
         find, longest, unknown, n = self.trie.get, self.longest, self.unknown_score, len(text)
-        score, back, done = {0: 0.0}, {}, 0
+        score, came, by, done, reach = [0.0], [0], [-1], 0, 0
         for start in range(n):
-            here = score.pop(start)
-            if find(text[start]) in (None, False) and here + unknown > score.get(start + 1, -1e300):
-                score[start + 1], back[start + 1] = here + unknown, (start, -1)
-            for end in range(start + 1, min(n, start + longest) + 1):
-                hit = find(text[start:end])
-                if hit is None:
-                    break
-                if hit and here + hit[1] > score.get(end, -1e300):
-                    score[end], back[end] = here + hit[1], (start, hit[0])
-            if (start + 1 - done) % (2 * longest) == 0 and start + 1 < n:
-                # ``score`` now holds the boundaries that a piece can still start from or that one has reached.
-                at = self._meeting(back, score, done)
+            if start == reach and start > done:
+                yield self._path(text, came, by, start, done)
+                score, came, by, done = [0.0], [0], [-1], start
+            elif start - done >= 2 * longest and (start - done) % (2 * longest) == 0:
+                at = self._meeting(came, [k for k in range(start, reach + 1) if score[k - done] > -1e299], done)
                 if at > done:
-                    yield self._path(text, back, at, done)
-                    low, done = min(score.values()), at
-                    score = {k: x - low for k, x in score.items()}
-                    back = {k: x for k, x in back.items() if k > at}
-        if n > done:
-            yield self._path(text, back, n, done)
-
-    def _short(self, text: str) -> tuple[int, ...]:
-        """The same search over a short segment at once."""
-        find, unknown, n = self.trie.get, self.unknown_score, len(text)
-        score, came, by = [-1e300] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        score[0] = 0.0
-        for start in range(n):
-            here, end = score[start], start + 1
-            hit = find(text[start])
-            if not hit and here + unknown > score[end]:
-                score[end], came[end], by[end] = here + unknown, start, -1
+                    yield self._path(text, came, by, at, done)
+                    low, cut, done = min(score[start - done :]), at - done, at
+                    score, came, by = [x - low for x in score[cut:]], came[cut:], by[cut:]
+            here, end, hit = score[start - done], start + 1, find(text[start])
+            if end > reach:
+                score.append(-1e300)
+                came.append(0)
+                by.append(-1)
+                reach = end
+            if not hit and here + unknown > score[end - done]:
+                score[end - done], came[end - done], by[end - done] = here + unknown, start, -1
             while hit is not None:
-                if hit and here + hit[1] > score[end]:
-                    score[end], came[end], by[end] = here + hit[1], start, hit[0]
+                if hit:
+                    while end > reach:
+                        score.append(-1e300)
+                        came.append(0)
+                        by.append(-1)
+                        reach += 1
+                    if here + hit[1] > score[end - done]:
+                        score[end - done], came[end - done], by[end - done] = here + hit[1], start, hit[0]
                 if end == n:
                     break
                 end += 1
                 hit = find(text[start:end])
-        out, end = [], n
-        while end:
-            if by[end] >= 0:
-                out.append(by[end])
-            else:
-                out += self._spell(text[came[end]])[::-1]
-            end = came[end]
-        return tuple(out[::-1])
+        if n > done:
+            yield self._path(text, came, by, n, done)
 
     @staticmethod
-    def _meeting(back: dict, alive: dict, done: int) -> int:
+    def _meeting(came: list[int], alive: list[int], done: int) -> int:
         """The last boundary that the best paths to all boundaries of ``alive`` share."""
         paths = set(alive)
         while len(paths) > 1:
             last = max(paths)
             paths.discard(last)
-            paths.add(back[last][0])
+            paths.add(came[last - done])
         return max(paths.pop(), done)
 
-    def _path(self, text: str, back: dict, end: int, start: int) -> list[int]:
-        out: list[list[int]] = []
-        while end > start:
-            before, piece = back[end]
-            out.append([piece] if piece >= 0 else self._spell(text[before]))
+    def _path(self, text: str, came: list[int], by: list[int], end: int, done: int) -> list[int]:
+        out: list[int] = []
+        self.committed += end - done
+        while end > done:
+            piece, before = by[end - done], came[end - done]
+            if piece >= 0:
+                out.append(piece)
+            else:
+                out += self._spell(text[before])[::-1]
             end = before
-        return [i for part in reversed(out) for i in part]
+        return out[::-1]
 
     def encode(self, text: str, into: array | None = None) -> array:
         """Ids of ``text``. An empty text has none."""
@@ -165,9 +164,8 @@ class Codec:
         return self._part(segment)
 
     def _part(self, part: str) -> tuple[int, ...]:
-        if len(part) > LONGEST_CACHED:
-            return tuple(i for ids in self.stream(part) for i in ids)
-        return self._keep(part, self._short(part))
+        ids = tuple(i for some in self.stream(part) for i in some)
+        return ids if len(part) > LONGEST_CACHED else self._keep(part, ids)
 
     def _keep(self, text: str, ids: tuple[int, ...]) -> tuple[int, ...]:
         if len(self.cache) >= MOST_CACHED:
@@ -181,8 +179,8 @@ class Codec:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids, round_trip of every row of ``docs``; round_trip: decoding gives the text back.
+def encode(docs: DataFrame, path: str | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids, round_trip and ``carried`` columns of every row of ``docs``; round_trip: decoding gives the text back.
 
     Whole texts are encoded; null counts as empty and has no ids; repeated rows repeat; an empty table gives none;
     other columns are not read. The model's path is a parameter; the file is read where the tasks run.
@@ -201,11 +199,13 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                     values = pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids.tobytes())])
                     lengths = [b - a for a, b in zip(ends, ends[1:])]
                     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, row + 1 - first), pa.array(lengths, pa.int64()), lists, pa.array(fine)], names=["doc_id", "n_tokens", "ids", "round_trip"])
+                    ident, *more = (batch.column(k).slice(first, row + 1 - first) for k in (0, *range(2, batch.num_columns)))
+                    yield pa.RecordBatch.from_arrays([ident, pa.array(lengths, pa.int64()), lists, pa.array(fine), *more], names=["doc_id", "n_tokens", "ids", "round_trip", *carried])
                     ids, ends, fine, first = array("i"), [0], [], row + 1
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids array<int>, round_trip boolean")
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+    return docs.select("doc_id", "text", *carried).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids array<int>, round_trip boolean{more}")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
