@@ -74,21 +74,14 @@ def position(demand: Column, rank: Column, schedules=SCHEDULES) -> Column:
     return out
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, schedules=SCHEDULES, seed: str = "mix") -> DataFrame:
-    """How many words of each document the mix takes, and from which position of the training order.
-
-    One row per row of ``docs``: doc_id, source, size (words), source_size, target, taken, position. Within a source
-    documents stand in the order of a hash of doc_id. Whole passes over a source come first; the words still missing
-    are taken from its first documents, the last of them in part, so a source's taken words are its target rounded
-    down. ``position`` is null where nothing is taken. Null and blank texts have size 0; a null source is a source;
-    repeated rows count each; rows with a null doc_id come first in their source; other columns are not read.
-    """
-    space = Workspace(docs.sparkSession, "mixing")
+def _placed(docs: DataFrame, space: Workspace, carried: list[str], weights, most: int, seed: str) -> DataFrame:
+    """Rows of ``docs`` (doc_id, source, text and the ``carried`` columns) with size, source_size, target, rank, start, taken."""
     mark = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))
-    sized = space.save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), mark.alias("mark")), "sized")
+    sized = space.save(docs.select("doc_id", "source", *carried, word_count(F.col("text")).alias("size"), mark.alias("mark"), F.xxhash64("text").alias("print")), "sized")
     steps = min(1 << 20, power_of_two(sized.count() / ROWS_PER_STEP, 256))
-    step = F.expr(f"cast(conv(substring(mark, 1, 5), 16, 10) as bigint) div {(1 << 20) // steps}")
-    sized = sized.withColumn("step", step)
+    # Rows without a doc_id share a mark; their texts deal them among the steps.
+    at = F.when(F.col("doc_id").isNull(), F.pmod("print", F.lit(1 << 20))).otherwise(F.conv(F.substring("mark", 1, 5), 16, 10).cast("long"))
+    sized = sized.withColumn("step", F.floor(at / F.lit((1 << 20) // steps)).cast("long"))
 
     # Running sums in two levels, so that a source with most of the rows is spread over its steps.
     totals = sized.groupBy("source", "step").agg(F.sum("size").alias("step_size"))
@@ -96,35 +89,53 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, schedules=SCH
     before = F.sum("step_size").over(W.partitionBy("source").orderBy("step")) - F.col("step_size")
     totals = totals.withColumn("before", before).join(targets, F.col("source").eqNullSafe(F.col("_source")))
     totals = space.save(totals.select(F.col("source").alias("_source"), F.col("step").alias("_step"), "before", "rank", "source_size", "target"), "totals")
-    inside = W.partitionBy("source", "step").orderBy("mark", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("source", "step").orderBy("mark", "doc_id", "size", "print").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = sized.withColumn("within", F.sum("size").over(inside) - F.col("size")).join(totals, F.col("source").eqNullSafe(F.col("_source")) & (F.col("step") == F.col("_step")))
 
     wanted = F.floor("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))
     start = (F.col("before") + F.col("within")).cast("long")
     part = F.greatest(F.lit(0), F.least(F.col("size"), wanted - F.col("passes") * F.col("source_size") - F.col("start")))
-    placed = placed.withColumn("passes", passes).withColumn("start", start).withColumn("taken", (F.col("passes") * F.col("size") + part).cast("long"))
+    return placed.withColumn("passes", passes).withColumn("start", start).withColumn("taken", (F.col("passes") * F.col("size") + part).cast("long"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, schedules=SCHEDULES, seed: str = "mix") -> DataFrame:
+    """How many words of each document the mix takes, and from which position of the training order.
+
+    One row per row of ``docs``: doc_id, source, size (words), source_size, target, taken, position. Within a source
+    documents stand in the order of a hash of doc_id. Whole passes over a source come first; the words still missing
+    are taken from its first documents, the last of them in part, so a source's taken words are its target rounded
+    down. ``position`` is null where nothing is taken. Null and blank texts have size 0; a null source is a source;
+    repeated rows count each; rows with a null doc_id stand in the order of their texts; other columns are not read.
+    """
+    placed = _placed(docs, Workspace(docs.sparkSession, "mixing"), [], weights, most, seed)
     demand = F.when((F.col("taken") > 0) & (F.col("target") > 0), F.least(F.lit(1.0), F.col("start") / F.col("target")))
     return placed.withColumn("demand", demand).select(
         "doc_id", "source", "size", "source_size", "target", "taken", F.when(F.col("demand").isNotNull(), F.round(position(F.col("demand"), F.col("rank"), schedules), 9)).alias("position"), "rank", "start"
     )
 
 
-def training_order(docs: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, schedules=SCHEDULES) -> DataFrame:
-    """The mix itself: each document once for every pass that takes it, range-sorted by position.
+def training_order(docs: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, schedules=SCHEDULES, seed: str = "mix") -> DataFrame:
+    """The mix itself: each row once for every pass that takes it, range-sorted by position.
 
     Copies are whole documents: the one that a source takes in part is given whole, so a source may exceed its
-    target by less than one document. Rows that repeat a doc_id and a source share the larger number of copies.
-    Columns are those of ``docs``.
+    target by less than one document. Every row has copies of its own, rows that repeat a doc_id or have none
+    included; rows without words have none. Columns are those of ``docs``. Written to files, the rows stand in training
+    order by file name and row; ``in_order`` reads that order back.
     """
     space = Workspace(docs.sparkSession, "training-order")
-    mixed = mix(docs, weights, most, schedules).filter("taken > 0 and size > 0")
-    copies = F.explode(F.sequence(F.lit(0), F.expr("cast((taken + size - 1) div size as int)") - 1)).alias("_pass")
-    again = mixed.groupBy("doc_id", "source", "rank", "source_size", "target").agg(F.max("taken").alias("taken"), F.max("size").alias("size"), F.min("start").alias("start"))
-    again = again.select("doc_id", "source", "rank", "target", "start", "source_size", copies)
-    demand = F.least(F.lit(1.0), (F.col("start") + F.col("_pass") * F.col("source_size")) / F.col("target"))
-    again = space.save(again.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), position(demand, F.col("rank"), schedules).alias("_position"), "_pass"), "passes")
-    held = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source")
-    joined = held.join(again, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-    joined = space.save(joined.select("_doc", "_position", "_pass", "_id"), "copies")
-    return joined.orderBy("_position", "_id", "_pass").select("_doc.*")
+    held = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source", "text")
+    placed = _placed(held, space, ["_doc"], weights, most, seed).filter("taken > 0 and size > 0")
+    placed = space.save(placed.select("_doc", "doc_id", "start", "taken", "size", "source_size", "target", "rank"), "placed")
+    space.drop("sized", "totals")
+    copies = placed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.expr("cast((taken + size - 1) div size as int)") - 1)))
+    demand = F.least(F.lit(1.0), (F.col("start") + F.col("pass") * F.col("source_size")) / F.col("target"))
+    return copies.withColumn("at", position(demand, F.col("rank"), schedules)).orderBy("at", "doc_id", "start", "pass").select("_doc.*")
+
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """``docs``, read from the files that ``training_order`` was written to, with ``part`` (file name) and ``place`` (row in it).
+
+    Sorted by part, then place, the rows are in training order.
+    """
+    return docs.select("*", F.col("_metadata.file_name").alias("part"), F.col("_metadata.row_index").alias("place"))
