@@ -58,6 +58,18 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["sentencepiece"])
 
 
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+    from stratalex.llm.common import Workspace
+
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    before = len(Workspace.opened)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns == ["doc_id", "n_tokens", "ids", "round_trip", "part", "place"]
+    assert len(Workspace.opened) == before + 1  # those of the stages are deleted
+
+
 def test_registered():
     import __spark_entry__ as entry
 
