@@ -37,7 +37,7 @@ TYPE_PREFIXES = (
 # Words that the tokeniser can drop.
 STOPWORDS = ("và", "với", "để", "là", "các", "những", "một", "khi", "nếu", "thì", "cũng", "đều", "về", "từ", "ở", "bởi", "như", "hay")
 # Fixed value: grammar of logical provision ids.
-ID_GRAMMAR = r"^[a-zđ0-9-]+(__dieu-\d+(__khoan-(\d+(__diem-[a-zđ])?|chuyen-tiep)|__bang-\d+)?|__phu-luc-\d+(__bang-\d+)?|__chuyen-tiep-\d+|__tieu-de-\d+)?$"
+ID_GRAMMAR = r"^[a-zđ]+-[0-9]+-[0-9]{4}(__dieu-\d+(__khoan-(\d+(__diem-[a-zđ])?|chuyen-tiep)|__bang-\d+)?|__phu-luc-\d+(__bang-\d+)?|__chuyen-tiep-\d+|__tieu-de-\d+)?$"
 TOKEN = r"([\p{L}\p{Nl}\p{No}]+)"
 
 
@@ -74,8 +74,8 @@ def folded(text: Column) -> Column:
 
 
 def tokens(text: Column, drop_stopwords: bool = False) -> Column:
-    """Letter runs of the lower-cased text, in order; digits part them."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1))
+    """Letter runs of the composed (NFC), lower-cased text, in order; digits part them."""
+    found = F.regexp_extract_all(F.lower(normalised(text)), F.lit(TOKEN), F.lit(1))
     return F.filter(found, lambda x: ~x.isin(*STOPWORDS)) if drop_stopwords else found
 
 
@@ -181,9 +181,22 @@ def valid_id(provision_id: Column) -> Column:
 
 
 def amount(text: Column) -> Column:
-    """Money or count with thousand dots as a decimal: ``1.200.000 đồng``."""
-    digits = F.regexp_extract(text, r"(\d{1,3}(?:\.\d{3})+|\d+)", 1)
-    return F.when(digits != "", F.replace(digits, F.lit("."), F.lit("")).cast("decimal(18,0)"))
+    """Money or count as a decimal: thousand dots, and the unit behind it (``800 nghìn``, ``1,5 triệu đồng``)."""
+    pattern = r"(?iu)(\d{1,3}(?:\.\d{3})+|\d+)(?:,(\d{1,3}))?\s*(nghìn|ngàn|triệu|tỷ|tỉ)?"
+    whole, part, unit = (F.regexp_extract(text, pattern, i) for i in (1, 2, 3))
+    worth = F.when(F.lower(unit).isin("nghìn", "ngàn"), 1_000).when(F.lower(unit) == "triệu", 1_000_000).when(F.lower(unit).isin("tỷ", "tỉ"), 1_000_000_000).otherwise(1)
+    number = F.concat(F.replace(whole, F.lit("."), F.lit("")), F.lit("."), F.rpad(part, 3, "0")).cast("decimal(18,3)")
+    return F.when(whole != "", (number * worth).cast("decimal(18,0)"))
+
+
+def canonical_json(record: Column) -> Column:
+    """JSON text with the fields in the order of the struct (give them sorted), no blanks and nulls kept."""
+    return F.to_json(record, {"ignoreNullFields": "false"})
+
+
+def manifest_hash(record: Column) -> Column:
+    """``sha256:`` and the digest of a manifest's canonical JSON: equal for equal fields, whatever their first order."""
+    return F.concat(F.lit("sha256:"), F.sha2(canonical_json(record), 256))
 
 
 def content_hash(text: Column) -> Column:

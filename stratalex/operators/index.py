@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from stratalex.functions.text import leaked_header, provision_text
+
 
 def units(provisions: DataFrame) -> DataFrame:
     """Retrieval units of accepted, dated provisions: unit_id, point_id, text, hash and the payload's fields."""
@@ -46,8 +48,8 @@ def _path(spark: SparkSession, path: str):
 class VersionedIndex:
     """Immutable versions under one root, and an alias file that names the current one.
 
-    A version is written once (a name in use is refused); the alias is replaced by a rename, so readers see
-    either the old or the new version whole. Works on any file system that Spark reaches.
+    A version is written once (a name in use is refused); the alias is one file, replaced by an overwriting rename, so
+    readers see either the old or the new version whole. Works on any file system that Spark reaches.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -70,9 +72,14 @@ class VersionedIndex:
             return False
         fresh = f"{self.root}/alias.next"
         self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(fresh)
-        fs, target = _path(self.spark, f"{self.root}/alias")
-        fs.delete(target, True)
-        return fs.rename(_path(self.spark, fresh)[1], target)
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        part = next(f.getPath() for f in _path(self.spark, fresh)[0].listStatus(_path(self.spark, fresh)[1]) if f.getPath().getName().startswith("part-"))
+        _, target = _path(self.spark, f"{self.root}/alias")
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.getFileSystem(conf).getUri(), conf)
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        files.rename(part, target, options)
+        return True
 
     def rebuild(self, version: str, authority: DataFrame) -> bool:
         self.write(version, authority)
@@ -98,6 +105,49 @@ def filled(vectors: DataFrame) -> DataFrame:
     return vectors.filter(F.size("indices") > 0)
 
 
+def index_accepted(provisions: DataFrame, vectors: DataFrame, index: DataFrame, encoder_version: str) -> tuple[DataFrame, DataFrame]:
+    """The index after all accepted, dated provisions with weights are upserted, and the counts of what was done.
+
+    ``vectors``: unit_id, indices, values of the same encoder; ``index``: point_id, content_hash, sparse_encoder_version,
+    indices, values. Points of another encoder version never stay beside the new ones: two sparse spaces do not mix.
+    """
+    ready = units(provisions).join(filled(vectors), "unit_id", "left")
+    points = ready.filter(F.col("indices").isNotNull()).select("point_id", "content_hash", F.lit(encoder_version).alias("sparse_encoder_version"), "indices", "values")
+    kept = index.filter(F.col("sparse_encoder_version") == encoder_version).join(points.select("point_id"), "point_id", "left_anti")
+    accepted = F.col("review_status") == "ACCEPTED"
+    total = lambda test: F.sum(test.cast("long"))
+    read = provisions.agg(total(accepted).alias("accepted"), total(accepted & F.col("effective_from").isNull()).alias("skipped_no_effective_from"))
+    sent = ready.agg(total(F.col("indices").isNotNull()).alias("upserted"), total(F.col("indices").isNull()).alias("skipped_empty"))
+    return kept.unionByName(points), read.join(F.broadcast(sent))  # two single rows
+
+
+def projected(provisions: DataFrame, documents: DataFrame) -> DataFrame:
+    """Stored rows of extracted provisions: the document's dates and status where it gives them, else their own.
+
+    A provision whose text or retrieval text is page furniture is PENDING whatever was asked for; ``hash_matches``
+    tells whether the extractor's hash is that of the text.
+    """
+    d = documents.select("document_id", *[F.col(c).alias(f"_{c}") for c in ("status", "effective_from", "effective_to", "review_status")])
+    joined = provisions.join(d, "document_id", "left")
+    leaked = leaked_header(F.col("source_text")) | leaked_header(F.col("retrieval_text"))
+    over = {c: F.coalesce(f"_{c}", c) for c in ("status", "effective_from", "effective_to")}
+    review = F.when(leaked, "PENDING").otherwise(F.coalesce("_review_status", "review_status"))
+    out = joined.withColumns(over | {"review_status": review, "leaked": leaked, "retrieval_text": provision_text(F.col("retrieval_text")), "hash_matches": F.sha2("source_text", 256) == F.col("content_hash")})
+    return out.drop(*[f"_{c}" for c in ("status", "effective_from", "effective_to", "review_status")])
+
+
+def batches(rows: DataFrame, size: int, *order: str) -> DataFrame:
+    """``rows`` with ``batch`` and ``place`` (both from 0): runs of ``size`` in order, within the ranges of a range sort.
+
+    Ranges are numbered where the rows lie, then offset by the rows before them, so no task sorts it all.
+    """
+    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
+    return ranged.withColumn("_i", inside).join(F.broadcast(before), "_part").withColumn("_at", (F.col("_before") + F.col("_i") - 1).cast("long")).withColumn("batch", F.floor(F.col("_at") / size)).withColumn("place", F.col("_at") % size).drop("_part", "_i", "_before", "_at")
+
+
 def valid_units(units_: DataFrame, day) -> DataFrame:
     """Units valid on ``day``, the filter on plain columns so that it reaches the files."""
     return units_.filter((F.col("effective_from") <= day) & (F.col("effective_to").isNull() | (F.col("effective_to") > day)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from stratalex.functions.text import leaked_header, point_label
+from stratalex.functions.text import canonical_json, leaked_header, point_label
 
 
 def extraction_metrics(elements: DataFrame, pages: DataFrame, expected_tables: DataFrame | None = None) -> DataFrame:
@@ -20,13 +20,16 @@ def extraction_metrics(elements: DataFrame, pages: DataFrame, expected_tables: D
 
 
 def layout_coherence(elements: DataFrame) -> DataFrame:
-    """Share of element pairs of a page whose reading order agrees with (top, left) order; the mean over pages.
+    """Share of comparable element pairs of a page whose reading order agrees with (top, left) order; the mean over pages.
 
-    A page's elements meet as one sorted array, so pairs are counted without being made into rows.
+    Pairs with equal boxes (to two places) or equal orders say nothing and are left out; a page without comparable
+    pairs scores 1. A page's elements meet as one sorted array, so pairs are counted without being made into rows.
     """
-    placed = elements.filter("top is not null").groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("reading_order", F.round("top", 2).alias("top"), F.col("left").alias("left")))).alias("e"))
-    agree = "aggregate(sequence(1, size(e)), 0L, (n, i) -> n + size(filter(slice(e, i + 1, size(e)), y -> y.top > e[i - 1].top or (y.top = e[i - 1].top and y.left >= e[i - 1].left))))"
-    pages = placed.withColumn("pairs", F.expr("size(e) * (size(e) - 1) div 2")).withColumn("agree", F.expr(agree))
+    key = F.struct(F.round("top", 2).alias("top"), F.round("left", 2).alias("left"))
+    placed = elements.filter("top is not null").groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("reading_order", key.alias("at")))).alias("e"))
+    rest = "filter(slice(e, i + 1, size(e)), y -> y.reading_order > e[i - 1].reading_order and y.at {} e[i - 1].at)"
+    count = lambda test: F.expr(f"aggregate(sequence(1, size(e)), 0L, (n, i) -> n + size({rest.format(test)}))")
+    pages = placed.withColumn("pairs", count("!=")).withColumn("agree", count(">"))
     score = F.when(F.col("pairs") > 0, F.col("agree") / F.col("pairs")).otherwise(1.0)
     return pages.groupBy("doc_id").agg(F.round(F.avg(score), 6).alias("layout_coherence"))
 
@@ -42,9 +45,20 @@ def verdict(*gates: Column) -> Column:
     return F.when(F.array_contains(every, "failed"), "failed").when(F.array_contains(every, "passed"), "passed").otherwise("na")
 
 
-#: Thresholds of the gates on extraction and layout, and on structure.
-GROUP_A = {"provenance_coverage": 0.95, "text_extraction_rate": 0.9, "table_detection_rate": 0.8, "layout_coherence": 0.8}
-GROUP_B = {"short_point_retention": 1.0, "d_label_rate": 0.9}
+# Thresholds of the gates on extraction and layout (layout has none of its own), and on structure.
+GROUP_A = {"provenance_coverage": 0.95, "text_extraction_rate": 0.9, "table_detection_rate": 0.8, "layout_coherence": None}
+GROUP_B = {"point_label_detection": 0.9, "hierarchy_completeness": 0.9}
+# Review reason of each remark that the structure builder leaves on a provision.
+REMARK_REASONS = {
+    "OCR d/đ ambiguity normalized from duplicate d)": "D_D_AMBIGUITY",
+    "duplicate d) point label": "D_D_AMBIGUITY",
+    "point label reconstructed from marker-stripped list item": "POINT_LABEL_AMBIGUOUS",
+    "clause number reconstructed from marker-stripped list item": "HIERARCHY_VIOLATION",
+    "non-numeric article suffix": "HIERARCHY_VIOLATION",
+    "orphan point without article/clause": "HIERARCHY_VIOLATION",
+    "orphan clause without article": "HIERARCHY_VIOLATION",
+    "table without article or appendix": "HIERARCHY_VIOLATION",
+}
 
 
 def group_a(metrics: DataFrame, thresholds: dict = GROUP_A) -> DataFrame:
@@ -53,12 +67,26 @@ def group_a(metrics: DataFrame, thresholds: dict = GROUP_A) -> DataFrame:
 
 
 def hierarchy(provisions: DataFrame) -> DataFrame:
-    """doc_id, n, orphan_clauses, orphan_points, duplicates: provisions whose parent is missing, ids met before."""
-    parents = provisions.filter(F.col("kind").isin("ARTICLE", "CLAUSE")).select(F.col("provision_id").alias("parent_id")).distinct()
-    own = provisions.withColumn("parent_id", F.when(F.col("kind").isin("POINT", "CLAUSE"), F.regexp_replace("provision_id", r"__(diem|khoan)-[^_]+$", "")))
-    met = own.join(parents.withColumn("met", F.lit(True)), "parent_id", "left").withColumn("again", F.row_number().over(W.partitionBy("doc_id", "provision_id").orderBy("page_number", "reading_order")) > 1)
-    orphan = lambda kind: F.sum(((F.col("kind") == kind) & F.col("met").isNull()).cast("int"))
-    return met.groupBy("doc_id").agg(F.count("*").alias("n"), orphan("CLAUSE").alias("orphan_clauses"), orphan("POINT").alias("orphan_points"), F.sum(F.col("again").cast("int")).alias("duplicates"))
+    """doc_id, n (articles, clauses and points), orphan_clauses, orphan_points, duplicates (ids that several rows have),
+    point_label_detection (points whose label is one of the first run a to e; 0 without points).
+
+    A bare d) counts by its place among the bare ones of its clause: the first is d), the second đ).
+    """
+    tree = provisions.filter(F.col("kind").isin("ARTICLE", "CLAUSE", "POINT"))
+    tree = tree.withColumn("parent_id", F.when(F.col("kind").isin("POINT", "CLAUSE"), F.regexp_replace("provision_id", r"__(diem|khoan)-[^_]+$", "")))
+    parents = tree.filter(F.col("kind").isin("ARTICLE", "CLAUSE")).select(F.col("doc_id").alias("_doc"), F.col("provision_id").alias("_id")).distinct()
+    met = tree.join(parents, (F.col("doc_id") == F.col("_doc")) & (F.col("parent_id") == F.col("_id")), "left")
+    bare = F.lower(F.trim("label")).isin("d)", "d）")
+    seen = F.sum(F.coalesce(bare, F.lit(False)).cast("int")).over(W.partitionBy("doc_id", "parent_id").orderBy("page_number", "reading_order").rowsBetween(W.unboundedPreceding, W.currentRow))
+    canonical = point_label(F.col("label"), F.when(bare, F.lit(3) + seen))
+    valid = F.coalesce(F.substring(canonical, 1, 1).isin("a", "b", "c", "d", "đ", "e"), F.lit(False))
+    met = met.withColumn("_valid", valid).withColumn("_place", F.row_number().over(W.partitionBy("doc_id", "provision_id").orderBy("page_number", "reading_order")))
+    total = lambda test: F.sum(test.cast("int"))
+    point, orphan = F.col("kind") == "POINT", F.col("_id").isNull()
+    return met.groupBy("doc_id").agg(
+        F.count("*").alias("n"), total((F.col("kind") == "CLAUSE") & orphan).alias("orphan_clauses"), total(point & orphan).alias("orphan_points"), total(F.col("_place") == 2).alias("duplicates"),
+        F.round(F.coalesce(F.try_divide(total(point & F.col("_valid")), total(point)), F.lit(0.0)), 6).alias("point_label_detection"),
+    )
 
 
 def d_label_rate(points: DataFrame) -> DataFrame:
@@ -69,12 +97,18 @@ def d_label_rate(points: DataFrame) -> DataFrame:
     return met.groupBy("doc_id").agg(F.round(F.avg(good.cast("double")), 6).alias("d_label_rate"), F.count("*").alias("n"))
 
 
-def group_b(metrics: DataFrame, thresholds: dict = GROUP_B) -> DataFrame:
-    """Structural gates: orphans and repeats fail at once; rates against their thresholds; missing rates pass."""
-    rates = F.lit(True)
-    for name, least in thresholds.items():
-        rates = rates & (F.coalesce(F.col(name), F.lit(1.0)) >= least)
-    return metrics.withColumn("group_b", (F.col("orphan_clauses") + F.col("orphan_points") + F.col("duplicates") == 0) & rates)
+def group_b(metrics: DataFrame, documents: DataFrame | None = None, thresholds: dict = GROUP_B) -> DataFrame:
+    """doc_id, hierarchy_completeness, failed_checks, group_b (passed) from ``hierarchy``.
+
+    Completeness is the share of articles, clauses and points without an orphan or duplicate defect. ``documents`` adds
+    those without any provision: nothing extracted fails both checks. Short points are all retained and gate nothing.
+    """
+    if documents is not None:
+        metrics = documents.select("doc_id").join(metrics, "doc_id", "left")
+    rate = F.try_divide(F.col("n") - F.col("orphan_clauses") - F.col("orphan_points") - F.col("duplicates"), F.col("n"))
+    out = metrics.withColumns({"hierarchy_completeness": F.round(F.coalesce(rate, F.lit(0.0)), 6), "point_label_detection": F.coalesce("point_label_detection", F.lit(0.0))})
+    failed = F.array_compact(F.array(*[F.when(F.col(name) < least, F.lit(name)) for name, least in thresholds.items()]))
+    return out.select("doc_id", "point_label_detection", "hierarchy_completeness", failed.alias("failed_checks"), (F.size(failed) == 0).alias("group_b"))
 
 
 def routed(provisions: DataFrame) -> DataFrame:
@@ -89,10 +123,8 @@ def routed(provisions: DataFrame) -> DataFrame:
     status = F.when(~point, None).when(canonical.isNotNull(), F.when(F.substring(canonical, 1, 1).isin("a", "b", "c", "d", "đ", "e"), "valid").otherwise("ambiguous")).when(bare_d, "d_ambiguity").otherwise("invalid")
     out = provisions.withColumn("_twice", twice).withColumn("_label", status)
     hard = F.array_compact(F.array(F.when(F.col("_twice"), F.lit("DUPLICATE_PROVISION")), F.when(F.col("_label") == "invalid", F.lit("INVALID_POINT_LABEL"))))
-    ambiguity = (
-        F.when(~F.col("needs_review"), None).when(F.col("ambiguity").contains("d/đ") | F.col("ambiguity").startswith("duplicate d)"), "D_D_AMBIGUITY")
-        .when(F.col("ambiguity").contains("point label"), "POINT_LABEL_AMBIGUOUS").otherwise("NEEDS_REVIEW")
-    )
+    reason = F.create_map(*[F.lit(x) for pair in REMARK_REASONS.items() for x in pair])
+    ambiguity = F.when(F.col("needs_review"), F.coalesce(F.when(F.col("ambiguity").isNotNull(), F.try_element_at(reason, F.col("ambiguity"))), F.lit("NEEDS_REVIEW")))
     undated = F.lower(F.trim(F.coalesce("effective_from", F.lit("")))).isin("", "unknown", "pending_review")
     low_scan = (F.col("extraction_gate") == "failed") | (F.col("provenance_gate") == "failed")
     review = F.array_distinct(F.array_compact(F.array(
@@ -108,13 +140,31 @@ def routing_histogram(decisions: DataFrame) -> DataFrame:
     return decisions.select("status", F.explode_outer("reasons").alias("reason")).groupBy("status", "reason").agg(F.count("*").alias("n"))
 
 
-def document_decision(decisions: DataFrame) -> DataFrame:
-    """Any review: NEEDS_REVIEW; else any dropped: DROPPED; else ACCEPTED."""
+def document_decision(decisions: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Any review: NEEDS_REVIEW; else any dropped: DROPPED; else ACCEPTED. ``documents`` adds those without provisions: NEEDS_REVIEW."""
     severity = F.when(F.col("status") == "NEEDS_REVIEW", 2).when(F.col("status") == "DROPPED", 1).otherwise(0)
     worst = decisions.groupBy("doc_id").agg(F.max(severity).alias("w"), F.count("*").alias("n"))
+    if documents is not None:
+        worst = documents.select("doc_id").join(worst, "doc_id", "left").select("doc_id", F.coalesce("w", F.lit(2)).alias("w"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
     return worst.select("doc_id", F.when(F.col("w") == 2, "NEEDS_REVIEW").when(F.col("w") == 1, "DROPPED").otherwise("ACCEPTED").alias("decision"), "n")
 
 
+def routing_record(files: DataFrame, gates: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """doc_id and the canonical JSON record of each document's routing, for the run table: inputs, decision, gates, outcome.
+
+    A document without an outcome has a decision only: nothing was executed.
+    """
+    joined = files.join(gates, "doc_id", "left").join(outcomes, "doc_id", "left")
+    executed = F.col("outcome").isNotNull()
+    given = F.struct("mime", "has_text_layer", "layout_complexity")
+    measured = F.when(executed, F.struct(*[F.col(c) for c in sorted(gates.columns) if c.endswith("_gate")], "group_a"))
+    record = F.struct(
+        F.struct("compare", "has_fallback", "ocr_required", "route").alias("decision"), F.col("doc_id").cast("string").alias("document_id"), executed.alias("executed"), measured.alias("gates"), given.alias("inputs"),
+        (F.col("outcome") == "review").alias("routed_to_review"), F.when(executed, F.when(F.col("outcome") == "accepted_alternate", "alternate").otherwise("primary")).alias("source_parser"), F.col("outcome").alias("terminal_outcome"),
+    )
+    return joined.select("doc_id", canonical_json(record).alias("record"))
+
+
 def parser_route(files: DataFrame, complex_tables: int = 3, compare: bool = True) -> DataFrame:
     """Route of each file by MIME type, text layer and table count: the first row of the policy that holds."""
     mime = F.lower(F.coalesce("mime", F.lit("")))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,20 +13,61 @@ from pyspark.sql import Window as W
 from .sparse import ranked
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+#: Queries that one pass over the vectors answers; with 1,000 numbers each they are some 160 MB in a task.
+QUERIES_PER_PASS = 20_000
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, size: int | None = None) -> DataFrame:
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, size: int | None = None, per_pass: int = QUERIES_PER_PASS) -> DataFrame:
     """The k nearest vectors of each query by cosine; ``queries``: query_id, embedding; ``vectors``: unit_id, embedding.
 
-    Queries are a stated set, broadcast when the planner finds them small. Vectors of another length are left out.
+    Queries are a stated set; they go to the tasks in blocks of ``per_pass``, a pass over the vectors each. A task keeps the k
+    best of its vectors for every query, so k rows for each query and task are sorted in the end. A vector is not held
+    against the query of its own id; vectors of another length and those that are null are left out.
     """
-    good = vectors if size is None else vectors.filter(F.size("embedding") == size)
-    q = queries.select("query_id", F.col("embedding").alias("_q"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("_qn"))
-    v = good.select("unit_id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("_n"))
-    scored = v.join(q, F.col("query_id") != F.col("unit_id")).select("query_id", "unit_id", F.round(dot(F.col("_q"), F.col("embedding")) / (F.col("_qn") * F.col("_n")), 6).alias("score"))
-    return ranked(scored, "query_id", "score", "unit_id", k)
+    good = vectors.filter("embedding is not null") if size is None else vectors.filter(F.size("embedding") == size)
+    asked = queries.filter("embedding is not null").select("query_id", "embedding")
+    n = asked.count()
+    out, blocks = None, max(1, -(-n // per_pass))
+    for block in range(blocks):
+        some = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()
+        if len(some):
+            ids, matrix = some["query_id"].to_numpy("int64"), _unit_rows(np.stack([np.asarray(x, "float64") for x in some["embedding"]]))
+            best = good.select("unit_id", "embedding").mapInArrow(_nearest(ids, matrix, k), "query_id bigint, unit_id bigint, score double")
+            out = best if out is None else out.unionByName(best)
+    if out is None:
+        return queries.sparkSession.createDataFrame([], "query_id bigint, unit_id bigint, score double, rank int")
+    return ranked(out, "query_id", "score", "unit_id", k)
+
+
+def _unit_rows(m: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return m / np.sqrt((m * m).sum(axis=1))[:, None]
+
+
+def _nearest(ids: np.ndarray, matrix: np.ndarray, k: int):
+    """Task function: of the vectors of a partition the k best for each query, by score, then unit_id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best_s, best_u = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo("int64").max)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                units = part.column(0).to_numpy(zero_copy_only=False).astype("int64")
+                own = _unit_rows(part.column(1).flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(units), -1))
+                for q in range(0, len(ids), 1024):
+                    scores = np.round(matrix[q : q + 1024] @ own.T, 6)
+                    scores[~np.isfinite(scores) | (ids[q : q + 1024, None] == units)] = -np.inf
+                    s = np.concatenate([best_s[q : q + 1024], scores], axis=1)
+                    u = np.concatenate([best_u[q : q + 1024], np.broadcast_to(units, scores.shape)], axis=1)
+                    # Scores have six places, so score and id order as one pair: stable sort by id, then by score.
+                    order = np.argsort(u, axis=1, kind="stable")
+                    order = np.take_along_axis(order, np.argsort(-np.take_along_axis(s, order, 1), axis=1, kind="stable"), 1)[:, :k]
+                    best_s[q : q + 1024], best_u[q : q + 1024] = np.take_along_axis(s, order, 1), np.take_along_axis(u, order, 1)
+        found = np.isfinite(best_s)
+        rows = np.repeat(ids, found.sum(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(best_u[found]), pa.array(best_s[found])], names=["query_id", "unit_id", "score"])
+
+    return run
 
 
 def fuse(lists: list[DataFrame], constant: int = 60, prefetch: int = 30, limit: int = 20, list_weights: list[float] | None = None) -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import Window as W
 from stratalex.functions.text import tokens
 
 
-def token_rows(units: DataFrame, key: str, text: str, drop_stopwords: bool = False) -> DataFrame:
-    """key, token: one row for each token of each unit."""
-    return units.select(F.col(key).alias("unit_id"), F.explode(tokens(F.col(text), drop_stopwords)).alias("token"))
+def token_rows(units: DataFrame, key: str, text: str, drop_stopwords: bool = False, only: tuple[str, ...] | None = None) -> DataFrame:
+    """key, token: one row for each token of each unit, or for those in ``only``, which are chosen before they are rows."""
+    found = tokens(F.col(text), drop_stopwords)
+    return units.select(F.col(key).alias("unit_id"), F.explode(found if only is None else F.filter(found, lambda x: x.isin(*only))).alias("token"))
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
@@ -28,12 +29,12 @@ def vocabulary(counts: DataFrame, total: int | Column) -> DataFrame:
     return counts.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", idf(n, F.col("df")))
 
 
-def numbered(vocab: DataFrame, ranges: int = 64) -> DataFrame:
+def numbered(vocab: DataFrame) -> DataFrame:
     """Add token_id, the token's place from 1 in code-point order.
 
-    Places are counted inside ranges by first character and offset by the ranges before, so no task sorts it all.
+    Places are counted inside ranges by the first two characters and offset by the ranges before, so no task sorts it all.
     """
-    part = F.pmod(F.ascii("token"), F.lit(1 << 20))
+    part = F.ascii("token").cast("long") * (1 << 21) + F.ascii(F.substring("token", 2, 1))
     sized = vocab.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     before = sized.select(F.col("part").alias("_part"), (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
     inside = F.row_number().over(W.partitionBy(part).orderBy("token"))
@@ -45,6 +46,12 @@ def weights(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     return counts.join(vocab, "token").select("unit_id", "token", (F.col("tf") * F.col("idf")).alias("weight"))
 
 
+def unfitted(counts: DataFrame) -> DataFrame:
+    """Postings without a corpus: the weight is the count, the id is the token's place among the text's own sorted tokens."""
+    place = F.row_number().over(W.partitionBy("unit_id").orderBy("token"))
+    return counts.select("unit_id", place.cast("long").alias("token_id"), F.col("tf").cast("double").alias("weight"))
+
+
 def refreshed(frozen: DataFrame, counts: DataFrame, total: int) -> DataFrame:
     """A frozen vocabulary (token, token_id) with idf from today's corpus; 1.0 where no unit has the token."""
     df = counts.groupBy("token").agg(F.count("*").alias("df"))

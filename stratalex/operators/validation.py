@@ -8,24 +8,54 @@ from pyspark.sql import functions as F
 from stratalex.functions.text import valid_id
 
 # Members of the closed lists.
-KINDS = ("ARTICLE", "CLAUSE", "POINT", "APPENDIX", "TABLE", "TRANSITIONAL", "HEADING", "CHAPTER", "SECTION")
+KINDS = ("ARTICLE", "CLAUSE", "POINT", "APPENDIX", "TABLE", "TRANSITIONAL", "HEADING", "OTHER")
+NON_ARTICLE = ("APPENDIX", "TABLE", "HEADING", "TRANSITIONAL", "OTHER")
+BOX = ("left", "top", "right", "bottom")
+TYPES = ("LAW", "DECREE", "CIRCULAR", "RESOLUTION", "DECISION", "OTHER")
 REVIEW = ("PENDING", "ACCEPTED", "REJECTED", "DROPPED")
 STATUSES = ("NOT_YET_EFFECTIVE", "EFFECTIVE", "PARTIALLY_EFFECTIVE", "EXPIRED", "UNKNOWN")
 
 
 def provision_errors(provisions: DataFrame) -> DataFrame:
-    """provision_id, version, error of every rule that a provision breaks."""
+    """provision_id, version, error of every rule that a provision breaks.
+
+    ``bbox`` is a map of numbers; a null value stands for one that is no number. Page sizes may stand beside the edges.
+    """
     empty = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+    unless = lambda test: F.coalesce(~test, F.lit(True))
+    n = F.coalesce(F.size("source_ids"), F.lit(0))
+    keys = F.map_keys("bbox")
+    extra = F.size(F.array_except(keys, F.array(*[F.lit(x) for x in (*BOX, "page_height", "page_width")]))) > 0
+    missing = F.size(F.array_except(F.array(*[F.lit(x) for x in BOX]), keys)) > 0
+    hashed = F.col("content_hash").rlike("^[a-f0-9]{64}$")
     rules = {
-        "id_grammar": ~valid_id(F.col("provision_id")), "version": F.coalesce(F.col("version") < 1, F.lit(True)), "kind": ~F.col("node_kind").isin(*KINDS),
-        "review_status": ~F.col("review_status").isin(*REVIEW), "source_text": empty("source_text"), "hash": F.col("content_hash") != F.sha2("source_text", 256),
-        "interval": F.coalesce(F.col("effective_to") <= F.col("effective_from"), F.lit(False)), "accepted_undated": (F.col("review_status") == "ACCEPTED") & F.col("effective_from").isNull(),
-        "point_label": (F.col("node_kind") == "POINT") & F.col("label").isNull(), "sources": F.coalesce(F.size("source_ids"), F.lit(0)) <= 0,
+        "id_empty": empty("provision_id"), "id_grammar": ~empty("provision_id") & unless(valid_id(F.col("provision_id"))), "source_text": empty("source_text"), "retrieval_text": empty("retrieval_text"),
+        "sources": n <= 0, "sources_unique": (n > 0) & (F.size(F.array_distinct("source_ids")) < n), "page": unless(F.col("page_number") >= 1), "version": unless(F.col("version") >= 1),
+        "status": unless(F.col("status").isin(*STATUSES)), "review_status": unless(F.col("review_status").isin(*REVIEW)), "kind": unless(F.col("node_kind").isin(*KINDS)),
+        "article": F.col("article").isNull() & unless(F.col("node_kind").isin(*NON_ARTICLE)), "interval": F.col("effective_to") <= F.col("effective_from"),
+        "accepted_undated": (F.col("review_status") == "ACCEPTED") & F.col("effective_from").isNull(), "hash_form": unless(hashed), "hash": hashed & (F.col("content_hash") != F.sha2("source_text", 256)),
+        "bbox_keys": extra, "bbox_missing": ~extra & missing, "bbox_numeric": ~extra & ~missing & F.exists(F.array(*[F.col("bbox")[x] for x in BOX]), lambda x: x.isNull()),
     }
     errors = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]))
     return provisions.select("provision_id", "version", F.explode(errors).alias("error"))
 
 
+def document_errors(manifests: DataFrame, extracted: DataFrame, fields: tuple[str, ...] = ("document_number", "document_type")) -> DataFrame:
+    """document_id, error of every guard that keeps a manifest from becoming a document: a row here goes to review.
+
+    Required fields, closed lists, an interval that ends after it starts, a date behind acceptance, and no conflict
+    with what was extracted from the text.
+    """
+    blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+    begin, end = F.to_date("effective_from"), F.to_date("effective_to")
+    required = [F.when(blank(c), F.lit(f"missing:{c}")) for c in ("document_id", "document_number", "document_type", "file_hash", "status", "review_status")]
+    lists = [F.when(~blank(c) & ~F.col(c).isin(*known), F.lit(f"enum:{c}")) for c, known in (("document_type", TYPES), ("status", STATUSES), ("review_status", REVIEW))]
+    dates = [F.when(end <= begin, F.lit("interval")), F.when((F.col("review_status") == "ACCEPTED") & begin.isNull(), F.lit("accepted_undated"))]
+    found = manifests.select("document_id", F.explode(F.array_compact(F.array(*required, *lists, *dates))).alias("error"))
+    conflicts = manifest_conflicts(extracted, manifests, fields).select("document_id", F.concat(F.lit("conflict:"), "field").alias("error"))
+    return found.unionByName(conflicts)
+
+
 def repeated(rows: DataFrame, *key: str) -> DataFrame:
     """Keys that several rows have, with their number."""
     return rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")

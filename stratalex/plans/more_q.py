@@ -97,11 +97,11 @@ def index_upsert(s: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {v.PROVISIONS}, u AS (SELECT sha256(provision_id || '__v' || version) AS point_id, provision_id, version, split_part(provision_id, '__', 1) AS document_id FROM provisions WHERE review_status = 'ACCEPTED')
-    SELECT point_id, provision_id, version, u.document_id, CASE WHEN CAST(substr(u.document_id, 4) AS INTEGER) % 3 != 0 THEN 'n-' || u.document_id END AS document_number FROM u"""
+    SELECT point_id, provision_id, version, u.document_id, CASE WHEN CAST(string_split(u.document_id, '-')[2] AS INTEGER) % 3 != 0 THEN 'n-' || u.document_id END AS document_number FROM u"""
 )
 def payload_projection(s: SparkSession, d: str) -> DataFrame:
     p = v.provisions(s, d)
-    docs = p.select(F.concat(F.lit("nd-"), F.col("document_no").cast("string")).alias("document_id"), "document_no").distinct().filter("document_no % 3 != 0")
+    docs = p.select(F.concat(F.lit("nd-"), F.col("document_no").cast("string"), F.lit("-2024")).alias("document_id"), "document_no").distinct().filter("document_no % 3 != 0")
     docs = docs.select("document_id", F.concat(F.lit("n-"), "document_id").alias("document_number"), F.lit("DECREE").alias("document_type"), F.lit("t").alias("document_title"), F.lit("EFFECTIVE").alias("document_status"))
     return ix.payload(ix.units(p), docs).select("point_id", "payload.provision_id", "payload.version", "payload.document_id", "payload.document_number")
 

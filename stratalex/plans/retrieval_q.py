@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from stratalex.functions.text import tokens
 from stratalex.operators import evaluation as ev
 from stratalex.operators import search as se
 from stratalex.operators import sparse as sp
 from stratalex.session import table
+from stratalex.sources.stored import stored
 
 from . import views as v
 from .catalog import query
@@ -19,15 +19,17 @@ TERMS = ("the", "of", "and")
 
 
 def _counts(s: SparkSession, d: str) -> DataFrame:
-    return sp.term_counts(sp.token_rows(v.documents(s, d), "doc_id", "text"))
+    """Term counts of all texts, built once: vocabulary and postings read the table."""
+    return stored(sp.term_counts(sp.token_rows(v.documents(s, d), "doc_id", "text")), "term-counts")
 
 
 def _total(s: SparkSession, d: str) -> int:
     return v.documents(s, d).count()
 
 
-def _vocab(s: SparkSession, d: str) -> DataFrame:
-    return sp.vocabulary(_counts(s, d), _total(s, d))
+def _vocab(s: SparkSession, d: str, counts: DataFrame) -> DataFrame:
+    """A table of its own: joins with the counts then shuffle both sides plainly, and the rows of a common token are split."""
+    return stored(sp.vocabulary(counts, _total(s, d)), "vocabulary")
 
 
 def _queries(s: SparkSession, d: str) -> DataFrame:
@@ -35,20 +37,28 @@ def _queries(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.col("unit_id").alias("query_id"), "token").agg(F.count("*").alias("qtf"))
 
 
+_NORMS = """norms AS (SELECT vec_id, label, embedding, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings)"""
+_VALID = "valid AS (SELECT doc_id FROM documents WHERE DATE '2020-01-01' + CAST(doc_id % 900 AS INTEGER) <= DATE '2021-06-01' AND (doc_id % 4 = 0 OR DATE '2021-06-01' < DATE '2020-01-01' + CAST(doc_id % 900 + 400 AS INTEGER)))"
+
+
 @query(
-    rf"""WITH {v.TOKENS}, valid AS (SELECT doc_id FROM documents WHERE DATE '2020-01-01' + CAST(doc_id % 900 AS INTEGER) <= DATE '2021-06-01' AND (doc_id % 4 = 0 OR DATE '2021-06-01' < DATE '2020-01-01' + CAST(doc_id % 900 + 400 AS INTEGER)))
-    SELECT unit_id, round(sum(tf * idf), 6) AS score, CAST(row_number() OVER (ORDER BY round(sum(tf * idf), 6) DESC, unit_id) AS INTEGER) AS rank FROM tf JOIN vocab USING (token) WHERE token IN ('the', 'of', 'and') AND unit_id IN (SELECT doc_id FROM valid) GROUP BY unit_id QUALIFY rank <= 10"""
+    rf"""WITH {v.TOKENS}, {_VALID}, {_NORMS}, sparse AS (SELECT unit_id, row_number() OVER (ORDER BY round(sum(tf * idf), 6) DESC, unit_id) AS rank FROM tf JOIN vocab USING (token) WHERE token IN ('the', 'of', 'and') AND unit_id IN (SELECT doc_id FROM valid) GROUP BY unit_id QUALIFY rank <= 30),
+    dense AS (SELECT u.vec_id AS unit_id, row_number() OVER (ORDER BY round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(u.embedding AS DOUBLE[])) / (q.n * u.n), 6) DESC, u.vec_id) AS rank FROM norms q, norms u WHERE q.vec_id = 0 AND u.vec_id != 0 AND u.vec_id IN (SELECT doc_id FROM valid) QUALIFY rank <= 30),
+    parts AS (SELECT unit_id, 1.0 / (60 + rank) AS part FROM sparse UNION ALL SELECT unit_id, 1.0 / (60 + rank) FROM dense)
+    SELECT unit_id, round(sum(part), 6) AS score, count(*) AS lists, CAST(row_number() OVER (ORDER BY round(sum(part), 6) DESC, unit_id) AS INTEGER) AS rank FROM parts GROUP BY unit_id QUALIFY rank <= 10"""
 )
 def hybrid_valid_at(s: SparkSession, d: str) -> DataFrame:
-    """Ten best texts for given terms among those valid on a date."""
+    """Ten best units among those valid on a date: tf-idf of given terms and cosine to a given vector, fused by rank."""
     from stratalex.operators.temporal import valid_on
 
-    docs = v.documents(s, d)
+    docs, e = v.documents(s, d), table(s, d, "embeddings")
     dated = docs.select("doc_id", F.date_add(F.to_date(F.lit("2020-01-01")), (F.col("doc_id") % 900).cast("int")).alias("effective_from")).withColumn("effective_to", F.when(F.col("doc_id") % 4 != 0, F.date_add("effective_from", 400)))
     valid = dated.filter(valid_on(F.to_date(F.lit("2021-06-01")))).select(F.col("doc_id").alias("unit_id"))
-    counts = sp.term_counts(sp.token_rows(docs, "doc_id", "text").filter(F.col("token").isin(*TERMS)))
-    ask = s.createDataFrame([(0, t, 1) for t in TERMS], "query_id int, token string, qtf int")
-    return sp.top_k(counts.join(valid, "unit_id", "left_semi"), ask, sp.vocabulary(counts, docs.count()), 10).select("unit_id", "score", "rank")
+    counts = stored(sp.term_counts(sp.token_rows(docs, "doc_id", "text", only=TERMS)), "term-counts")
+    ask = s.createDataFrame([(0, t, 1) for t in TERMS], "query_id bigint, token string, qtf int")
+    sparse = sp.top_k(counts.join(valid, "unit_id", "left_semi"), ask, sp.vocabulary(counts, docs.count()), 30)
+    dense = se.dense_top_k(e.filter("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("unit_id"), "embedding").join(valid, "unit_id", "left_semi"), 30, 64)
+    return se.fuse([x.select("query_id", "unit_id", "rank") for x in (sparse, dense)], limit=10).select("unit_id", "score", "lists", "rank")
 
 
 @query(rf"WITH {v.TOKENS} SELECT token, count(DISTINCT unit_id) AS df, count(*) AS cf FROM tokens GROUP BY token")
@@ -58,12 +68,13 @@ def tokenize_df(s: SparkSession, d: str) -> DataFrame:
 
 @query(rf"WITH {v.TOKENS} SELECT token, df, round(idf, 6) AS idf, row_number() OVER (ORDER BY token) AS token_id FROM vocab")
 def idf_table(s: SparkSession, d: str) -> DataFrame:
-    return sp.numbered(_vocab(s, d)).select("token", "df", F.round("idf", 6).alias("idf"), "token_id")
+    return sp.numbered(_vocab(s, d, _counts(s, d))).select("token", "df", F.round("idf", 6).alias("idf"), "token_id")
 
 
 @query(rf"WITH {v.TOKENS} SELECT unit_id, token, round(tf * idf, 6) AS weight FROM tf JOIN vocab USING (token)")
 def sparse_weights(s: SparkSession, d: str) -> DataFrame:
-    return sp.weights(_counts(s, d), _vocab(s, d)).withColumn("weight", F.round("weight", 6))
+    counts = _counts(s, d)
+    return sp.weights(counts, _vocab(s, d, counts)).withColumn("weight", F.round("weight", 6))
 
 
 @query(
@@ -71,8 +82,9 @@ def sparse_weights(s: SparkSession, d: str) -> DataFrame:
     SELECT unit_id, string_agg(CAST(token_id AS VARCHAR), ',' ORDER BY token_id) AS indices, count(*) AS n FROM tf JOIN numbered USING (token) GROUP BY unit_id"""
 )
 def sparse_wire_format(s: SparkSession, d: str) -> DataFrame:
-    vocab = sp.numbered(_vocab(s, d))
-    wire = sp.wire(_counts(s, d).join(vocab, "token").select("unit_id", "token_id", (F.col("tf") * F.col("idf")).alias("weight")))
+    counts = _counts(s, d)
+    vocab = stored(sp.numbered(_vocab(s, d, counts)), "numbered")
+    wire = sp.wire(counts.join(vocab, "token").select("unit_id", "token_id", (F.col("tf") * F.col("idf")).alias("weight")))
     return wire.select("unit_id", F.concat_ws(",", F.transform("indices", lambda x: x.cast("string"))).alias("indices"), F.size("values").cast("long").alias("n"))
 
 
@@ -93,10 +105,10 @@ _SPARSE = rf"""{v.TOKENS}, {v.QUERIES}, sparse AS (SELECT query_id, unit_id, rou
 
 @query(rf"WITH {_SPARSE} SELECT query_id, unit_id, score, CAST(rank AS INTEGER) AS rank FROM sparse WHERE rank <= 10")
 def bm25_topk(s: SparkSession, d: str) -> DataFrame:
-    return sp.top_k(_counts(s, d), _queries(s, d), _vocab(s, d), 10).select("query_id", "unit_id", "score", "rank")
+    counts = _counts(s, d)
+    return sp.top_k(counts, _queries(s, d), _vocab(s, d, counts), 10).select("query_id", "unit_id", "score", "rank")
 
 
-_NORMS = """norms AS (SELECT vec_id, label, embedding, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings)"""
 _DENSE = f"""{_NORMS}, dense AS (SELECT q.vec_id AS query_id, u.vec_id AS unit_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(u.embedding AS DOUBLE[])) / (q.n * u.n), 6) AS score,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(u.embedding AS DOUBLE[])) / (q.n * u.n), 6) DESC, u.vec_id) AS rank
     FROM norms q JOIN norms u ON q.vec_id != u.vec_id WHERE q.vec_id % 100 = 0 QUALIFY rank <= 30)"""
@@ -113,14 +125,22 @@ def dense_topk(s: SparkSession, d: str) -> DataFrame:
     return _dense(s, d, 10)
 
 
-_RECENT = "newest AS (SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY unit_id DESC) AS rank FROM sparse)"
-_FUSED = rf"""{_SPARSE}, {_RECENT}, parts AS (SELECT query_id, unit_id, 0 AS source, 1.0 / (60 + rank) AS part, rank FROM sparse UNION ALL SELECT query_id, unit_id, 1, 1.0 / (60 + rank), rank FROM newest),
+_NEAR = """near AS (SELECT i.item_id AS query_id, u.vec_id AS unit_id, row_number() OVER (PARTITION BY i.item_id ORDER BY round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(u.embedding AS DOUBLE[])) / (q.n * u.n), 6) DESC, u.vec_id) AS rank
+    FROM benchmark i JOIN norms q ON q.vec_id = i.item_id JOIN norms u ON u.vec_id != q.vec_id QUALIFY rank <= 30)"""
+_FUSED = rf"""{_SPARSE}, {_NORMS}, {_NEAR}, parts AS (SELECT query_id, unit_id, 0 AS source, 1.0 / (60 + rank) AS part, rank FROM sparse UNION ALL SELECT query_id, unit_id, 1, 1.0 / (60 + rank), rank FROM near),
     fused AS (SELECT query_id, unit_id, round(sum(part), 6) AS score, count(*) AS lists, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(part), 6) DESC, unit_id) AS place FROM parts GROUP BY query_id, unit_id QUALIFY place <= 20)"""
 
 
+def _sparse_list(s: SparkSession, d: str) -> DataFrame:
+    counts = _counts(s, d)
+    return sp.top_k(counts, _queries(s, d), _vocab(s, d, counts), 30).select("query_id", "unit_id", "rank")
+
+
 def _lists(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    sparse = sp.top_k(_counts(s, d), _queries(s, d), _vocab(s, d), 30).select("query_id", "unit_id", "rank")
-    return sparse, sparse.select("query_id", "unit_id", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("unit_id"))).alias("rank"))
+    """The best units of each benchmark item by its words, and by the vector that has the item's id."""
+    e = table(s, d, "embeddings")
+    asked = e.join(table(s, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
+    return _sparse_list(s, d), se.dense_top_k(asked, e.select(F.col("vec_id").alias("unit_id"), "embedding"), 30, 64).select("query_id", "unit_id", "rank")
 
 
 @query(rf"WITH {_FUSED} SELECT query_id, unit_id, score, lists, CAST(place AS INTEGER) AS rank FROM fused")
@@ -137,7 +157,7 @@ def candidate_dedupe(s: SparkSession, d: str) -> DataFrame:
 
 @query(rf"WITH {_SPARSE} SELECT query_id, unit_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN unit_id % 7 = query_id % 7 THEN 0 ELSE 1 END, rank, unit_id) AS INTEGER) AS promoted FROM sparse")
 def exact_promotion(s: SparkSession, d: str) -> DataFrame:
-    return se.promote_exact(_lists(s, d)[0], F.col("unit_id") % 7 == F.col("query_id") % 7).select("query_id", "unit_id", "promoted")
+    return se.promote_exact(_sparse_list(s, d), F.col("unit_id") % 7 == F.col("query_id") % 7).select("query_id", "unit_id", "promoted")
 
 
 @query(
@@ -146,7 +166,7 @@ def exact_promotion(s: SparkSession, d: str) -> DataFrame:
 )
 def context_budget(s: SparkSession, d: str) -> DataFrame:
     sizes = v.documents(s, d).select(F.col("doc_id").alias("unit_id"), F.expr("n_chars div 4").alias("tokens"))
-    return se.within_budget(_lists(s, d)[0].join(sizes, "unit_id")).select("query_id", "unit_id", "running")
+    return se.within_budget(_sparse_list(s, d).join(sizes, "unit_id")).select("query_id", "unit_id", "running")
 
 
 _EVIDENCE = {"amount": r"[0-9]+", "reference": r"(?i)\bthe\b", "definition": r"(?i)\bis\b", "exception": r"(?i)\bnot\b", "period": r"(?i)\bon\b", "subject": r"(?i)\bfor\b", "sanction": r"[#*$%]"}

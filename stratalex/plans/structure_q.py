@@ -135,12 +135,6 @@ def context_completeness(s: SparkSession, d: str) -> DataFrame:
     return cx.completeness(cx.enriched(st.provisions(st.nodes(v.marked(s, d)))))
 
 
-@query(None)
-def hierarchy_metrics(s: SparkSession, d: str) -> DataFrame:
-    p = st.provisions(st.nodes(v.marked(s, d)))
-    return qu.hierarchy(p).join(qu.d_label_rate(p.filter("kind = 'POINT'")).drop("n"), "doc_id", "left")
-
-
 _GATES = f"""{v.ELEMENTS}, e AS (SELECT *, CASE WHEN reading_order % 11 = 3 THEN NULL ELSE top END AS box FROM elements), p AS (SELECT doc_id, page_number, max(CASE WHEN trim(text) != '' THEN 1.0 ELSE 0.0 END) AS filled FROM e GROUP BY ALL),
     m AS (SELECT e.doc_id, round(avg(CASE WHEN box IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS provenance_coverage, count(*) FILTER (element_type = 'table') AS tables FROM e GROUP BY 1), t AS (SELECT doc_id, round(avg(filled), 6) AS text_extraction_rate FROM p GROUP BY 1),
     q AS (SELECT m.doc_id, provenance_coverage, text_extraction_rate, CASE WHEN m.doc_id % 4 > 0 THEN round(tables / (m.doc_id % 4), 6) END AS table_detection_rate FROM m JOIN t USING (doc_id))"""
@@ -159,57 +153,23 @@ def extraction_metrics(s: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {_GATES}, g AS (SELECT doc_id, CASE WHEN provenance_coverage >= 0.95 THEN 'passed' ELSE 'failed' END AS a, CASE WHEN text_extraction_rate >= 0.9 THEN 'passed' ELSE 'failed' END AS b, CASE WHEN table_detection_rate IS NULL THEN 'na' WHEN table_detection_rate >= 0.8 THEN 'passed' ELSE 'failed' END AS c FROM q)
-    SELECT doc_id, a AS provenance_coverage_gate, b AS text_extraction_rate_gate, c AS table_detection_rate_gate, CASE WHEN 'failed' IN (a, b, c) THEN 'failed' WHEN 'passed' IN (a, b, c) THEN 'passed' ELSE 'na' END AS group_a FROM g"""
+    SELECT doc_id, a AS provenance_coverage_gate, b AS text_extraction_rate_gate, c AS table_detection_rate_gate, 'na' AS layout_coherence_gate, CASE WHEN 'failed' IN (a, b, c) THEN 'failed' WHEN 'passed' IN (a, b, c) THEN 'passed' ELSE 'na' END AS group_a FROM g"""
 )
 def group_a_gates(s: SparkSession, d: str) -> DataFrame:
-    return qu.group_a(_metrics(s, d), {k: x for k, x in qu.GROUP_A.items() if k != "layout_coherence"})
+    return qu.group_a(_metrics(s, d).join(qu.layout_coherence(v.elements(s, d)), "doc_id", "left"))
 
 
-_BENT = "e AS (SELECT doc_id, page_number, reading_order, CASE WHEN reading_order % 7 = 3 THEN 0.5 ELSE top END AS top FROM elements)"
+_BENT = "e AS (SELECT doc_id, page_number, reading_order // 2 AS ro, CASE WHEN reading_order % 7 = 3 THEN 0.5 ELSE top END AS top FROM elements)"
 
 
 @query(
-    f"""WITH {v.ELEMENTS}, {_BENT}, pairs AS (SELECT a.doc_id, a.page_number, avg(CASE WHEN round(b.top, 2) >= round(a.top, 2) THEN 1.0 ELSE 0.0 END) AS score FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.page_number = b.page_number AND a.reading_order < b.reading_order GROUP BY ALL),
+    f"""WITH {v.ELEMENTS}, {_BENT}, pairs AS (SELECT a.doc_id, a.page_number, avg(CASE WHEN round(b.top, 2) > round(a.top, 2) THEN 1.0 ELSE 0.0 END) AS score FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.page_number = b.page_number AND a.ro < b.ro AND round(a.top, 2) != round(b.top, 2) GROUP BY ALL),
     pages AS (SELECT DISTINCT doc_id, page_number FROM e) SELECT doc_id, round(avg(coalesce(score, 1.0)), 6) AS layout_coherence FROM pages LEFT JOIN pairs USING (doc_id, page_number) GROUP BY doc_id"""
 )
 def layout_coherence(s: SparkSession, d: str) -> DataFrame:
-    return qu.layout_coherence(v.elements(s, d).withColumn("top", F.when(F.col("reading_order") % 7 == 3, 0.5).otherwise(F.col("top"))))
-
-
-_ROUTE_ROWS = """r AS (SELECT doc_id % 40 AS doc_id, 'p-' || (doc_id % 700) AS provision_id, CASE WHEN doc_id % 3 = 0 THEN 'POINT' ELSE 'CLAUSE' END AS kind, CASE doc_id % 12 WHEN 0 THEN 'a)' WHEN 3 THEN 'd)' WHEN 6 THEN 'g)' ELSE '?' END AS label, doc_id % 5 = 1 AS needs_review,
-    CASE WHEN doc_id % 11 = 0 THEN 'unknown' WHEN doc_id % 13 = 0 THEN NULL ELSE '2024-01-01' END AS effective_from, CASE WHEN doc_id % 40 % 9 = 0 THEN 'failed' ELSE 'passed' END AS gate, doc_id % 40 % 7 != 0 AS group_b FROM documents)"""
-_ROUTED = f"""{_ROUTE_ROWS}, w AS (SELECT *, count(*) OVER (PARTITION BY doc_id, provision_id) > 1 AS twice, kind = 'POINT' AND label = '?' AS bad FROM r),
-    x AS (SELECT *, concat_ws(',', CASE WHEN twice THEN 'DUPLICATE_PROVISION' END, CASE WHEN bad THEN 'INVALID_POINT_LABEL' END) AS hard, CASE WHEN kind = 'POINT' AND label = 'd)' THEN 'D_D_AMBIGUITY' WHEN kind = 'POINT' AND label = 'g)' THEN 'POINT_LABEL_AMBIGUOUS' END AS r1, needs_review AS nr,
-    CASE WHEN effective_from IS NULL OR effective_from = 'unknown' THEN 'UNKNOWN_EFFECTIVE_DATE' END AS r3, CASE WHEN gate = 'failed' THEN 'LOW_OCR_COVERAGE' END AS r4 FROM w),
-    routed AS (SELECT doc_id, provision_id, hard, concat_ws(',', r1, CASE WHEN nr THEN 'NEEDS_REVIEW' END, r3, r4, CASE WHEN NOT group_b AND NOT nr THEN 'NEEDS_REVIEW' END) AS review FROM x),
-    decided AS (SELECT doc_id, provision_id, CASE WHEN hard != '' THEN 'DROPPED' WHEN review != '' THEN 'NEEDS_REVIEW' ELSE 'ACCEPTED' END AS status, CASE WHEN hard != '' THEN hard ELSE review END AS reasons FROM routed)"""
-
-
-def _routed(s: SparkSession, d: str) -> DataFrame:
-    i = F.col("doc_id")
-    few = i % 40
-    rows = v.documents(s, d).select(
-        few.alias("doc_id"), F.concat(F.lit("p-"), (i % 700).cast("string")).alias("provision_id"), F.when(i % 3 == 0, "POINT").otherwise("CLAUSE").alias("kind"),
-        F.when(i % 12 == 0, "a)").when(i % 12 == 3, "d)").when(i % 12 == 6, "g)").otherwise("?").alias("label"), (i % 5 == 1).alias("needs_review"), F.lit("other").alias("ambiguity"), F.lit("x").alias("source_text"),
-        F.when(i % 11 == 0, "unknown").when(i % 13 == 0, None).otherwise("2024-01-01").alias("effective_from"), F.when(few % 9 == 0, "failed").otherwise("passed").alias("extraction_gate"), F.lit("passed").alias("provenance_gate"),
-        F.when(few % 9 == 0, "failed").otherwise("passed").alias("group_a"), (few % 7 != 0).alias("group_b"),
-    )
-    return qu.routed(rows)
-
-
-@query(f"WITH {_ROUTED} SELECT doc_id, provision_id, status, reasons FROM decided")
-def review_routing(s: SparkSession, d: str) -> DataFrame:
-    return _routed(s, d).withColumn("reasons", F.concat_ws(",", "reasons"))
-
-
-@query(f"WITH {_ROUTED} SELECT status, nullif(reason, '') AS reason, count(*) AS n FROM (SELECT status, unnest(string_split(reasons, ',')) AS reason FROM decided) GROUP BY ALL")
-def routing_histogram(s: SparkSession, d: str) -> DataFrame:
-    return qu.routing_histogram(_routed(s, d))
-
-
-@query(f"WITH {_ROUTED} SELECT doc_id, CASE max(CASE status WHEN 'NEEDS_REVIEW' THEN 2 WHEN 'DROPPED' THEN 1 ELSE 0 END) WHEN 2 THEN 'NEEDS_REVIEW' WHEN 1 THEN 'DROPPED' ELSE 'ACCEPTED' END AS decision, count(*) AS n FROM decided GROUP BY doc_id")
-def document_decision(s: SparkSession, d: str) -> DataFrame:
-    return qu.document_decision(_routed(s, d))
+    """Orders and boxes with ties, which say nothing of the layout."""
+    bent = v.elements(s, d).withColumn("top", F.when(F.col("reading_order") % 7 == 3, 0.5).otherwise(F.col("top")))
+    return qu.layout_coherence(bent.withColumn("reading_order", F.expr("reading_order div 2")))
 
 
 @query(

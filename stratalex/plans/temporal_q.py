@@ -9,6 +9,7 @@ from stratalex.operators import index as ix
 from stratalex.operators import temporal as tm
 from stratalex.operators import validation as va
 from stratalex.session import table
+from stratalex.sources.stored import shared_folder
 from stratalex.streaming import jobs
 
 from . import views as v
@@ -28,7 +29,7 @@ def valid_at(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {v.PROVISIONS}, points AS (SELECT o_orderkey AS point_id, 'nd-' || (o_custkey % 100) || '__dieu-' || o_custkey AS provision_id, CAST(o_orderdate AS DATE) + 40 AS day FROM orders)
+    f"""WITH {v.PROVISIONS}, points AS (SELECT o_orderkey AS point_id, 'nd-' || (o_custkey % 100) || '-2024__dieu-' || o_custkey AS provision_id, CAST(o_orderdate AS DATE) + 40 AS day FROM orders)
     SELECT point_id, p.provision_id, day, version FROM points p LEFT JOIN provisions q ON p.provision_id = q.provision_id AND q.review_status = 'ACCEPTED' AND q.effective_from <= day AND (q.effective_to IS NULL OR day < q.effective_to)"""
 )
 def asof_join(s: SparkSession, d: str) -> DataFrame:
@@ -114,21 +115,6 @@ def constraint_violations(s: SparkSession, d: str) -> DataFrame:
     return twice.unionByName(lost)
 
 
-@query(
-    f"""WITH {v.PROVISIONS}, given AS (SELECT provision_id, CASE WHEN row_id % 13 = 0 THEN 0 ELSE version END AS version, CASE WHEN row_id % 17 = 0 THEN effective_from ELSE effective_to END AS effective_to, effective_from, review_status, CASE WHEN row_id % 19 = 0 THEN '' ELSE priority END AS source_text, row_id FROM provisions)
-    SELECT provision_id, version, error FROM (SELECT provision_id, version, unnest([CASE WHEN version < 1 THEN 'version' END, CASE WHEN source_text = '' THEN 'source_text' END, CASE WHEN effective_to <= effective_from THEN 'interval' END, CASE WHEN row_id % 23 = 0 THEN 'hash' END]) AS error FROM given) WHERE error IS NOT NULL"""
-)
-def provision_validation(s: SparkSession, d: str) -> DataFrame:
-    p = v.provisions(s, d)
-    text = F.when(F.col("row_id") % 19 == 0, "").otherwise(F.col("priority"))
-    given = p.select(
-        "provision_id", F.when(F.col("row_id") % 13 == 0, 0).otherwise(F.col("version")).alias("version"), F.lit("ARTICLE").alias("node_kind"), "review_status", text.alias("source_text"),
-        F.when(F.col("row_id") % 23 == 0, "0").otherwise(F.sha2(text, 256)).alias("content_hash"), "effective_from", F.when(F.col("row_id") % 17 == 0, F.col("effective_from")).otherwise(F.col("effective_to")).alias("effective_to"),
-        F.lit(None).cast("string").alias("label"), F.array(F.col("row_id")).alias("source_ids"),
-    )
-    return va.provision_errors(given)
-
-
 @query(f"WITH {v.INDEX} SELECT coalesce(a.point_id, i.point_id) AS point_id, CASE WHEN i.point_id IS NULL THEN 'missing' WHEN a.point_id IS NULL THEN 'extra' ELSE 'stale' END AS state FROM authority a FULL JOIN snapshot i ON a.point_id = i.point_id WHERE i.point_id IS NULL OR a.point_id IS NULL OR i.content_hash IS NULL OR a.content_hash != i.content_hash")
 def index_diff(s: SparkSession, d: str) -> DataFrame:
     return ix.diff(v.authority(s, d), v.index_snapshot(s, d))
@@ -203,16 +189,19 @@ def event_sessions(s: SparkSession, d: str) -> DataFrame:
     return jobs.sessions(table(s, d, "events")).withColumn("session_start", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query(None)
+@query(f"WITH {v.MESSAGES} SELECT job_id, ['RECEIVED', 'PARSED', 'NORMALIZED', 'EXTRACTED', 'STAGED'][max(place) + 1] AS stage, count(*) AS messages FROM messages GROUP BY job_id")
 def stream_job_state(s: SparkSession, d: str) -> DataFrame:
-    """The stage machine as a stream over the events file, run to its end; the last state of each job."""
+    """The stage machine as a stream over the events file, run to its end; the last state of each job.
+
+    Every batch is one folder of states in the shared folder, so a batch that is run again replaces its own.
+    """
     import uuid
 
-    name = f"job_state_{uuid.uuid4().hex}"
+    root = f"{shared_folder(s)}/job-state-{uuid.uuid4().hex}"
     raw = s.readStream.schema(table(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     kind = F.col("event_type")
     stage = F.when(kind == "signup", "RECEIVED").when(kind == "view", "PARSED").when(kind == "click", "NORMALIZED").when(kind == "purchase", "EXTRACTED").otherwise("STAGED")
     states = jobs.job_states(raw.select("event_id", "ts", F.col("user_id").alias("job_id"), stage.alias("stage")))
-    run = states.writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return s.table(name).groupBy("job_id").agg(F.max_by("stage", "messages").alias("stage"), F.max("messages").alias("messages"))
+    sink = states.writeStream.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{root}/states/batch={number}"))
+    sink.option("checkpointLocation", f"{root}/checkpoint").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(states.schema).parquet(f"{root}/states").groupBy("job_id").agg(F.max_by("stage", "messages").alias("stage"), F.max("messages").alias("messages"))

@@ -37,7 +37,7 @@ def provisions(s: SparkSession, d: str) -> DataFrame:
     """Versions of one provision for each customer, an order each; a version ends where the next begins."""
     w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     return table(s, d, "orders").select(
-        F.concat(F.lit("nd-"), (F.col("o_custkey") % 100).cast("string"), F.lit("__dieu-"), F.col("o_custkey").cast("string")).alias("provision_id"), F.col("o_orderkey").alias("row_id"),
+        F.concat(F.lit("nd-"), (F.col("o_custkey") % 100).cast("string"), F.lit("-2024__dieu-"), F.col("o_custkey").cast("string")).alias("provision_id"), F.col("o_orderkey").alias("row_id"),
         F.row_number().over(w).alias("version"), F.to_date("o_orderdate").alias("effective_from"), F.to_date(F.lead("o_orderdate").over(w)).alias("effective_to"),
         F.when(F.col("o_orderstatus") == "F", "ACCEPTED").when(F.col("o_orderstatus") == "O", "PENDING").otherwise("DROPPED").alias("review_status"),
         F.sha2(F.col("o_orderkey").cast("string"), 256).alias("content_hash"), (F.col("o_custkey") % 100).alias("document_no"), F.col("o_orderpriority").alias("priority"),
@@ -80,7 +80,7 @@ MARKED = (
     + """, marked AS (SELECT 'nd-' || doc_id AS doc_id, reading_order, page_number, top, bottom, CASE WHEN reading_order % 8 = 5 THEN 'list_item' ELSE 'paragraph' END AS element_type,
   CASE WHEN reading_order = 0 THEN 'Chương I. ' WHEN reading_order % 8 = 0 THEN 'Điều ' || (reading_order // 8 + 1) || '. ' ELSE CASE reading_order % 8 WHEN 1 THEN '1. ' WHEN 2 THEN 'a) ' WHEN 3 THEN 'd) ' WHEN 4 THEN 'd) ' WHEN 5 THEN '' WHEN 6 THEN '2. ' ELSE 'b) ' END END || text AS text FROM elements)"""
 )
-PROVISIONS = """provisions AS (SELECT 'nd-' || (o_custkey % 100) || '__dieu-' || o_custkey AS provision_id, o_orderkey AS row_id, CAST(row_number() OVER w AS INTEGER) AS version,
+PROVISIONS = """provisions AS (SELECT 'nd-' || (o_custkey % 100) || '-2024__dieu-' || o_custkey AS provision_id, o_orderkey AS row_id, CAST(row_number() OVER w AS INTEGER) AS version,
   CAST(o_orderdate AS DATE) AS effective_from, CAST(lead(o_orderdate) OVER w AS DATE) AS effective_to,
   CASE o_orderstatus WHEN 'F' THEN 'ACCEPTED' WHEN 'O' THEN 'PENDING' ELSE 'DROPPED' END AS review_status, sha256(CAST(o_orderkey AS VARCHAR)) AS content_hash, o_custkey % 100 AS document_no, o_orderpriority AS priority
   FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"""
@@ -91,6 +91,6 @@ MESSAGES = """messages AS (SELECT event_id, ts, user_id AS job_id, CASE event_ty
 INDEX = """docs_h AS (SELECT doc_id, sha256(text) AS h FROM documents), authority AS (SELECT doc_id AS point_id, h AS content_hash FROM docs_h),
   snapshot AS (SELECT doc_id AS point_id, CASE WHEN doc_id % 7 = 0 THEN sha256(h) WHEN doc_id % 11 = 0 THEN NULL ELSE h END AS content_hash FROM docs_h WHERE doc_id % 10 != 0
   UNION ALL SELECT doc_id + 1000000000, h FROM docs_h WHERE doc_id % 25 = 0)"""
-TOKENS = r"""tokens AS (SELECT doc_id AS unit_id, unnest(regexp_extract_all(lower(text), '([\p{L}\p{Nl}\p{No}]+)', 1)) AS token FROM documents),
+TOKENS = r"""tokens AS (SELECT doc_id AS unit_id, unnest(regexp_extract_all(lower(nfc_normalize(text)), '([\p{L}\p{Nl}\p{No}]+)', 1)) AS token FROM documents),
   tf AS (SELECT unit_id, token, count(*) AS tf FROM tokens GROUP BY ALL), vocab AS (SELECT token, count(*) AS df, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf GROUP BY token)"""
-QUERIES = r"""query AS (SELECT item_id AS query_id, token, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '([\p{L}\p{Nl}\p{No}]+)', 1)) AS token FROM benchmark) GROUP BY ALL)"""
+QUERIES = r"""query AS (SELECT item_id AS query_id, token, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(nfc_normalize(text)), '([\p{L}\p{Nl}\p{No}]+)', 1)) AS token FROM benchmark) GROUP BY ALL)"""
