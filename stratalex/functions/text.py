@@ -185,8 +185,8 @@ def amount(text: Column) -> Column:
     pattern = r"(?iu)(\d{1,3}(?:\.\d{3})+|\d+)(?:,(\d{1,3}))?\s*(nghìn|ngàn|triệu|tỷ|tỉ)?"
     whole, part, unit = (F.regexp_extract(text, pattern, i) for i in (1, 2, 3))
     worth = F.when(F.lower(unit).isin("nghìn", "ngàn"), 1_000).when(F.lower(unit) == "triệu", 1_000_000).when(F.lower(unit).isin("tỷ", "tỉ"), 1_000_000_000).otherwise(1)
-    number = F.concat(F.replace(whole, F.lit("."), F.lit("")), F.lit("."), F.rpad(part, 3, "0")).cast("decimal(18,3)")
-    return F.when(whole != "", (number * worth).cast("decimal(18,0)"))
+    number = F.concat(F.replace(whole, F.lit("."), F.lit("")), F.lit("."), F.rpad(part, 3, "0")).try_cast("decimal(18,3)")
+    return F.when(whole != "", (number * worth).try_cast("decimal(18,0)"))
 
 
 def canonical_json(record: Column) -> Column:

@@ -5,29 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalex.functions.text import collapsed
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
 
 def clause_lead_in(number: Column, text: Column) -> Column:
     """``Khoản n. body`` from a clause's own text, whatever marker it has."""
-    body = F.regexp_replace(text, r"(?iu)^\s*(?:Khoản\s+)?\d+\s*[.]\s*", "")
-    return F.concat(F.lit("Khoản "), number, F.lit(". "), F.trim(body))
+    body = _stripped(F.regexp_replace(text, r"(?iu)^\s*(?:Khoản\s+)?\d+\s*[.]\s*", ""))
+    return F.when(text.isNotNull(), F.concat(F.lit("Khoản "), number, F.lit("."), F.when(body == "", "").otherwise(F.concat(F.lit(" "), body))))
 
 
 def lead_in_by_number(context: Column, number: Column) -> Column:
-    """The last ``n. ...`` of a context text."""
+    """Lead-in from the last ``n. ...`` of a context text, n being the clause's number."""
     found = F.call_function("regexp_extract", context, F.concat(F.lit(r"(?s)^(?:.*\s)?("), number, F.lit(r"\.\s.*)$")), F.lit(1))
-    return F.when(found != "", F.trim(found))
+    return F.when(found != "", clause_lead_in(number, found))
 
 
 def lead_in_after_article(context: Column) -> Column:
-    """What follows the last article heading's first clause marker."""
-    found = F.regexp_extract(context, r"(?isu)^.*Điều\s+\d+[^0-9].*?\s(\d+\.\s.*)$", 1)
-    return F.when(found != "", F.trim(found))
+    """Lead-in from the last clause marker behind the last article's label, whatever its number."""
+    tail = F.regexp_extract(context, r"(?isu)^.*(?:^|\s)(Điều\s+\d+.*)$", 1)
+    tail = F.when(tail != "", F.regexp_replace(tail, r"(?iu)^Điều\s+\d+[.:]?", "")).otherwise(context)
+    found = F.regexp_extract(tail, r"(?su)^(?:.*\s)?(\d+\.\s.*)$", 1)
+    return F.when(found != "", clause_lead_in(F.regexp_extract(found, r"^(\d+)", 1), found))
 
 
 def article_heading(context: Column) -> Column:
     """The last article heading, cut at the first clause marker."""
-    found = F.regexp_extract(context, r"(?isu)^.*(Điều\s+\d+[.:]?.*?)(?:\s\d+\.\s.*)?$", 1)
-    return F.when(found != "", F.trim(found))
+    found = F.regexp_extract(context, r"(?isu)^.*(Điều\s+\d+[.:]?.*?)(?:\s(?:Khoản\s+)?\d+\.\s.*)?$", 1)
+    return F.when(found != "", _stripped(found))
 
 
 def with_parents(provisions: DataFrame) -> DataFrame:
@@ -47,10 +55,25 @@ def with_parents(provisions: DataFrame) -> DataFrame:
 
 
 def enriched(provisions: DataFrame) -> DataFrame:
-    """Add parent_context and retrieval_text of points and clauses; the source line itself is never changed."""
-    up = with_parents(provisions)
-    lead = F.when(F.col("kind") == "POINT", F.coalesce(clause_lead_in(F.col("clause"), F.col("parent_line")), F.lit(""))).when(F.col("kind") == "CLAUSE", F.coalesce("parent_line", F.lit("")))
-    return up.withColumn("parent_context", F.nullif(lead, F.lit(""))).withColumn("retrieval_text", F.concat_ws(" ", "parent_context", "line"))
+    """Add parent_context and retrieval_text; the source line itself is never changed.
+
+    Points take their clause's lead-in, clauses their article's line. Where the parent is no row of the document, the
+    text in ``context_text`` (if there is such a column) is searched: for the clause of that number, for the last clause
+    behind the last article, for the last article's heading. The whole context is never put before points and clauses.
+    """
+    up = with_parents(provisions if "context_text" in provisions.columns else provisions.withColumn("context_text", F.lit(None).cast("string")))
+    own, parent = F.col("context_text"), F.col("parent_line")
+    point = F.when(parent.isNotNull(), clause_lead_in(F.col("clause"), parent)).otherwise(F.coalesce(lead_in_by_number(own, F.col("clause")), lead_in_after_article(own)))
+    clause = F.when(parent.isNotNull(), _stripped(parent)).otherwise(article_heading(own))
+    lead = F.when(F.col("kind") == "POINT", point).when(F.col("kind") == "CLAUSE", clause).otherwise(_stripped(own))
+    text = F.when(F.col("kind").isin("POINT", "CLAUSE"), F.concat_ws(" ", "parent_context", "line")).otherwise(F.col("line"))
+    return up.withColumn("parent_context", F.nullif(lead, F.lit(""))).withColumn("retrieval_text", text)
+
+
+def gold_match(provisions: DataFrame, gold: DataFrame) -> DataFrame:
+    """provision_id, matches: annotated provisions that were extracted, and whether their retrieval text is the expected one but for white space."""
+    flat = lambda c: collapsed(F.coalesce(F.col(c), F.lit("")))
+    return gold.join(provisions.select("provision_id", "retrieval_text"), "provision_id").select("provision_id", (flat("retrieval_text") == flat("expected")).alias("matches"))
 
 
 def completeness(provisions: DataFrame) -> DataFrame:

@@ -33,9 +33,10 @@ _SAMPLES = f"heads AS (SELECT * FROM (VALUES {_values(_HEADS)}) t(head_id, head,
 
 
 def _heads(s: SparkSession, d: str) -> DataFrame:
-    """A head for each document, chosen by its id."""
-    samples = s.createDataFrame([(r[0], r[1]) for r in _HEADS], "head_id bigint, head string")
-    return v.documents(s, d).select("doc_id", (F.col("doc_id") % len(_HEADS)).alias("head_id")).join(samples, "head_id")
+    """A head before the whole text of each document, chosen by its id."""
+    samples = s.createDataFrame([(r[0], r[1]) for r in _HEADS], "head_id bigint, sample string")
+    docs = v.documents(s, d).select("doc_id", "text", (F.col("doc_id") % len(_HEADS)).alias("head_id")).join(samples, "head_id")
+    return docs.select("doc_id", F.concat("sample", F.lit("\n"), F.coalesce("text", F.lit(""))).alias("head"))
 
 
 @query(f"WITH {_SAMPLES} SELECT doc_id, number, type, CAST(issued AS DATE) AS issued FROM documents JOIN heads ON doc_id % 5 = head_id")
@@ -104,14 +105,14 @@ _REF_ROWS = (
 @query(f"WITH r AS (SELECT * FROM (VALUES {_values(_REF_ROWS)}) t(k, body, citation, article, clause, doc_kind)) SELECT doc_id, citation, article, clause, doc_kind FROM documents JOIN r ON doc_id % 4 = k WHERE citation IS NOT NULL")
 def cross_references(s: SparkSession, d: str) -> DataFrame:
     rows = s.createDataFrame([(r[0], r[1]) for r in _REF_ROWS], "k bigint, body string")
-    docs = v.documents(s, d).select("doc_id", (F.col("doc_id") % 4).alias("k")).join(rows, "k")
+    docs = v.documents(s, d).select("doc_id", (F.col("doc_id") % 4).alias("k"), F.coalesce("text", F.lit("")).alias("whole")).join(rows, "k").withColumn("body", F.concat("body", F.lit("\n"), "whole"))
     return qa.references(docs, "doc_id", "body").select("doc_id", "citation", "article", "clause", "doc_kind")
 
 
 @query(f"WITH r AS (SELECT * FROM (VALUES {_values(_REF_ROWS)}) t(k, body, citation, article, clause, doc_kind)) SELECT doc_id, citation, CASE WHEN k = 1 THEN 'own__dieu-9__khoan-2__diem-a' WHEN k = 0 THEN 'nd-168__dieu-6__khoan-4' END AS target_id FROM documents JOIN r ON doc_id % 4 = k WHERE citation IS NOT NULL")
 def cross_ref_resolve(s: SparkSession, d: str) -> DataFrame:
     rows = s.createDataFrame([(r[0], r[1]) for r in _REF_ROWS], "k bigint, body string")
-    docs = v.documents(s, d).select("doc_id", (F.col("doc_id") % 4).alias("k")).join(rows, "k")
+    docs = v.documents(s, d).select("doc_id", (F.col("doc_id") % 4).alias("k"), F.coalesce("text", F.lit("")).alias("whole")).join(rows, "k").withColumn("body", F.concat("body", F.lit("\n"), "whole"))
     ids = s.createDataFrame([("nd-168__dieu-6__khoan-4",), ("own__dieu-9__khoan-2__diem-a",), ("own__dieu-1",)], "provision_id string")
     return qa.resolved(qa.references(docs, "doc_id", "body"), ids, F.lit("own")).select("doc_id", "citation", "target_id")
 
@@ -204,7 +205,12 @@ def corpus_qa_16(s: SparkSession, d: str) -> DataFrame:
     return qa.report(p, expected_points=1000)
 
 
-@query("SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN 1200000 WHEN n_chars % 3 = 1 THEN 800 END AS amount FROM documents")
+@query(
+    r"""WITH b AS (SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN 'phạt 1.200.000 đồng ' WHEN n_chars % 3 = 1 THEN '800 nghìn ' ELSE '' END || coalesce(text, '') AS body FROM documents),
+    m AS (SELECT doc_id, regexp_extract(body, '(?i)(\d{1,3}(?:\.\d{3})+|\d+)(?:,(\d{1,3}))?\s*(nghìn|ngàn|triệu|tỷ|tỉ)?', ['whole', 'part', 'unit']) AS m FROM b)
+    SELECT doc_id, CASE WHEN m.whole != '' THEN TRY_CAST(TRY_CAST(replace(m.whole, '.', '') || '.' || rpad(m.part, 3, '0') AS DECIMAL(18,3)) * CASE lower(m.unit) WHEN 'nghìn' THEN 1000 WHEN 'ngàn' THEN 1000 WHEN 'triệu' THEN 1000000 WHEN 'tỷ' THEN 1000000000 WHEN 'tỉ' THEN 1000000000 ELSE 1 END AS BIGINT) END AS amount FROM m"""
+)
 def money_amounts(s: SparkSession, d: str) -> DataFrame:
-    body = F.when(F.col("n_chars") % 3 == 0, "phạt 1.200.000 đồng").when(F.col("n_chars") % 3 == 1, "800 nghìn").otherwise("không")
-    return v.documents(s, d).select("doc_id", tx.amount(body).cast("int").alias("amount"))
+    """The first amount of each whole text, behind a sample for two thirds of them."""
+    head = F.when(F.col("n_chars") % 3 == 0, "phạt 1.200.000 đồng ").when(F.col("n_chars") % 3 == 1, "800 nghìn ").otherwise("")
+    return v.documents(s, d).select("doc_id", tx.amount(F.concat(head, F.coalesce("text", F.lit("")))).cast("bigint").alias("amount"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalex.functions import text as tx
+from stratalex.operators import context as cx
 from stratalex.operators import elements as el
 from stratalex.operators import index as ix
 from stratalex.operators import quality as qu
@@ -252,3 +253,40 @@ def layout_boxes(s: SparkSession, d: str) -> DataFrame:
     label = F.when(F.col("label") % 3 == 0, "section_header").when(F.col("label") % 3 == 1, "list_item").otherwise("unknown_label")
     box = el.unit_box(x, y, x + 10, y + 10, width, F.lit(842.0))
     return e.select("vec_id", box.alias("b"), el.mapped(label, el.LAYOUT_TYPES).alias("element_type")).select("vec_id", F.round("b.left", 6).alias("left_edge"), F.round("b.top", 6).alias("top_edge"), "element_type")
+
+
+# An article, a clause and a point for each document; where a parent is missing the context text must do.
+_CONTEXT = r"""src AS (SELECT doc_id AS i, 'nd-' || doc_id || '-2024__dieu-5' AS pid, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS body FROM documents),
+  ctx AS (SELECT pid AS provision_id, 'ARTICLE' AS kind, NULL AS parent_context, 'Điều 5. ' || t AS line FROM src WHERE i % 3 != 0
+  UNION ALL SELECT pid || '__khoan-4', 'CLAUSE', CASE WHEN i % 3 != 0 THEN regexp_replace('Điều 5. ' || body, '\s+$', '') ELSE 'Điều 5. Tiêu đề' END, '4. ' || t FROM src WHERE i % 5 != 0
+  UNION ALL SELECT pid || '__khoan-4__diem-a', 'POINT', CASE WHEN i % 5 != 0 THEN 'Khoản 4.' || CASE WHEN body = '' THEN '' ELSE ' ' || body END WHEN i % 4 = 0 THEN 'Khoản 4. Phạt 14.000.000 đồng' WHEN i % 4 = 1 THEN 'Khoản 7. khác' END, 'a) ' || t FROM src)"""
+
+
+def _context(s: SparkSession, d: str) -> DataFrame:
+    i, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    pid = F.concat(F.lit("nd-"), i.cast("string"), F.lit("-2024__dieu-5"))
+    said = F.when(i % 4 == 0, "Chương I. Chung Điều 5. Tiêu đề 3. trước 4. Phạt 14.000.000 đồng").when(i % 4 == 1, "Điều 5. Tiêu đề 6. trước 7. khác").when(i % 4 == 3, "Mục 2. Điều 5. Tiêu đề")
+    row = lambda kind, tail, mark, number, clause, context: F.struct(
+        F.lit(kind).alias("kind"), F.concat(pid, F.lit(tail)).alias("provision_id"), F.concat(F.lit(mark), text).alias("line"), F.lit("5").alias("article"), F.lit(number).cast("string").alias("number"), F.lit(clause).cast("string").alias("clause"), context.cast("string").alias("context_text")
+    )
+    kinds = F.array(row("ARTICLE", "", "Điều 5. ", "5", None, F.lit(None)), row("CLAUSE", "__khoan-4", "4. ", "4", "4", F.lit("Chương II. Điều 5. Tiêu đề 4. cũ")), row("POINT", "__khoan-4__diem-a", "a) ", None, "4", said))
+    rows = v.documents(s, d).select("doc_id", F.inline(kinds))
+    return rows.filter("not (kind = 'ARTICLE' and doc_id % 3 = 0) and not (kind = 'CLAUSE' and doc_id % 5 = 0)")
+
+
+@query(f"WITH {_CONTEXT} SELECT provision_id, kind, parent_context, CASE WHEN kind = 'ARTICLE' OR parent_context IS NULL THEN line ELSE parent_context || ' ' || line END AS retrieval_text FROM ctx")
+def context_enrich(s: SparkSession, d: str) -> DataFrame:
+    return cx.enriched(_context(s, d)).select("provision_id", "kind", "parent_context", "retrieval_text")
+
+
+@query(f"WITH {_CONTEXT} SELECT round(avg(CASE WHEN parent_context IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS completeness, count(*) AS n FROM ctx WHERE kind != 'ARTICLE'")
+def context_completeness(s: SparkSession, d: str) -> DataFrame:
+    return cx.completeness(cx.enriched(_context(s, d)))
+
+
+@query(f"WITH {_CONTEXT} SELECT provision_id, (row_number() OVER () > 0) AND CAST(split_part(provision_id, '-', 2) AS BIGINT) % 7 != 0 AS matches FROM ctx WHERE kind = 'POINT'")
+def context_gold_match(s: SparkSession, d: str) -> DataFrame:
+    """Annotations of every point, blanks doubled; those of each seventh document expect another text."""
+    found = cx.enriched(_context(s, d))
+    expected = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("khác "), "retrieval_text")).otherwise(F.replace("retrieval_text", F.lit(" "), F.lit("  ")))
+    return cx.gold_match(found, found.filter("kind = 'POINT'").select("provision_id", expected.alias("expected")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalex.operators import evaluation as ev
@@ -25,13 +25,18 @@ _IN_FORCE = (
 
 def _cycle(s: SparkSession, d: str, rows: list[tuple], schema: str) -> DataFrame:
     """A sample row for each document, in turn."""
-    return v.documents(s, d).select("doc_id", (F.col("doc_id") % len(rows)).alias("k")).join(s.createDataFrame(rows, f"k bigint, {schema}"), "k")
+    return v.documents(s, d).select("doc_id", (F.col("doc_id") % len(rows)).alias("k"), F.coalesce("text", F.lit("")).alias("whole")).join(s.createDataFrame(rows, f"k bigint, {schema}"), "k")
+
+
+def _before(sample: str) -> Column:
+    """A sample before the whole text of its document."""
+    return F.concat(sample, F.lit("\n"), "whole")
 
 
 @query(f"WITH r AS (SELECT * FROM (VALUES {_values(_IN_FORCE)}) t(k, body, day, issuer)) SELECT doc_id, CAST(day AS DATE) AS day, issuer FROM documents JOIN r ON doc_id % 4 = k")
 def effective_dates(s: SparkSession, d: str) -> DataFrame:
     rows = _cycle(s, d, [(k, body + " " + (name or "").upper()) for k, body, _, name in _IN_FORCE], "body string")
-    return rows.select("doc_id", me.effective_from(F.col("body")).alias("day"), me.first_page_issuer(F.col("body")).alias("issuer"))
+    return rows.select("doc_id", me.effective_from(_before("body")).alias("day"), me.first_page_issuer(_before("body")).alias("issuer"))
 
 
 @query(f"WITH {v.ELEMENTS}, t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, reading_order) AS n FROM elements WHERE element_type = 'heading' AND trim(text) != '') SELECT doc_id, trim(text) AS title FROM t WHERE n = 1")
@@ -78,7 +83,7 @@ _EVIDENCE = (
 
 @query(f"WITH r AS (SELECT * FROM (VALUES {_values(_EVIDENCE)}) t(k, body, classes)) SELECT doc_id, classes FROM documents JOIN r ON doc_id % 4 = k")
 def evidence_detectors(s: SparkSession, d: str) -> DataFrame:
-    return _cycle(s, d, [r[:2] for r in _EVIDENCE], "body string").select("doc_id", F.concat_ws(",", me.evidence_classes(F.col("body"))).alias("classes"))
+    return _cycle(s, d, [r[:2] for r in _EVIDENCE], "body string").select("doc_id", F.concat_ws(",", me.evidence_classes(_before("body"))).alias("classes"))
 
 
 @query("SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 2 ELSE 0 END AS phrase_hits, CASE doc_id % 2 WHEN 0 THEN 1 ELSE 0 END AS d_labels, CASE doc_id % 2 WHEN 0 THEN 1 ELSE 0 END AS dd_labels FROM documents")

@@ -125,16 +125,6 @@ def parent_join(s: SparkSession, d: str) -> DataFrame:
     return cx.with_parents(st.provisions(st.nodes(v.marked(s, d)))).filter("kind = 'CLAUSE'").select("provision_id", "parent_line")
 
 
-@query(None)
-def context_enrich(s: SparkSession, d: str) -> DataFrame:
-    return cx.enriched(st.provisions(st.nodes(v.marked(s, d)))).select("provision_id", "kind", "parent_context", "retrieval_text", "content_hash")
-
-
-@query(None)
-def context_completeness(s: SparkSession, d: str) -> DataFrame:
-    return cx.completeness(cx.enriched(st.provisions(st.nodes(v.marked(s, d)))))
-
-
 _GATES = f"""{v.ELEMENTS}, e AS (SELECT *, CASE WHEN reading_order % 11 = 3 THEN NULL ELSE top END AS box FROM elements), p AS (SELECT doc_id, page_number, max(CASE WHEN trim(text) != '' THEN 1.0 ELSE 0.0 END) AS filled FROM e GROUP BY ALL),
     m AS (SELECT e.doc_id, round(avg(CASE WHEN box IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS provenance_coverage, count(*) FILTER (element_type = 'table') AS tables FROM e GROUP BY 1), t AS (SELECT doc_id, round(avg(filled), 6) AS text_extraction_rate FROM p GROUP BY 1),
     q AS (SELECT m.doc_id, provenance_coverage, text_extraction_rate, CASE WHEN m.doc_id % 4 > 0 THEN round(tables / (m.doc_id % 4), 6) END AS table_detection_rate FROM m JOIN t USING (doc_id))"""
