@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 _POINT = r"(?:Điểm\s*[a-zđ](?=\s|\))\s+)?"
 _CLAUSE = r"(?:Khoản\s*\d+\s+)?"
@@ -15,9 +16,9 @@ REFERENCE = rf"(?iu)((?:(?:theo\s+)?quy\s+định\s+tại|theo)\s+{_POINT}{_CLAU
 DOC_KINDS = {"nghị định": "nd", "luật": "luat", "thông tư": "tt", "nghị quyết": "nq", "quyết định": "qd"}
 
 
-def references(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, place, citation, article, clause, point, doc_kind, doc_number of every reference in the texts."""
-    found = rows.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(REFERENCE), F.lit(1))).alias("place", "raw"))
+def references(rows: DataFrame, key: str, text: str, pattern: str = REFERENCE) -> DataFrame:
+    """key, place, citation, article, clause, point, doc_kind, doc_number, doc_year of every reference in the texts: what the first group of ``pattern`` finds."""
+    found = rows.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))).alias("place", "raw"))
     c = F.trim(F.regexp_replace("raw", r"\s+", " "))
     part = lambda p: F.nullif(F.regexp_extract("citation", p, 1), F.lit(""))
     kind = F.lower(part(r"(?iu)(nghị định|luật|thông tư|nghị quyết|quyết định)\s*(?:số )?\d+"))
@@ -25,16 +26,30 @@ def references(rows: DataFrame, key: str, text: str) -> DataFrame:
     return found.select(key, "place", c.alias("citation")).select(
         key, "place", "citation", part(r"(?iu)Điều\s*(\d+)").alias("article"), part(r"(?iu)Khoản\s*(\d+)").alias("clause"), F.lower(part(r"(?iu)Điểm\s*([a-zđ])(?=\s|\))")).alias("point"),
         F.create_map(*pairs)[kind].alias("doc_kind"), part(r"(?iu)(?:nghị định|luật|thông tư|nghị quyết|quyết định)\s*(?:số )?(\d+)").alias("doc_number"),
+        part(r"(?iu)(?:nghị định|luật|thông tư|nghị quyết|quyết định)\s*(?:số )?\d+/(\d{4})").alias("doc_year"),
     )
 
 
 def resolved(found: DataFrame, ids: DataFrame, own_doc: Column) -> DataFrame:
     """Add target_id: the provision that a reference names, in the document it names or its own; null if there is none."""
-    doc = F.when(F.col("doc_kind").isNotNull(), F.concat_ws("-", "doc_kind", "doc_number")).otherwise(own_doc)
+    doc = F.when(F.col("doc_kind").isNotNull(), F.concat_ws("-", "doc_kind", "doc_number", "doc_year")).otherwise(own_doc)
     key = F.concat(doc, F.lit("__dieu-"), F.col("article"), F.coalesce(F.concat(F.lit("__khoan-"), F.col("clause")), F.lit("")), F.coalesce(F.concat(F.lit("__diem-"), F.col("point")), F.lit("")))
     return found.withColumn("_key", key).join(ids.select(F.col("provision_id").alias("target_id")).distinct(), F.col("_key") == F.col("target_id"), "left").drop("_key")
 
 
+def relations(provisions: DataFrame) -> DataFrame:
+    """source_id, relation, target_id of the tree: PARENT_OF from articles to clauses to points, SIBLING_OF to the next of one parent.
+
+    Siblings are linked in order, each to the next, so a parent of many is no square of links.
+    """
+    own = provisions.filter(F.col("kind").isin("ARTICLE", "CLAUSE", "POINT")).groupBy("doc_id", "provision_id").agg(F.min(F.struct("page_number", "reading_order")).alias("at"))
+    own = own.withColumn("parent_id", F.regexp_replace("provision_id", r"__(diem|khoan|dieu)-[^_]+$", ""))
+    held = own.select(F.col("doc_id").alias("_doc"), F.col("provision_id").alias("_id"))
+    parents = own.join(held, (F.col("doc_id") == F.col("_doc")) & (F.col("parent_id") == F.col("_id"))).select(F.col("parent_id").alias("source_id"), F.lit("PARENT_OF").alias("relation"), F.col("provision_id").alias("target_id"))
+    following = F.lead("provision_id").over(W.partitionBy("doc_id", "parent_id").orderBy("at", "provision_id"))
+    return parents.unionByName(own.select(F.col("provision_id").alias("source_id"), F.lit("SIBLING_OF").alias("relation"), following.alias("target_id")).filter("target_id is not null"))
+
+
 def report(p: DataFrame, expected_points: int = 0, expected_tables: int = 0, unresolved: DataFrame | None = None) -> DataFrame:
     """The corpus's 16 metrics in one row; rates over nothing are 0.0."""
     n = lambda test: F.sum(test.cast("long"))

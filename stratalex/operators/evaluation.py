@@ -106,6 +106,16 @@ def grounding(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     return met.agg(ratio(F.sum((number & F.col("_e").isNotNull()).cast("int")), F.sum(number.cast("int"))).alias("numeric_accuracy"), F.round(F.avg(F.col("_e").isNull().cast("double")), 6).alias("unsupported_rate"))
 
 
+def d_confusion(gold: DataFrame, found: DataFrame) -> DataFrame:
+    """Points (doc_id, article, clause, letter): gold đ found as đ, gold đ clauses with a d found, gold d clauses with a đ found."""
+    place = ["doc_id", "article", "clause"]
+    has = lambda df, letter, name: df.filter(F.col("letter") == letter).select(*place).distinct().withColumn(name, F.lit(True))
+    met = has(gold, "đ", "gold_dd").join(has(gold, "d", "gold_d"), place, "full").join(has(found, "đ", "found_dd"), place, "left").join(has(found, "d", "found_d"), place, "left")
+    n = lambda a, b: F.coalesce(F.sum((F.col(a).isNotNull() & F.col(b).isNotNull()).cast("long")), F.lit(0))
+    total = F.count("gold_dd")
+    return met.agg(n("gold_dd", "found_dd").alias("matched"), total.alias("gold_dd"), n("gold_dd", "found_d").alias("dd_as_d"), n("gold_d", "found_dd").alias("d_as_dd"), ratio(n("gold_dd", "found_dd"), total).alias("recall"))
+
+
 def recall_of(gold: DataFrame, found: DataFrame, key: str, test: Column) -> DataFrame:
     """Share of gold rows under ``test`` that were found: hits, total, recall; unknown without any."""
     met = gold.filter(test).join(found.select(key).distinct().withColumn("_f", F.lit(1)), key, "left")

@@ -41,6 +41,17 @@ def titles(elements: DataFrame) -> DataFrame:
     return wanted.groupBy("doc_id").agg(F.min_by(F.trim("text"), place).alias("title"))
 
 
+def extracted(docs: DataFrame, elements: DataFrame) -> DataFrame:
+    """document metadata from whole texts and their elements: doc_id, document_number, document_type, issuer, issued_date,
+    effective_from, document_title; null where the text does not say."""
+    said = F.regexp_extract("text", r"(?iu)(ngày\s+\d{1,2}\s+tháng\s+\d{1,2}\s+năm\s+\d{4})", 1)
+    read = docs.select(
+        "doc_id", tx.document_number(F.col("text")).alias("document_number"), tx.document_type(F.col("text")).alias("document_type"), first_page_issuer(F.col("text")).alias("issuer"),
+        tx.parsed_date(said).alias("issued_date"), effective_from(F.col("text")).alias("effective_from"),
+    )
+    return read.join(titles(elements).withColumnRenamed("title", "document_title"), "doc_id", "left")
+
+
 def merged(extracted: DataFrame, manifests: DataFrame) -> DataFrame:
     """Extracted metadata under the manifest: its type always wins, its issuer if not blank; flags tell what is missing."""
     m = manifests.select("document_id", F.col("document_type").alias("_type"), F.nullif(F.trim("issuer"), F.lit("")).alias("_issuer"))

@@ -109,11 +109,11 @@ def cross_references(s: SparkSession, d: str) -> DataFrame:
     return qa.references(docs, "doc_id", "body").select("doc_id", "citation", "article", "clause", "doc_kind")
 
 
-@query(f"WITH r AS (SELECT * FROM (VALUES {_values(_REF_ROWS)}) t(k, body, citation, article, clause, doc_kind)) SELECT doc_id, citation, CASE WHEN k = 1 THEN 'own__dieu-9__khoan-2__diem-a' WHEN k = 0 THEN 'nd-168__dieu-6__khoan-4' END AS target_id FROM documents JOIN r ON doc_id % 4 = k WHERE citation IS NOT NULL")
+@query(f"WITH r AS (SELECT * FROM (VALUES {_values(_REF_ROWS)}) t(k, body, citation, article, clause, doc_kind)) SELECT doc_id, citation, CASE WHEN k = 1 THEN 'own__dieu-9__khoan-2__diem-a' WHEN k = 0 THEN 'nd-168-2024__dieu-6__khoan-4' END AS target_id FROM documents JOIN r ON doc_id % 4 = k WHERE citation IS NOT NULL")
 def cross_ref_resolve(s: SparkSession, d: str) -> DataFrame:
     rows = s.createDataFrame([(r[0], r[1]) for r in _REF_ROWS], "k bigint, body string")
     docs = v.documents(s, d).select("doc_id", (F.col("doc_id") % 4).alias("k"), F.coalesce("text", F.lit("")).alias("whole")).join(rows, "k").withColumn("body", F.concat("body", F.lit("\n"), "whole"))
-    ids = s.createDataFrame([("nd-168__dieu-6__khoan-4",), ("own__dieu-9__khoan-2__diem-a",), ("own__dieu-1",)], "provision_id string")
+    ids = s.createDataFrame([("nd-168-2024__dieu-6__khoan-4",), ("own__dieu-9__khoan-2__diem-a",), ("own__dieu-1",)], "provision_id string")
     return qa.resolved(qa.references(docs, "doc_id", "body"), ids, F.lit("own")).select("doc_id", "citation", "target_id")
 
 

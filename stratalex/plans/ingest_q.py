@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from stratalex.functions import text as tx
 from stratalex.operators import context as cx
+from stratalex.operators import corpus_qa as qa
 from stratalex.operators import elements as el
+from stratalex.operators import evaluation as ev
 from stratalex.operators import index as ix
+from stratalex.operators import metadata as me
 from stratalex.operators import quality as qu
 from stratalex.operators import sparse as sp
 from stratalex.operators import validation as va
@@ -290,3 +293,41 @@ def context_gold_match(s: SparkSession, d: str) -> DataFrame:
     found = cx.enriched(_context(s, d))
     expected = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("khác "), "retrieval_text")).otherwise(F.replace("retrieval_text", F.lit(" "), F.lit("  ")))
     return cx.gold_match(found, found.filter("kind = 'POINT'").select("provision_id", expected.alias("expected")))
+
+
+@query(
+    f"""WITH {_TREE}, o AS (SELECT doc_id, provision_id, min(k) AS k, regexp_replace(provision_id, '__(diem|khoan|dieu)-[^_]+$', '') AS parent_id FROM tree GROUP BY doc_id, provision_id),
+    n AS (SELECT provision_id AS source_id, lead(provision_id) OVER (PARTITION BY doc_id, parent_id ORDER BY k, provision_id) AS target_id FROM o)
+    SELECT o.parent_id AS source_id, 'PARENT_OF' AS relation, o.provision_id AS target_id FROM o JOIN o p ON p.doc_id = o.doc_id AND p.provision_id = o.parent_id UNION ALL SELECT source_id, 'SIBLING_OF', target_id FROM n WHERE target_id IS NOT NULL"""
+)
+def structure_relations(s: SparkSession, d: str) -> DataFrame:
+    return qa.relations(_tree(s, d))
+
+
+@query(f"WITH {_TREE} SELECT count(*) FILTER (doc_id % 12 = 0) AS leaked, count(*) AS n, round(count(*) FILTER (doc_id % 12 = 0) / count(*), 6) AS leakage_rate FROM tree")
+def header_leakage_rate(s: SparkSession, d: str) -> DataFrame:
+    leaked = tx.leaked_header(F.col("source_text"))
+    return _tree(s, d).agg(F.sum(leaked.cast("long")).alias("leaked"), F.count("*").alias("n"), F.round(F.avg(leaked.cast("double")), 6).alias("leakage_rate"))
+
+
+@query(
+    """WITH g AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN ['d', 'đ'] WHEN 1 THEN ['đ'] ELSE ['d'] END AS gold, CASE doc_id % 5 WHEN 0 THEN ['d', 'đ'] WHEN 1 THEN ['đ'] WHEN 2 THEN ['d'] ELSE [] END AS found FROM documents),
+    c AS (SELECT count(*) FILTER (list_contains(gold, 'đ') AND list_contains(found, 'đ')) AS matched, count(*) FILTER (list_contains(gold, 'đ')) AS gold_dd, count(*) FILTER (list_contains(gold, 'đ') AND list_contains(found, 'd')) AS dd_as_d, count(*) FILTER (list_contains(gold, 'd') AND list_contains(found, 'đ')) AS d_as_dd FROM g)
+    SELECT *, round(matched / gold_dd, 6) AS recall FROM c"""
+)
+def d_confusion(s: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    both, dd, plain = F.array(F.lit("d"), F.lit("đ")), F.array(F.lit("đ")), F.array(F.lit("d"))
+    rows = lambda letters: v.documents(s, d).select("doc_id", F.lit("1").alias("article"), F.lit("1").alias("clause"), F.explode(letters).alias("letter"))
+    return ev.d_confusion(rows(F.when(i % 3 == 0, both).when(i % 3 == 1, dd).otherwise(plain)), rows(F.when(i % 5 == 0, both).when(i % 5 == 1, dd).when(i % 5 == 2, plain)))
+
+
+@query(
+    f"""WITH {v.ELEMENTS}, h AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, reading_order) AS n, trim(text) AS document_title FROM elements WHERE element_type = 'heading' AND trim(text) != '')
+    SELECT d.doc_id, CASE WHEN d.doc_id % 2 = 0 THEN (d.doc_id % 1000) || '/2024/NĐ-CP' END AS document_number, CASE WHEN d.doc_id % 2 = 0 THEN 'DECREE' END AS document_type, CASE WHEN d.doc_id % 2 = 0 THEN DATE '2024-12-26' END AS issued_date, CASE WHEN d.doc_id % 2 = 0 THEN DATE '2025-01-01' END AS effective_from, document_title FROM documents d LEFT JOIN h ON h.doc_id = d.doc_id AND n = 1"""
+)
+def document_metadata(s: SparkSession, d: str) -> DataFrame:
+    """All metadata of each whole text at once; every second text says its own."""
+    head = F.concat(F.lit("Số: "), (F.col("doc_id") % 1000).cast("string"), F.lit("/2024/NĐ-CP\nHà Nội, ngày 26 tháng 12 năm 2024\nNGHỊ ĐỊNH\nNghị định này có hiệu lực thi hành từ ngày 01 tháng 01 năm 2025.\n"))
+    docs = v.documents(s, d).select("doc_id", F.concat(F.when(F.col("doc_id") % 2 == 0, head).otherwise(""), F.coalesce("text", F.lit(""))).alias("text"))
+    return me.extracted(docs, v.elements(s, d)).drop("issuer")

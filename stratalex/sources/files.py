@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,3 +60,40 @@ def accepted_uploads(uploads: DataFrame, known: DataFrame, most_bytes: int = 50_
     good = uploads.filter(F.col("mime").isin(*kinds) & (F.col("bytes") <= most_bytes))
     first = F.row_number().over(W.partitionBy("file_hash").orderBy("upload_id"))
     return good.withColumn("_n", first).filter("_n = 1").drop("_n").join(known.select("file_hash"), "file_hash", "left_anti")
+
+
+class ObjectStore:
+    """Objects under one root of any file system that Spark reaches: put, get, delete and list, by safe keys."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _at(self, key: str):
+        if key.startswith("/") or "\\" in key or any(part in ("", "..") for part in key.split("/")):
+            raise ValueError(f"unsafe key {key!r}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{key}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def put(self, key: str, content: bytes) -> None:
+        """Write one object, whole; an object of the key is replaced."""
+        fs, path = self._at(key)
+        out = fs.create(path, True)
+        out.write(bytearray(content))
+        out.close()
+
+    def get(self, key: str) -> bytes:
+        fs, path = self._at(key)
+        if not fs.exists(path):
+            raise KeyError(key)
+        return bytes(self.spark.read.format("binaryFile").load(path.toString()).first()["content"])
+
+    def delete(self, key: str) -> bool:
+        fs, path = self._at(key)
+        return bool(fs.delete(path, False))
+
+    def list(self, prefix: str = "") -> DataFrame:
+        """key, bytes of the objects whose key begins with ``prefix``; the listing is a table, the contents are not read."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.root).select("path", "length")
+        root = self._at("x")[1].getParent().toUri().getPath()
+        key = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^.*?" + re.escape(root) + "/", "")
+        return files.select(key.alias("key"), F.col("length").alias("bytes")).filter(F.col("key").startswith(prefix))
