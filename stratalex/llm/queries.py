@@ -49,7 +49,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    found = repeated_passages(table(spark, sf_dir, "documents"))
+    spans = F.concat_ws(",", F.transform("spans", lambda x: F.concat_ws("-", x["begin"].cast("string"), x["end"].cast("string"))))
+    others = F.concat_ws(",", F.transform("others", lambda x: x.cast("string")))
+    return found.select("doc_id", "n_words_repeated", spans.alias("spans"), F.least("doc_id", F.element_at("others", 1)).alias("class_id"), F.size("others").cast("long").alias("n_others"), others.alias("others"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +105,11 @@ ORACLES = {
     v AS (SELECT *, CAST(passes * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - passes * source_size - start)) AS BIGINT) AS taken FROM took), y AS (SELECT *, CASE WHEN taken > 0 THEN least(1.0, CAST(start AS DOUBLE) / target) END AS y FROM v)
     SELECT doc_id, size, source_size, round(target, 6) AS target, taken, round(CASE rank % 3 WHEN 0 THEN 2 * y / (1.5 + sqrt(2.25 - 2 * y)) WHEN 1 THEN y
       ELSE CASE WHEN y < 0.25 / 0.875 THEN 0.875 * y / 0.5 ELSE 0.5 + 2 * (y - 0.25 / 0.875) / (0.5 / 0.875 + sqrt(0.25 / 0.765625 + 2 * (3 / 0.875) * (y - 0.25 / 0.875))) END END, 6) AS position FROM y""",
+    "op7_suffix_dedup": rf"""WITH {_WORDS}, runs AS (SELECT doc_id, i - 1 AS place, md5(array_to_string(w[i:i + 49], ' ')) AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50)),
+    stars AS (SELECT run, min(doc_id) AS low, max(doc_id) AS high FROM runs GROUP BY run HAVING min(doc_id) < max(doc_id)), m AS (SELECT DISTINCT doc_id, place, CASE WHEN doc_id = low THEN high ELSE low END AS other FROM runs JOIN stars USING (run)),
+    p AS (SELECT doc_id, place, CASE WHEN place > lag(place) OVER (PARTITION BY doc_id ORDER BY place) + 50 THEN 1 ELSE 0 END AS new FROM (SELECT DISTINCT doc_id, place FROM m)), q AS (SELECT doc_id, place, sum(new) OVER (PARTITION BY doc_id ORDER BY place) AS island FROM p),
+    s AS (SELECT doc_id, min(place) AS a, max(place) + 50 AS b FROM q GROUP BY doc_id, island), t AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_words_repeated, string_agg(a || '-' || b, ',' ORDER BY a) AS spans FROM s GROUP BY doc_id),
+    o AS (SELECT doc_id, min(least(doc_id, other)) AS class_id, count(DISTINCT other) AS n_others, string_agg(CAST(other AS VARCHAR), ',' ORDER BY other) AS others FROM (SELECT DISTINCT doc_id, other FROM m) GROUP BY doc_id) SELECT t.*, class_id, n_others, others FROM t JOIN o USING (doc_id)""",
     "op8_exact_dedup": r"""WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS c, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents)
     SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size, doc_id = first_value(doc_id) OVER w AS kept, sha256(bare) AS text_sha256 FROM n WINDOW w AS (PARTITION BY bare ORDER BY c DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
     "op9_jaccard_join": rf"""WITH RECURSIVE low AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
