@@ -130,20 +130,19 @@ def point_labels(nodes: DataFrame) -> DataFrame:
     w = _order().rowsBetween(W.unboundedPreceding, W.currentRow)
     ends = F.col("kind").isin("CHAPTER", "SECTION", "ARTICLE", "CLAUSE", "APPENDIX")
     nodes = nodes.withColumn("point_run", F.sum(ends.cast("int")).over(w))
-    points = nodes.filter("kind = 'POINT'").groupBy("doc_id", "point_run").agg(F.array_sort(F.collect_list(F.struct("page_number", "reading_order", "label"))).alias("run"))
+    # The rows of a run travel in its array, so the windows before this are run once and nothing is joined back.
+    rest = [c for c in nodes.columns if c not in ("page_number", "reading_order")]
+    runs = nodes.groupBy("doc_id", "point_run").agg(F.array_sort(F.collect_list(F.struct("page_number", "reading_order", *rest))).alias("run"))
     letters = ", ".join(f"'{x})'" for x in FALLBACK)
-    fold = f"""aggregate(run, cast(array() as array<struct<page_number:int,reading_order:int,label:string,remark:string>>), (acc, x) ->
-        concat(acc, array(case
-            when x.label is null then named_struct('page_number', x.page_number, 'reading_order', x.reading_order,
-                'label', coalesce(get(array_except(array({letters}), transform(acc, y -> y.label)), 0), 'a)'), 'remark', 'point label reconstructed from marker-stripped list item')
-            when x.label = 'd)' and exists(acc, y -> y.label = 'd)') and not exists(acc, y -> y.label = 'đ)') then
-                named_struct('page_number', x.page_number, 'reading_order', x.reading_order, 'label', 'đ)', 'remark', 'OCR d/đ ambiguity normalized from duplicate d)')
-            when x.label = 'd)' and exists(acc, y -> y.label = 'd)') then
-                named_struct('page_number', x.page_number, 'reading_order', x.reading_order, 'label', 'd)', 'remark', 'duplicate d) point label')
-            else named_struct('page_number', x.page_number, 'reading_order', x.reading_order, 'label', x.label, 'remark', cast(null as string)) end)))"""
-    fixed = points.select("doc_id", F.explode(F.expr(fold)).alias("p")).select(F.col("doc_id").alias("_d"), F.col("p.page_number").alias("_pn"), F.col("p.reading_order").alias("_ro"), F.col("p.label").alias("_label"), F.col("p.remark").alias("remark"))
-    same = (nodes["doc_id"] == F.col("_d")) & (nodes["page_number"] == F.col("_pn")) & (nodes["reading_order"] == F.col("_ro"))
-    return nodes.join(fixed, same, "left").withColumn("label", F.coalesce("_label", "label")).drop("_d", "_pn", "_ro", "_label")
+    fold = f"""aggregate(run, cast(array() as array<struct<label:string,remark:string>>), (acc, x) -> concat(acc, array(case
+        when x.kind != 'POINT' then named_struct('label', cast(null as string), 'remark', cast(null as string))
+        when x.label is null then named_struct('label', coalesce(get(array_except(array({letters}), transform(acc, y -> y.label)), 0), 'a)'), 'remark', 'point label reconstructed from marker-stripped list item')
+        when x.label = 'd)' and exists(acc, y -> y.label <=> 'd)') and not exists(acc, y -> y.label <=> 'đ)') then named_struct('label', 'đ)', 'remark', 'OCR d/đ ambiguity normalized from duplicate d)')
+        when x.label = 'd)' and exists(acc, y -> y.label <=> 'd)') then named_struct('label', 'd)', 'remark', 'duplicate d) point label')
+        else named_struct('label', x.label, 'remark', cast(null as string)) end)))"""
+    rows = runs.select(F.explode(F.arrays_zip(F.col("run"), F.expr(fold).alias("fixed"))).alias("r"))
+    kept = [F.coalesce("r.fixed.label", "r.run.label").alias(c) if c == "label" else F.col(f"r.run.{c}").alias(c) for c in nodes.columns]
+    return rows.select(*kept, F.col("r.fixed.remark").alias("remark"))
 
 
 def nodes(elements: DataFrame) -> DataFrame:
