@@ -29,7 +29,7 @@ def fingerprint(block: Column) -> Column:
 
 def _blocks(text: Column, block_chars: int) -> Column:
     """Blocks in order; an empty text has none. One pass over the text however long it is."""
-    cut = F.regexp_extract_all(text, F.lit(r"([\s\S]{1,%d})" % block_chars), F.lit(1))
+    cut = F.regexp_extract_all(text, F.lit(r"(?s).{1,%d}+" % block_chars), F.lit(0))  # a class such as [\s\S] is forty times slower
     return F.when(text == "", F.array().cast("array<string>")).when(F.length(text) <= block_chars, F.array(text)).otherwise(cut)
 
 
