@@ -26,7 +26,8 @@ ROWS_PER_STEP = 20_000
 def source_targets(sized: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES) -> DataFrame:
     """source, rank, source_size, target. Targets share all words by weight and stop at ``most`` times the source.
 
-    What stops there is shared among the rest by weight. With sources in the order of ``most * size / weight`` the
+    Sources are ranked in one task, a row each: thousands, not millions, of sources are meant. What stops there is shared
+    among the rest by weight. With sources in the order of ``most * size / weight`` the
     stopped ones come first, so running sums find them without repeating the sharing step by step.
     """
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
