@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,8 +20,8 @@ from pyspark.sql import DataFrame
 SPACE = "\u2581"
 #: A space mark that the text itself holds. It is spelled in bytes, so that decoding gives it back.
 LITERAL_SPACE = "\udc81"
-#: Segments whose ids are kept between texts in each Python worker, and the length up to which they are kept.
-MOST_CACHED, LONGEST_CACHED = 400_000, 40
+#: Segments whose ids are kept between texts in each Python worker (some 200 MB at most), and the length up to which they are kept.
+MOST_CACHED, LONGEST_CACHED = 800_000, 40
 #: Ids in one output batch.
 BATCH_IDS = 400_000
 _CODECS: dict = {}
@@ -49,13 +50,20 @@ class Codec:
         self.raw = [bytes([int(p[3:5], 16)]) if kind == "byte" else p.replace(SPACE, " ").encode() if kind == "normal" else b"" if kind == "control" else b" \xe2\x81\x87 " for p, _, kind in pieces]
         self.cache: dict[str, tuple[int, ...]] = {}
         self.committed = 0  # characters whose ids the search has found, those from the cache not counted
-        # Pieces and, as False, their beginnings: a search from a start ends where no piece goes on.
-        self.trie: dict[str, tuple[int, float] | bool] = {p[:i]: False for p in self.known for i in range(1, len(p))} | self.known
+        # Nodes (next characters, id or -1, score): a search from a start ends where no piece goes on.
+        self.trie: list = [{}, -1, 0.0]
+        for piece, (i, s) in self.known.items():
+            node = self.trie
+            for char in piece:
+                node = node[0].setdefault(char, [{}, -1, 0.0])
+            node[1:] = i, s
         # Characters that stand side by side within some piece; between others every path has a boundary.
         self.joined = {p[i : i + 2] for p in self.known for i in range(len(p) - 1)}
-        # Where no piece runs over a space mark that follows another character, every path has a boundary before it.
+        # Where no piece runs over a space mark that follows another character, every path has a boundary before it; so
+        # it has on both sides of a line feed that stands beside nothing in any piece.
         free = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.known)
-        self.segments = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if free else r"(?s:.+)").findall
+        alone = "" if any("\n" in pair for pair in self.joined) else "\n"
+        self.segments = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|{alone}" if alone else "") if free else r"(?s:.+)").findall
 
     @classmethod
     def load(cls, path: str | None = None) -> Codec:
@@ -78,7 +86,7 @@ class Codec:
         to. Where no piece goes past the current boundary it is the only one alive, so all paths meet in it.
         Elsewhere the paths are followed back to where they meet, once in every two piece lengths.
         """
-        find, longest, unknown, n = self.trie.get, self.longest, self.unknown_score, len(text)
+        first, longest, unknown, n = self.trie[0].get, self.longest, self.unknown_score, len(text)
         score, came, by, done, reach = [0.0], [0], [-1], 0, 0
         for start in range(n):
             if start == reach and start > done:
@@ -90,27 +98,27 @@ class Codec:
                     yield self._path(text, came, by, at, done)
                     low, cut, done = min(score[start - done :]), at - done, at
                     score, came, by = [x - low for x in score[cut:]], came[cut:], by[cut:]
-            here, end, hit = score[start - done], start + 1, find(text[start])
+            here, end, node = score[start - done], start + 1, first(text[start])
             if end > reach:
                 score.append(-1e300)
                 came.append(0)
                 by.append(-1)
                 reach = end
-            if not hit and here + unknown > score[end - done]:
+            if (node is None or node[1] < 0) and here + unknown > score[end - done]:
                 score[end - done], came[end - done], by[end - done] = here + unknown, start, -1
-            while hit is not None:
-                if hit:
+            while node is not None:
+                if node[1] >= 0:
                     while end > reach:
                         score.append(-1e300)
                         came.append(0)
                         by.append(-1)
                         reach += 1
-                    if here + hit[1] > score[end - done]:
-                        score[end - done], came[end - done], by[end - done] = here + hit[1], start, hit[0]
+                    if here + node[2] > score[end - done]:
+                        score[end - done], came[end - done], by[end - done] = here + node[2], start, node[1]
                 if end == n:
                     break
+                node = node[0].get(text[end])
                 end += 1
-                hit = find(text[start:end])
         if n > done:
             yield self._path(text, came, by, n, done)
 
@@ -142,12 +150,11 @@ class Codec:
         if not text:
             return out
         marked = text.replace(SPACE, LITERAL_SPACE).replace(" ", SPACE)
-        cache = self.cache
-        for segment in self.segments(SPACE + marked if self.prefix else marked):
-            ids = cache.get(segment)
-            if ids is None:
-                ids = self._segment(segment)
-            out.extend(ids)
+        segments = self.segments(SPACE + marked if self.prefix else marked)
+        found = list(map(self.cache.get, segments))
+        if None in found:
+            found = [self.cache.get(s) or self._segment(s) if ids is None else ids for s, ids in zip(segments, found)]
+        out.extend(chain.from_iterable(found))
         return out
 
     def _segment(self, segment: str) -> tuple[int, ...]:
@@ -174,8 +181,7 @@ class Codec:
         return ids
 
     def decode(self, ids) -> str:
-        raw = self.raw
-        text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
