@@ -287,7 +287,7 @@ def context_completeness(s: SparkSession, d: str) -> DataFrame:
     return cx.completeness(cx.enriched(_context(s, d)))
 
 
-@query(f"WITH {_CONTEXT} SELECT provision_id, (row_number() OVER () > 0) AND CAST(split_part(provision_id, '-', 2) AS BIGINT) % 7 != 0 AS matches FROM ctx WHERE kind = 'POINT'")
+@query(f"WITH {_CONTEXT} SELECT provision_id, CAST(split_part(provision_id, '-', 2) AS BIGINT) % 7 != 0 AS matches FROM ctx WHERE kind = 'POINT'")
 def context_gold_match(s: SparkSession, d: str) -> DataFrame:
     """Annotations of every point, blanks doubled; those of each seventh document expect another text."""
     found = cx.enriched(_context(s, d))

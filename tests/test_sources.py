@@ -58,3 +58,36 @@ def test_dense_search_against_brute_force(spark):
     for per_pass in (1000, 7):
         got = {(g.query_id, g.unit_id): (g.score, g["rank"]) for g in se.dense_top_k(queries.filter("embedding is not null"), vectors, 7, 4, per_pass).collect()}
         assert got == want
+
+
+def test_outcomes_go_to_their_sinks_and_redeliveries_go(spark, tmp_path):
+    from stratalex.streaming import jobs
+
+    rows = spark.createDataFrame([(1, "retry"), (2, "dead_letter"), (3, "retry")], "job_id int, outcome string")
+    write = jobs.split_sink(f"{tmp_path}/ok", f"{tmp_path}/dead")
+    for _ in range(2):  # a batch that runs again replaces its own rows
+        write(rows, 7)
+    assert spark.read.parquet(f"{tmp_path}/ok").count() == 2 and [r.job_id for r in spark.read.parquet(f"{tmp_path}/dead").collect()] == [2]
+    sent = [(1, "PARSED", "2024-01-01 10:00:00"), (1, "PARSED", "2024-01-01 10:00:09"), (1, "GATED", "2024-01-01 10:00:10"), (2, "PARSED", "2024-01-01 10:00:11")]
+    stream = spark.createDataFrame(sent, "job_id int, stage string, t string").selectExpr("job_id", "stage", "cast(t as timestamp) as ts")
+    stream.coalesce(1).write.parquet(f"{tmp_path}/in")
+    once = jobs.stream_without_redelivery(spark.readStream.schema(stream.schema).parquet(f"{tmp_path}/in"))
+    once.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.job_id, r.stage) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(1, "GATED"), (1, "PARSED"), (2, "PARSED")]
+
+
+def test_scans_certify_nothing(spark):
+    from stratalex.operators.quality import certified
+
+    gates = spark.createDataFrame([(1, True, "passed", "passed", "passed"), (2, False, "passed", "passed", "passed")], "doc_id int, scan boolean, provenance_coverage_gate string, text_extraction_rate_gate string, group_a string")
+    got = {r.doc_id: (r.provenance_coverage_gate, r.text_extraction_rate_gate, r.group_a) for r in certified(gates, F.col("scan")).collect()}
+    assert got == {1: ("failed",) * 3, 2: ("passed",) * 3}
+
+
+def test_latest_parse_and_annotations(spark, tmp_path):
+    from stratalex.operators.elements import latest_parse
+
+    parses = spark.createDataFrame([("d", "2024-01-01", 1), ("d", "2024-02-01", 2), ("d", "2024-02-01", 3), ("e", "2023-01-01", 4)], "document_id string, parse_started_at string, parsed_document_id int")
+    assert {r.parsed_document_id for r in latest_parse(parses).collect()} == {3, 4}
+    (tmp_path / "a.json").write_text('{"provision_id": "x",\n "expected": "y"}')
+    assert [tuple(r) for r in fi.annotations(spark, f"file://{tmp_path}/a.json", "provision_id string, expected string").collect()] == [("x", "y")]
