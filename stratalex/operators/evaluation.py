@@ -116,6 +116,16 @@ def d_confusion(gold: DataFrame, found: DataFrame) -> DataFrame:
     return met.agg(n("gold_dd", "found_dd").alias("matched"), total.alias("gold_dd"), n("gold_dd", "found_d").alias("dd_as_d"), n("gold_d", "found_dd").alias("d_as_dd"), ratio(n("gold_dd", "found_dd"), total).alias("recall"))
 
 
+def mismatches(gold: DataFrame, found: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
+    """key, field, expected, actual where a gold row was not found (field ``missing``) or was found with another value."""
+    got = found.select(F.col(key).alias("_key"), *[F.col(f).alias(f"_{f}") for f in fields])
+    met = gold.join(got, F.col(key) == F.col("_key"), "left")
+    row = lambda name, a, b: F.struct(F.lit(name).alias("field"), a.cast("string").alias("expected"), b.cast("string").alias("actual"))
+    differ = [F.when(F.col("_key").isNotNull() & ~F.col(f).eqNullSafe(F.col(f"_{f}")), row(f, F.col(f), F.col(f"_{f}"))) for f in fields]
+    lost = F.when(F.col("_key").isNull(), row("missing", F.col(key), F.lit(None)))
+    return met.select(key, F.explode(F.array_compact(F.array(lost, *differ))).alias("m")).select(key, "m.field", "m.expected", "m.actual")
+
+
 def recall_of(gold: DataFrame, found: DataFrame, key: str, test: Column) -> DataFrame:
     """Share of gold rows under ``test`` that were found: hits, total, recall; unknown without any."""
     met = gold.filter(test).join(found.select(key).distinct().withColumn("_f", F.lit(1)), key, "left")

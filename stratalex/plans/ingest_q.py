@@ -331,3 +331,13 @@ def document_metadata(s: SparkSession, d: str) -> DataFrame:
     head = F.concat(F.lit("Số: "), (F.col("doc_id") % 1000).cast("string"), F.lit("/2024/NĐ-CP\nHà Nội, ngày 26 tháng 12 năm 2024\nNGHỊ ĐỊNH\nNghị định này có hiệu lực thi hành từ ngày 01 tháng 01 năm 2025.\n"))
     docs = v.documents(s, d).select("doc_id", F.concat(F.when(F.col("doc_id") % 2 == 0, head).otherwise(""), F.coalesce("text", F.lit(""))).alias("text"))
     return me.extracted(docs, v.elements(s, d)).drop("issuer")
+
+
+@query(
+    f"""WITH {_TREE}, g AS (SELECT DISTINCT provision_id, kind, doc_id FROM tree WHERE kind != 'POINT'), e AS (SELECT provision_id, CASE WHEN doc_id % 6 = 1 THEN 'POINT' ELSE kind END AS kind FROM g WHERE doc_id % 8 != 3)
+    SELECT g.provision_id, 'missing' AS field, g.provision_id AS expected, NULL AS actual FROM g ANTI JOIN e ON g.provision_id = e.provision_id UNION ALL SELECT g.provision_id, 'kind', g.kind, e.kind FROM g JOIN e ON g.provision_id = e.provision_id WHERE g.kind != e.kind"""
+)
+def gold_mismatches(s: SparkSession, d: str) -> DataFrame:
+    gold = _tree(s, d).filter("kind != 'POINT'").select("provision_id", "kind", "doc_id").distinct()
+    found = gold.filter("doc_id % 8 != 3").select("provision_id", F.when(F.col("doc_id") % 6 == 1, "POINT").otherwise(F.col("kind")).alias("kind"))
+    return ev.mismatches(gold, found, "provision_id", ("kind",))
