@@ -1,18 +1,26 @@
-"""Words and word shingles of many texts at once as 64-bit hashes, in linear time and small memory."""
+"""Words and word shingles of many texts at once as hashes, in linear time and small memory.
+
+A word has two hashes of 64 bits, made from its bytes with different keys: each is a chain of mixed blocks of eight
+bytes, and a word over ``LONG`` bytes is digested by BLAKE2. Both are fixed functions: no pattern in a text (periods,
+complements, repeats) makes two of them agree, so unequal things agree by chance, 2^-64 for one hash and 2^-128 for both.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
+#: Keys of the two hashes.
+KEYS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Bytes that one step works on; a longer text is cut between words, a longer word is not cut.
 STEP = 1 << 21
-_TABLES: list[np.ndarray] = []
+#: Bytes up to which words are hashed side by side.
+LONG = 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -24,20 +32,52 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    if not _TABLES or len(_TABLES[0]) < n:
-        size = max(n, STEP + 4096)
-        up, down = np.full(size, _BASE, U), np.full(size, pow(_BASE, -1, 1 << 64), U)
-        up[0] = down[0] = 1
-        _TABLES[:] = [np.cumprod(up), np.cumprod(down)]
-    return _TABLES[0][:n], _TABLES[1][:n]
+def paired(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of two hashes, the order of which counts."""
+    return mixed(mixed(left + U(KEYS[0])) * U(KEYS[1] | 1) + right)
+
+
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int) -> np.ndarray:
+    """64 bits of the bytes from each ``start`` to its ``end``."""
+    n = end - start
+    out = mixed(n.astype(U) + U(key))
+    blocks = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, "uint8")]), strides=(1,))
+    cut = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+    some, at = np.flatnonzero(n <= LONG), 0
+    while True:
+        some = some[n[some] > at]
+        if not len(some):
+            break
+        out[some] = mixed((out[some] * U(key | 1)) ^ (blocks[start[some] + at] & cut[np.minimum(n[some] - at, 8)]))
+        at += 8
+    for i in np.flatnonzero(n > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8, salt=key.to_bytes(8, "little")).digest(), "little")
+    return out
+
+
+def spans_named(h: np.ndarray, begin: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64 bits of the hashes from each ``begin`` to its ``end`` (one at least), in linear time for each doubling of length.
+
+    Windows of a power of two are named by their halves; two of them that overlap cover a span.
+    """
+    size, out, level = end - begin, np.zeros(len(begin), U), mixed(h + U(salt))
+    if not len(size):
+        return out
+    power, last = np.frexp(size.astype("float64"))[1] - 1, 0  # whole part of the logarithm
+    for k in range(int(power.max()) + 1):
+        if k:
+            level = paired(level[: len(level) - last], level[last:])
+        last = 1 << k
+        some = np.flatnonzero(power == k)
+        if len(some):
+            out[some] = paired(paired(level[begin[some]], level[end[some] - last]), size[some].astype(U))
+    return out
 
 
 class Words:
-    """Words of a run of texts: text (row in the run), start and end (bytes in the run's data) and hash."""
+    """Words of a run of texts: text (row in the run), start and end (bytes in the run's data), hash and, if asked for, other."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, both: bool = False):
         self.data, self.offsets = data, offsets
         parts, at, n = [], 0, len(data)
         while at < n:
@@ -52,9 +92,9 @@ class Words:
                     cuts = offsets[np.searchsorted(offsets, at, "right") : np.searchsorted(offsets, stop, "right")]
                     last = max(at + more[0] + 1 if len(more) else 0, cuts[0] if len(cuts) else 0, n if stop == n else 0)
                 stop = int(last)
-            parts.append(_words(data, offsets, at, stop, lower))
+            parts.append(_words(data, offsets, at, stop, lower, both))
             at = stop
-        self.start, self.end, self.hash = (np.concatenate(x) if parts else np.zeros(0, k) for x, k in zip(zip(*parts) if parts else ((), (), ()), ("int64", "int64", U)))
+        self.start, self.end, self.hash, self.other = (np.concatenate(x) if parts else np.zeros(0, k) for x, k in zip(zip(*parts) if parts else ((),) * 4, ("int64", "int64", U, U)))
         self.text = np.searchsorted(offsets, self.start, "right") - 1
 
     def count(self) -> np.ndarray:
@@ -65,7 +105,7 @@ def _white(b: np.ndarray) -> np.ndarray:
     return (b == 32) | ((b >= 9) & (b <= 13))
 
 
-def _words(data, offsets, at, stop, lower):
+def _words(data, offsets, at, stop, lower, both):
     b = data[at:stop]
     word = ~_white(b)
     first = word.copy()
@@ -77,11 +117,8 @@ def _words(data, offsets, at, stop, lower):
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     if lower:
         b = np.where((b >= 65) & (b <= 90), b + 32, b)
-    up, down = _powers(len(b) + 1)
-    total = np.zeros(len(b) + 1, U)
-    np.cumsum((b.astype(U) + U(1)) * up[:-1], out=total[1:])
-    h = mixed((total[end] - total[start]) * down[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
-    return start + at, end + at, h
+    h = byte_hashes(b, start, end, KEYS[0])
+    return start + at, end + at, h, byte_hashes(b, start, end, KEYS[1]) if both else h
 
 
 def runs(texts: pa.Array, most: int = STEP) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -100,39 +137,31 @@ def runs(texts: pa.Array, most: int = STEP) -> Iterator[tuple[int, int, np.ndarr
         at = end
 
 
-def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of every run of ``width`` words; of a text with fewer words, all of them as one."""
-    h, text, n = words.hash, words.text, len(words.hash)
-    odd = [U((0xA0761D6478BD642F * (2 * i + 1)) & _MASK | 1) for i in range(width)]
-    out_t, out_h = np.zeros(0, "int64"), np.zeros(0, U)
-    if n >= width:
-        total = np.zeros(n - width + 1, U)
-        for i in range(width):
-            total += mixed(h[i : n - width + 1 + i] + U(i + 1)) * odd[i]
-        whole = text[: n - width + 1] == text[width - 1 :]
-        out_t, out_h = text[: n - width + 1][whole], mixed(total[whole])
+def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, other hash) of every run of ``width`` words; of a text with fewer words, all of them as one."""
+    text, n = words.text, len(words.hash)
     count = words.count()
     first = np.cumsum(count) - count
+    begin = np.flatnonzero(text[: n - width + 1] == text[width - 1 :]) if n >= width else np.zeros(0, "int64")
     short = np.flatnonzero((count > 0) & (count < width))
-    if len(short):
-        more = []
-        for t in short:
-            k = int(count[t])
-            one = U(k)
-            with np.errstate(over="ignore"):
-                for i in range(k):
-                    one = one + mixed(h[first[t] + i : first[t] + i + 1] + U(i + 1))[0] * odd[i] * U(3)
-            more.append(one)
-        out_t, out_h = np.concatenate([out_t, short]), np.concatenate([out_h, mixed(np.array(more, U))])
-    return out_t, out_h
-
-
-def distinct(text: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, hash) in order."""
+    out = [np.concatenate([sequences(h, begin, width), *(sequences(h, first[short[count[short] == k]], k) for k in range(1, width))]) for h in (words.hash, words.other)]
+    return np.concatenate([text[begin], *(short[count[short] == k] for k in range(1, width))]), *out
+
+
+def sequences(h: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` hashes from each ``begin``."""
+    total = np.full(len(begin), U(size))
+    for i in range(size):
+        total += mixed(h[begin + i] + U(i + 1)) * U((0xA0761D6478BD642F * (2 * i + 1)) & _MASK | 1)
+    return mixed(total)
+
+
+def distinct(text: np.ndarray, h: np.ndarray, other: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Distinct (text, hash) in order, each with its other hash if given."""
     order = np.lexsort((h, text))
-    text, h = text[order], h[order]
+    out = [x[order] for x in (text, h) + (() if other is None else (other,))]
     if len(h):
         new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-        text, h = text[new], h[new]
-    return text, h
+        new[1:] = (out[1][1:] != out[1][:-1]) | (out[0][1:] != out[0][:-1])
+        out = [x[new] for x in out]
+    return tuple(out)

@@ -52,10 +52,10 @@ def _sets(least: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in runs(batch.column(1)):
-                text, h = distinct(*shingles(Words(data, offsets, lower=True), width))
+                text, h, other = distinct(*shingles(Words(data, offsets, lower=True, both=True), width))
                 n = np.bincount(text, minlength=end - first)
                 start = np.cumsum(n) - n
-                one, two = (_sums(mixed(h ^ U(salt)), start, n) for salt in (0x1234567, 0x89ABCDE))
+                one, two = _sums(mixed(h), start, n), _sums(mixed(other), start, n)
                 take = np.minimum(n, n - overlap_needed(n, least) + np.maximum(1, n // 8))
                 prefix = h[np.arange(len(h)) - start[text] < take[text]]
                 ends = np.concatenate([[0], np.cumsum(take)]).astype("int32")
@@ -74,7 +74,7 @@ def _tokens(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in runs(batch.column(1)):
-                text, h = distinct(*shingles(Words(data, offsets, lower=True), width))
+                text, h, _ = distinct(*shingles(Words(data, offsets, lower=True), width))
                 ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=end - first))]).astype("int32")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view("int64")))], names=["doc", "tokens"])
 
@@ -213,7 +213,7 @@ def jaccard_components(docs: DataFrame, least: int = LEAST, width: int = WIDTH,
     with fewer words all of them are the one shingle. component_id is the least doc_id that links reach. Null and
     wordless texts have no shingles and no links: their component is their doc_id. Rows with a null doc_id are
     in no component (null). Rows that share a doc_id share a component; repeated rows repeat; other columns are
-    not read. Shingles are 64-bit hashes; equal sets are told by 128 bits.
+    not read. Shingles are 64-bit hashes of their words; equal sets are told by sums of two independent hashes of each.
     """
     spark = docs.sparkSession
     space = Workspace(spark, "jaccard")
@@ -235,8 +235,10 @@ def jaccard_components(docs: DataFrame, least: int = LEAST, width: int = WIDTH,
     roots = linked(sets, space, least, small)
     rooted = classes.join(roots, "rep", "left").select(F.col("one").alias("_one"), F.col("two").alias("_two"), F.col("n").alias("_n"), F.coalesce("root", "rep").alias("root"))
     own = F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("root", "doc_id"), "doc_id"))
-    same = (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two")) & (F.col("n") == F.col("_n")) & (F.col("n") > 0)
-    return named.join(rooted, same, "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    same = (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two")) & (F.col("n") == F.col("_n"))
+    linkable = named.filter("n > 0").join(rooted, same, "left").select("doc_id", "n", own.alias("component_id"))
+    # Rows without words share one empty set: they meet nothing, so they stay out of the join.
+    return linkable.unionByName(named.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))).withColumnRenamed("n", "n_shingles")
 
 
 def linked(sets: DataFrame, space: Workspace, least: int = LEAST, small: int = SMALL) -> DataFrame:

@@ -122,7 +122,7 @@ def training_order(docs: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, sc
     Copies are whole documents: the one that a source takes in part is given whole, so a source may exceed its
     target by less than one document. Every row has copies of its own, rows that repeat a doc_id or have none
     included; rows without words have none. Columns are those of ``docs``. Written to files, the rows stand in training
-    order by file name and row; ``in_order`` reads that order back.
+    order by file number and row; ``in_order`` reads that order back.
     """
     space = Workspace(docs.sparkSession, "training-order")
     held = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source", "text")
@@ -135,8 +135,14 @@ def training_order(docs: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, sc
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """``docs``, read from the files that ``training_order`` was written to, with ``part`` (file name) and ``place`` (row in it).
+    """doc_id, text and ``place`` (from 0, gapless) of ``docs``, read from the files that ``training_order`` was written to.
 
-    Sorted by part, then place, the rows are in training order.
+    Files are numbered in training order and rows stand in it, so a row's place is the rows of the files before, counted
+    from the files' metadata alone, and its own number in its file. Other columns, whatever their names, are not read.
     """
-    return docs.select("*", F.col("_metadata.file_name").alias("part"), F.col("_metadata.row_index").alias("place"))
+    file = docs.metadataColumn("_metadata")
+    rows = docs.select("doc_id", "text", F.regexp_extract(file["file_name"], r"^part-(\d+)", 1).cast("long").alias("part"), file["row_index"].alias("row"))
+    counts = rows.groupBy("part").agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("rows")
+    starts = counts.select("part", before.alias("before"))  # a row for each file
+    return rows.join(starts, "part").select("doc_id", "text", (F.col("before") + F.col("row")).alias("place"))

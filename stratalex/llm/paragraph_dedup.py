@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 from .exact_dedup import numbered
-from .hashing import U, Words, distinct, mixed, runs
+from .hashing import U, Words, distinct, mixed, runs, sequences
 from .jaccard_join import linked
 from .suffix_dedup import islands, repeated_runs
 
@@ -55,23 +55,21 @@ def paragraph_bounds(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([lines, blocks[several]]), np.concatenate([line_ends, block_ends[several]])
 
 
-def _shingle_sets(words: Words, begin: np.ndarray, end: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(paragraph, hash) of the distinct shingles of each paragraph; of one with fewer words, all of them as one."""
-    h, total = words.hash, np.zeros(max(0, len(words.hash) - shingle + 1), U)
-    for i in range(shingle):
-        total = total * U(0x9E3779B97F4A7C15) + mixed(h[i : len(total) + i])
+def _shingle_sets(words: Words, begin: np.ndarray, end: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, ...]:
+    """(paragraph, hash, other hash) of the distinct shingles of each paragraph; of one with fewer words, all of them as one."""
     n = np.maximum(end - begin - shingle + 1, 1)
     start = np.cumsum(n) - n
-    flat = np.zeros(int(n.sum()), U)
     long = np.repeat(end - begin >= shingle, n)
-    flat[long] = mixed(total[(np.repeat(begin - start, n) + np.arange(len(flat)))[long]])
-    for size in range(1, shingle):
-        some = np.flatnonzero(end - begin == size)
-        one = np.full(len(some), U(size))
-        for i in range(size):
-            one = one * U(0xA0761D6478BD642F) + mixed(h[begin[some] + i])
-        flat[start[some]] = mixed(one)
-    return distinct(np.repeat(np.arange(len(n)), n), flat)
+    at, short = (np.repeat(begin - start, n) + np.arange(int(n.sum())))[long], [np.flatnonzero(end - begin == k) for k in range(1, shingle)]
+    flat = []
+    for h in (words.hash, words.other):
+        every = sequences(h, np.arange(max(0, len(h) - shingle + 1)), shingle)
+        out = np.zeros(len(long), U)
+        out[long] = every[at]
+        for k, some in enumerate(short, 1):
+            out[start[some]] = sequences(h, begin[some], k)
+        flat.append(out)
+    return distinct(np.repeat(np.arange(len(n)), n), *flat)
 
 
 def _starts(unit: np.ndarray, units: int) -> np.ndarray:
@@ -79,11 +77,11 @@ def _starts(unit: np.ndarray, units: int) -> np.ndarray:
     return np.searchsorted(unit, np.arange(units))
 
 
-def _contents(flat: np.ndarray, start: np.ndarray) -> pa.Array:
-    """128 bits of each paragraph's set of shingles."""
+def _contents(flat: np.ndarray, other: np.ndarray, start: np.ndarray) -> pa.Array:
+    """Names of each paragraph's set of shingles: sums of either hash."""
     out = np.zeros((len(start), 2), U)
-    for i, salt in enumerate((0x1234567, 0x89ABCDE) if len(start) else ()):
-        out[:, i] = mixed(np.add.reduceat(mixed(flat ^ U(salt)), start))
+    for i, h in enumerate((flat, other) if len(start) else ()):
+        out[:, i] = mixed(np.add.reduceat(mixed(h), start))
     return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.arange(0, 16 * len(start) + 1, 16, dtype="int32").tobytes()), pa.py_buffer(out.tobytes())])
 
 
@@ -103,16 +101,16 @@ def _paragraphs(bands: int, rows: int, shortest: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in runs(batch.column(1)):
-                words = Words(data, offsets, lower=False)
+                words = Words(data, offsets, lower=False, both=True)
                 begin, stop = paragraph_bounds(words)
                 begin, stop = begin[stop - begin >= shortest], stop[stop - begin >= shortest]
-                unit, flat = _shingle_sets(words, begin, stop)
+                unit, flat, other = _shingle_sets(words, begin, stop)
                 start = _starts(unit, len(begin))
                 values, text, count = _values(flat, start, bands, rows), words.text[begin], words.count()
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, bands, dtype="int32")), pa.array(values.reshape(-1).view("int64")))
                 columns = [
                     batch.column(0).slice(first, end - first).take(pa.array(text)), pa.array((begin - (np.cumsum(count) - count)[text]).astype("int32")), pa.array((stop - begin).astype("int32")),
-                    _contents(flat, start), lists,
+                    _contents(flat, other, start), lists,
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc", "place", "size", "content", "bands"])
 
@@ -123,7 +121,7 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """number and shingles of the paragraphs (place, size, content, number) that a row asks for."""
     for batch in batches:
         for first, end, data, offsets in runs(batch.column(1)):
-            words = Words(data, offsets, lower=False)
+            words = Words(data, offsets, lower=False, both=True)
             count = words.count()
             base = np.cumsum(count) - count
             asked = batch.column(2).slice(first, end - first)
@@ -132,9 +130,9 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # Another row with the same doc_id may hold the paragraph: the content tells.
             held = np.flatnonzero(place + size <= count[row])
             begin = (base[row] + place)[held]
-            unit, flat = _shingle_sets(words, begin, begin + size[held])
+            unit, flat, other = _shingle_sets(words, begin, begin + size[held])
             start = _starts(unit, len(held))
-            same = np.array(pa.compute.equal(_contents(flat, start), parts.field(2).take(pa.array(held)).cast(pa.binary())), bool) if len(held) else np.zeros(0, bool)
+            same = np.array(pa.compute.equal(_contents(flat, other, start), parts.field(2).take(pa.array(held)).cast(pa.binary())), bool) if len(held) else np.zeros(0, bool)
             lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(flat)).astype("int32")), pa.array(flat.view("int64"))).filter(pa.array(same))
             yield pa.RecordBatch.from_arrays([parts.field(3).take(pa.array(held[same])), lists], names=["doc", "tokens"])
 
@@ -191,7 +189,7 @@ def repeated_paragraphs(docs: DataFrame, least: int = LEAST, recall: float = REC
 
     Rows with a null doc_id or text are left out; rows that repeat a doc_id and text count once; texts without words
     have no paragraphs; an empty table gives none; other columns are not read. One text is one row of a task, however
-    long. Contents and runs are told by 128 bits, shingles by 64.
+    long. Contents and runs are told by two independent 64-bit hashes of their words, shingles by one.
     """
     space = Workspace(docs.sparkSession, "paragraphs")
     held = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")

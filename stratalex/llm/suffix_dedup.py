@@ -5,7 +5,7 @@ minimisers, so a text keeps only the places where a minimiser stands, each with
 is the minimiser of. Places are brought together by their gram. Where all stretches of a gram are equal they match
 whole, to the left and to the right. Where they differ, sorting what lies ahead of them and comparing neighbours is
 not enough: a match may lie behind the gram, and the neighbour that shares most of it may sort anywhere. There each
-distinct stretch gives its runs, named by 128 bits of their words, and runs of one name are joined as stars to the
+distinct stretch gives its runs, named by two independent hashes of their words, and runs of one name are joined as stars to the
 least document. However many documents share a passage or a part of it, no limit on neighbours decides what is met.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import Workspace
-from .hashing import U, Words, _powers, mixed, runs
+from .hashing import U, Words, mixed, runs, spans_named
 
 #: Words that a repeated passage has at least, words of a gram.
 LENGTH, GRAM = 50, 10
@@ -52,14 +52,6 @@ def minimisers(words: Words, length: int = LENGTH, gram: int = GRAM) -> tuple[np
     return at, least[at]
 
 
-def _named(words: Words, begin: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
-    """64 bits of the words from each ``begin`` to its ``end``."""
-    up, down = _powers(len(words.hash) + 1)
-    total = np.zeros(len(words.hash) + 1, U)
-    np.cumsum(mixed(words.hash ^ U(salt)) * up[:-1], out=total[1:])
-    return mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(U))
-
-
 def _places(words: Words, at: np.ndarray) -> np.ndarray:
     """Word numbers within their texts."""
     count = words.count()
@@ -80,7 +72,7 @@ def _stretches(length: int, gram: int):
                 n = np.diff(np.append(heads, len(at)))
                 begin = at[heads]
                 ids = batch.column(0).slice(first, end - first).take(pa.array(words.text[begin]))
-                name = _named(words, begin, begin + n - 1 + length, NAME)
+                name = spans_named(words.hash, begin, begin + n - 1 + length, NAME)
                 columns = [pa.array(h[heads].view("int64")), pa.array(name.view("int64")), ids, pa.array(_places(words, begin)), pa.array(n.astype("int32"))]
                 yield pa.RecordBatch.from_arrays(columns, names=["gram", "name", "doc", "place", "n"])
 
@@ -96,7 +88,7 @@ def _runs_of(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in runs(batch.column(1)):
-                words = Words(data, offsets, lower=False)
+                words = Words(data, offsets, lower=False, both=True)
                 count = words.count()
                 base = np.cumsum(count) - count
                 asked = batch.column(2).slice(first, end - first)
@@ -104,11 +96,11 @@ def _runs_of(length: int):
                 place, n, name, last = (asked.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(4))
                 held = place + n - 1 + length <= count[row]
                 begin = (base[row] + place)[held]
-                held[held] = _named(words, begin, begin + n[held] - 1 + length, NAME).view("int64") == name[held]
+                held[held] = spans_named(words.hash, begin, begin + n[held] - 1 + length, NAME).view("int64") == name[held]
                 row, place, n, name, last = (x[held] for x in (row, place, n, name, last))
                 off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 at = np.repeat(base[row] + place, n) + off
-                one, two = (_named(words, at, at + length, salt) for salt in (0x1234567, 0x89ABCDE))
+                one, two = (spans_named(h, at, at + length) for h in (words.hash, words.other))
                 ids = batch.column(0).slice(first, end - first).take(pa.array(np.repeat(row, n)))
                 columns = [pa.array(one.view("int64")), pa.array(two.view("int64")), ids, pa.array(np.repeat(place, n).astype("int32")), pa.array(np.repeat(name, n)), pa.array(off.astype("int32")), pa.array(np.repeat(last, n))]
                 yield pa.RecordBatch.from_arrays(columns, names=["one", "two", "doc", "place", "name", "off", "last"])
@@ -168,7 +160,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -
     document itself the greatest; ascending): documents that share a passage share its least doc_id. Words are runs
     without white space, in their own case. Documents are told apart by doc_id; rows with a null doc_id or text are
     left out, repeated rows count once, empty texts have no passages, an empty table gives none, other columns are
-    not read. Runs are told by 128 bits. One text is one row of a task, however long.
+    not read. Runs are told by two independent 64-bit hashes of their words, stretches of one gram by one of them. One text is one row of a task, however long.
     """
     space = Workspace(docs.sparkSession, "suffixes")
     held = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")

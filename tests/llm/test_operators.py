@@ -636,3 +636,49 @@ def test_rows_that_share_a_doc_id(spark):
     rows = [(1, f"{prose(20)} {a} {prose(5)}"), (1, f"{prose(20)} {b}"), (1, f"{prose(3)} {a}"), (2, f"{prose(9)} {a[: len(a) // 9 * 8]} {prose(9)}"), (3, f"{b} {prose(30)} {a}"), (4, "the " * 300), (5, "the " * 90)]
     got = {g.doc_id: {i for s in g.spans for i in range(s.begin, s.end)} for g in repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
     assert got == dict(repeats(rows, 50)) and len(got) == 5
+
+
+def complements(n=10):
+    """A word over two letters and its complement: equal under every polynomial with an odd base modulo 2^64."""
+    word = [bin(i).count("1") % 2 for i in range(1 << n)]
+    return ["".join("ab"[b] for b in word), "".join("ba"[b] for b in word)], [" ".join(("yes", "no")[b] for b in word), " ".join(("no", "yes")[b] for b in word)]
+
+
+def test_words_without_false_links(spark):
+    """Words, and runs of words, that complement one another are neither linked nor repeated nor removed."""
+    from stratalex.llm.jaccard_join import jaccard_components
+    from stratalex.llm.paragraph_dedup import repeated_paragraphs
+    from stratalex.llm.suffix_dedup import repeated_passages
+
+    (a, b), (c, d) = complements()
+    pair = spark.createDataFrame([(1, a), (2, b)], "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_components(pair).collect()} == {1: 1, 2: 2}
+    assert repeated_paragraphs(pair).count() == 0
+    r = random.Random(29)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(n))
+    before, after = prose(30), prose(30)
+    assert repeated_passages(spark.createDataFrame([(1, f"{before} {a} {after}"), (2, f"{before} {b} {after}")], "doc_id bigint, text string")).count() == 0
+    rows = [(1, f"{prose(60)} {c} {prose(9)}"), (2, f"{prose(60)} {d} {prose(9)}")]
+    got = {g.doc_id: {i for s in g.spans for i in range(s.begin, s.end)} for g in repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == dict(repeats(rows, 50))
+
+
+def test_spans_are_named_by_their_words():
+    """Equal spans have equal names wherever they stand; no two unequal ones do."""
+    import numpy as np
+
+    from stratalex.llm.hashing import byte_hashes, spans_named
+
+    _, (c, d) = complements(7)
+    flat = (c + " " + d).split()
+    h = np.array([hash(w) & (1 << 63) - 1 for w in flat], "uint64")
+    begin, end = np.array([(i, j) for i in range(0, len(flat), 3) for j in range(i + 1, len(flat) + 1)]).T
+    named = {}
+    for a, b, name in zip(begin, end, spans_named(h, begin, end)):
+        named.setdefault(tuple(flat[a:b]), set()).add(int(name))
+    assert all(len(x) == 1 for x in named.values()) and len({min(x) for x in named.values()}) == len(named)
+    a = ["", "a", "a\0", "x" * 7, "x" * 8, "x" * 9, "x" * 64, "x" * 65, "x" * 64, "a"]
+    data = np.frombuffer("".join(a).encode(), "uint8")
+    ends = np.cumsum([len(w) for w in a])
+    got = byte_hashes(data, ends - [len(w) for w in a], ends, 5)
+    assert got[6] == got[8] and got[1] == got[9] and len(set(got.tolist())) == 8

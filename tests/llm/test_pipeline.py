@@ -10,7 +10,8 @@ def test_pipeline(spark, tmp_path):
     from stratalex.llm.sentencepiece_codec import Codec
 
     rows = corpus()
-    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    clashing = SCHEMA + ", part string, place string, order int, rows int, before int, row int, ids string, _metadata string"
+    spark.createDataFrame([(*r, "p", "q", 1, 2, 3, 4, "i", "m") for r in rows], clashing).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(5)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
@@ -18,7 +19,7 @@ def test_pipeline(spark, tmp_path):
         out.write.parquet(f"{tmp_path}/{i}")
         docs = spark.read.parquet(f"{tmp_path}/{i}")
         seen[name] = docs.collect()
-        assert i == 4 or docs.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+        assert i == 4 or docs.columns == [c.split()[0] for c in clashing.split(", ")]
 
     def good(text):
         w = words(text)
@@ -55,7 +56,8 @@ def test_pipeline(spark, tmp_path):
     codec, text = Codec.load(), {r.doc_id: r.text for r in seen["source_mixing"]}
     assert collections.Counter(r.doc_id for r in seen["sentencepiece"]) == mixed
     assert all(r.round_trip and list(r.ids) == list(codec.encode(text[r.doc_id])) for r in seen["sentencepiece"])
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["sentencepiece"])
+    first, again = ([(r.place, r.doc_id, len(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).orderBy("place").collect()] for _ in range(2))
+    assert first == again and [p for p, *_ in first] == list(range(len(seen["sentencepiece"])))
 
 
 def test_pipeline_of_an_empty_table(spark, tmp_path):
@@ -66,7 +68,7 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     before = len(Workspace.opened)
     out = corpus_pipeline.run(spark, str(tmp_path))
-    assert out.count() == 0 and out.columns == ["doc_id", "n_tokens", "ids", "round_trip", "part", "place"]
+    assert out.count() == 0 and out.columns == ["doc_id", "n_tokens", "ids", "round_trip", "place"]
     assert len(Workspace.opened) == before + 1  # those of the stages are deleted
 
 
@@ -74,4 +76,4 @@ def test_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 14)] == [1] * 13 and "pipeline" in names
