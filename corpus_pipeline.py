@@ -39,7 +39,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target asks for, in training order: by file name, then by row.
+    """Documents as often as their source's target asks for, in training order: by file number, then by row.
 
     Null and blank texts have no words and go; a null source is a source; every row has copies of its own, repeated
     ones and those without a doc_id included; an empty table stays empty.
@@ -48,11 +48,12 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and round_trip of every document of the mix, and its place in the training order (part, place).
+    """doc_id, n_tokens, ids and round_trip of every document of the mix, and its place in the training order, from 0.
 
-    A null text has no ids; texts of any length are encoded whole; an empty table gives no rows.
+    A null text has no ids; texts of any length are encoded whole; an empty table gives no rows; further columns of
+    ``docs``, whatever their names, are not read.
     """
-    return encode(in_order(docs), carried=("part", "place"))
+    return encode(in_order(docs), carried=("place",))
 
 
 STAGES = [
