@@ -44,12 +44,12 @@ class Workspace:
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.opened.append(self)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return it as a scan: the lineage ends here."""
+    def save(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Write ``df``, in folders by the column ``by`` if given, and return it as a scan: the lineage ends here."""
         path, before = f"{self.root}/{name}", self.spark.conf.get(CLEANUP, "false")
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            (df.write.partitionBy(by) if by else df.write).parquet(path)
         finally:
             self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)

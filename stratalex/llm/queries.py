@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_groups
 from .jaccard_join import jaccard_components
+from .line_dedup import LEAST as COMMON, drop_common_lines
 from .mixing import mix
 from .paragraph_dedup import repeated_paragraphs
 from .quality import FEATURES, LEVEL, RISK, RULES, quality
@@ -15,7 +16,9 @@ from .secret_scan import secret_digest
 from .sentencepiece_codec import encode
 from .sharding import shard_by_bytes
 from .suffix_dedup import repeated_passages
+from .token_alignment import token_alignment
 from .token_counts import token_counts
+from .vector_codes import ENTRIES, PARTS, ROUNDS, SCALE, vector_codes
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +66,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_source_mixing, op4_sentencepiece, op5_paragraph_dedup, op6_secret_scan, op7_suffix_dedup, op8_exact_dedup, op9_jaccard_join, op10_sharding)}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = drop_common_lines(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_source_mixing, op4_sentencepiece, op5_paragraph_dedup, op6_secret_scan, op7_suffix_dedup, op8_exact_dedup, op9_jaccard_join, op10_sharding, op11_line_dedup, op12_vector_codes, op13_token_alignment)}
 
 _WORDS = r"words AS (SELECT doc_id, lang, source, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, coalesce(text, '') AS text FROM documents)"
 _FLAT = "flat AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM words)"
@@ -90,6 +106,24 @@ def _quality_oracle() -> str:
     SELECT doc_id, {", ".join(FEATURES[:5])}, base_failed, NOT base_failed AND NOT ({over}) AS kept, {", ".join(FEATURES[5:])} FROM judged j"""
 
 
+def _vector_oracle() -> str:
+    """Every part against every entry of its position, round by round, in integers."""
+    rounds = ""
+    for i in range(ROUNDS + 1):
+        rounds += f"""far{i} AS (SELECT v.vec_id, v.p, e.entry, CAST(sum((v.x - e.x) * (v.x - e.x)) AS BIGINT) AS d FROM flat v JOIN book{i} e ON e.p = v.p AND e.j = v.j GROUP BY ALL),
+    near{i} AS (SELECT vec_id, p, arg_min(entry, d * {ENTRIES} + entry) AS entry, min(d) AS d FROM far{i} GROUP BY ALL),
+    """
+        if i < ROUNDS:
+            rounds += f"""mean{i} AS (SELECT n.p, n.entry, v.j, CAST(floor(sum(v.x)::DOUBLE / count(*)) AS BIGINT) AS x FROM near{i} n JOIN flat v ON v.vec_id = n.vec_id AND v.p = n.p GROUP BY ALL),
+    book{i + 1} AS (SELECT b.p, b.entry, b.j, coalesce(m.x, b.x) AS x FROM book{i} b LEFT JOIN mean{i} m ON m.p = b.p AND m.entry = b.entry AND m.j = b.j),
+    """
+    return f"""WITH kept AS (SELECT vec_id, label, embedding AS e, row_number() OVER (ORDER BY vec_id) - 1 AS rank FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    flat AS (SELECT vec_id, rank, i // (n // {PARTS}) AS p, i % (n // {PARTS}) AS j, CAST(floor({SCALE}::DOUBLE * e[i + 1]) AS BIGINT) AS x FROM (SELECT *, len(e) AS n, unnest(range(len(e))) AS i FROM kept)),
+    book0 AS (SELECT p, rank AS entry, j, x FROM flat WHERE rank < {ENTRIES}),
+    {rounds}coded AS (SELECT vec_id, string_agg(lower(lpad(to_hex(entry), 2, '0')), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{ROUNDS} GROUP BY vec_id)
+    SELECT c.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, entry, j)) FROM book{ROUNDS}) AS codebooks_sha256 FROM coded c JOIN kept k ON k.vec_id = c.vec_id"""
+
+
 ORACLES = {
     "op2_quality_rules": _quality_oracle(),
     "op3_source_mixing": rf"""WITH {_WORDS}, sized AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR) || ':mix') AS mark FROM words),
@@ -114,4 +148,8 @@ ORACLES = {
     links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * pairs.n >= 75 * (x.n + y.n - pairs.n)), ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
     reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, ways.b FROM reach JOIN ways ON reach.r = ways.a)
     SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) m ON m.doc_id = d.doc_id""",
+    "op11_line_dedup": rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), l AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
+    k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l), common AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= {COMMON})
+    SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(c.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (c.key IS NULL), '')) AS kept_sha256 FROM k LEFT JOIN common c ON c.key = k.key GROUP BY r""",
+    "op12_vector_codes": _vector_oracle(),
 }
