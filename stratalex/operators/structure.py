@@ -7,8 +7,12 @@ push forward are running maxima; only the labels of a run of points need a fold,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from stratalex.functions.text import collapsed, folded, roman_value
@@ -167,28 +171,91 @@ def nodes(elements: DataFrame) -> DataFrame:
     return found.withColumn("ambiguity", ambiguity).withColumn("needs_review", F.col("ambiguity").isNotNull())
 
 
+def contexts(found: DataFrame) -> DataFrame:
+    """Add parent_context: the lines of the open chapter, section, article and clause, as far as they enclose a node's kind.
+
+    A transitional part or an appendix closes the article; a heading stands in what is open around it.
+    """
+    w = _order().rowsBetween(W.unboundedPreceding, W.currentRow)
+    higher, k = ("CHAPTER", "SECTION", "APPENDIX", "TRANSITIONAL"), F.col("kind")
+
+    def open_line(kind: str, *resets: str) -> Column:
+        return F.nullif(F.last(F.when(k == kind, F.col("line")).when(k.isin(*resets), F.lit("")), ignorenulls=True).over(w), F.lit(""))
+
+    chapter, section = open_line("CHAPTER"), open_line("SECTION", "CHAPTER")
+    article, clause = open_line("ARTICLE", *higher), open_line("CLAUSE", "ARTICLE", *higher)
+    inner = k.isin("POINT", "TABLE", "HEADING")
+    lines = F.concat_ws(" ", chapter, section, F.when(inner | (k == "CLAUSE"), article), F.when(inner, clause))
+    return found.withColumn("parent_context", F.when(~k.isin("CHAPTER", "SECTION"), F.nullif(lines, F.lit(""))))
+
+
 def provisions(found: DataFrame) -> DataFrame:
-    """Provisions with stable ids from nodes; orphans, repeated points and articles without a plain number are dropped."""
+    """Provisions with stable ids from nodes: articles, clauses, points, appendices, tables, transitional parts, headings.
+
+    Dropped: what has no open article with a plain number around it (a table: nor an appendix), articles without
+    a plain number, and points whose id has been given. A transitional part closes the article before it. A table's id
+    ends in its ordinal under its article or appendix.
+    """
     k, doc = F.col("kind"), F.col("doc_id").cast("string")
+    w = _order().rowsBetween(W.unboundedPreceding, W.currentRow)
+    level = F.when(k.isin("CHAPTER", "SECTION", "ARTICLE", "APPENDIX", "TRANSITIONAL"), k)
+    closed = F.coalesce(F.last(level, ignorenulls=True).over(w) == "TRANSITIONAL", F.lit(False))
+    # The appendix by its Arabic number: what the scan gave it where it has none of its own.
+    appendix = F.last(F.when(k == "APPENDIX", F.col("number")).when(k.isin("CHAPTER", "SECTION", "ARTICLE", "TRANSITIONAL"), F.lit("")), ignorenulls=True).over(w)
+    found = found.withColumn("_closed", closed).withColumn("_appendix", F.nullif(appendix, F.lit("")))
     article = F.concat(doc, F.lit("__dieu-"), F.col("article"))
     letter = F.translate(F.substring("label", 1, 1), "ăâêôơư", "aaeoou")
     pid = (
         F.when(k == "ARTICLE", article).when(k == "CLAUSE", F.concat(article, F.lit("__khoan-"), F.col("number")))
         .when(k == "POINT", F.concat(article, F.lit("__khoan-"), F.col("clause"), F.lit("__diem-"), letter)).when(k == "APPENDIX", F.concat(doc, F.lit("__phu-luc-"), F.col("number")))
         .when(k == "TRANSITIONAL", F.concat(doc, F.lit("__chuyen-tiep-"), F.col("number"))).when(k == "HEADING", F.concat(doc, F.lit("__tieu-de-"), F.col("number")))
+        .when(k == "TABLE", F.coalesce(F.concat(doc, F.lit("__phu-luc-"), F.col("_appendix")), article))
     )
-    good = found.filter(k.isin("ARTICLE", "CLAUSE", "POINT", "APPENDIX", "TRANSITIONAL", "HEADING")).withColumn("provision_id", pid)
-    plain = F.col("article").rlike(r"^\d+$")
-    good = good.filter(F.col("provision_id").isNotNull() & F.when(k.isin("ARTICLE", "CLAUSE", "POINT"), F.coalesce(plain, F.lit(False))).otherwise(True))
+    good = found.filter(k.isin("ARTICLE", "CLAUSE", "POINT", "APPENDIX", "TABLE", "TRANSITIONAL", "HEADING")).withColumn("provision_id", pid)
+    plain = F.coalesce(F.col("article").rlike(r"^\d+$"), F.lit(False))
+    under = (plain | ((k == "TABLE") & F.col("_appendix").isNotNull())) & ((k == "ARTICLE") | ~F.col("_closed"))
+    good = good.filter(F.col("provision_id").isNotNull() & F.when(k.isin("ARTICLE", "CLAUSE", "POINT", "TABLE"), under).otherwise(True)).drop("_closed", "_appendix")
     again = F.row_number().over(W.partitionBy("doc_id", "provision_id").orderBy("page_number", "reading_order"))
-    good = good.withColumn("_n", again).filter(~((k == "POINT") & (F.col("_n") > 1))).drop("_n")
+    rest = good.filter(k != "TABLE").withColumn("_n", again).filter(~((k == "POINT") & (F.col("_n") > 1))).drop("_n")
+    tables = table_ordinals(good.filter(k == "TABLE"), "provision_id", ("page_number", "reading_order"))
+    tables = tables.withColumn("provision_id", F.concat("provision_id", F.lit("__bang-"), F.col("ordinal").cast("string"))).drop("ordinal")
+    good = rest.unionByName(tables)
     return good.withColumn("content_hash", F.sha2("line", 256)).withColumn("short_point", (k == "POINT") & (F.size(F.split("line", " ")) <= 3))
 
 
-def table_ordinals(tables: DataFrame, parent: str = "parent_id") -> DataFrame:
-    """Ordinals of the tables under one parent: the number asked for if free, else the next free one; a fold per parent."""
-    runs = tables.groupBy(parent).agg(F.array_sort(F.collect_list(F.struct("reading_order", F.coalesce("number", F.lit(0)).alias("number")))).alias("run"))
-    fold = """aggregate(run, cast(array() as array<struct<reading_order:int,ordinal:int>>), (acc, x) -> concat(acc, array(named_struct(
-        'reading_order', x.reading_order, 'ordinal', case when x.number > 0 and not exists(acc, y -> y.ordinal = x.number) then x.number
-        else element_at(filter(sequence(greatest(x.number, 1), greatest(x.number, 1) + size(acc)), n -> not exists(acc, y -> y.ordinal = n)), 1) end))))"""
-    return runs.select(parent, F.explode(F.expr(fold)).alias("t")).select(parent, "t.reading_order", "t.ordinal")
+def next_free(used: dict[int, int], wanted: int) -> int:
+    """The least number from ``wanted`` on that is not used, which then is. ``used`` leads from each used number towards a free one."""
+    free = wanted
+    while free in used:
+        free = used[free]
+    while wanted != free:  # every number on the way now leads straight there
+        used[wanted], wanted = free, used[wanted]
+    used[free] = free + 1
+    return free
+
+
+def _ordinals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (parent, number, ...) sorted by parent and order, with ``ordinal``; state: the used numbers of one parent."""
+    held, last, used = object(), 0, {}
+    for batch in batches:
+        ordinals = []
+        for parent, number in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if parent != held:
+                held, last, used = parent, 0, {}
+            last = next_free(used, last + 1 if number is None or number < 0 else number)
+            ordinals.append(last)
+        yield batch.append_column("ordinal", pa.array(ordinals, pa.int64()))
+
+
+def table_ordinals(tables: DataFrame, parent: str = "parent_id", order: tuple[str, ...] = ("reading_order",)) -> DataFrame:
+    """``tables`` with ``ordinal``: each table's number under its parent, in order.
+
+    A table that asks for a number (``number``, digits) gets it, one that does not the number after the last given; where that is
+    taken, the next free one. Partitions are sorted streams and a used number leads straight to the next free one, so a
+    parent of many tables costs little more than its sort.
+    """
+    number = F.when(F.col("number").cast("string").rlike(r"^\d+$"), F.col("number").try_cast("long"))
+    rows = tables.select(F.col(parent).alias("_parent"), number.alias("_number"), *tables.columns)
+    rows = rows.repartition("_parent").sortWithinPartitions("_parent", *order)
+    schema = T.StructType([*rows.schema.fields, T.StructField("ordinal", T.LongType())])
+    return rows.mapInArrow(_ordinals, schema).drop("_parent", "_number")

@@ -185,13 +185,61 @@ def compare_pick(s: SparkSession, d: str) -> DataFrame:
     return qu.compare_and_pick(a, b)
 
 
+def _ordinal_sql(tables: str) -> str:
+    """A fold over each parent's tables, one table a step; ``tables``: parent_id, n (place from 1), number."""
+    free = "list_min(list_filter(range(w, w + len(used) + 1), lambda x: NOT list_contains(used, x)))"
+    return f"""f AS (SELECT parent_id, n, coalesce(number, 1) AS ordinal, [coalesce(number, 1)] AS used FROM {tables} WHERE n = 1
+    UNION ALL SELECT parent_id, n, {free} AS ordinal, list_append(used, {free}) AS used FROM (SELECT t.parent_id, t.n, coalesce(t.number, f.ordinal + 1) AS w, f.used FROM f JOIN {tables} t ON t.parent_id = f.parent_id AND t.n = f.n + 1))"""
+
+
 @query(
-    """WITH t AS (SELECT doc_id % 50 AS parent_id, doc_id AS reading_order, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) AS n FROM documents) SELECT parent_id, CAST(reading_order AS INTEGER) AS reading_order, CAST(n AS INTEGER) AS ordinal FROM t"""
+    f"""WITH RECURSIVE {v.ELEMENTS}, t AS (SELECT doc_id || '-' || reading_order // 40 AS parent_id, reading_order, CASE (reading_order * 7 + doc_id) % 6 WHEN 0 THEN 5 WHEN 2 THEN 2 WHEN 4 THEN reading_order % 9 WHEN 5 THEN length(text) % 4 END::BIGINT AS number,
+      row_number() OVER (PARTITION BY doc_id, reading_order // 40 ORDER BY reading_order) AS n FROM elements WHERE reading_order % 3 < 2), {_ordinal_sql("t")}
+    SELECT parent_id, reading_order, ordinal FROM f JOIN t USING (parent_id, n)"""
 )
 def table_ordinals(s: SparkSession, d: str) -> DataFrame:
-    """All tables of a parent ask for number 1; each gets the next free one."""
-    t = v.documents(s, d).select((F.col("doc_id") % 50).alias("parent_id"), F.col("doc_id").cast("int").alias("reading_order"), F.lit(1).alias("number"))
-    return st.table_ordinals(t)
+    """Tables of several parents in each document, that ask for mixed numbers or none."""
+    i, ro = F.col("doc_id"), F.col("reading_order")
+    turn = (ro * 7 + i) % 6
+    number = F.when(turn == 0, F.lit(5)).when(turn == 2, F.lit(2)).when(turn == 4, ro % 9).when(turn == 5, F.length("text") % 4)
+    t = v.elements(s, d).filter(ro % 3 < 2).select(F.concat(i, F.lit("-"), F.expr("reading_order div 40")).alias("parent_id"), "reading_order", number.alias("number"))
+    return st.table_ordinals(t).select("parent_id", "reading_order", "ordinal")
+
+
+_TABLED = f"""{v.MARKED}, tabled AS (SELECT doc_id, page_number, reading_order, 0.5 AS top, 0.5 AS bottom, CASE WHEN reading_order % 4 = 3 THEN 'table' ELSE 'paragraph' END AS element_type,
+  CASE WHEN reading_order % 4 = 3 THEN CASE reading_order % 5 WHEN 0 THEN 'Bảng ' || (reading_order % 3 + 1) || '. ' WHEN 1 THEN 'Bảng 5: ' ELSE '' END WHEN reading_order % 48 = 30 THEN 'Chuyển tiếp ' WHEN reading_order % 64 = 37 THEN 'Phụ lục. ' WHEN reading_order % 80 = 56 THEN 'Mục 2. ' ELSE '' END || text AS text FROM marked)"""
+_TABLE_KINDS = _MATCHED.replace(v.MARKED, _TABLED).replace("high FROM marked)", "high FROM tabled)").replace(
+    "WHEN element_type = 'table' OR", r"WHEN regexp_matches(line, '(?i)^Phụ\s+lục(?:\s+([IVXLCDM]+|\d+))?\s*[.:-]?\s*(.*)$') THEN 'APPENDIX' WHEN regexp_matches(line, '(?i)^(?:Điều\s+khoản\s+)?chuyển\s+tiếp') THEN 'TRANSITIONAL' WHEN element_type = 'table' OR"
+)
+
+
+def _open_sql(value: str, kind: str, *resets: str) -> str:
+    return f"nullif(last_value(CASE WHEN kind = '{kind}' THEN {value} WHEN kind IN ('', {', '.join(repr(r) for r in resets)}) THEN '' END IGNORE NULLS) OVER w, '')"
+
+
+_HIGHER = ("CHAPTER", "SECTION", "APPENDIX", "TRANSITIONAL")
+_TABLE_ROWS = rf"""{_TABLE_KINDS}, numbered AS (SELECT * EXCLUDE (number), CASE WHEN kind = 'APPENDIX' THEN CAST(sum(CASE WHEN kind = 'APPENDIX' THEN 1 ELSE 0 END) OVER ({W_ALL} ROWS UNBOUNDED PRECEDING) AS VARCHAR) ELSE number END AS number FROM matched),
+    around AS (SELECT *, {_open_sql("number", "ARTICLE", *_HIGHER)} AS article, {_open_sql("number", "APPENDIX", "CHAPTER", "SECTION", "ARTICLE", "TRANSITIONAL")} AS appendix, concat_ws(' ', {_open_sql("line", "CHAPTER", "-")}, {_open_sql("line", "SECTION", "CHAPTER")}, {_open_sql("line", "ARTICLE", *_HIGHER)}, {_open_sql("line", "CLAUSE", "ARTICLE", *_HIGHER)}) AS parent_context FROM numbered WINDOW w AS ({W_ALL} ROWS UNBOUNDED PRECEDING)),
+    t AS (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY page_number, reading_order) AS n FROM (SELECT * EXCLUDE (number), TRY_CAST(number AS BIGINT) AS number, doc_id || CASE WHEN appendix IS NOT NULL THEN '__phu-luc-' || appendix WHEN regexp_full_match(article, '[0-9]+') THEN '__dieu-' || article END AS parent_id FROM around WHERE kind = 'TABLE') WHERE parent_id IS NOT NULL),
+    {_ordinal_sql("t")}"""
+
+
+def _tabled(s: SparkSession, d: str) -> DataFrame:
+    """The marked elements with tables, numbered or not, transitional parts, appendices and sections between them."""
+    ro = F.col("reading_order")
+    mark = (
+        F.when((ro % 4 == 3) & (ro % 5 == 0), F.concat(F.lit("Bảng "), (ro % 3 + 1).cast("string"), F.lit(". "))).when((ro % 4 == 3) & (ro % 5 == 1), "Bảng 5: ").when(ro % 4 == 3, "")
+        .when(ro % 48 == 30, "Chuyển tiếp ").when(ro % 64 == 37, "Phụ lục. ").when(ro % 80 == 56, "Mục 2. ").otherwise("")
+    )
+    kind = F.when(ro % 4 == 3, "table").otherwise("paragraph")
+    return v.marked(s, d).withColumn("text", F.concat(mark, "text")).withColumn("element_type", kind).withColumn("top", F.lit(0.5)).withColumn("bottom", F.lit(0.5))
+
+
+@query(f"WITH RECURSIVE {_TABLE_ROWS.strip()} SELECT parent_id || '__bang-' || ordinal AS provision_id, reading_order, sha256(line) AS content_hash, nullif(parent_context, '') AS parent_context FROM f JOIN t USING (parent_id, n)")
+def table_provisions(s: SparkSession, d: str) -> DataFrame:
+    """Tables as provisions: ids under their article or appendix, and the lines that enclose them."""
+    built = st.provisions(st.contexts(st.nodes(_tabled(s, d))))
+    return built.filter("kind = 'TABLE'").select("provision_id", "reading_order", "content_hash", "parent_context")
 
 
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CASE doc_id % 5 WHEN 4 THEN 'd)' WHEN 3 THEN NULL ELSE NULL END WHEN 1 THEN 'đ)' WHEN 2 THEN 'a)' END AS label FROM documents")

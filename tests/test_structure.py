@@ -88,6 +88,49 @@ def test_context_text(spark):
     assert r.a == "Khoản 2. Người lái xe" and r.b == "Điều 5. Phạt tiền đối với xe" and r.d == "Khoản 2. Người lái xe"
 
 
+def allocated(numbers):
+    out, used, last = [], set(), 0
+    for n in numbers:
+        n = last + 1 if n is None else n
+        while n in used:
+            n += 1
+        used.add(n)
+        out.append(n)
+        last = n
+    return out
+
+
 def test_table_ordinals(spark):
-    t = spark.createDataFrame([("p", 1, 2), ("p", 2, 2), ("p", 3, None), ("p", 4, 1), ("q", 1, None)], "parent_id string, reading_order int, number int")
-    assert {tuple(r) for r in structure.table_ordinals(t).collect()} == {("p", 1, 2), ("p", 2, 3), ("p", 3, 1), ("p", 4, 4), ("q", 1, 1)}
+    """Numbers asked for, numbers after the last one given, and the next free one, against a step by step search."""
+    r = random.Random(8)
+    cases = {"a": [5, None, 2, None], "b": [2, 2, None, 1], "c": [None], "d": [None, 1, 1, 1, None], "e": [0, None, 0, 10**12, None]}
+    cases |= {f"r{i}": [r.choice([None, r.randint(0, 12)]) for _ in range(r.randint(1, 60))] for i in range(40)}
+    rows = [(p, i, None if n is None else str(n)) for p, numbers in cases.items() for i, n in enumerate(numbers)]
+    rows += [("word", 0, "x"), ("word", 1, "3a"), (None, 0, "2"), (None, 1, None)]
+    got = {(t.parent_id, t.reading_order): t.ordinal for t in structure.table_ordinals(spark.createDataFrame(rows, "parent_id string, reading_order int, number string").repartition(5)).collect()}
+    assert got == {(p, i): n for p, numbers in cases.items() for i, n in enumerate(allocated(numbers))} | {("word", 0): 1, ("word", 1): 2, (None, 0): 2, (None, 1): 3}
+    assert [got["a", i] for i in range(4)] == [5, 6, 2, 3]
+
+
+def test_many_tables_of_one_parent(spark):
+    """All ask for number 1: linear work, not a search of what the others took."""
+    import time
+
+    n, began = 100_000, time.time()
+    t = spark.range(n).selectExpr("'p' as parent_id", "id as reading_order", "1 as number")
+    got = structure.table_ordinals(t).selectExpr("min(ordinal - reading_order) as low", "max(ordinal - reading_order) as high", "count(*) as n").first()
+    assert (got.low, got.high, got.n) == (1, 1, n) and time.time() - began < 30
+
+
+def test_tables_contexts_and_drops(spark):
+    lines = [("table", "mất"), ("p", "Chương I. Chung"), ("p", "Mục 1. Đầu"), ("p", "Điều 5. Phạt"), ("table", "Bảng 5. năm"), ("p", "1. Phạt tiền"), ("table", "không số"), ("p", "Bảng 2: hai"), ("table", "sau hai"), ("heading", "đề mục")]
+    lines += [("p", "Chuyển tiếp"), ("p", "3. mất khoản"), ("table", "mất bảng"), ("p", "Phụ lục II. Mẫu"), ("table", "mẫu"), ("p", "Chương II. Sau"), ("p", "Điều 6a. Lạ"), ("table", "mất nữa"), ("p", "Điều 5. Lặp"), ("table", "lặp")]
+    rows = [("nd-1", 1, i, k, t, 0.5, 0.6) for i, (k, t) in enumerate(lines)]
+    e = spark.createDataFrame(rows, "doc_id string, page_number int, reading_order int, element_type string, text string, top double, bottom double")
+    got = [(r.provision_id, r.parent_context) for r in structure.provisions(structure.contexts(structure.nodes(e))).orderBy("reading_order").collect()]
+    head = "Chương I. Chung Mục 1. Đầu"
+    assert got == [
+        ("nd-1__dieu-5", head), ("nd-1__dieu-5__bang-5", f"{head} Điều 5. Phạt"), ("nd-1__dieu-5__khoan-1", f"{head} Điều 5. Phạt"), ("nd-1__dieu-5__bang-6", f"{head} Điều 5. Phạt 1. Phạt tiền"),
+        ("nd-1__dieu-5__bang-2", f"{head} Điều 5. Phạt 1. Phạt tiền"), ("nd-1__dieu-5__bang-3", f"{head} Điều 5. Phạt 1. Phạt tiền"), ("nd-1__tieu-de-1", f"{head} Điều 5. Phạt 1. Phạt tiền"),
+        ("nd-1__chuyen-tiep-1", head), ("nd-1__phu-luc-2", head), ("nd-1__phu-luc-2__bang-1", head), ("nd-1__dieu-5", "Chương II. Sau"), ("nd-1__dieu-5__bang-4", "Chương II. Sau Điều 5. Lặp"),
+    ]
