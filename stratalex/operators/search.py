@@ -13,37 +13,51 @@ from pyspark.sql import Window as W
 from .sparse import ranked
 
 
-#: Queries that one pass over the vectors answers; with 1,000 numbers each they are some 160 MB in a task.
+#: Queries that go to every task at once; with 1,000 numbers each they are some 160 MB in a task.
 QUERIES_PER_PASS = 20_000
 
 
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, size: int | None = None, per_pass: int = QUERIES_PER_PASS) -> DataFrame:
     """The k nearest vectors of each query by cosine; ``queries``: query_id, embedding; ``vectors``: unit_id, embedding.
 
-    Queries are a stated set; they go to the tasks in blocks of ``per_pass``, a pass over the vectors each. A task keeps the k
-    best of its vectors for every query, so k rows for each query and task are sorted in the end. A vector is not held
+    Exhaustive. Up to ``per_pass`` queries travel with the tasks, which keep the k best of their vectors for every query; more
+    queries stay a table, and blocks of queries meet blocks of vectors in tasks of bounded size. A vector is not held
     against the query of its own id; vectors of another length and those that are null are left out.
     """
     good = vectors.filter("embedding is not null") if size is None else vectors.filter(F.size("embedding") == size)
     asked = queries.filter("embedding is not null").select("query_id", "embedding")
-    n = asked.count()
-    out, blocks = None, max(1, -(-n // per_pass))
-    for block in range(blocks):
-        some = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()
-        if len(some):
-            ids, matrix = some["query_id"].to_numpy("int64"), _unit_rows(np.stack([np.asarray(x, "float64") for x in some["embedding"]]))
-            best = good.select("unit_id", "embedding").mapInArrow(_nearest(ids, matrix, k), "query_id bigint, unit_id bigint, score double")
-            out = best if out is None else out.unionByName(best)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], "query_id bigint, unit_id bigint, score double, rank int")
+    if asked.limit(per_pass + 1).count() > per_pass:
+        from .dense_index import in_blocks
+
+        whole = lambda df, key: df.select(F.lit(0).alias("list"), F.col(key).cast("long").alias("unit_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+        out = in_blocks(whole(asked, "query_id"), whole(good, "unit_id"), k, most=per_pass)
+    else:
+        some = asked.toPandas()
+        if not len(some):
+            return queries.sparkSession.createDataFrame([], "query_id bigint, unit_id bigint, score double, rank int")
+        ids, matrix = some["query_id"].to_numpy("int64"), unit_rows(np.stack([np.asarray(x, "float64") for x in some["embedding"]]))
+        out = good.select("unit_id", "embedding").mapInArrow(_nearest(ids, matrix, k), "query_id bigint, unit_id bigint, score double")
     return ranked(out, "query_id", "score", "unit_id", k)
 
 
-def _unit_rows(m: np.ndarray) -> np.ndarray:
+def unit_rows(m: np.ndarray) -> np.ndarray:
     with np.errstate(invalid="ignore", divide="ignore"):
         return m / np.sqrt((m * m).sum(axis=1))[:, None]
 
 
+def best_of(ids: np.ndarray, asked: np.ndarray, units: np.ndarray, own: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray] | None = None):
+    """(found, scores, units): for each query the k best of ``units`` and of ``best`` so far, by score, then unit_id."""
+    scores = np.round(asked @ own.T, 6)
+    scores[~np.isfinite(scores) | (ids[:, None] == units)] = -np.inf
+    held = np.broadcast_to(units, scores.shape)
+    s, u = (scores, held) if best is None else (np.concatenate([best[0], scores], axis=1), np.concatenate([best[1], held], axis=1))
+    # Scores have six places, so score and id order as one pair: stable sort by id, then by score.
+    order = np.argsort(u, axis=1, kind="stable")
+    order = np.take_along_axis(order, np.argsort(-np.take_along_axis(s, order, 1), axis=1, kind="stable"), 1)[:, :k]
+    s, u = np.take_along_axis(s, order, 1), np.take_along_axis(u, order, 1)
+    return np.isfinite(s), s, u
+
+
 def _nearest(ids: np.ndarray, matrix: np.ndarray, k: int):
     """Task function: of the vectors of a partition the k best for each query, by score, then unit_id."""
 
@@ -53,16 +67,10 @@ def _nearest(ids: np.ndarray, matrix: np.ndarray, k: int):
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
                 units = part.column(0).to_numpy(zero_copy_only=False).astype("int64")
-                own = _unit_rows(part.column(1).flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(units), -1))
+                own = unit_rows(part.column(1).flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(units), -1))
                 for q in range(0, len(ids), 1024):
-                    scores = np.round(matrix[q : q + 1024] @ own.T, 6)
-                    scores[~np.isfinite(scores) | (ids[q : q + 1024, None] == units)] = -np.inf
-                    s = np.concatenate([best_s[q : q + 1024], scores], axis=1)
-                    u = np.concatenate([best_u[q : q + 1024], np.broadcast_to(units, scores.shape)], axis=1)
-                    # Scores have six places, so score and id order as one pair: stable sort by id, then by score.
-                    order = np.argsort(u, axis=1, kind="stable")
-                    order = np.take_along_axis(order, np.argsort(-np.take_along_axis(s, order, 1), axis=1, kind="stable"), 1)[:, :k]
-                    best_s[q : q + 1024], best_u[q : q + 1024] = np.take_along_axis(s, order, 1), np.take_along_axis(u, order, 1)
+                    some = slice(q, q + 1024)
+                    _, best_s[some], best_u[some] = best_of(ids[some], matrix[some], units, own, k, (best_s[some], best_u[some]))
         found = np.isfinite(best_s)
         rows = np.repeat(ids, found.sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(best_u[found]), pa.array(best_s[found])], names=["query_id", "unit_id", "score"])

@@ -9,8 +9,10 @@ from stratalex.functions.text import tokens
 from stratalex.operators import evaluation as ev
 from stratalex.operators import search as se
 from stratalex.operators import sparse as sp
+from stratalex.operators.dense_index import DenseIndex
+from stratalex.operators.impact import ImpactIndex
 from stratalex.session import table
-from stratalex.sources.stored import stored
+from stratalex.sources.stored import stored, stored_once
 
 from . import views as v
 from .catalog import query
@@ -19,8 +21,8 @@ TERMS = ("the", "of", "and")
 
 
 def _counts(s: SparkSession, d: str) -> DataFrame:
-    """Term counts of all texts, built once: vocabulary and postings read the table."""
-    return stored(sp.term_counts(sp.token_rows(v.documents(s, d), "doc_id", "text")), "term-counts")
+    """Term counts of all texts, built once for each input: all queries read the table."""
+    return stored_once(s, "term-counts", f"{d}/documents.parquet", lambda: sp.term_counts(sp.token_rows(v.documents(s, d), "doc_id", "text")))
 
 
 def _total(s: SparkSession, d: str) -> int:
@@ -29,7 +31,7 @@ def _total(s: SparkSession, d: str) -> int:
 
 def _vocab(s: SparkSession, d: str, counts: DataFrame) -> DataFrame:
     """A table of its own: joins with the counts then shuffle both sides plainly, and the rows of a common token are split."""
-    return stored(sp.vocabulary(counts, _total(s, d)), "vocabulary")
+    return stored_once(s, "vocabulary", f"{d}/documents.parquet", lambda: sp.vocabulary(counts, _total(s, d)))
 
 
 def _queries(s: SparkSession, d: str) -> DataFrame:
@@ -194,6 +196,46 @@ def verification_layers(s: SparkSession, d: str) -> DataFrame:
     return joined.select("doc_id", se.verified(*layers).alias("passed"))
 
 
+@query(rf"WITH {_SPARSE} SELECT query_id, unit_id, score, CAST(rank AS INTEGER) AS rank FROM sparse WHERE rank <= 10")
+def bounded_topk(s: SparkSession, d: str) -> DataFrame:
+    """The rows of ``bm25_topk`` by blocks of impact and a threshold for each query."""
+    counts = _counts(s, d)
+    return ImpactIndex(counts, _vocab(s, d, counts)).top_k(_queries(s, d), 10).select("query_id", "unit_id", "score", "rank")
+
+
+@query(
+    rf"""WITH {v.TOKENS}, {v.QUERIES} SELECT CAST((SELECT count(*) FROM tf JOIN query USING (token)) AS BIGINT) AS exhaustive, true AS fewer"""
+)
+def bounded_topk_rows(s: SparkSession, d: str) -> DataFrame:
+    """Rows that the exhaustive search joins, and whether the bounded one joins fewer; its own number depends on the plan, not the data alone."""
+    counts, asked = _counts(s, d), _queries(s, d)
+    stats: dict[str, int] = {}
+    ImpactIndex(counts, _vocab(s, d, counts)).top_k(asked, 10, stats)
+    exhaustive = counts.join(asked, "token").agg(F.count("*").alias("exhaustive"))
+    return exhaustive.withColumn("fewer", F.lit(sum(stats.values())) < F.col("exhaustive"))
+
+
+@query(
+    """WITH q AS (SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0 AND len(embedding) = 64), n AS (SELECT count(*) AS n FROM embeddings WHERE len(embedding) = 64) SELECT count(*) AS queries, CAST(sum(least(10, n - 1)) AS BIGINT) AS neighbours, true AS enough FROM q, n"""
+)
+def dense_index_recall(s: SparkSession, d: str) -> DataFrame:
+    """Whether the inverted lists, every vector in them, find nine tenths of the true neighbours of the stated queries."""
+    e = table(s, d, "embeddings")
+    asked, vectors = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("unit_id"), "embedding")
+    true = stored(se.dense_top_k(asked, vectors, 10, 64).select("query_id", "unit_id"), "dense-true")
+    found = DenseIndex(vectors, 64).top_k(asked, 10).select("query_id", "unit_id", F.lit(1).alias("hit"))
+    each = true.join(found, ["query_id", "unit_id"], "left").agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("neighbours"), F.count("hit").alias("hits"))
+    return each.select("queries", "neighbours", (F.col("hits") >= 0.9 * F.col("neighbours")).alias("enough"))
+
+
+@query(None)
+def dense_index_topk(s: SparkSession, d: str) -> DataFrame:
+    """The nearest vectors of the stated queries by inverted lists; scores are exact, the candidates are not all."""
+    e = table(s, d, "embeddings")
+    asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return DenseIndex(e.select(F.col("vec_id").alias("unit_id"), "embedding"), 64).top_k(asked, 10)
+
+
 _RELEVANT = "relevant AS (SELECT q.vec_id AS query_id, u.vec_id AS unit_id FROM embeddings q JOIN embeddings u ON q.label = u.label AND q.vec_id != u.vec_id WHERE q.vec_id % 100 = 0)"
 
 
