@@ -2,23 +2,68 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+# Pieces of a reference and its four forms, the most specific first. Case does not count.
 _POINT = r"(?:Điểm\s*[a-zđ](?=\s|\))\s+)?"
 _CLAUSE = r"(?:Khoản\s*\d+\s+)?"
 _ONE = r"(?:Điều\s*\d+|Khoản\s*\d+|Điểm\s*[a-zđ](?=\s|\)))"
 _DOC = r"(?:\s+(?:của\s+)?(?:nghị\s+định|luật|thông\s+tư|nghị\s+quyết|quyết\s+định)\s*(?:số\s+)?\d+(?:/\d+)*(?:/[a-zđ]+(?:-[a-z]+)*)?)?"
-# Forms of a reference. Alternatives in one pattern, longest first, never overlap one another.
-REFERENCE = rf"(?iu)((?:(?:theo\s+)?quy\s+định\s+tại|theo)\s+{_POINT}{_CLAUSE}{_ONE}{_DOC}|{_POINT}Khoản\s*\d+\s+Điều\s*\d+{_DOC})"
+FORMS = (
+    rf"theo\s+quy\s+định\s+tại\s+{_POINT}{_CLAUSE}{_ONE}{_DOC}",
+    rf"quy\s+định\s+tại\s+{_POINT}{_CLAUSE}{_ONE}{_DOC}",
+    rf"theo\s+{_POINT}{_CLAUSE}{_ONE}{_DOC}",
+    rf"{_POINT}Khoản\s*\d+\s+Điều\s*\d+{_DOC}",
+)
 # Document kinds in ids.
 DOC_KINDS = {"nghị định": "nd", "luật": "luat", "thông tư": "tt", "nghị quyết": "nq", "quyết định": "qd"}
 
 
-def references(rows: DataFrame, key: str, text: str, pattern: str = REFERENCE) -> DataFrame:
-    """key, place, citation, article, clause, point, doc_kind, doc_number, doc_year of every reference in the texts: what the first group of ``pattern`` finds."""
-    found = rows.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))).alias("place", "raw"))
+def chosen(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans from the left, of those that begin at one place the longest, none overlapping one before it."""
+    out, last = [], -1
+    for begin, end in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if begin >= last:
+            out.append((begin, end))
+            last = end
+    return out
+
+
+def _spans(patterns: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forms = [re.compile(p, re.IGNORECASE) for p in patterns]
+        for batch in batches:
+            found = []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                every = [m.span() for form in forms for m in form.finditer(text or "")]
+                found += [(i, place, begin, end, text[begin:end]) for place, (begin, end) in enumerate(chosen(every))]
+            at, place, begin, end, raw = zip(*found) if found else ((),) * 5
+            columns = [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(x, pa.int32()) for x in (place, begin, end)), pa.array(raw, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["_key", "place", "begin", "end", "raw"])
+
+    return run
+
+
+def spans(rows: DataFrame, key: str, text: str, patterns: tuple[str, ...] = FORMS) -> DataFrame:
+    """key, place, begin, end, raw of what ``patterns`` find in whole texts.
+
+    Each pattern is matched from the left on its own; of all matches the leftmost are taken, of one beginning the longest,
+    and what begins inside one taken is left out. A null text has none.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    found = rows.select(key, text).mapInArrow(_spans(patterns), f"_key {kind}, place int, begin int, end int, raw string")
+    return found.withColumnRenamed("_key", key)
+
+
+def references(rows: DataFrame, key: str, text: str, patterns: tuple[str, ...] = FORMS) -> DataFrame:
+    """key, place, citation, article, clause, point, doc_kind, doc_number, doc_year of every reference in the texts: the ``spans`` of ``patterns``."""
+    found = spans(rows, key, text, patterns)
     c = F.trim(F.regexp_replace("raw", r"\s+", " "))
     part = lambda p: F.nullif(F.regexp_extract("citation", p, 1), F.lit(""))
     kind = F.lower(part(r"(?iu)(nghị định|luật|thông tư|nghị quyết|quyết định)\s*(?:số )?\d+"))

@@ -87,4 +87,5 @@ def test_small_dense_indexes(spark):
     assert DenseIndex(none, 2).top_k(ask, 3).count() == 0
     assert [(r.query_id, r.unit_id) for r in DenseIndex(one, 2).top_k(ask, 3).collect()] == [(2, 1)]
     assert DenseIndex(one, 2).top_k(ask.limit(0), 3).count() == 0
-    assert in_blocks(*(none.select(F.lit(0).alias("list"), "*"),) * 2, 3).count() == 0
+    listed = [spark.createDataFrame([], f"list int, {schema}") for _ in range(2)]
+    assert in_blocks(*listed, 3).count() == 0
