@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from stratalex.functions.text import leaked_header, provision_text
+from stratalex.sources.stored import stored
 
 
 def units(provisions: DataFrame) -> DataFrame:
@@ -49,18 +50,20 @@ class VersionedIndex:
     """Immutable versions under one root, and an alias file that names the current one.
 
     A version is written once (a name in use is refused); the alias is one file, replaced by an overwriting rename, so
-    readers see either the old or the new version whole. Works on any file system that Spark reaches.
+    readers see either the old or the new version whole. Works on any file system that Spark reaches. What was never
+    written reads as empty, with the columns of ``schema``.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, schema: str = "point_id string, content_hash string"):
+        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
 
     def write(self, version: str, points: DataFrame, *partition: str) -> None:
         writer = points.write.mode("errorifexists")
         (writer.partitionBy(*partition) if partition else writer).parquet(f"{self.root}/versions/{version}")
 
     def read(self, version: str | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/versions/{version or self.current()}")
+        fs, p = _path(self.spark, f"{self.root}/versions/{version or self.current()}")
+        return self.spark.read.parquet(str(p)) if fs.exists(p) else self.spark.createDataFrame([], self.schema)
 
     def current(self) -> str | None:
         fs, p = _path(self.spark, f"{self.root}/alias")
@@ -141,7 +144,8 @@ def batches(rows: DataFrame, size: int, *order: str) -> DataFrame:
 
     Ranges are numbered where the rows lie, then offset by the rows before them, so no task sorts it all.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    # Written once, so that counts and rows speak of the same ranges.
+    ranged = stored(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
     inside = F.row_number().over(W.partitionBy("_part").orderBy(*order))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition

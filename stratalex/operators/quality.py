@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -19,19 +23,79 @@ def extraction_metrics(elements: DataFrame, pages: DataFrame, expected_tables: D
     return out.select("doc_id", F.round("provenance_coverage", 6).alias("provenance_coverage"), F.round("text_extraction_rate", 6).alias("text_extraction_rate"), F.round(rate, 6).alias("table_detection_rate"))
 
 
-def layout_coherence(elements: DataFrame) -> DataFrame:
+def order_pairs(placed: list[tuple[int, tuple]]) -> tuple[int, int]:
+    """(pairs, agreeing pairs) of (order, place) rows in ascending order: pairs that differ in both, each row held against the places before it, sorted."""
+    before: list[tuple] = []
+    pairs = agree = at = 0
+    while at < len(placed):
+        end = at
+        while end < len(placed) and placed[end][0] == placed[at][0]:
+            end += 1
+        for _, place in placed[at:end]:
+            lower, upper = bisect_left(before, place), bisect_right(before, place)
+            pairs, agree = pairs + len(before) - (upper - lower), agree + lower
+        for _, place in placed[at:end]:
+            insort(before, place)
+        at = end
+    return pairs, agree
+
+
+def _page_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (page of a document, order, top, left) sorted by page, then order: the share of agreeing pairs of each page; state: one page."""
+    page, placed = None, []
+
+    def scored() -> tuple:
+        pairs, agree = order_pairs(placed)
+        return page["doc_id"], agree / pairs if pairs else 1.0
+
+    for batch in batches:
+        out = []
+        for key, order, top, left in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != page:
+                if placed:
+                    out.append(scored())
+                page, placed = key, []
+            placed.append((order, (top, float("-inf") if left is None else left)))
+        yield _scores(out, batch.schema.field(0).type.field("doc_id").type)
+    if placed:
+        yield _scores([scored()], batch.schema.field(0).type.field("doc_id").type)
+
+
+def _scores(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.float64())], names=["doc_id", "score"])
+
+
+def layout_coherence(elements: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """Share of comparable element pairs of a page whose reading order agrees with (top, left) order; the mean over pages.
 
     Pairs with equal boxes (to two places) or equal orders say nothing and are left out; a page without comparable
-    pairs scores 1. A page's elements meet as one sorted array, so pairs are counted without being made into rows.
+    pairs scores 1. Of ``documents``, those without elements score 1, those whose elements have no boxes null; without
+    ``documents``, documents without boxes have no row. Pages are sorted streams, counted in n log n.
+    """
+    page = F.struct("doc_id", "page_number").alias("page")
+    rows = elements.filter("top is not null and reading_order is not null").select(page, "reading_order", F.round("top", 2).cast("double").alias("top"), F.round("left", 2).cast("double").alias("left"))
+    kind = elements.schema["doc_id"].dataType.simpleString()
+    scores = rows.repartition("page").sortWithinPartitions("page", "reading_order").mapInArrow(_page_scores, f"doc_id {kind}, score double")
+    out = scores.groupBy("doc_id").agg(F.round(F.avg("score"), 6).alias("layout_coherence"))
+    if documents is None:
+        return out
+    held = elements.select("doc_id").distinct().withColumn("_held", F.lit(True))
+    every = documents.select("doc_id").distinct().join(held, "doc_id", "left").join(out, "doc_id", "left")
+    return every.select("doc_id", F.when(F.col("_held").isNull(), 1.0).otherwise(F.col("layout_coherence")).alias("layout_coherence"))
+
+
+def table_preservation(elements: DataFrame, expected: DataFrame) -> DataFrame:
+    """doc_id, status, preserved, tables, table_preservation: the share of found tables that keep their HTML.
+
+    ``expected``: doc_id, expected (tables that the gold annotation holds, or null). ``na`` where the gold tells of no tables or
+    the parser found none: there is nothing to preserve, and no percentage is made up.
     """
-    key = F.struct(F.round("top", 2).alias("top"), F.round("left", 2).alias("left"))
-    placed = elements.filter("top is not null").groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("reading_order", key.alias("at")))).alias("e"))
-    rest = "filter(slice(e, i + 1, size(e)), y -> y.reading_order > e[i - 1].reading_order and y.at {} e[i - 1].at)"
-    count = lambda test: F.expr(f"aggregate(sequence(1, size(e)), 0L, (n, i) -> n + size({rest.format(test)}))")
-    pages = placed.withColumn("pairs", count("!=")).withColumn("agree", count(">"))
-    score = F.when(F.col("pairs") > 0, F.col("agree") / F.col("pairs")).otherwise(1.0)
-    return pages.groupBy("doc_id").agg(F.round(F.avg(score), 6).alias("layout_coherence"))
+    kept = (F.coalesce(F.btrim("table_html", F.lit(" \t\n\r\x0b\x0c")), F.lit("")) != "").cast("long")
+    found = elements.filter("element_type = 'table'").groupBy("doc_id").agg(F.sum(kept).alias("preserved"), F.count("*").alias("tables"))
+    told = expected.join(found, "doc_id", "left")
+    computed = F.coalesce(F.col("expected") > 0, F.lit(False)) & F.col("tables").isNotNull()
+    value = lambda c: F.when(computed, c)
+    return told.select("doc_id", F.when(computed, "computed").otherwise("na").alias("status"), value(F.col("preserved")).alias("preserved"), value(F.col("tables")).alias("tables"), value(F.round(F.col("preserved") / F.col("tables"), 6)).alias("table_preservation"))
 
 
 def gate(value: Column, least: float | None) -> Column:

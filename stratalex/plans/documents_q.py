@@ -155,11 +155,15 @@ def object_keys(s: SparkSession, d: str) -> DataFrame:
     return v.documents(s, d).select("doc_id", fi.object_key(F.concat(F.lit("lang="), "lang"), F.col("source"), F.sha2("text", 256)).alias("object_key"))
 
 
-@query("SELECT min(doc_id) AS upload_id, sha256(text) AS file_hash FROM documents WHERE doc_id % 3 != 0 GROUP BY 2 HAVING sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 50 = 0)")
+@query(
+    """WITH u AS (SELECT doc_id, CASE WHEN doc_id % 17 != 4 THEN sha256(text) END AS h FROM documents WHERE doc_id % 3 != 0 AND doc_id % 7 != 5 AND doc_id % 11 != 6), k AS (SELECT sha256(text) AS h FROM documents WHERE doc_id % 50 = 0)
+    SELECT min(doc_id) AS upload_id, h AS file_hash FROM u WHERE h IS NOT NULL AND h NOT IN (SELECT h FROM k) GROUP BY h UNION ALL SELECT doc_id, NULL FROM u WHERE h IS NULL"""
+)
 def upload_dedupe(s: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
     docs = v.documents(s, d)
-    uploads = docs.select(i.alias("upload_id"), F.sha2("text", 256).alias("file_hash"), F.when(i % 3 == 0, "image/png").otherwise("text/plain").alias("mime"), F.length("text").alias("bytes"))
+    name = F.concat(F.lit("v1.2/file "), "doc_id", F.when(i % 7 == 5, ".pdf.exe").when(i % 11 == 6, "").when(i % 2 == 0, ".PDF").otherwise(".pdf"))
+    uploads = docs.select(i.alias("upload_id"), F.when(i % 17 != 4, F.sha2("text", 256)).alias("file_hash"), name.alias("file_name"), F.when(i % 3 == 0, "image/png").when(i % 3 == 1, "text/plain").alias("mime"), F.length("text").alias("bytes"))
     known = docs.filter("doc_id % 50 = 0").select(F.sha2("text", 256).alias("file_hash")).distinct()
     return fi.accepted_uploads(uploads, known).select("upload_id", "file_hash")
 

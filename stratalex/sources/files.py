@@ -55,10 +55,15 @@ def vocabulary(spark: SparkSession, root: str, version: str, built: DataFrame) -
     return spark.read.parquet(path)
 
 
-def accepted_uploads(uploads: DataFrame, known: DataFrame, most_bytes: int = 50_000_000, kinds=("application/pdf", "text/plain")) -> DataFrame:
-    """Uploads of a good type and size whose content (file_hash) is new; of equal ones the first by upload_id."""
-    good = uploads.filter(F.col("mime").isin(*kinds) & (F.col("bytes") <= most_bytes))
-    first = F.row_number().over(W.partitionBy("file_hash").orderBy("upload_id"))
+def accepted_uploads(uploads: DataFrame, known: DataFrame, most_bytes: int = 50_000_000, kinds=("application/pdf", "text/plain"), extensions: tuple[str, ...] = (".pdf",)) -> DataFrame:
+    """Uploads of a good name, type and size whose content (file_hash) is new; of equal ones the first by upload_id.
+
+    The extension of file_name decides, in either case; a missing name stands for a good one, and so does a missing type. A
+    size that is not known is refused. Uploads without a hash are equal to nothing and each stays.
+    """
+    named = F.lit(True) if "file_name" not in uploads.columns else F.col("file_name").isNull() | F.lower(F.regexp_extract("file_name", r"(\.[^./\\\\]*)$", 1)).isin(*extensions)
+    good = uploads.filter(named & (F.col("mime").isNull() | F.col("mime").isin(*kinds)) & (F.col("bytes") <= most_bytes))
+    first = F.row_number().over(W.partitionBy("file_hash", F.when(F.col("file_hash").isNull(), F.col("upload_id"))).orderBy("upload_id"))
     return good.withColumn("_n", first).filter("_n = 1").drop("_n").join(known.select("file_hash"), "file_hash", "left_anti")
 
 
