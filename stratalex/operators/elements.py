@@ -44,6 +44,12 @@ def html_table(cells: Column) -> Column:
     return F.concat(F.lit("<table>"), F.concat_ws("", F.transform(cells, row)), F.lit("</table>"))
 
 
+def item_table(kind: Column, html: Column, body: Column, cells: Column, tables: tuple[str, ...] = ("table",)) -> Column:
+    """HTML of a table item: its own, else its body, else its cells; blank ones give way, and what is no table has none."""
+    said = lambda c: F.when(F.btrim(c, F.lit(" \t\n\r\x0b\x0c")) != "", c)
+    return F.when(F.lower(kind).isin(*tables), F.coalesce(said(html), said(body), F.when(F.size(cells) > 0, html_table(cells))))
+
+
 def from_lines(docs: DataFrame, key: str = "doc_id", per_page: int = 4) -> DataFrame:
     """One element for each line: page, reading_order, type and box by the line's place."""
     rows = docs.select(F.col(key).alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("reading_order", "text"))

@@ -62,6 +62,35 @@ def evidence_recall(required: DataFrame, found: DataFrame) -> DataFrame:
     return met.groupBy("query_id").agg(F.round(share, 6).alias("recall"), (share == 1).alias("complete"))
 
 
+def evidence_metrics(required: DataFrame, found: DataFrame, answerable: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, recall, all_at_k, hops, complete of the answerable questions that require evidence.
+
+    ``required``: query_id, category, unit_id (the units that serve a category); ``found``: query_id, unit_id, rank;
+    ``answerable``: query_id. recall: share of the categories with a unit found at any rank; all_at_k: every category has
+    one in the first ``k``; hops: number of categories; complete: all covered, only told where there are several (null else).
+    Questions that are not answerable, or require nothing, have no row: they are neither above nor below the line.
+    """
+    asked = required.join(answerable.select("query_id").distinct(), "query_id", "left_semi")
+    ranks = found.groupBy("query_id", "unit_id").agg(F.min("rank").alias("rank"))
+    best = asked.join(ranks, ["query_id", "unit_id"], "left").groupBy("query_id", "category").agg(F.min("rank").alias("rank"))
+    share = lambda test: F.avg(F.coalesce(test, F.lit(False)).cast("double"))
+    per = best.groupBy("query_id").agg(F.round(share(F.col("rank").isNotNull()), 6).alias("recall"), (share(F.col("rank") <= k) == 1).alias("all_at_k"), F.count("*").alias("hops"))
+    return per.withColumn("complete", F.when(F.col("hops") > 1, F.col("recall") == 1))
+
+
+def costs(usage: DataFrame, prices: DataFrame, by: str) -> DataFrame:
+    """by, queries, tokens, cost, cost_per_query of metered calls; cost is null where a call's model has no price.
+
+    ``usage``: ``by``, query_id, model, input_tokens, output_tokens; ``prices``: model, input_price, output_price, in money for a
+    million tokens, as decimals so that sums do not depend on their order.
+    """
+    price = lambda c: F.col(c).cast("decimal(18,6)")
+    spent = usage.join(prices, "model", "left").withColumn("_cost", F.col("input_tokens") * price("input_price") + F.col("output_tokens") * price("output_price"))
+    total = F.when(F.count("_cost") == F.count("*"), F.sum("_cost").cast("double") / 1_000_000)
+    out = spent.groupBy(by).agg(F.countDistinct("query_id").alias("queries"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), total.alias("_total"))
+    return out.select(by, "queries", "tokens", F.round("_total", 6).alias("cost"), F.round(F.col("_total") / F.col("queries"), 6).alias("cost_per_query"))
+
+
 def resolution_choice(pages: DataFrame) -> DataFrame:
     """The finer scan resolution if it reads better (phrases or boxes) in at most twice the time, else the coarser.
 

@@ -41,6 +41,12 @@ def reconciled(authority: DataFrame, index: DataFrame) -> DataFrame:
     return kept.unionByName(fresh)
 
 
+def repair_plan(authority: DataFrame, index: DataFrame) -> DataFrame:
+    """What ``reconciled`` would do, without doing it: action (upsert, delete), state, points."""
+    action = F.when(F.col("state") == "extra", "delete").otherwise("upsert").alias("action")
+    return diff(authority, index).groupBy(action, "state").agg(F.count("*").alias("points"))
+
+
 def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p

@@ -23,4 +23,4 @@ def query(sql: str | None) -> Callable[[Query], Query]:
     return add
 
 
-from . import documents_q, ingest_q, legal_q, more_q, retrieval_q, stream_q, structure_q, temporal_q  # noqa: E402, F401  the modules register themselves
+from . import documents_q, ingest_q, legal_q, more_q, records_q, retrieval_q, stream_q, structure_q, temporal_q  # noqa: E402, F401  the modules register themselves
