@@ -38,7 +38,8 @@ TYPE_PREFIXES = (
 STOPWORDS = ("và", "với", "để", "là", "các", "những", "một", "khi", "nếu", "thì", "cũng", "đều", "về", "từ", "ở", "bởi", "như", "hay")
 # Fixed value: grammar of logical provision ids.
 ID_GRAMMAR = r"^[a-zđ]+-[0-9]+-[0-9]{4}(__dieu-\d+(__khoan-(\d+(__diem-[a-zđ])?|chuyen-tiep)|__bang-\d+)?|__phu-luc-\d+(__bang-\d+)?|__chuyen-tiep-\d+|__tieu-de-\d+)?$"
-TOKEN = r"([\p{L}\p{Nl}\p{No}]+)"
+LETTER = r"[\p{L}\p{Nl}\p{No}]"
+TOKEN = rf"({LETTER}+)"
 
 
 def _normal(form: str):

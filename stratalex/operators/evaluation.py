@@ -43,6 +43,23 @@ def retrieval_scores(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> Dat
     )
 
 
+def scores_by_label(ranked: DataFrame, asked: DataFrame, units: DataFrame, k: int = 10) -> DataFrame:
+    """``retrieval_scores`` where the relevant units of a query are those of its label, itself left out.
+
+    ``asked``: query_id, label; ``units``: unit_id, label. Only the units found are looked at; of the others the number of a
+    label's units is enough, so no query meets all units of its label.
+    """
+    totals = units.groupBy("label").agg(F.count("*").alias("_n"))
+    own = asked.join(units.withColumnRenamed("unit_id", "query_id"), ["query_id", "label"], "left_semi").select("query_id", F.lit(1).alias("_own"))
+    total = asked.join(totals, "label").join(own, "query_id", "left").select("query_id", "label", (F.col("_n") - F.coalesce("_own", F.lit(0))).alias("total")).filter("total > 0")
+    found = ranked.filter(F.col("rank") <= k).join(units.withColumnRenamed("label", "_found"), "unit_id").join(total, "query_id").filter((F.col("_found") == F.col("label")) & (F.col("unit_id") != F.col("query_id")))
+    hits = found.groupBy("query_id").agg(F.count("*").alias("_hits"), F.min("rank").alias("_best"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("_dcg"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), F.col("total")).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
+    out = total.join(hits, "query_id", "left")
+    value = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
+    return out.select("query_id", value(F.col("_hits") / F.col("total")).alias("recall"), value(1 / F.col("_best")).alias("mrr"), value(F.col("_dcg") / ideal).alias("ndcg"))
+
+
 def confusion(rows: DataFrame, truth: Column, guess: Column) -> DataFrame:
     """tp, fp, fn, tn, precision, recall, f1 of a yes-no guess."""
     n = lambda t, g: F.sum(((truth if t else ~truth) & (guess if g else ~guess)).cast("int"))

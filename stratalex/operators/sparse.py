@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from stratalex.functions.text import tokens
+from stratalex.functions.text import LETTER, normalised, tokens
 
 
 def token_rows(units: DataFrame, key: str, text: str, drop_stopwords: bool = False, only: tuple[str, ...] | None = None) -> DataFrame:
@@ -15,6 +15,18 @@ def token_rows(units: DataFrame, key: str, text: str, drop_stopwords: bool = Fal
     return units.select(F.col(key).alias("unit_id"), F.explode(found if only is None else F.filter(found, lambda x: x.isin(*only))).alias("token"))
 
 
+def counts_of(units: DataFrame, key: str, text: str, terms: tuple[str, ...]) -> DataFrame:
+    """unit_id, token, tf of the given tokens alone (lower case, ASCII), counted where the texts lie: no text becomes a list of tokens.
+
+    Composition can only change such a token where a mark follows it, so texts without marks are counted as they are.
+    """
+    held = F.col(text)
+    plain = F.lower(F.when(held.rlike(r"\p{M}"), normalised(held)).otherwise(held))
+    found = [F.struct(F.lit(t).alias("token"), F.regexp_count(plain, F.lit(rf"(?<!{LETTER}){t}(?!{LETTER})")).cast("long").alias("tf")) for t in terms]
+    rows = units.select(F.col(key).alias("unit_id"), F.inline(F.array(*found)))
+    return rows.filter("tf > 0")
+
+
 def term_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("unit_id", "token").agg(F.count("*").alias("tf"))
 

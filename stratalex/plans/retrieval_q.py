@@ -56,7 +56,7 @@ def hybrid_valid_at(s: SparkSession, d: str) -> DataFrame:
     docs, e = v.documents(s, d), table(s, d, "embeddings")
     dated = docs.select("doc_id", F.date_add(F.to_date(F.lit("2020-01-01")), (F.col("doc_id") % 900).cast("int")).alias("effective_from")).withColumn("effective_to", F.when(F.col("doc_id") % 4 != 0, F.date_add("effective_from", 400)))
     valid = dated.filter(valid_on(F.to_date(F.lit("2021-06-01")))).select(F.col("doc_id").alias("unit_id"))
-    counts = stored(sp.term_counts(sp.token_rows(docs, "doc_id", "text", only=TERMS)), "term-counts")
+    counts = stored(sp.counts_of(docs, "doc_id", "text", TERMS), "given-counts")
     ask = s.createDataFrame([(0, t, 1) for t in TERMS], "query_id bigint, token string, qtf int")
     sparse = sp.top_k(counts.join(valid, "unit_id", "left_semi"), ask, sp.vocabulary(counts, docs.count()), 30)
     dense = se.dense_top_k(e.filter("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("unit_id"), "embedding").join(valid, "unit_id", "left_semi"), 30, 64)
@@ -246,8 +246,8 @@ _RELEVANT = "relevant AS (SELECT q.vec_id AS query_id, u.vec_id AS unit_id FROM
 )
 def retrieval_metrics(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "embeddings").select("vec_id", "label")
-    relevant = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("unit_id"), "label"), "label").filter("query_id != unit_id").select("query_id", "unit_id")
-    return ev.retrieval_scores(_dense(s, d, 10), relevant)
+    asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    return ev.scores_by_label(_dense(s, d, 10), asked, e.select(F.col("vec_id").alias("unit_id"), "label"))
 
 
 @query(
