@@ -10,6 +10,7 @@ from stratalex.operators import evaluation as ev
 from stratalex.operators import index as ix
 from stratalex.operators import nested as ne
 from stratalex.operators import records as re
+from stratalex.operators import verification as vf
 from stratalex.session import table
 
 from . import views as v
@@ -164,3 +165,52 @@ def query_costs(s: SparkSession, d: str) -> DataFrame:
     usage = table(s, d, "conversations").select(F.col("role").alias("variant"), F.col("conv_id").alias("query_id"), model.alias("model"), F.length(F.coalesce("text", F.lit(""))).alias("input_tokens"), (turn + 1).alias("output_tokens"))
     prices = s.createDataFrame([("small", "0.15", "0.6"), ("large", "2.5", "10")], "model string, input_price string, output_price string")
     return ev.costs(usage, prices, "variant")
+
+
+_ANSWERS = rf"""a AS (SELECT doc_id AS answer_id, text, CASE WHEN doc_id % 19 != 3 THEN DATE '2021-01-01' + CAST(doc_id % 400 AS INTEGER) END AS query_date FROM documents),
+  claims AS (SELECT doc_id AS answer_id, n AS claim_id, split_part(coalesce(text, ''), chr(10), CAST(n AS INTEGER)) AS text FROM documents, (SELECT unnest([1, 2]) AS n)),
+  cites AS (SELECT doc_id AS answer_id, n AS claim_id, 'p-' || CASE WHEN doc_id % 5 = 4 AND n = 2 THEN doc_id + 1 ELSE doc_id END AS provision_id FROM documents, (SELECT unnest([1, 2]) AS n) WHERE doc_id % 17 != 6),
+  p AS (SELECT 'p-' || doc_id AS provision_id, doc_id AS row_id, text, lang AS category, CASE WHEN doc_id % 23 = 1 THEN 'PENDING' ELSE 'ACCEPTED' END AS review_status, DATE '2020-01-01' + CAST(doc_id % 500 AS INTEGER) AS f, CASE WHEN doc_id % 3 = 0 THEN DATE '2021-06-01' + CAST(doc_id % 500 AS INTEGER) END AS t FROM documents)"""
+_OWN = r"list_distinct(regexp_extract_all(lower(nfc_normalize(coalesce({}, ''))), '([\p{{L}}\p{{Nl}}\p{{No}}]+)', 1))"
+_NUMBERS = r"list_distinct(list_transform(regexp_extract_all(coalesce({}, ''), '([0-9]+(?:[.,][0-9]+)*)', 1), lambda x: regexp_replace(x, '[.,]', '', 'g')))"
+
+
+@query(
+    rf"""WITH {_ANSWERS}, vers AS (SELECT c.*, p.row_id, p.text, p.category FROM cites c JOIN a USING (answer_id) JOIN p USING (provision_id) WHERE review_status = 'ACCEPTED' AND f <= query_date AND (t IS NULL OR query_date < t)),
+    known AS (SELECT provision_id FROM p WHERE review_status = 'ACCEPTED'), cit AS (SELECT c.answer_id, bool_and(c.provision_id IN (SELECT provision_id FROM known) AND c.answer_id % 29 != 8) AS citations, bool_and(row_id IS NOT NULL) AS temporal, coalesce(string_agg(DISTINCT CAST(row_id AS VARCHAR), ',' ORDER BY CAST(row_id AS VARCHAR)), '') AS checked
+      FROM cites c LEFT JOIN vers v ON v.answer_id = c.answer_id AND v.claim_id = c.claim_id AND v.provision_id = c.provision_id GROUP BY c.answer_id),
+    e AS (SELECT answer_id, claim_id, {_NUMBERS.format("string_agg(text, ' | ')")} AS nums, {_OWN.format("string_agg(text, ' | ')")} AS words FROM vers GROUP BY ALL),
+    cl AS (SELECT c.answer_id, {_OWN.format("c.text")} AS own, {_NUMBERS.format("c.text")} AS mine, nums, words FROM claims c LEFT JOIN e ON e.answer_id = c.answer_id AND e.claim_id = c.claim_id),
+    per AS (SELECT answer_id, bool_and(len(own) > 0) AS worded, bool_and(len(list_filter(mine, lambda x: NOT list_contains(coalesce(nums, []), x))) = 0) AS numbers, bool_and(words IS NOT NULL AND len(list_intersect(own, coalesce(words, []))) >= 0.5 * len(own)) AS support FROM cl GROUP BY answer_id),
+    pl AS (SELECT doc_id AS answer_id, bool_and(EXISTS (SELECT 1 FROM vers v WHERE v.answer_id = doc_id AND v.category = q.category)) AS evidence FROM (SELECT doc_id, CASE WHEN doc_id % 6 = 1 THEN 'en' ELSE lang END AS category FROM documents WHERE doc_id % 4 != 3) q GROUP BY doc_id),
+    o AS (SELECT a.answer_id, coalesce(trim(a.text, ' ') != '', false) AND query_date IS NOT NULL AND worded AS "schema", coalesce(citations, false) AS citations, coalesce(temporal, false) AS temporal, numbers, support, coalesce(evidence, true) AS evidence, coalesce(checked, '') AS checked FROM a LEFT JOIN cit USING (answer_id) LEFT JOIN per USING (answer_id) LEFT JOIN pl USING (answer_id))
+    SELECT *, "schema" AND citations AND temporal AND numbers AND support AND evidence AS valid FROM o"""
+)
+def six_layers(s: SparkSession, d: str) -> DataFrame:
+    """Whole documents as answers: their first two lines are claims, which cite the document's own row or its neighbour's."""
+    i, docs = F.col("doc_id"), v.documents(s, d)
+    date = F.when(i % 19 != 3, F.date_add(F.to_date(F.lit("2021-01-01")), (i % 400).cast("int")))
+    answers = docs.select(i.alias("answer_id"), "text", date.alias("query_date"))
+    parts = F.split(F.coalesce("text", F.lit("")), "\n")
+    claims = docs.select(i.alias("answer_id"), F.posexplode(F.array(F.coalesce(F.get(parts, 0), F.lit("")), F.coalesce(F.get(parts, 1), F.lit("")))).alias("at", "text")).select("answer_id", (F.col("at") + 1).alias("claim_id"), "text")
+    cited = F.when((i % 5 == 4) & (F.col("claim_id") == 2), i + 1).otherwise(i)
+    citations = docs.filter("doc_id % 17 != 6").withColumn("claim_id", F.explode(F.array(F.lit(1), F.lit(2)))).select(i.alias("answer_id"), "claim_id", F.concat(F.lit("p-"), cited).alias("provision_id"))
+    context = citations.filter("answer_id % 29 != 8").select("answer_id", "provision_id")
+    begin = F.date_add(F.to_date(F.lit("2020-01-01")), (i % 500).cast("int"))
+    provisions = docs.select(F.concat(F.lit("p-"), i).alias("provision_id"), i.alias("row_id"), "text", F.col("lang").alias("category"), F.when(i % 23 == 1, "PENDING").otherwise("ACCEPTED").alias("review_status"), begin.alias("effective_from"), F.when(i % 3 == 0, F.date_add(F.to_date(F.lit("2021-06-01")), (i % 500).cast("int"))).alias("effective_to"))
+    plan = docs.filter("doc_id % 4 != 3").select(i.alias("answer_id"), F.when(i % 6 == 1, "en").otherwise(F.col("lang")).alias("category"))
+    out = vf.verified_answers(answers, claims, citations, context, provisions, plan)
+    return out.withColumn("checked", F.array_join(F.array_sort(F.transform("checked", lambda x: x.cast("string"))), ","))
+
+
+@query(
+    """WITH e AS (SELECT doc_id AS point_id, list_filter(['relation', 'relation_type', 'target_provision_id', 'vehicle_types'], lambda x: (x = 'relation' AND doc_id % 7 = 1) OR (x = 'relation_type' AND doc_id % 5 = 2) OR (x = 'target_provision_id' AND lang IS DISTINCT FROM 'en' AND doc_id % 4 = 1) OR (x = 'vehicle_types' AND doc_id % 9 = 4)) AS errors FROM documents WHERE doc_id % 8 != 5)
+    SELECT point_id, array_to_string(errors, ',') AS errors FROM e WHERE len(errors) > 0"""
+)
+def payload_refusals(s: SparkSession, d: str) -> DataFrame:
+    """Relations without a type or target, null relations and empty vehicle types; units without either are fine."""
+    i = F.col("doc_id")
+    relation = F.struct(F.when(i % 5 == 2, "").otherwise("REFERS_TO").alias("relation_type"), F.when(~((i % 4 == 1) & (F.col("lang") != "en")), F.concat(F.lit("p-"), i)).alias("target_provision_id"))
+    relations = F.when(i % 8 != 5, F.when(i % 7 == 1, F.array(relation, F.lit(None).cast("struct<relation_type:string,target_provision_id:string>"))).otherwise(F.array(relation)))
+    vehicles = F.when(i % 8 != 5, F.when(i % 9 == 4, F.array(F.lit("car"), F.lit(""))).otherwise(F.array(F.lit("car"))))
+    return vf.payload_errors(v.documents(s, d).select(i.alias("point_id"), relations.alias("relations"), vehicles.alias("vehicle_types"))).withColumn("errors", F.array_join("errors", ","))
