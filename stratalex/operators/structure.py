@@ -126,27 +126,44 @@ def running_numbers(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("number", F.when(F.col("kind").isin("HEADING", "TRANSITIONAL"), F.row_number().over(w).cast("string")).otherwise(F.col("number")))
 
 
+# Remarks on repaired points.
+LOST, MISREAD, AGAIN = "point label reconstructed from marker-stripped list item", "OCR d/đ ambiguity normalized from duplicate d)", "duplicate d) point label"
+
+
+def next_label(label: str | None, given: set[str]) -> tuple[str, str | None]:
+    """(label, remark) of the next point of a run whose points so far have the labels ``given``."""
+    if label is None:
+        return next((f"{x})" for x in FALLBACK if f"{x})" not in given), "a)"), LOST
+    if label == "d)" and "d)" in given:
+        return (label, AGAIN) if "đ)" in given else ("đ)", MISREAD)
+    return label, None
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by document and place, with the labels repaired and ``remark``; state: the labels of one run."""
+    run, given = None, set()
+    for batch in batches:
+        labels, remarks = batch.column("label").to_pylist(), [None] * batch.num_rows
+        for i, (doc, number, kind) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "point_run", "kind")))):
+            if (doc, number) != run:
+                run, given = (doc, number), set()
+            if kind == "POINT":
+                labels[i], remarks[i] = next_label(labels[i], given)
+                given.add(labels[i])
+        place = batch.schema.get_field_index("label")
+        yield batch.set_column(place, "label", pa.array(labels, pa.string())).append_column("remark", pa.array(remarks, pa.string()))
+
+
 def point_labels(nodes: DataFrame) -> DataFrame:
     """Labels of the points of each run: lost ones get the first unused letter, a second ``d)`` becomes ``đ)``.
 
-    A run is what lies between clauses and higher marks, and one fold over it gives labels and remarks.
+    A run is what lies between clauses and higher marks. The window that numbers the runs leaves each document whole and in
+    order in one partition, and one pass over that stream repairs its points; the state is a run's few letters.
     """
     w = _order().rowsBetween(W.unboundedPreceding, W.currentRow)
     ends = F.col("kind").isin("CHAPTER", "SECTION", "ARTICLE", "CLAUSE", "APPENDIX")
-    nodes = nodes.withColumn("point_run", F.sum(ends.cast("int")).over(w))
-    # The rows of a run travel in its array, so the windows before this are run once and nothing is joined back.
-    rest = [c for c in nodes.columns if c not in ("page_number", "reading_order")]
-    runs = nodes.groupBy("doc_id", "point_run").agg(F.array_sort(F.collect_list(F.struct("page_number", "reading_order", *rest))).alias("run"))
-    letters = ", ".join(f"'{x})'" for x in FALLBACK)
-    fold = f"""aggregate(run, cast(array() as array<struct<label:string,remark:string>>), (acc, x) -> concat(acc, array(case
-        when x.kind != 'POINT' then named_struct('label', cast(null as string), 'remark', cast(null as string))
-        when x.label is null then named_struct('label', coalesce(get(array_except(array({letters}), transform(acc, y -> y.label)), 0), 'a)'), 'remark', 'point label reconstructed from marker-stripped list item')
-        when x.label = 'd)' and exists(acc, y -> y.label <=> 'd)') and not exists(acc, y -> y.label <=> 'đ)') then named_struct('label', 'đ)', 'remark', 'OCR d/đ ambiguity normalized from duplicate d)')
-        when x.label = 'd)' and exists(acc, y -> y.label <=> 'd)') then named_struct('label', 'd)', 'remark', 'duplicate d) point label')
-        else named_struct('label', x.label, 'remark', cast(null as string)) end)))"""
-    rows = runs.select(F.explode(F.arrays_zip(F.col("run"), F.expr(fold).alias("fixed"))).alias("r"))
-    kept = [F.coalesce("r.fixed.label", "r.run.label").alias(c) if c == "label" else F.col(f"r.run.{c}").alias(c) for c in nodes.columns]
-    return rows.select(*kept, F.col("r.fixed.remark").alias("remark"))
+    runs = nodes.withColumn("point_run", F.sum(ends.cast("int")).over(w)).sortWithinPartitions("doc_id", "page_number", "reading_order")
+    return runs.mapInArrow(_labelled, T.StructType([*runs.schema.fields, T.StructField("remark", T.StringType())]))
 
 
 def nodes(elements: DataFrame) -> DataFrame:
