@@ -119,12 +119,6 @@ def missing_point_labels(s: SparkSession, d: str) -> DataFrame:
 _ARTICLES = f"{_SCOPES}, ids AS (SELECT doc_id || '__dieu-' || article AS provision_id, doc_id, kind, line FROM scoped WHERE kind = 'ARTICLE' AND regexp_matches(article, '^[0-9]+$'))"
 
 
-@query(f"WITH {_ARTICLES} SELECT provision_id, sha256(line) AS content_hash FROM ids")
-def provision_build(s: SparkSession, d: str) -> DataFrame:
-    """Articles; the other kinds are held against a sequential simulation in the tests."""
-    return st.provisions(st.nodes(v.marked(s, d))).filter("kind = 'ARTICLE'").select("provision_id", "content_hash")
-
-
 @query(
     f"""WITH {_ITEMS}, k AS (SELECT *, sum(CASE WHEN rebuilt AND kind = 'CLAUSE' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, run ORDER BY page_number, reading_order ROWS UNBOUNDED PRECEDING) AS k FROM items),
     n AS (SELECT *, k + greatest(0, coalesce(max(CASE WHEN kind = 'CLAUSE' AND NOT rebuilt THEN CAST(number AS BIGINT) - k END) OVER (PARTITION BY doc_id, run ORDER BY page_number, reading_order ROWS UNBOUNDED PRECEDING), 0)) AS n FROM k),
@@ -243,7 +237,7 @@ def _open_sql(value: str, kind: str, *resets: str) -> str:
 
 _HIGHER = ("CHAPTER", "SECTION", "APPENDIX", "TRANSITIONAL")
 _TABLE_ROWS = rf"""{_TABLE_KINDS}, numbered AS (SELECT * EXCLUDE (number), CASE WHEN kind = 'APPENDIX' THEN CAST(sum(CASE WHEN kind = 'APPENDIX' THEN 1 ELSE 0 END) OVER ({W_ALL} ROWS UNBOUNDED PRECEDING) AS VARCHAR) ELSE number END AS number FROM matched),
-    around AS (SELECT *, {_open_sql("number", "ARTICLE", *_HIGHER)} AS article, {_open_sql("number", "APPENDIX", "CHAPTER", "SECTION", "ARTICLE", "TRANSITIONAL")} AS appendix, concat_ws(' ', {_open_sql("line", "CHAPTER", "-")}, {_open_sql("line", "SECTION", "CHAPTER")}, {_open_sql("line", "ARTICLE", *_HIGHER)}, {_open_sql("line", "CLAUSE", "ARTICLE", *_HIGHER)}) AS parent_context FROM numbered WINDOW w AS ({W_ALL} ROWS UNBOUNDED PRECEDING)),
+    around AS (SELECT *, {_open_sql("number", "CLAUSE", "ARTICLE", *_HIGHER)} AS clause, concat_ws(' ', {_open_sql("line", "CHAPTER", "-")}, {_open_sql("line", "SECTION", "CHAPTER")}) AS head, {_open_sql("line", "ARTICLE", *_HIGHER)} AS article_line, sum(CASE WHEN kind IN ('CHAPTER', 'SECTION', 'ARTICLE', 'CLAUSE', 'APPENDIX') THEN 1 ELSE 0 END) OVER w AS point_run, {_open_sql("number", "ARTICLE", *_HIGHER)} AS article, {_open_sql("number", "APPENDIX", "CHAPTER", "SECTION", "ARTICLE", "TRANSITIONAL")} AS appendix, concat_ws(' ', {_open_sql("line", "CHAPTER", "-")}, {_open_sql("line", "SECTION", "CHAPTER")}, {_open_sql("line", "ARTICLE", *_HIGHER)}, {_open_sql("line", "CLAUSE", "ARTICLE", *_HIGHER)}) AS parent_context FROM numbered WINDOW w AS ({W_ALL} ROWS UNBOUNDED PRECEDING)),
     t AS (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY page_number, reading_order) AS n FROM (SELECT * EXCLUDE (number), TRY_CAST(number AS BIGINT) AS number, doc_id || CASE WHEN appendix IS NOT NULL THEN '__phu-luc-' || appendix WHEN regexp_full_match(article, '[0-9]+') THEN '__dieu-' || article END AS parent_id FROM around WHERE kind = 'TABLE') WHERE parent_id IS NOT NULL),
     {_ordinal_sql("t")}"""
 
@@ -266,6 +260,20 @@ def table_provisions(s: SparkSession, d: str) -> DataFrame:
     return built.filter("kind = 'TABLE'").select("provision_id", "reading_order", "content_hash", "parent_context")
 
 
+@query(
+    f"""WITH RECURSIVE {_TABLE_ROWS.strip()}, points AS (SELECT *, row_number() OVER (PARTITION BY doc_id, point_run, label ORDER BY page_number, reading_order) AS nth FROM around WHERE kind = 'POINT'),
+    own AS (SELECT doc_id, page_number, reading_order, line, kind, head, CASE WHEN kind = 'CLAUSE' THEN concat_ws(' ', head, article_line) ELSE head END AS context, doc_id || CASE kind WHEN 'ARTICLE' THEN '__dieu-' || number WHEN 'CLAUSE' THEN '__dieu-' || article || '__khoan-' || number WHEN 'APPENDIX' THEN '__phu-luc-' || number
+      WHEN 'TRANSITIONAL' THEN '__chuyen-tiep-' || row_number() OVER (PARTITION BY doc_id, kind ORDER BY page_number, reading_order) END AS id FROM around WHERE kind IN ('APPENDIX', 'TRANSITIONAL') OR (kind IN ('ARTICLE', 'CLAUSE') AND coalesce(regexp_full_match(article, '[0-9]+'), false))),
+    lettered AS (SELECT doc_id, page_number, reading_order, line, parent_context AS context, doc_id || '__dieu-' || article || '__khoan-' || clause || '__diem-' || CASE WHEN label = 'd)' AND nth = 2 THEN 'đ' ELSE label[1] END AS id FROM points WHERE regexp_full_match(article, '[0-9]+') AND clause IS NOT NULL)
+    SELECT id AS provision_id, reading_order, sha256(line) AS content_hash, nullif(context, '') AS parent_context FROM own UNION ALL SELECT id, reading_order, sha256(line), nullif(context, '') FROM lettered QUALIFY row_number() OVER (PARTITION BY id ORDER BY page_number, reading_order) = 1
+    UNION ALL SELECT parent_id || '__bang-' || ordinal, reading_order, sha256(line), nullif(parent_context, '') FROM f JOIN t USING (parent_id, n)"""
+)
+def provision_build(s: SparkSession, d: str) -> DataFrame:
+    """Provisions of every kind with the lines that enclose them."""
+    built = st.provisions(st.contexts(st.nodes(_tabled(s, d))))
+    return built.select("provision_id", "reading_order", "content_hash", "parent_context")
+
+
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CASE doc_id % 5 WHEN 4 THEN 'd)' WHEN 3 THEN NULL ELSE NULL END WHEN 1 THEN 'đ)' WHEN 2 THEN 'a)' END AS label FROM documents")
 def canonical_labels(s: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
