@@ -191,12 +191,13 @@ def _indexed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 @query(
-    f"""WITH {_INDEXED} SELECT sha256(unit_id) AS point_id, 'v2' AS sparse_encoder_version FROM p WHERE accepted AND dated AND filled
-    UNION ALL SELECT sha256('old-' || doc_id), 'v2' FROM documents WHERE doc_id % 14 = 0"""
+    f"""WITH {_INDEXED}, {v.TOKENS}, u AS (SELECT 'nd-' || unit_id || '-2024__dieu-1__v1' AS unit_id, tf, row_number() OVER (PARTITION BY unit_id ORDER BY token) AS token_id FROM tf), w AS (SELECT unit_id, string_agg(token_id || ':' || tf, ',' ORDER BY token_id) AS weights FROM u GROUP BY unit_id)
+    SELECT sha256(unit_id) AS point_id, 'v2' AS sparse_encoder_version, weights FROM p JOIN w USING (unit_id) WHERE accepted AND dated AND filled UNION ALL SELECT sha256('old-' || doc_id), 'v2', '' FROM documents WHERE doc_id % 14 = 0"""
 )
 def index_accepted(s: SparkSession, d: str) -> DataFrame:
     """Accepted, dated texts encoded and upserted; points of the older encoder go."""
-    return _indexed(s, d)[0].select("point_id", "sparse_encoder_version")
+    pairs = F.zip_with("indices", "values", lambda a, b: F.concat(a.cast("string"), F.lit(":"), b.cast("long").cast("string")))
+    return _indexed(s, d)[0].select("point_id", "sparse_encoder_version", F.concat_ws(",", pairs).alias("weights"))
 
 
 @query(f"WITH {_INDEXED} SELECT CAST(count(*) FILTER (accepted) AS BIGINT) AS accepted, CAST(count(*) FILTER (accepted AND NOT dated) AS BIGINT) AS skipped_no_effective_from, CAST(count(*) FILTER (accepted AND dated AND filled) AS BIGINT) AS upserted, CAST(count(*) FILTER (accepted AND dated AND NOT coalesce(filled, false)) AS BIGINT) AS skipped_empty FROM p")
