@@ -682,3 +682,23 @@ def test_spans_are_named_by_their_words():
     ends = np.cumsum([len(w) for w in a])
     got = byte_hashes(data, ends - [len(w) for w in a], ends, 5)
     assert got[6] == got[8] and got[1] == got[9] and len(set(got.tolist())) == 8
+
+
+def test_recall_of_paragraphs_at_the_threshold(spark):
+    """Pairs of paragraphs of similarity 0.75 to 0.80, where bands are weakest: nineteen of twenty are linked at least."""
+    from stratalex.llm.common import Workspace
+    from stratalex.llm.paragraph_dedup import copied_paragraphs
+
+    r, rows = random.Random(41), []
+    prose = lambda n: ["".join(r.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(n)]
+    for pair in range(300):
+        first = prose(r.randint(112, 136))
+        second = list(first)
+        for at in r.sample(range(1, len(first) // 10 - 1), 3):  # apart, so that each change costs five shingles
+            second[10 * at] = "changed"
+        x, y = (shingles(" ".join(w)) for w in (first, second))
+        assert 75 * len(x | y) <= 100 * len(x & y) <= 80 * len(x | y)
+        rows += [(2 * pair, " ".join(first) + "\n" + " ".join(prose(3))), (2 * pair + 1, " ".join(prose(4)) + "\n" + " ".join(second))]
+    found = copied_paragraphs(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), Workspace(spark, "test"))
+    linked = {g.doc // 2 for g in found.collect() if g.doc % 2 and g.keep.doc == g.doc - 1}
+    assert len(linked) >= 0.95 * 300
