@@ -13,6 +13,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -91,15 +92,16 @@ def sides(a_path: str | None = None, b_path: str | None = None) -> tuple[ByteLev
     return _LOADED[a_path, b_path]
 
 
-def _tokens(text: str, both) -> list[np.ndarray]:
+def _tokens(text: str, both, sizes: list[np.ndarray]) -> list[np.ndarray]:
     """Ids of either side; none where a side's bytes are not those of a space and the text."""
-    whole, out = b" " + text.encode(), []
-    for side in both if text else ():
-        ids, known = side.encode(text), side.bytes
-        if b"".join([known[i] for i in ids]) != whole:
-            return []
-        out.append(np.array(ids, "int32"))
-    return out
+    if not text:
+        return []
+    a, b, whole = both[0].encode(text), both[1].encode(text), b" " + text.encode()
+    known, ids = both[1].bytes, [np.asarray(a, "int32"), np.array(b, "int32")]
+    # A's tokens are pieces of the text's own bytes in order, so only their number can differ.
+    if int(sizes[0][ids[0]].sum()) != len(whole) or b"".join([known[i] for i in b]) != whole:
+        return []
+    return ids
 
 
 def _events(a_path, b_path):
@@ -107,14 +109,14 @@ def _events(a_path, b_path):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = sides(a_path, b_path)
-        sizes = [np.array([len(x) for x in side.bytes], "int64") for side in both]
+        sizes, kind = _sizes(both), _kind(both)
         for batch in batches:
             held, n = [], 0
             for i, text in enumerate(batch.column(2)):
-                tokens = _tokens((text.as_py() or "") if text.is_valid else "", both)
+                tokens = _tokens((text.as_py() or "") if text.is_valid else "", both, sizes)
                 for side, ids in enumerate(tokens):
                     starts = np.cumsum(sizes[side][ids]) - sizes[side][ids]
-                    held += [(i, int(starts[at]), side, ids[at : at + BLOCK].tobytes()) for at in range(0, len(ids), BLOCK)]
+                    held += [(i, int(starts[at]), side, ids[at : at + BLOCK].astype(kind).tobytes()) for at in range(0, len(ids), BLOCK)]
                     n += len(ids)
                 if not tokens:
                     held.append((i, 0, 0, b""))
@@ -140,43 +142,78 @@ class Sweep:
         self.tokens[side] += len(ids)
         self.n += len(ids)
 
-    def closed(self):
-        """(A's ids, their ends, B's ids, their ends, ends of groups) of the groups that are whole by now; the open one is kept."""
-        ids, ends = ([np.concatenate(x) if x else np.zeros(0, "int64") for x in y] for y in (self.ids, self.ends))
-        at = np.searchsorted(ends[1], ends[0])
-        common = ends[0][(at < len(ends[1])) & (ends[1][np.minimum(at, len(ends[1]) - 1)] == ends[0])] if len(ends[1]) else ends[0][:0]
-        cuts = [int(np.searchsorted(e, common[-1], "right")) if len(common) else 0 for e in ends]
-        self.ids, self.ends = ([[x[cut:]] if cut < len(x) else [] for x, cut in zip(y, cuts)] for y in (ids, ends))
-        self.n = sum(len(x) - cut for x, cut in zip(ids, cuts))
-        return ids[0][: cuts[0]], ends[0][: cuts[0]], ids[1][: cuts[1]], ends[1][: cuts[1]], common
+    def closed(self) -> Closed:
+        """The groups that are whole by now; the tokens of the open one are kept."""
+        (a, b), (a_ends, b_ends) = ([np.concatenate(x) if x else np.zeros(0, "int64") for x in y] for y in (self.ids, self.ends))
+        over_a, over_b = np.searchsorted(b_ends, a_ends), np.searchsorted(a_ends, b_ends)
+        last_a = np.append(b_ends, -1)[over_a] == a_ends
+        last_b = np.append(a_ends, -1)[over_b] == b_ends
+        n_a, n_b = (int(np.flatnonzero(x)[-1]) + 1 if x.any() else 0 for x in (last_a, last_b))
+        self.ids, self.ends = ([[x[n:]] if n < len(x) else [] for x, n in zip(y, (n_a, n_b))] for y in ((a, b), (a_ends, b_ends)))
+        self.n = len(a) - n_a + len(b) - n_b
+        return Closed(a[:n_a], b[:n_b], a_ends[:n_a], over_a[:n_a], over_b[:n_b], last_a[:n_a], last_b[:n_b])
 
 
-def links(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(A id, B id) of every pair of tokens whose byte ranges overlap: one for each stretch between neighbouring ends."""
-    every = np.union1d(a_ends, b_ends)
-    return a[np.searchsorted(a_ends, every)], b[np.searchsorted(b_ends, every)]
+@dataclass
+class Closed:
+    """Tokens of whole groups: ids of either side, A's ends, the token of the other side under each end, and which end a group."""
+
+    a: np.ndarray
+    b: np.ndarray
+    a_ends: np.ndarray
+    over_a: np.ndarray
+    over_b: np.ndarray
+    last_a: np.ndarray
+    last_b: np.ndarray
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """(A id, B id) of every pair of tokens whose byte ranges overlap: one for each stretch between neighbouring ends."""
+        inner = ~self.last_b
+        return np.concatenate([self.a, self.a[self.over_b[inner]]]), np.concatenate([self.b[self.over_a], self.b[inner]])
+
+    def cuts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where each group begins in either side's tokens, and the end of the last."""
+        return tuple(np.append(0, np.flatnonzero(x) + 1) for x in (self.last_a, self.last_b))
 
 
 class Spelling:
-    """Groups as text: A's ids, a bar, B's ids, and semicolons between groups."""
+    """Groups as text: A's ids, a bar, B's ids, and a semicolon after each group."""
 
     def __init__(self, sizes: list[np.ndarray]):
-        self.known = [[np.array([f"{i}{end}".encode() for i in range(len(s))], object) for end in (",", last)] for s, last in zip(sizes, "|;")]
+        names = [str(i).encode() for i in range(max(map(len, sizes)))]
+        self.length = np.array([len(x) for x in names])
+        self.width = int(self.length.max()) + 1
+        self.digits = np.frombuffer(b"".join(x.ljust(self.width) for x in names), "uint8").reshape(len(names), self.width)
+
+    def __call__(self, groups: Closed) -> bytes:
+        (begin_a, begin_b), n = groups.cuts(), len(groups.a) + len(groups.b)
+        ids, ends = np.empty(n, "int64"), np.empty(n, "uint8")
+        # A group's A tokens come after the B tokens of the groups before, its B tokens after its own A tokens.
+        at_a = np.arange(len(groups.a)) + begin_b[np.cumsum(groups.last_a) - groups.last_a]
+        at_b = np.arange(len(groups.b)) + begin_a[np.cumsum(groups.last_b) - groups.last_b + 1]
+        ids[at_a], ids[at_b] = groups.a, groups.b
+        ends[at_a], ends[at_b] = np.where(groups.last_a, ord("|"), ord(",")), np.where(groups.last_b, ord(";"), ord(","))
+        length = self.length[ids]
+        letters = self.digits[ids]
+        letters[np.arange(n), length] = ends
+        return letters[np.arange(self.width) <= length[:, None]].tobytes()
+
+
+def _sizes(both) -> list[np.ndarray]:
+    """Bytes of each token of either side."""
+    return [np.array([len(x) for x in side.bytes], "int64") for side in both]
+
 
-    def __call__(self, a, a_ends, b, b_ends, common) -> bytes:
-        out = np.empty(len(a) + len(b), object)
-        before = np.concatenate([[0], np.searchsorted(b_ends, common, "right")])  # B's tokens before each group
-        for side, (ids, ends, at) in enumerate(((a, a_ends, before[np.searchsorted(common, a_ends)]), (b, b_ends, np.searchsorted(a_ends, common, "right")[np.searchsorted(common, b_ends)]))):
-            last = ends == common[np.searchsorted(common, ends)]
-            out[np.arange(len(ids)) + at] = np.where(last, self.known[side][1][ids], self.known[side][0][ids])
-        return b"".join(out.tolist())
+def _kind(both) -> str:
+    """The smallest integers that hold the ids of both sides."""
+    return "<u2" if max(len(side.bytes) for side in both) <= 1 << 16 else "<u4"
 
 
 def _documents(a_path, b_path, emit):
     """Task function over sorted blocks: ``emit(machine, sizes)`` is a generator per task that is sent (doc_id, closed groups or None at the end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = [np.array([len(x) for x in side.bytes], "int64") for side in sides(a_path, b_path)]
+        sizes, kind = _sizes(sides(a_path, b_path)), _kind(sides(a_path, b_path))
         out, row, doc, sweep = emit(sizes), None, None, None
         for batch in batches:
             for r, d, first, side, ids in zip(*(c.to_pylist() for c in batch.columns)):
@@ -185,7 +222,7 @@ def _documents(a_path, b_path, emit):
                         yield from out.end(row, doc, sweep)
                     row, doc, sweep = r, d, Sweep(sizes)
                 if ids:
-                    sweep.feed(side, first, np.frombuffer(ids, "int32"))
+                    sweep.feed(side, first, np.frombuffer(ids, kind))
                 if sweep.n > GATHER:
                     yield from out.groups(row, doc, sweep.closed())
         if sweep:
@@ -206,15 +243,15 @@ class _Digests:
         self.hash, self.n_groups, self.n_links, self.found, self.times = hashlib.sha256(), 0, 0, [], []
 
     def groups(self, row, doc, closed):
-        a, a_ends, b, b_ends, common = closed
-        if len(common):
-            self.hash.update((b";" if self.n_groups else b"") + self.spelling(*closed)[:-1])
-            left, right = links(a, a_ends, b, b_ends)
-            found, times = np.unique(left.astype("int64") * self.width + right, return_counts=True)
-            self.found.append(found)
-            self.times.append(times)
-            self.n_groups += len(common)
-            self.n_links += len(left)
+        if len(closed.a):
+            self.hash.update((b";" if self.n_groups else b"") + self.spelling(closed)[:-1])
+            left, right = closed.links()
+            pairs = np.sort(left.astype("int64") * self.width + right)
+            first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+            self.found.append(pairs[first])
+            self.times.append(np.diff(np.append(first, len(pairs))))
+            self.n_groups += int(closed.last_a.sum())
+            self.n_links += len(pairs)
             if sum(map(len, self.found)) > 4 * GATHER:
                 self._compact()
         return ()
@@ -252,14 +289,14 @@ class _Groups:
         self.at = 0
 
     def groups(self, row, doc, closed):
-        a, a_ends, b, b_ends, common = closed
-        if not len(common):
+        if not len(closed.a):
             return
-        lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.searchsorted(ends, common, "right")]).astype("int32")), pa.array(ids.astype("int32"))) for ids, ends in ((a, a_ends), (b, b_ends))]
-        begin = np.concatenate([[self.at], common[:-1]])
-        self.at = int(common[-1])
+        lists = [pa.ListArray.from_arrays(pa.array(cuts.astype("int32")), pa.array(ids.astype("int32"))) for cuts, ids in zip(closed.cuts(), (closed.a, closed.b))]
+        end = closed.a_ends[closed.last_a]
+        begin = np.concatenate([[self.at], end[:-1]])
+        self.at = int(end[-1])
         # The text starts after the space that both sides see before it.
-        yield pa.RecordBatch.from_arrays([pa.array([row] * len(common), pa.int64()), pa.array([doc] * len(common), pa.int64()), pa.array(np.maximum(begin - 1, 0)), pa.array(common - 1), *lists], names=["row", "doc_id", "begin", "end", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([row] * len(end), pa.int64()), pa.array([doc] * len(end), pa.int64()), pa.array(np.maximum(begin - 1, 0)), pa.array(end - 1), *lists], names=["row", "doc_id", "begin", "end", "a", "b"])
 
     def end(self, row, doc, sweep):
         yield from self.groups(row, doc, sweep.closed())

@@ -273,7 +273,7 @@ def test_the_machine_in_small_steps(spark, token_rows, monkeypatch):
 
     sizes = [np.array([len(x) for x in side.bytes], "int64") for side in ta.sides()]
     for _, t, *_ in token_rows[30:36] + token_rows[-15:]:
-        tokens = ta._tokens(t or "", ta.sides())
+        tokens = ta._tokens(t or "", ta.sides(), sizes)
         seen = set()
         for block, gather in ((1 << 20, 1 << 20), (1, 1), (3, 5), (7, 1)):
             held = []
@@ -289,3 +289,18 @@ def test_the_machine_in_small_steps(spark, token_rows, monkeypatch):
             _, _, *rest, found, times = out.rows[0]
             seen.add((*rest, tuple(found), tuple(times)))
         assert len(seen) == 1
+
+
+def test_the_faster_encoder_is_the_files_own():
+    """Ids of side A are those of the tokenizer file's library, however white space, letters and new characters mix."""
+    from stratalex.llm import token_alignment as ta
+
+    side, r = ta.sides()[0], random.Random(3)
+    parts = [" ", " ", "  ", "\t", "\n", "\n\n", "\xa0", "\u2003", "'s", "'LL", "the", "The", "wörter", "1234", "½", "!?", "日本", "é", "\u0301", "😀", "x" * 70, "ﬁ", "\x1c", "▁", "<|endoftext|>"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 12)))
+        ids = side.encode(text)
+        assert list(ids) == side.own.encode(" " + text, add_special_tokens=False).ids and b"".join(side.bytes[i] for i in ids) == b" " + text.encode(), repr(text)
+    kept = [c for c in map(chr, range(0x20000)) if not ta._RECENT.match(c) and not 0xD800 <= ord(c) < 0xE000]
+    text = " ".join(a + b for a, b in zip(kept, kept[1:] + kept[:1]))
+    assert len(kept) > 30_000 and list(side.fast.encode_ordinary(text)) == side.own.encode(text, add_special_tokens=False).ids
