@@ -78,6 +78,25 @@ def _nearest(ids: np.ndarray, matrix: np.ndarray, k: int):
     return run
 
 
+def provider_vectors(texts: DataFrame, answers: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Vectors of the texts that a provider was asked for, in the order of its indexes, and what is wrong with its batches.
+
+    ``texts``: batch, place (from 0), text_id; ``answers``: batch, index, embedding. A batch counts whole or not at all: its
+    answers must be as many as its texts, with one for each place, each of ``size`` numbers. Errors: batch, error (count, index,
+    dimension, not_numeric), one row for each kind.
+    """
+    asked = texts.groupBy("batch").agg(F.count("*").alias("_n"))
+    bad = lambda test: F.max(F.coalesce(test, F.lit(True)).cast("int"))
+    numeric = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x))
+    got = answers.groupBy("batch").agg(F.count("*").alias("_got"), F.countDistinct("index").alias("_indexes"), F.min("index").alias("_low"), F.max("index").alias("_high"), bad(F.size("embedding") != size).alias("_size"), bad(~numeric).alias("_number"))
+    met = asked.join(got, "batch", "left").withColumn("_got", F.coalesce("_got", F.lit(0)))
+    errors = [F.when(F.col("_got") != F.col("_n"), "count"), F.when((F.col("_indexes") != F.col("_got")) | (F.col("_low") < 0) | (F.col("_high") >= F.col("_n")), "index"), F.when(F.col("_size") == 1, "dimension"), F.when(F.col("_number") == 1, "not_numeric")]
+    told = met.select("batch", F.array_compact(F.array(*errors)).alias("errors"))
+    good = told.filter(F.size("errors") == 0).select("batch")
+    found = texts.join(good, "batch", "left_semi").join(answers.withColumnRenamed("index", "place"), ["batch", "place"]).select("text_id", "batch", "place", "embedding")
+    return found, told.select("batch", F.explode("errors").alias("error"))
+
+
 def fuse(lists: list[DataFrame], constant: int = 60, prefetch: int = 30, limit: int = 20, list_weights: list[float] | None = None) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (query_id, unit_id, rank from 1): score, rank and the sources met."""
     parts = None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalex.functions.text import valid_id
@@ -79,3 +79,48 @@ def manifest_conflicts(extracted: DataFrame, manifests: DataFrame, fields: tuple
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"e.{f}").cast("string").alias("extracted"), F.col(f"m.{f}").cast("string").alias("declared")) for f in fields])
     found = joined.select("document_id", F.explode(F.filter(pairs, lambda p: p["extracted"] != p["declared"])).alias("c"))
     return found.select("document_id", "c.field", "c.extracted", "c.declared")
+
+
+# Fields of a manifest and what each must be; those after the bar may be absent.
+MANIFEST = {
+    "document_id": "^[a-z0-9]+-[a-z0-9-]*[a-z0-9]+$", "source_url": "uri", "downloaded_at": "date", "file_hash": "^[a-f0-9]{64}$", "document_number": "text", "document_type": TYPES, "issuer": "text",
+    "issued_date": "date", "effective_from": "date or null", "effective_to": "date or null", "status": STATUSES, "relation_notes": "any text", "review_status": REVIEW, "|reviewed_by": "text", "|reviewed_at": "date",
+}
+
+
+def _dated(c: Column) -> Column:
+    """Whether a text is a day, or a moment with its offset, that the calendar has."""
+    day = c.rlike(r"^\d{4}-\d{2}-\d{2}$") & c.try_cast("date").isNotNull()
+    moment = c.rlike(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$") & F.upper(c).try_cast("timestamp").isNotNull()
+    return F.coalesce(day | moment, F.lit(False))
+
+
+def manifest_schema_errors(manifests: DataFrame, key: str, raw: str, fields: dict = MANIFEST) -> DataFrame:
+    """key, error of every rule of the manifest schema that a JSON text breaks; unknown fields are refused.
+
+    not_object, unknown:f, missing:f, type:f (no text where one must be), value:f (pattern, list, date, address, empty text), a decided
+    review without reviewer (missing:reviewed_by, missing:reviewed_at), accepted_undated, and interval for an end that
+    does not follow the start by days.
+    """
+    whole = F.try_parse_json(F.col(raw))
+    rows = manifests.select(F.col(key), F.coalesce(F.json_object_keys(F.when(whole.isNotNull(), F.col(raw))), F.array().cast("array<string>")).alias("_keys"), F.coalesce(F.schema_of_variant(whole), F.lit("")).alias("_kind"), whole.alias("_v"))
+    names = [name.lstrip("|") for name in fields]
+    kinds = {n: F.schema_of_variant(F.try_variant_get("_v", f"$.{n}", "variant")).alias(f"_k_{n}") for n in names}
+    texts = {n: F.when(F.schema_of_variant(F.try_variant_get("_v", f"$.{n}", "variant")) == "STRING", F.try_variant_get("_v", f"$.{n}", "string")).alias(n) for n in names}
+    rows = rows.select(key, "_keys", "_kind", *kinds.values(), *texts.values())
+    errors = [F.when(~F.col("_kind").startswith("OBJECT"), F.lit("not_object"))]
+    held = lambda n: F.array_contains("_keys", n)
+    for name, rule in fields.items():
+        n, kind = name.lstrip("|"), F.col(f"_k_{name.lstrip('|')}")
+        if not name.startswith("|"):
+            errors.append(F.when(F.col("_kind").startswith("OBJECT") & ~held(n), F.lit(f"missing:{n}")))
+        errors.append(F.when(held(n) & F.coalesce(kind != "STRING", F.lit(True)) & ~F.coalesce((kind == "VOID") & F.lit(rule == "date or null"), F.lit(False)), F.lit(f"type:{n}")))
+        good = F.lit(True) if rule == "any text" else F.col(n) != "" if rule == "text" else F.col(n).rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:\S+$") if rule == "uri" else _dated(F.col(n)) if rule in ("date", "date or null") else F.col(n).isin(*rule) if isinstance(rule, tuple) else F.col(n).rlike(rule)
+        errors.append(F.when(F.col(n).isNotNull() & ~good, F.lit(f"value:{n}")))
+    decided = F.coalesce(F.col("review_status").isin("ACCEPTED", "REJECTED"), F.lit(False))
+    errors += [F.when(decided & ~held(n), F.lit(f"missing:{n}")) for n in ("reviewed_by", "reviewed_at")]
+    errors.append(F.when(F.coalesce(F.col("review_status") == "ACCEPTED", F.lit(False)) & held("effective_from") & F.col("effective_from").isNull(), F.lit("accepted_undated")))
+    day = lambda n: F.when(_dated(F.col(n)), F.substring(n, 1, 10))
+    errors.append(F.when(day("effective_to") <= day("effective_from"), F.lit("interval")))
+    unknown = F.transform(F.array_except("_keys", F.array(*[F.lit(n) for n in names])), lambda x: F.concat(F.lit("unknown:"), x))
+    return rows.select(key, F.explode(F.concat(F.array_compact(F.array(*errors)), unknown)).alias("error"))

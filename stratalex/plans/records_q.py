@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from stratalex.operators import elements as el
 from stratalex.operators import evaluation as ev
 from stratalex.operators import index as ix
 from stratalex.operators import nested as ne
 from stratalex.operators import records as re
+from stratalex.operators import search as se
+from stratalex.operators import validation as va
 from stratalex.operators import verification as vf
 from stratalex.session import table
 
@@ -214,3 +217,40 @@ def payload_refusals(s: SparkSession, d: str) -> DataFrame:
     relations = F.when(i % 8 != 5, F.when(i % 7 == 1, F.array(relation, F.lit(None).cast("struct<relation_type:string,target_provision_id:string>"))).otherwise(F.array(relation)))
     vehicles = F.when(i % 8 != 5, F.when(i % 9 == 4, F.array(F.lit("car"), F.lit(""))).otherwise(F.array(F.lit("car"))))
     return vf.payload_errors(v.documents(s, d).select(i.alias("point_id"), relations.alias("relations"), vehicles.alias("vehicle_types"))).withColumn("errors", F.array_join("errors", ","))
+
+
+@query(
+    r"""WITH m AS (SELECT doc_id AS i, text FROM documents), e AS (SELECT i, unnest([CASE WHEN i % 31 = 30 THEN 'not_object' END, CASE WHEN i % 31 != 30 THEN CASE WHEN i % 7 = 3 THEN 'missing:file_hash' WHEN i % 7 = 4 THEN 'value:file_hash' END END, CASE WHEN i % 31 != 30 AND i % 5 = 1 THEN 'unknown:extra' END, CASE WHEN i % 31 != 30 AND i % 11 = 2 THEN 'type:issuer' END,
+      CASE WHEN i % 31 != 30 AND i % 13 = 5 THEN 'value:document_type' END, CASE WHEN i % 31 != 30 AND i % 9 = 4 THEN 'value:issued_date' END, CASE WHEN i % 31 != 30 AND i % 6 = 2 THEN 'missing:reviewed_by' END, CASE WHEN i % 31 != 30 AND i % 6 = 2 THEN 'missing:reviewed_at' END,
+      CASE WHEN i % 31 != 30 AND i % 6 IN (1, 2) AND i % 8 = 7 THEN 'accepted_undated' END, CASE WHEN i % 31 != 30 AND i % 8 != 7 AND i % 10 = 6 THEN 'interval' END, CASE WHEN i % 31 != 30 AND text IS NULL THEN 'missing:relation_notes' END, CASE WHEN i % 31 != 30 AND i % 17 = 9 THEN 'value:source_url' END]) AS error FROM m)
+    SELECT i AS doc_id, error FROM e WHERE error IS NOT NULL"""
+)
+def manifest_schema(s: SparkSession, d: str) -> DataFrame:
+    """A manifest for each document, its whole text as notes, against every rule of the schema."""
+    i = F.col("doc_id")
+    fields = {
+        "document_id": F.concat(F.lit("nd-"), i), "source_url": F.when(i % 17 == 9, "no address").otherwise("https://example.org/a"), "downloaded_at": F.lit("2024-01-02T03:04:05Z"),
+        "file_hash": F.when(i % 7 == 3, None).when(i % 7 == 4, "ABC").otherwise(F.sha2(F.coalesce("text", F.lit("")), 256)), "document_number": F.lit("1/2024"), "document_type": F.when(i % 13 == 5, "LETTER").otherwise("LAW"),
+        "issuer": F.when(i % 11 == 2, "@5@").otherwise("X"), "issued_date": F.when(i % 9 == 4, "2024-02-30").otherwise("2024-02-29"), "effective_from": F.when(i % 8 == 7, "@null@").otherwise("2024-03-01"),
+        "effective_to": F.when(i % 10 == 6, "2024-03-01T23:00:00+07:00").when(i % 10 == 5, "2024-03-02").otherwise("@null@"), "status": F.lit("EFFECTIVE"), "relation_notes": F.col("text"),
+        "review_status": F.when(i % 6 == 0, "PENDING").when(i % 6 < 3, "ACCEPTED").otherwise("DROPPED"), "reviewed_by": F.when(i % 6 == 1, "r"), "reviewed_at": F.when(i % 6 == 1, "2024-01-01"), "extra": F.when(i % 5 == 1, "x"),
+    }
+    raw = F.regexp_replace(F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])), '"@(null|5)@"', "$1")
+    return va.manifest_schema_errors(v.documents(s, d).select("doc_id", F.when(i % 31 == 30, F.concat(F.lit("["), raw, F.lit("]"))).otherwise(raw).alias("raw")), "doc_id", "raw")
+
+
+@query(
+    """WITH t AS (SELECT vec_id, vec_id // 16 AS batch, vec_id % 16 AS place, len(embedding) AS n FROM embeddings), b AS (SELECT batch, CASE batch % 7 WHEN 1 THEN 'count' WHEN 2 THEN 'dimension' WHEN 3 THEN 'index' WHEN 4 THEN 'not_numeric' END AS error, count(*) AS n FROM t GROUP BY ALL)
+    SELECT batch, error, CAST(CASE WHEN error IS NULL THEN n ELSE 0 END AS BIGINT) AS vectors FROM b"""
+)
+def provider_batches(s: SparkSession, d: str) -> DataFrame:
+    """Batches of vectors as a provider gives them, backwards; some lack one, repeat an index, are short, or hold no number."""
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("text_id"), F.expr("vec_id div 16").alias("batch"), (F.col("vec_id") % 16).alias("place"), "embedding")
+    kind = F.col("batch") % 7
+    first, vector = F.min("place").over(W.partitionBy("batch")) == F.col("place"), F.col("embedding").cast("array<double>")
+    held = e.withColumn("first", first).filter(~((kind == 1) & F.col("first")))
+    broken = F.when((kind == 2) & F.col("first"), F.slice(vector, 1, 63)).when((kind == 4) & F.col("first"), F.transform(vector, lambda x: F.lit(float("nan")))).otherwise(vector)
+    answers = held.select("batch", F.when((kind == 3) & F.col("first"), F.col("place") + 99).otherwise(F.col("place")).alias("index"), broken.alias("embedding")).orderBy(F.desc("index"))
+    found, errors = se.provider_vectors(e.drop("embedding"), answers, 64)
+    per = found.groupBy("batch").agg(F.count("*").alias("vectors"))
+    return e.select("batch").distinct().join(errors, "batch", "left").join(per, "batch", "left").select("batch", "error", F.coalesce("vectors", F.lit(0)).alias("vectors"))
