@@ -37,7 +37,15 @@ TYPE_PREFIXES = (
 # Words that the tokeniser can drop.
 STOPWORDS = ("và", "với", "để", "là", "các", "những", "một", "khi", "nếu", "thì", "cũng", "đều", "về", "từ", "ở", "bởi", "như", "hay")
 # Fixed value: grammar of logical provision ids.
-ID_GRAMMAR = r"^[a-zđ]+-[0-9]+-[0-9]{4}(__dieu-\d+(__khoan-(\d+(__diem-[a-zđ])?|chuyen-tiep)|__bang-\d+)?|__phu-luc-\d+(__bang-\d+)?|__chuyen-tiep-\d+|__tieu-de-\d+)?$"
+ID_GRAMMAR = (
+    r"^[a-zđ]+-[0-9]+-[0-9]{4}"
+    r"(?:__dieu-[0-9]+(?:__khoan-[0-9]+(?:__diem-[a-zđ])?)?"
+    r"|__dieu-[0-9]+__bang-[0-9]+"
+    r"|__dieu-[0-9]+__khoan-chuyen-tiep"
+    r"|__phu-luc-[0-9]+(?:__bang-[0-9]+)?"
+    r"|__chuyen-tiep-[0-9]+"
+    r"|__tieu-de-[0-9]+)?$"
+)
 LETTER = r"[\p{L}\p{Nl}\p{No}]"
 TOKEN = rf"({LETTER}+)"
 
@@ -80,8 +88,8 @@ def tokens(text: Column, drop_stopwords: bool = False) -> Column:
     return F.filter(found, lambda x: ~x.isin(*STOPWORDS)) if drop_stopwords else found
 
 
-# Unicode Roman numerals and their letters.
-ROMAN_SIGNS = dict(zip("ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩⅪⅫⅬⅭⅮⅯ", ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII", "L", "C", "D", "M")))
+#: The Roman numerals that Unicode has as signs of their own, and what compatibility makes of them.
+ROMAN_SIGNS = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0x2160, 0x2170)}
 
 
 def roman_letters(text: Column) -> Column:

@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from stratalex.functions import text as tx
 
-# Wording of the effective date, keywords of issuers, vehicles, intents and evidence.
-EFFECTIVE = r"(?iu)(?:có hiệu lực|kể từ)\s+(?:thi hành\s+)?(?:kể\s+)?từ\s+ngày\s+(?:(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})|(\d{1,2})/(\d{1,2})/(\d{4}))"
+# Fixed value: both forms of the clause that says from when a text is in force.
+EFFECTIVE = (
+    r"(?iu)(?:có hiệu lực|kể từ)\s+(?:thi hành\s+)?(?:kể\s+)?từ\s+ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})"
+    r"|(?:có hiệu lực|kể từ)\s+(?:thi hành\s+)?(?:kể\s+)?từ\s+ngày\s+(\d{1,2})/(\d{1,2})/(\d{4})"
+)
+# Issuers as the first page names them.
 FIRST_PAGE_ISSUERS = (
     ("văn phòng quốc hội", "Văn phòng Quốc hội"), ("quốc hội", "Quốc hội"), ("bộ giao thông vận tải", "Bộ Giao thông vận tải"), ("bộ công an", "Bộ Công an"), ("chính phủ", "Chính phủ"),
 )
+# Keywords of vehicles, intents and evidence.
 VEHICLES = ("xe máy", "ô tô", "xe đạp", "xe tải")
 EVIDENCE = {
     "violation_definition": r"(?iu)bị phạt|bị xử lý", "monetary_penalty": r"(?iu)\d[\d.]*\s*(?:triệu\s+)?đồng", "license_points": r"(?iu)trừ\s.*điểm giấy phép lái xe",
