@@ -38,7 +38,7 @@ SMALL, BLOCK, ROWS = 256, 64, 1024
 #: Tokens that a task holds at most for one cluster, block or deal, but for a single set that has more.
 WEIGHT = 1 << 21
 #: Leaders drawn first; four times as many in each later turn.
-FIRST_LEADERS = 128
+FIRST_LEADERS = 512
 
 
 def overlap_needed(n, least: int = LEAST):
