@@ -16,8 +16,10 @@ from .jobs import STAGES, TERMINAL, stage_index
 LIMITS = {"RECEIVED": 1200, "PARSED": 300, "NORMALIZED": 600, "EXTRACTED": 300, "GATED": 600, "EMBEDDED": 300}
 #: Microseconds in a second and in a millisecond.
 SECOND, MILLI = 1_000_000, 1_000
+#: Groups of jobs that share one state each: the calls of a batch are at most as many, however many jobs there are.
+GROUPS = 4096
 _OUT = "job_id long, stage string, entered_at timestamp, left_stage string"
-_STATE = "place int, deadline long, failed boolean, ts array<long>, id array<long>, stage array<int>"
+_STATE = "job array<long>, place array<int>, deadline array<long>, failed array<boolean>, ts array<long>, id array<long>, stage array<int>, of array<long>"
 
 
 def limit_of(stage: Column, limits: dict[str, int] = LIMITS) -> Column:
@@ -50,46 +52,53 @@ def _timed(limits: dict[str, int]):
     waits = [limits[s] * SECOND if s in limits and s not in TERMINAL else -1 for s in STAGES]
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        place, deadline, failed, *held = state.get if state.exists else (-1, -1, False, [], [], [])
-        waiting = list(zip(*held))
+        jobs, waiting = {}, []
+        if state.exists:
+            job, *told = state.get[:4]
+            jobs = dict(zip(job, zip(*told)))
+            waiting = list(zip(*state.get[4:]))
         if not state.hasTimedOut:
             for frame in frames:
                 known = frame[frame["place"] >= 0]
-                waiting += zip(known["us"].tolist(), known["event_id"].tolist(), known["place"].tolist())
+                waiting += zip(known["us"].tolist(), known["event_id"].tolist(), known["place"].tolist(), known["job_id"].tolist())
         now, out = state.getCurrentWatermarkMs() * MILLI, []
-        waiting.sort()
-        # Messages up to the watermark are complete, so they and the limits between them are settled in order.
-        done = 0
-        for us, _, at in waiting if not failed else ():
-            if us > now:
-                break
-            done += 1
+        # Messages up to the watermark are complete, so they and the limits between them are settled in order, job by job.
+        due = sorted(x for x in waiting if x[0] <= now)
+        for us, _, at, job in due:
+            place, deadline, failed = jobs.get(job, (-1, -1, False))
+            if failed:
+                continue
             if 0 <= deadline < us:
-                break
-            if at > place:
-                out.append((STAGES[at], us, STAGES[place] if place >= 0 else None))
-                place, deadline = at, us + waits[at] if waits[at] >= 0 else -1
-        if 0 <= deadline <= now and not failed:
-            out.append(("FAILED", deadline, STAGES[place]))
-            failed, deadline = True, -1
-        waiting = [] if failed else waiting[done:]
-        state.update((place, deadline, failed, *([list(x) for x in zip(*waiting)] if waiting else ([], [], []))))
-        ahead = [x for x in (waiting[0][0] if waiting else -1, deadline) if x >= 0]
+                out.append((job, "FAILED", deadline, STAGES[place]))
+                jobs[job] = (place, -1, True)
+            elif at > place:
+                out.append((job, STAGES[at], us, STAGES[place] if place >= 0 else None))
+                jobs[job] = (at, us + waits[at] if waits[at] >= 0 else -1, False)
+        for job, (place, deadline, failed) in jobs.items():
+            if 0 <= deadline <= now and not failed:
+                out.append((job, "FAILED", deadline, STAGES[place]))
+                jobs[job] = (place, -1, True)
+        waiting = [x for x in waiting if x[0] > now and not (x[3] in jobs and jobs[x[3]][2])]
+        columns = [list(x) for x in zip(*jobs.values())] or [[], [], []]
+        state.update((list(jobs), *columns, *([list(x) for x in zip(*waiting)] or [[], [], [], []])))
+        ahead = [x[0] for x in waiting] + [x for x in columns[1] if x >= 0]
         if ahead:  # a timer fires once the watermark is past it
             state.setTimeoutTimestamp(max(-(-min(ahead) // MILLI) - 1, now // MILLI))
         if out:
-            stages, entered, left = zip(*out)
-            yield pd.DataFrame({"job_id": [key[0]] * len(out), "stage": stages, "entered_at": pd.to_datetime(pd.Series(entered), unit="us"), "left_stage": pd.Series(left, dtype="object")})
+            job, stages, entered, left = zip(*out)
+            yield pd.DataFrame({"job_id": job, "stage": stages, "entered_at": pd.to_datetime(pd.Series(entered), unit="us"), "left_stage": pd.Series(left, dtype="object")})
 
     return advance
 
 
-def stream_transitions(messages: DataFrame, late: str, limits: dict[str, int] = LIMITS) -> DataFrame:
+def stream_transitions(messages: DataFrame, late: str, limits: dict[str, int] = LIMITS, groups: int = GROUPS) -> DataFrame:
     """The same steps as a stream, appended when the watermark, ``late`` behind the newest message, has passed them.
 
-    Messages may come in any order within ``late``; a job's state holds those that the watermark has not reached and
-    a timer at the next of them or at the end of its stage's limit, whichever is first.
+    Messages may come in any order within ``late``. Jobs are dealt to ``groups`` by a hash of their id; a group's state holds, job
+    by job, where it stands and the messages that the watermark has not reached, and a timer at the next of them or at
+    the end of a stage's limit, whichever is first.
     """
     known = messages.select("job_id", "event_id", "ts", F.unix_micros("ts").alias("us"), F.coalesce(stage_index(F.col("stage")), F.lit(-1)).alias("place"))
     timed = known.filter("job_id is not null and ts is not null").withWatermark("ts", late)
-    return timed.groupBy("job_id").applyInPandasWithState(_timed(limits), _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    dealt = timed.withColumn("group", F.pmod(F.xxhash64("job_id"), F.lit(groups)))
+    return dealt.groupBy("group").applyInPandasWithState(_timed(limits), _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -72,6 +72,20 @@ def test_stage_limits(spark, tmp_path):
     assert len(failed) == len(set(failed)) > 10 and 101 in failed and 100 not in [x[0] for x in want if x[3] == "RECEIVED" and x[1] == "FAILED"] and 102 not in failed
 
 
+def test_limits_share_states(spark, tmp_path):
+    """Many jobs, few states: the calls do not grow with the jobs, and each job is settled by itself."""
+    r = random.Random(5)
+    rows = [(job, r.choice(STAGES[:4]), START + dt.timedelta(seconds=r.randint(0, 4000)), k) for k, job in enumerate(list(range(2000)) * 2)]
+    rows += [(5000, "RECEIVED", START + dt.timedelta(seconds=9000), 9999)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/in")
+    stream = limits.stream_transitions(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), "900 seconds", groups=8)
+    query = stream.writeStream.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={number}")).option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert 0 < max(x["stateOperators"][0]["numRowsTotal"] for x in query.recentProgress) <= 8
+    got = spark.read.schema(stream.schema).parquet(f"{tmp_path}/out").select(*stream.columns).collect()
+    assert sorted(map(tuple, got), key=str) == simulated(rows, START + dt.timedelta(seconds=8100), limits.LIMITS)
+
+
 def test_sliding_windows_with_late_rows(spark, tmp_path):
     r, schema = random.Random(2), "event_id long, ts timestamp, event_type string, value double"
     rows = [(i, START + dt.timedelta(minutes=r.randint(0, 1500)), r.choice(["a", "b", None]), float(r.randint(0, 99)) / 4) for i in range(600)]
