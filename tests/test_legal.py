@@ -100,6 +100,19 @@ def test_terminology(spark):
         te.pinned(terms, "1.0.0", most=3)
 
 
+def test_terminology_in_blocks(spark):
+    """More variants than travel with the tasks: blocks of texts meet theirs, with the result of the others."""
+    terms = spark.createDataFrame([*TERMS, ("1.0.0", "mark", "§ §"), ("1.0.0", "cut", "(xe"), ("1.0.0", "dash", "--")], "version string, canonical string, variant string")
+    r = random.Random(3)
+    parts = ["xe", "ôtô", "ô", "tô", "oto", "Xe  OTO", "gplx", "nồng độ cồn", "trong máu", "STRASSE", "straße", "_oto", ",", "\n", "(xe ôtô)", "§", "--", "---", "İ xe oto"]
+    rows = [(i, " ".join(r.choice(parts) for _ in range(r.randint(0, 12)))) for i in range(300)] + [(None, "gplx"), (-1, None), (-2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = te.pinned(terms, "1.0.0")
+    got = te.with_terminology(docs, "doc_id", "text", terms, "1.0.0", most=3, letters=500).collect()
+    assert {g.doc_id: g.text for g in got} == {i: None if t is None else replaced(t, keys) for i, t in rows}
+    assert sorted(map(str, got)) == sorted(map(str, te.with_terminology(docs, "doc_id", "text", terms, "1.0.0").collect()))
+
+
 def test_the_automaton_is_linear():
     """Thousands of terms, many of which are one another's endings; time grows with the text."""
     keys = {"a" * n: str(n) for n in range(1, 200)} | {f"term {i}": str(i) for i in range(5000)}
