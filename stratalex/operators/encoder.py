@@ -20,7 +20,7 @@ class _TextParams(HasInputCol, HasOutputCol):
     dropStopwords = Param(Params._dummy(), "dropStopwords", "leave stop words out", TypeConverters.toBoolean)
 
     def _counts(self, rows: DataFrame) -> DataFrame:
-        return sp.term_counts(sp.token_rows(rows, self.getOrDefault("keyCol"), self.getInputCol(), self.getOrDefault("dropStopwords")))
+        return sp.text_counts(rows, self.getOrDefault("keyCol"), self.getInputCol(), self.getOrDefault("dropStopwords"))
 
     def _take(self, given: dict) -> None:
         self._setDefault(keyCol="unit_id", inputCol="text", outputCol="weights", dropStopwords=False)

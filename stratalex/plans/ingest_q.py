@@ -185,7 +185,7 @@ def _indexed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs, pid = v.documents(s, d), F.concat(F.lit("nd-"), i.cast("string"), F.lit("-2024__dieu-1"))
     rows = docs.select(pid.alias("provision_id"), F.lit(1).alias("version"), F.when(i % 3 != 0, "ACCEPTED").otherwise("PENDING").alias("review_status"), F.when(i % 5 != 0, F.to_date(F.lit("2024-01-01"))).alias("effective_from"), F.lit(None).cast("date").alias("effective_to"), F.sha2("text", 256).alias("content_hash"))
     unit = F.concat(pid, F.lit("__v1"))
-    counts = sp.term_counts(sp.token_rows(docs.select(unit.alias("u"), "text"), "u", "text"))
+    counts = sp.text_counts(docs.select(unit.alias("u"), "text"), "u", "text")
     old = docs.filter("doc_id % 7 = 0").select(F.sha2(F.concat(F.lit("old-"), i.cast("string")), 256).alias("point_id"), F.lit("h").alias("content_hash"), F.when(i % 2 == 0, "v2").otherwise("v1").alias("sparse_encoder_version"), F.array().cast("array<bigint>").alias("indices"), F.array().cast("array<double>").alias("values"))
     return ix.index_accepted(rows, sp.wire(sp.unfitted(counts)), old, "v2")
 
@@ -207,7 +207,7 @@ def index_accepted_counts(s: SparkSession, d: str) -> DataFrame:
 
 @query(rf"WITH {v.TOKENS}, u AS (SELECT unit_id, tf, row_number() OVER (PARTITION BY unit_id ORDER BY token) AS token_id FROM tf) SELECT unit_id, string_agg(token_id || ':' || tf, ',' ORDER BY token_id) AS weights FROM u GROUP BY unit_id")
 def unfitted_encoding(s: SparkSession, d: str) -> DataFrame:
-    wire = sp.wire(sp.unfitted(sp.term_counts(sp.token_rows(v.documents(s, d), "doc_id", "text"))))
+    wire = sp.wire(sp.unfitted(sp.text_counts(v.documents(s, d), "doc_id", "text")))
     pairs = F.zip_with("indices", "values", lambda a, b: F.concat(a.cast("string"), F.lit(":"), b.cast("long").cast("string")))
     return wire.select("unit_id", F.concat_ws(",", pairs).alias("weights"))
 

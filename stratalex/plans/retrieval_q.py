@@ -22,7 +22,7 @@ TERMS = ("the", "of", "and")
 
 def _counts(s: SparkSession, d: str) -> DataFrame:
     """Term counts of all texts, built once for each input: all queries read the table."""
-    return stored_once(s, "term-counts", f"{d}/documents.parquet", lambda: sp.term_counts(sp.token_rows(v.documents(s, d), "doc_id", "text")))
+    return stored_once(s, "term-counts", f"{d}/documents.parquet", lambda: sp.text_counts(v.documents(s, d), "doc_id", "text"))
 
 
 def _total(s: SparkSession, d: str) -> int:

@@ -89,3 +89,29 @@ def test_small_dense_indexes(spark):
     assert DenseIndex(one, 2).top_k(ask.limit(0), 3).count() == 0
     listed = [spark.createDataFrame([], f"list int, {schema}") for _ in range(2)]
     assert in_blocks(*listed, 3).count() == 0
+
+
+def test_counts_of_texts(spark):
+    """Texts that share a key or have none are counted together, as one row a token would be."""
+    texts = [(1, "b a b  B"), (2, "x"), (2, "x y"), (None, "n m"), (None, "m"), (3, ""), (4, None), (5, "ß É e\u0301 é 12 c")]
+    units = spark.createDataFrame(texts, "id long, text string")
+    plain = lambda df: sorted((tuple(r) for r in df.select("unit_id", "token", "tf").collect()), key=str)
+    for rows in (units, units.filter("id != 2")):
+        assert plain(sp.text_counts(rows, "id", "text")) == plain(sp.term_counts(sp.token_rows(rows, "id", "text"))) != []
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_search_with_queries_in_the_tasks(spark, kind):
+    """The k best kept in each task and the join of queries as a table give the same rows, ties and units over many batches included."""
+    r = random.Random(12)
+    rows = [(u, f"t{t}", r.randint(1, 3)) for u in range(400) for t in r.sample(range(40), 12)] + [(None, "t1", 2)]
+    counts = spark.createDataFrame(rows, "unit_id long, token string, tf long").withColumn("unit_id", F.col("unit_id").cast(kind)).repartition(3)
+    vocab = sp.vocabulary(counts, 400)
+    asked = spark.createDataFrame([(q, f"t{t}", r.randint(1, 2)) for q in range(9) for t in r.sample(range(44), 6)], "query_id long, token string, qtf int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = sorted(map(str, sp.top_k(counts, asked, vocab, 11).select("query_id", "unit_id", "score", "rank").collect()))
+        assert got == sorted(map(str, sp.top_k(counts, asked, vocab, 11, most=5).select("query_id", "unit_id", "score", "rank").collect())) and len(got) == 99
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sp.top_k(counts, asked.limit(0), vocab, 3).count() == 0 and sp.top_k(counts.limit(0), asked, vocab, 3).count() == 0
