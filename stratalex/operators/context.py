@@ -48,7 +48,10 @@ def with_parents(provisions: DataFrame) -> DataFrame:
     up = F.when(F.col("kind") == "ARTICLE", F.lit("CLAUSE")).when(F.col("kind") == "CLAUSE", F.lit("POINT"))
     keys = [F.col("doc_id").alias("_d"), F.col("article").alias("_a"), F.when(F.col("kind") == "CLAUSE", F.col("number")).alias("_c"), up.alias("_k")]
     by_labels = provisions.filter(F.col("kind").isin("ARTICLE", "CLAUSE")).groupBy(*keys).agg(F.min("line").alias("_by_label"))
-    joined = own.join(by_id, "parent_id", "left")
+    # Rows that look for no parent are dealt by their own id: as nulls they would all meet in one task.
+    by_id = by_id.withColumnRenamed("parent_id", "_p")
+    sought = F.coalesce("parent_id", "provision_id") == F.col("_p")
+    joined = own.join(by_id, sought & F.col("parent_id").isNotNull(), "left").drop("_p")
     clause = F.when(F.col("kind") == "POINT", F.col("clause"))
     same = (F.col("doc_id") == F.col("_d")) & (F.col("article") == F.col("_a")) & clause.eqNullSafe(F.col("_c")) & (F.col("kind") == F.col("_k"))
     return joined.join(by_labels, same, "left").withColumn("parent_line", F.coalesce("_by_id", "_by_label")).drop("_d", "_a", "_c", "_k", "_by_id", "_by_label")

@@ -134,3 +134,11 @@ def test_tables_contexts_and_drops(spark):
         ("nd-1__dieu-5__bang-2", f"{head} Điều 5. Phạt 1. Phạt tiền"), ("nd-1__dieu-5__bang-3", f"{head} Điều 5. Phạt 1. Phạt tiền"), ("nd-1__tieu-de-1", f"{head} Điều 5. Phạt 1. Phạt tiền"),
         ("nd-1__chuyen-tiep-1", head), ("nd-1__phu-luc-2", head), ("nd-1__phu-luc-2__bang-1", head), ("nd-1__dieu-5", "Chương II. Sau"), ("nd-1__dieu-5__bang-4", "Chương II. Sau Điều 5. Lặp"),
     ]
+
+
+def test_rows_without_parent_are_dealt(spark):
+    """Articles look for no parent: they must not meet in one task as nulls, and get none."""
+    rows = [(1, f"nd-1-2024__dieu-{n}", "ARTICLE", f"Điều {n}.", str(n), str(n), None) for n in range(5)] + [(1, "nd-1-2024__dieu-2__khoan-1", "CLAUSE", "1. x", "2", "1", "1")]
+    up = context.with_parents(spark.createDataFrame(rows, "doc_id long, provision_id string, kind string, line string, article string, number string, clause string"))
+    assert {r.provision_id: r.parent_line for r in up.collect()} == {r[1]: "Điều 2." if r[2] == "CLAUSE" else None for r in rows}
+    assert "coalesce(parent_id" in up._jdf.queryExecution().optimizedPlan().toString()
