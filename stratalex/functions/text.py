@@ -46,6 +46,10 @@ ID_GRAMMAR = (
     r"|__chuyen-tiep-[0-9]+"
     r"|__tieu-de-[0-9]+)?$"
 )
+# Code points, as ranges, that no text of them alone makes NFC change: none decomposes for good or joins the one before it.
+ASCII = r"\x{0}-\x{7F}"
+LATIN = r"\x{0}-\x{2FF}"
+SETTLED = LATIN + r"\x{400}-\x{482}\x{48A}-\x{52F}\x{1EA0}-\x{1EFF}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20BF}\x{3000}-\x{3029}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FFF}\x{FF01}-\x{FF60}"
 LETTER = r"[\p{L}\p{Nl}\p{No}]"
 TOKEN = rf"({LETTER}+)"
 
@@ -59,8 +63,15 @@ def _normal(form: str):
 
 
 def normalised(text: Column, form: str = "NFC") -> Column:
-    """Unicode normal form; ASCII text, which every form leaves as it is, skips Python."""
-    return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_normal(form)(text))
+    """Unicode normal form. Text that the form leaves as it is by its letters alone skips Python.
+
+    A function in Python is evaluated for all rows, whatever condition stands around it, so such text is given to it as null.
+    """
+    # One range is tested far faster than many, and most texts need no more.
+    same = text.rlike(rf"^[{LATIN if form == 'NFC' else ASCII}]*$")
+    if form == "NFC":
+        same = F.when(same, True).otherwise(text.rlike(rf"^[{SETTLED}]*$"))
+    return F.coalesce(_normal(form)(F.when(~same, text)), text)
 
 
 def collapsed(text: Column) -> Column:

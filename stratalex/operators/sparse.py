@@ -32,7 +32,8 @@ def counts_of(units: DataFrame, key: str, text: str, terms: tuple[str, ...]) ->
     Composition can only change such a token where a mark follows it, so texts without marks are counted as they are.
     """
     held = F.col(text)
-    plain = F.lower(F.when(held.rlike(r"\p{M}"), normalised(held)).otherwise(held))
+    marked = held.rlike(r"\p{M}")
+    plain = F.lower(F.when(marked, normalised(F.when(marked, held))).otherwise(held))
     found = [F.struct(F.lit(t).alias("token"), F.regexp_count(plain, F.lit(rf"(?<!{LETTER}){t}(?!{LETTER})")).cast("long").alias("tf")) for t in terms]
     rows = units.select(F.col(key).alias("unit_id"), F.inline(F.array(*found)))
     return rows.filter("tf > 0")

@@ -1,6 +1,8 @@
 """Text functions, intervals, gates, index versions and jobs at their boundaries."""
 
 import datetime as dt
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,3 +109,17 @@ def test_retries(spark):
     rows = [(i, 1, "PARSED", dt.datetime(2024, 1, 1, 0, i), i != 9) for i in range(4)] + [(9, 2, "PARSED", dt.datetime(2024, 1, 1), False)]
     plan = {r.event_id: (r.outcome, r.wait_s) for r in jobs.retry_plan(spark.createDataFrame(rows, "event_id int, job_id int, stage string, ts timestamp, transient boolean")).collect()}
     assert plan == {0: ("retry", 15), 1: ("retry", 30), 2: ("dead_letter", None), 3: ("dead_letter", None), 9: ("dead_letter", None)}
+
+
+def test_text_in_normal_form_skips_python(spark):
+    """The ranges hold what NFC never changes, and only other texts are given to Python."""
+    held = [chr(c) for low, high in re.findall(r"\\x\{(\w+)\}-\\x\{(\w+)\}", tx.SETTLED) for c in range(int(low, 16), int(high, 16) + 1)]
+    joined = {c for x in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if len(unicodedata.normalize("NFD", x)) > 1 for c in unicodedata.normalize("NFD", x)[1:]}
+    assert len(held) > 20_000 and not joined & set(held)
+    assert all(unicodedata.is_normalized("NFC", c) and not unicodedata.combining(c) for c in held)
+    rows = ["abc", "Điều", "e\u0301 x", "ﬁ", "Å", "", None, "стол и\u0306", "\n\u4e2d"]
+    df = spark.createDataFrame([(x,) for x in rows], "t string")
+    for form in ("NFC", "NFKC"):
+        made = df.select("t", tx.normalised(F.col("t"), form).alias("n"))
+        assert {r.t: r.n for r in made.collect()} == {x: x and unicodedata.normalize(form, x) for x in rows}
+        assert re.search(r"ArrowEvalPython \[normal\(CASE WHEN", made._jdf.queryExecution().optimizedPlan().toString())
