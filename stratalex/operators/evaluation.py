@@ -74,8 +74,10 @@ def latency(rows: DataFrame, by: str, value: str) -> DataFrame:
 
 def evidence_recall(required: DataFrame, found: DataFrame) -> DataFrame:
     """query_id, recall, complete: share of required (query_id, item) pairs found."""
-    met = required.distinct().join(found.select("query_id", "item").distinct().withColumn("_f", F.lit(1)), ["query_id", "item"], "left")
-    share = F.avg(F.col("_f").isNotNull().cast("double"))
+    need = required.select("query_id", "item", F.lit(1).alias("_r"), F.lit(0).alias("_f"))
+    got = found.filter("query_id is not null and item is not null").select("query_id", "item", F.lit(0).alias("_r"), F.lit(1).alias("_f"))
+    met = need.unionByName(got).groupBy("query_id", "item").agg(F.max("_r").alias("_r"), F.max("_f").alias("_f")).filter("_r = 1")
+    share = F.avg(F.col("_f").cast("double"))
     return met.groupBy("query_id").agg(F.round(share, 6).alias("recall"), (share == 1).alias("complete"))
 
 

@@ -115,3 +115,14 @@ def test_search_with_queries_in_the_tasks(spark, kind):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sp.top_k(counts, asked.limit(0), vocab, 3).count() == 0 and sp.top_k(counts.limit(0), asked, vocab, 3).count() == 0
+
+
+def test_evidence_recall_takes_one_pass(spark):
+    """Required pairs are marked where they were found without a join; nulls are never found, repeats count once."""
+    from stratalex.operators import evaluation as ev
+
+    required = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 5), (3, None), (None, 7)], "query_id int, item int")
+    found = spark.createDataFrame([(1, 1), (1, 1), (2, 5), (3, None), (None, 7), (4, 1)], "query_id int, item int")
+    out = ev.evidence_recall(required, found)
+    assert {r.query_id: (r.recall, r.complete) for r in out.collect()} == {1: (0.5, False), 2: (1.0, True), 3: (0.0, False), None: (0.0, False)}
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
