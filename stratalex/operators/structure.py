@@ -33,16 +33,20 @@ CHROME = ("page_header", "page_footer", "header", "footer")
 
 
 def without_chrome(elements: DataFrame) -> DataFrame:
-    """Drop headers and footers, by type or as text that repeats at the edges of several pages, and blank lines."""
-    key = folded(collapsed(F.col("text")))
-    w = W.partitionBy("doc_id", key)
+    """Drop headers and footers, by type or as text that repeats at the edges of several pages, and blank lines; add line (collapsed text).
+
+    The line is made before rows are dealt by document, and every later step finds its rows in place. It is exploded, as
+    the filters that follow would otherwise be moved ahead of it and make it anew for every pattern they test.
+    """
+    lined = elements.withColumn("line", F.explode(F.array(collapsed(F.col("text"))))).repartition("doc_id")
+    w = W.partitionBy("doc_id", folded(F.col("line")))
     edge = (F.col("top") <= 0.15) | (F.col("bottom") >= 0.85)
     repeated = F.coalesce(edge, F.lit(False)) & (F.count("*").over(w) > 1) & (F.min("page_number").over(w) < F.max("page_number").over(w))
-    return elements.withColumn("_chrome", F.lower("element_type").isin(*CHROME) | repeated).filter(~F.col("_chrome") & (collapsed(F.col("text")) != "")).drop("_chrome")
+    return lined.withColumn("_chrome", F.lower("element_type").isin(*CHROME) | repeated).filter(~F.col("_chrome") & (F.col("line") != "")).drop("_chrome")
 
 
 def matched(elements: DataFrame) -> DataFrame:
-    """Add line (collapsed text), kind of the explicit rules, number, label; list items and headings keep their type."""
+    """Add kind of the explicit rules, number, label to rows with their line; list items and headings keep their type."""
     t = F.col("line")
     item, head = F.lower("element_type") == "list_item", F.lower("element_type").isin("heading", "title")
     kind = (
@@ -55,7 +59,7 @@ def matched(elements: DataFrame) -> DataFrame:
         .when(F.col("kind") == "ARTICLE", F.regexp_extract(t, ARTICLE, 1)).when(F.col("kind") == "APPENDIX", F.regexp_extract(t, APPENDIX, 1))
         .when(F.col("kind") == "TABLE", F.regexp_extract(t, r"(\d+)", 1)).when(F.col("kind") == "CLAUSE", F.regexp_extract(t, CLAUSE, 1))
     )
-    out = elements.withColumn("line", collapsed(F.col("text"))).withColumn("kind", kind).filter(F.col("kind").isNotNull())
+    out = elements.withColumn("kind", kind).filter(F.col("kind").isNotNull())
     return out.withColumn("number", F.nullif(number, F.lit(""))).withColumn("label", F.when(F.col("kind") == "POINT", F.concat(F.lower(F.regexp_extract(t, POINT, 1)), F.lit(")"))))
 
 
@@ -85,29 +89,36 @@ def list_items(nodes: DataFrame) -> DataFrame:
     """Resolve list items inside an article: a clause if none is open or a lead-in ends the text, else a point.
 
     The first item of an article's scope opens a clause, so a clause is open from the scope's first clause or item on.
+    Scopes are numbered upwards, so the last one with a clause or item is the largest.
     """
-    before = W.partitionBy("doc_id", "scope_run").orderBy("page_number", "reading_order").rowsBetween(W.unboundedPreceding, -1)
-    opened = F.coalesce(F.max(F.col("kind").isin("CLAUSE", "ITEM").cast("int")).over(before), F.lit(0))
+    before = _order().rowsBetween(W.unboundedPreceding, -1)
+    opened = F.coalesce(F.max(F.when(F.col("kind").isin("CLAUSE", "ITEM"), F.col("scope_run"))).over(before) == F.col("scope_run"), F.lit(False))
     lead, low = F.lit(False), F.lower("line")
     for ending in LEAD_INS:
         lead = lead | low.endswith(ending)
     usable = nodes.filter((F.col("kind") != "ITEM") | F.col("article").isNotNull())
     out = usable.withColumn("_opened", opened).withColumn("rebuilt", F.col("kind") == "ITEM")
-    kind = F.when(~F.col("rebuilt"), F.col("kind")).when((F.col("_opened") == 0) | lead, "CLAUSE").otherwise("POINT")
+    kind = F.when(~F.col("rebuilt"), F.col("kind")).when(~F.col("_opened") | lead, "CLAUSE").otherwise("POINT")
     return out.withColumn("kind", kind).drop("_opened")
 
 
 def clause_numbers(nodes: DataFrame) -> DataFrame:
     """Number the clauses that lost their marker: one more than the largest number so far in the article's run.
 
-    With k rebuilt clauses so far and explicit numbers n, the counter is k + max(0, n - k at n): a running maximum.
+    With k rebuilt clauses so far and explicit numbers n, the counter is k + max(0, n - k at n): a running maximum. All
+    windows are those of the document, so rows are sorted once: k counts from the document's start, less what stood before
+    the run, and as runs are numbered upwards, the maximum with the run before it is the run's own.
     """
-    w = W.partitionBy("doc_id", "article_run").orderBy("page_number", "reading_order").rowsBetween(W.unboundedPreceding, W.currentRow)
+    w = _order().rowsBetween(W.unboundedPreceding, W.currentRow)
     rebuilt = F.col("rebuilt") & (F.col("kind") == "CLAUSE")
     out = nodes.withColumn("_k", F.sum(rebuilt.cast("long")).over(w))
     explicit = F.when((F.col("kind") == "CLAUSE") & ~F.col("rebuilt"), F.col("number").try_cast("long") - F.col("_k"))
-    out = out.withColumn("_n", (F.col("_k") + F.greatest(F.lit(0), F.coalesce(F.max(explicit).over(w), F.lit(0)))).cast("long"))
-    return out.withColumn("number", F.when(rebuilt, F.col("_n").cast("string")).otherwise(F.col("number"))).drop("_k", "_n")
+    most = F.max(F.when(explicit.isNotNull(), F.struct(F.col("article_run").alias("run"), explicit.alias("n")))).over(w)
+    before = F.coalesce(F.last(F.when(F.col("kind").isin("CHAPTER", "SECTION", "ARTICLE"), F.col("_k")), ignorenulls=True).over(w), F.lit(0))
+    out = out.withColumns({"_most": most, "_before": before})
+    ahead = F.when(F.col("_most.run") == F.col("article_run"), F.col("_most.n") + F.col("_before"))
+    n = (F.col("_k") - F.col("_before") + F.greatest(F.lit(0), F.coalesce(ahead, F.lit(0)))).cast("long")
+    return out.withColumn("number", F.when(rebuilt, n.cast("string")).otherwise(F.col("number"))).drop("_k", "_most", "_before")
 
 
 def appendix_numbers(nodes: DataFrame) -> DataFrame:
@@ -122,8 +133,10 @@ def appendix_numbers(nodes: DataFrame) -> DataFrame:
 
 def running_numbers(nodes: DataFrame) -> DataFrame:
     """Numbers of headings and transitional parts: their place in the document."""
-    w = W.partitionBy("doc_id", "kind").orderBy("page_number", "reading_order")
-    return nodes.withColumn("number", F.when(F.col("kind").isin("HEADING", "TRANSITIONAL"), F.row_number().over(w).cast("string")).otherwise(F.col("number")))
+    w = _order().rowsBetween(W.unboundedPreceding, W.currentRow)
+    place = {k: F.count(F.when(F.col("kind") == k, 1)).over(w).cast("string") for k in ("HEADING", "TRANSITIONAL")}
+    number = F.when(F.col("kind") == "HEADING", place["HEADING"]).when(F.col("kind") == "TRANSITIONAL", place["TRANSITIONAL"])
+    return nodes.withColumn("number", number.otherwise(F.col("number")))
 
 
 # Remarks on repaired points.
@@ -169,14 +182,15 @@ def point_labels(nodes: DataFrame) -> DataFrame:
 def nodes(elements: DataFrame) -> DataFrame:
     """Structure nodes of ``elements`` (doc_id, page_number, reading_order, element_type, text, top, bottom).
 
-    kind, number, label, line, scopes, needs_review and ambiguity; the first remark that applies is given.
+    kind, number, label, line (for text), scopes, needs_review and ambiguity; the first remark that applies is given.
+    Labels come last: behind them Spark no longer knows that rows lie by document.
     """
-    found = point_labels(clause_numbers(appendix_numbers(list_items(scopes(matched(without_chrome(elements)))))))
-    found = running_numbers(found)
-    w = W.partitionBy("doc_id", "scope_run").orderBy("page_number", "reading_order").rowsBetween(W.unboundedPreceding, W.currentRow)
-    clause = F.when(F.col("article").isNotNull() | (F.col("kind") == "CLAUSE"), F.last(F.when(F.col("kind") == "CLAUSE", F.col("number")), ignorenulls=True).over(w))
-    found = found.withColumn("clause", F.when(F.col("kind").isin("CLAUSE", "POINT", "TABLE"), clause))
+    found = running_numbers(clause_numbers(appendix_numbers(list_items(scopes(matched(without_chrome(elements).drop("text")))))))
+    w = _order().rowsBetween(W.unboundedPreceding, W.currentRow)
     k = F.col("kind")
+    last = F.last(F.when((k == "CLAUSE") & F.col("number").isNotNull(), F.struct(F.col("scope_run").alias("run"), F.col("number").alias("n"))), ignorenulls=True).over(w)
+    clause = F.when((F.col("article").isNotNull() | (k == "CLAUSE")) & (F.col("_last.run") == F.col("scope_run")), F.col("_last.n"))
+    found = point_labels(found.withColumn("_last", last).withColumn("clause", F.when(k.isin("CLAUSE", "POINT", "TABLE"), clause)).drop("_last"))
     ambiguity = (
         F.when((k == "ARTICLE") & ~F.col("number").rlike(r"^\d+$"), "non-numeric article suffix")
         .when((k == "CLAUSE") & F.col("article").isNull(), "orphan clause without article")
@@ -232,12 +246,17 @@ def provisions(found: DataFrame) -> DataFrame:
     plain = F.coalesce(F.col("article").rlike(r"^\d+$"), F.lit(False))
     under = (plain | ((k == "TABLE") & F.col("_appendix").isNotNull())) & ((k == "ARTICLE") | ~F.col("_closed"))
     good = good.filter(F.col("provision_id").isNotNull() & F.when(k.isin("ARTICLE", "CLAUSE", "POINT", "TABLE"), under).otherwise(True)).drop("_closed", "_appendix")
-    again = F.row_number().over(W.partitionBy("doc_id", "provision_id").orderBy("page_number", "reading_order"))
-    rest = good.filter(k != "TABLE").withColumn("_n", again).filter(~((k == "POINT") & (F.col("_n") > 1))).drop("_n")
-    tables = table_ordinals(good.filter(k == "TABLE"), "provision_id", ("page_number", "reading_order"))
-    tables = tables.withColumn("provision_id", F.concat("provision_id", F.lit("__bang-"), F.col("ordinal").cast("string"))).drop("ordinal")
-    good = rest.unionByName(tables)
-    return good.withColumn("content_hash", F.sha2("line", 256)).withColumn("short_point", (k == "POINT") & (F.size(F.split("line", " ")) <= 3))
+    # One pass over each document's rows in order numbers the tables and finds the ids given before.
+    good = good.withColumn("_number", _asked(F.col("number"))).repartition("doc_id").sortWithinPartitions("doc_id", "page_number", "reading_order")
+    filed = good.mapInArrow(_filed, T.StructType([*good.schema.fields, T.StructField("_ordinal", T.LongType()), T.StructField("_again", T.BooleanType())]))
+    pid = F.when(k == "TABLE", F.concat("provision_id", F.lit("__bang-"), F.col("_ordinal").cast("string"))).otherwise(F.col("provision_id"))
+    filed = filed.filter(~F.col("_again")).withColumn("provision_id", pid).drop("_number", "_ordinal", "_again")
+    return filed.withColumn("content_hash", F.sha2("line", 256)).withColumn("short_point", (k == "POINT") & (F.size(F.split("line", " ")) <= 3))
+
+
+def _asked(number: Column) -> Column:
+    """The number that a table asks for: digits alone."""
+    return F.when(number.cast("string").rlike(r"^\d+$"), number.try_cast("long"))
 
 
 def next_free(used: dict[int, int], wanted: int) -> int:
@@ -251,6 +270,24 @@ def next_free(used: dict[int, int], wanted: int) -> int:
     return free
 
 
+def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of their documents, with the ordinal of tables under their id and whether a point's id has been given; state: one document."""
+    held, tables, points = object(), {}, set()
+    for batch in batches:
+        ordinals, again = [None] * batch.num_rows, [False] * batch.num_rows
+        for i, (doc, kind, pid, number) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "kind", "provision_id", "_number")))):
+            if doc != held:
+                held, tables, points = doc, {}, set()
+            if kind == "TABLE":
+                last, used = tables.get(pid) or (0, {})
+                ordinals[i] = next_free(used, last + 1 if number is None or number < 0 else number)
+                tables[pid] = ordinals[i], used
+            elif kind == "POINT":
+                again[i] = pid in points
+                points.add(pid)
+        yield batch.append_column("_ordinal", pa.array(ordinals, pa.int64())).append_column("_again", pa.array(again, pa.bool_()))
+
+
 def _ordinals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (parent, number, ...) sorted by parent and order, with ``ordinal``; state: the used numbers of one parent."""
     held, last, used = object(), 0, {}
@@ -271,8 +308,7 @@ def table_ordinals(tables: DataFrame, parent: str = "parent_id", order: tuple[st
     taken, the next free one. Partitions are sorted streams and a used number leads straight to the next free one, so a
     parent of many tables costs little more than its sort.
     """
-    number = F.when(F.col("number").cast("string").rlike(r"^\d+$"), F.col("number").try_cast("long"))
-    rows = tables.select(F.col(parent).alias("_parent"), number.alias("_number"), *tables.columns)
+    rows = tables.select(F.col(parent).alias("_parent"), _asked(F.col("number")).alias("_number"), *tables.columns)
     rows = rows.repartition("_parent").sortWithinPartitions("_parent", *order)
     schema = T.StructType([*rows.schema.fields, T.StructField("ordinal", T.LongType())])
     return rows.mapInArrow(_ordinals, schema).drop("_parent", "_number")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from stratalex.functions.text import point_label
 from stratalex.operators import context as cx
 from stratalex.operators import elements as el
 from stratalex.operators import quality as qu
 from stratalex.operators import structure as st
+from stratalex.sources.stored import stored
 
 from . import views as v
 from .catalog import query
@@ -58,9 +60,7 @@ def ir_violations(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_CLEAN} SELECT doc_id, reading_order, line FROM clean")
 def chrome_filter(s: SparkSession, d: str) -> DataFrame:
-    from stratalex.functions.text import collapsed
-
-    return st.without_chrome(v.marked(s, d)).select("doc_id", "reading_order", collapsed(F.col("text")).alias("line"))
+    return st.without_chrome(v.marked(s, d)).select("doc_id", "reading_order", "line")
 
 
 @query(f"WITH {_MATCHED} SELECT doc_id, reading_order, kind, number, label FROM matched")
@@ -126,7 +126,9 @@ _ARTICLES = f"{_SCOPES}, ids AS (SELECT doc_id || '__dieu-' || article AS provis
     a AS (SELECT doc_id || '__dieu-' || article AS provision_id, min(line) AS line FROM scoped WHERE kind = 'ARTICLE' GROUP BY 1) SELECT c.provision_id, a.line AS parent_line FROM c LEFT JOIN a ON c.parent_id = a.provision_id"""
 )
 def parent_join(s: SparkSession, d: str) -> DataFrame:
-    return cx.with_parents(st.provisions(st.nodes(v.marked(s, d)))).filter("kind = 'CLAUSE'").select("provision_id", "parent_line")
+    # Three sides of the joins read the provisions: they are built once.
+    built = st.provisions(st.nodes(v.marked(s, d))).select("doc_id", "provision_id", "kind", "line", "article", "number", "clause")
+    return cx.with_parents(stored(built, "provisions")).filter("kind = 'CLAUSE'").select("provision_id", "parent_line")
 
 
 _GATES = f"""{v.ELEMENTS}, e AS (SELECT *, CASE WHEN reading_order % 11 = 3 THEN NULL ELSE top END AS box FROM elements), p AS (SELECT doc_id, page_number, max(CASE WHEN trim(text) != '' THEN 1.0 ELSE 0.0 END) AS filled FROM e GROUP BY ALL),

@@ -142,3 +142,38 @@ def test_rows_without_parent_are_dealt(spark):
     up = context.with_parents(spark.createDataFrame(rows, "doc_id long, provision_id string, kind string, line string, article string, number string, clause string"))
     assert {r.provision_id: r.parent_line for r in up.collect()} == {r[1]: "Điều 2." if r[2] == "CLAUSE" else None for r in rows}
     assert "coalesce(parent_id" in up._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_are_made_once(spark):
+    """White space is collapsed in one place of the plan and rows are dealt by document once before their labels and once behind, with or without boxes at an edge."""
+    for top in ("0.5", "rand()"):
+        e = spark.range(40).selectExpr("id % 4 as doc_id", "1 as page_number", "cast(id as int) as reading_order", "'p' as element_type", "concat('Điều ', id) as text", f"{top} as top", "0.5 as bottom")
+        plan = _plan(structure.provisions(structure.contexts(structure.nodes(e))))
+        assert plan.count("regexp_replace(text") == 1 and plan.count("Range (") == 1
+
+
+def test_scopes_share_one_order(spark):
+    """Runs, clauses and counters need no order of their own."""
+    e = spark.createDataFrame([("nd-1", 1, 0, "p", "Điều 5. x", 0.5, 0.6)], "doc_id string, page_number int, reading_order int, element_type string, text string, top double, bottom double")
+    windows = [x for x in _plan(structure.nodes(e)).split("\n") if "Window [" in x]
+    assert windows and not any("scope_run" in x.rsplit("], [", 2)[1] or "article_run" in x.rsplit("], [", 2)[1] for x in windows)
+
+
+def test_many_points_of_one_document(spark):
+    """Ids given before are dropped and tables numbered in one pass, whatever stands between them."""
+    lines = [("p", "Điều 5. x"), ("p", "1. y"), ("p", "a) z"), ("table", "một"), ("p", "a) lặp"), ("p", "Điều 7. x"), ("table", "hai"), ("p", "Điều 5. x"), ("p", "1. y"), ("p", "a) lặp nữa"), ("table", "ba")]
+    rows = [(d, 1, i, k, t, 0.5, 0.6) for d in ("nd-1", "nd-2") for i, (k, t) in enumerate(lines)]
+    e = spark.createDataFrame(rows, "doc_id string, page_number int, reading_order int, element_type string, text string, top double, bottom double")
+    got = [(r.doc_id, r.provision_id.split("__", 1)[1]) for r in structure.provisions(structure.nodes(e)).orderBy("doc_id", "reading_order").collect()]
+    want = ["dieu-5", "dieu-5__khoan-1", "dieu-5__khoan-1__diem-a", "dieu-5__bang-1", "dieu-7", "dieu-7__bang-1", "dieu-5", "dieu-5__khoan-1", "dieu-5__bang-2"]
+    assert got == [(d, x) for d in ("nd-1", "nd-2") for x in want]
+
+
+def test_parents_read_the_provisions_once(spark):
+    from stratalex.plans import structure_q
+
+    assert "MapInArrow" not in _plan(structure_q.parent_join(spark, "/root/testdata/sf0.001"))
