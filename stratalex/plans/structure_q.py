@@ -109,10 +109,13 @@ def missing_point_labels(s: SparkSession, d: str) -> DataFrame:
     """All points that lost their label, a third of them, in runs of 24 lines."""
     n = st.list_items(st.scopes(st.matched(st.without_chrome(v.marked(s, d))))).filter("kind = 'POINT'")
     lost = n.withColumn("label", F.when(F.col("reading_order") % 3 != 2, F.col("label")))
-    # A mark ahead of every 24 lines closes the run before.
-    ends = n.select("doc_id", F.expr("reading_order div 24").alias("r")).distinct().select("doc_id", F.lit(-1).alias("page_number"), (F.col("r") * 24).cast("int").alias("reading_order"), F.lit("CLAUSE").alias("kind"), F.lit(None).cast("string").alias("label"))
-    rows = lost.select("doc_id", F.lit(-1).alias("page_number"), "reading_order", "kind", "label", F.lit(1).alias("after")).unionByName(ends.withColumn("after", F.lit(0)))
-    ordered = rows.withColumn("reading_order", F.col("reading_order") * 2 + F.col("after"))
+    # A mark ahead of every 24 lines closes the run before; the first point behind it brings it along, so the rows are read once.
+    r = F.expr("reading_order div 24")
+    first = ~r.eqNullSafe(F.lag(r).over(W.partitionBy("doc_id").orderBy("reading_order")))
+    own = F.struct((F.col("reading_order") * 2 + 1).alias("reading_order"), F.lit("POINT").alias("kind"), F.col("label"))
+    mark = F.struct((r.cast("int") * 48).alias("reading_order"), F.lit("CLAUSE").alias("kind"), F.lit(None).cast("string").alias("label"))
+    marked = lost.select("doc_id", F.lit(-1).alias("page_number"), own.alias("own"), F.when(first, mark).alias("mark"))
+    ordered = marked.select("doc_id", "page_number", F.inline(F.array_compact(F.array("mark", "own"))))
     return st.point_labels(ordered).filter(F.col("remark") == st.LOST).select("doc_id", F.expr("cast(reading_order div 2 as int)").alias("reading_order"), "label")
 
 

@@ -177,3 +177,9 @@ def test_parents_read_the_provisions_once(spark):
     from stratalex.plans import structure_q
 
     assert "MapInArrow" not in _plan(structure_q.parent_join(spark, "/root/testdata/sf0.001"))
+
+
+def test_lost_labels_read_the_points_once(spark):
+    from stratalex.plans import structure_q
+
+    assert _plan(structure_q.missing_point_labels(spark, "/root/testdata/sf0.001")).count("parquet") == 1
