@@ -126,3 +126,13 @@ def test_evidence_recall_takes_one_pass(spark):
     out = ev.evidence_recall(required, found)
     assert {r.query_id: (r.recall, r.complete) for r in out.collect()} == {1: (0.5, False), 2: (1.0, True), 3: (0.0, False), None: (0.0, False)}
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bounded_search_shuffles_wanted_postings_only(spark):
+    """Tokens of the queries travel to the postings, none of which are copied; with more queries than may travel the rows are the same."""
+    counts, vocab, asked = corpus(spark, 300, 5)
+    index = ImpactIndex(counts, vocab)
+    assert "Repartition" not in index.postings._jdf.queryExecution().optimizedPlan().toString()
+    got = index.top_k(asked, 5)
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert plain(got) == plain(index.top_k(asked, 5, most=3)) == plain(sp.top_k(counts, asked, vocab, 5))
