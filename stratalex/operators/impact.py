@@ -1,6 +1,6 @@
 """Sparse top-k that leaves out postings which cannot matter: impact blocks, upper bounds and a threshold for each query.
 
-Postings stand in blocks of falling count within their token, a block for each doubling. A query's threshold is the k-th
+Postings belong to blocks by their count, four for each doubling. A query's threshold is the k-th
 best exact score of a few units that are likely good. The threshold is dealt to the query's tokens as shares of their bounds,
 and only postings beyond ``REACH`` of a share are joined. What they add to the rest's shares bounds a unit's score; units
 whose bound is below the threshold go, the others are scored exactly. So a common token brings the units that have
