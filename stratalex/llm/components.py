@@ -2,11 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
 
+#: Edges up to which one task joins what is left: rounds over a small table cost as many jobs as over a large one.
+FEW = 1 << 18
+
+
+def top_of(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Where each of ``x`` ends when it goes from ``parent`` to ``parent``."""
+    while True:
+        up = parent[x]
+        if (up == x).all():
+            return x
+        x = up
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """part, a, b: every node ``a`` of the edges beside the least node ``b`` that they connect it to, without that node itself."""
+    held = list(batches)
+    part, a, b = (np.concatenate([x.column(k).to_numpy(zero_copy_only=False) for x in held]) if held else np.zeros(0, "int64") for k in range(3))
+    for p in np.unique(part):
+        ids, at = np.unique(np.concatenate([a[part == p], b[part == p]]), return_inverse=True)
+        one, two = at[: len(at) // 2], at[len(at) // 2 :]
+        top = np.arange(len(ids))
+        while (top[one] != top[two]).any():
+            # The greater of two roots hangs on the least that an edge joins it to.
+            np.minimum.at(top, np.maximum(top[one], top[two]), np.minimum(top[one], top[two]))
+            top = top_of(top, top)
+        some = np.flatnonzero(top != np.arange(len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), p, "int32")), pa.array(ids[some]), pa.array(ids[top[some]])], names=["part", "a", "b"])
+
 
 def _star(edges: DataFrame, small: bool, space: Workspace, name: str) -> DataFrame:
     """Join neighbours to the least of them: larger ones (large star), or the smaller ones and the node itself."""
@@ -36,11 +68,16 @@ def components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
 
     Parts are separate graphs. Each round is two joins by node; rounds grow with the logarithm of the size. The
     number of edges never grows. The least neighbours of all nodes are a table before they are joined, so the edges
-    of a hub are split like any skewed key, and no step holds a component in one task.
+    of a hub are split like any skewed key. When ``FEW`` edges or fewer are left, one task ends it.
     """
     now = space.save(edges.filter("a != b").select("part", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}0")
     turn = 0
-    while not _all_stars(now):
+    while True:
+        if now.count() <= FEW:
+            now = space.save(now.select(F.col("part").cast("int").alias("part"), "a", "b").coalesce(1).mapInArrow(_joined, "part int, a bigint, b bigint"), f"{name}_ends")
+            break
+        if _all_stars(now):
+            break
         turn += 1
         large = space.save(_star(now, False, space, f"{name}{turn}a").distinct(), f"{name}{turn}a")
         now = space.save(_star(large, True, space, f"{name}{turn}b").distinct(), f"{name}{turn}")

@@ -9,7 +9,7 @@ orders put rare tokens first, so that passages which many documents share come l
 2. Orders: the tokens of the rest are counted and the prefixes under each order joined by token, as stars around
    the least document. Components of the stars, intersected over the orders, are clusters: linked documents are in one.
 3. Verification inside clusters. Small ones go to one task. In large ones leaders are drawn and all documents of
-   the cluster are held against them; documents in the cluster's largest component need no leader of their
+   the cluster are held against them, by an index of their prefix tokens; documents in the cluster's largest component need no leader of their
    own. Leaders are drawn until every other document has been one, so no pair across components goes unseen and no
    pair inside a component has to be made. The price of exactness: a cluster of N documents that are no copies of one
    another, yet chained by prefix tokens under all orders, is verified pair by pair, in tasks of bounded size.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
-from .components import components
+from .components import components, top_of
 from .hashing import U, Words, distinct, mixed, runs, shingles
 
 WIDTH = 5
@@ -34,7 +34,7 @@ WIDTH = 5
 LEAST = 75
 ORDERS = 3
 #: Clusters up to this size are verified by one task; larger ones by leaders, so many to a block, beside so many rows.
-SMALL, BLOCK, ROWS = 256, 64, 1024
+SMALL, BLOCK, ROWS = 256, 4096, 4096
 #: Tokens that a task holds at most for one cluster, block or deal, but for a single set that has more.
 WEIGHT = 1 << 21
 #: Leaders drawn first; four times as many in each later turn.
@@ -107,54 +107,80 @@ def _hits(d: np.ndarray) -> pa.RecordBatch:
 
 
 class _Group:
-    """Documents' sets packed for tests of one document against all."""
+    """Documents' sets packed for tests of one set against some of them, in time by the tokens of those."""
 
     def __init__(self, sets: list[np.ndarray]):
         self.n = np.array([len(x) for x in sets], "int64")
         self.start = np.cumsum(self.n) - self.n
         flat = np.concatenate(sets) if sets else np.zeros(0, "int64")
         self.values, self.at = np.unique(flat, return_inverse=True)
-        self.on = np.zeros(len(self.values) + 1, bool)
-
-    def shared(self, other: np.ndarray) -> np.ndarray:
-        """Tokens that each set shares with ``other``."""
-        where = np.searchsorted(self.values, other)
-        where = where[(where < len(self.values))]
-        where = where[np.isin(self.values[where], other)] if len(where) else where
-        self.on[:] = False
+        self.on = np.zeros(len(self.values), bool)
+
+    def where(self, other: np.ndarray) -> np.ndarray:
+        """Numbers of the values that ``other`` holds."""
+        at = np.searchsorted(self.values, other)
+        some = at < len(self.values)
+        at, other = at[some], other[some]
+        return at[self.values[at] == other]
+
+    def shared(self, other: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Tokens that each set of ``rows`` shares with ``other``."""
+        where = self.where(other)
         self.on[where] = True
-        hits = np.concatenate([[0], np.cumsum(self.on[self.at])])
-        return hits[self.start + self.n] - hits[self.start]
+        hits = np.concatenate([[0], np.cumsum(self.on[self.at[_ranges(self.start[rows], self.n[rows])]])])
+        self.on[where] = False
+        ends = np.cumsum(self.n[rows])
+        return hits[ends] - hits[ends - self.n[rows]]
+
+
+class _Holders(_Group):
+    """A group that also tells which sets hold a token."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        super().__init__(sets)
+        self.holder = np.repeat(np.arange(len(sets)), self.n)[np.argsort(self.at, kind="stable")]
+        self.often = np.bincount(self.at, minlength=len(self.values))
+        self.first = np.cumsum(self.often) - self.often
+
+    def met(self, other: np.ndarray) -> np.ndarray:
+        """Sets that share a token with ``other``, ascending."""
+        where = self.where(other)
+        return np.unique(self.holder[_ranges(self.first[where], self.often[where])])
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``n`` numbers from each ``first`` on, one behind the other."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
 
 def _links(left: dict, right: dict, least: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of ``left`` the rows of ``right`` that share a prefix token under all orders and verify."""
-    full = _Group(list(right["tokens"]))
-    orders = [_Group([p[k] for p in right["prefixes"]]) for k in range(ORDERS)]
+    """For each row of ``left`` the rows of ``right`` that share a prefix token under all orders and verify.
+
+    Rows of ``right`` are found by their tokens under the first order, not read one by one.
+    """
+    full, index = _Group(list(right["tokens"])), _Holders([p[0] for p in right["prefixes"]])
+    orders = [_Group([p[k] for p in right["prefixes"]]) for k in range(1, ORDERS)]
     for i, (tokens, prefixes) in enumerate(zip(left["tokens"], left["prefixes"])):
-        could = np.logical_and.reduce([g.shared(np.asarray(prefixes[k])) > 0 for k, g in enumerate(orders)])
-        if could.any():
-            both = full.shared(np.asarray(tokens))
-            yield i, np.flatnonzero(could & (100 * both >= least * (len(tokens) + full.n - both)))
+        rows = index.met(np.asarray(prefixes[0]))
+        for k, group in enumerate(orders, 1):
+            rows = rows[group.shared(np.asarray(prefixes[k]), rows) > 0] if len(rows) else rows
+        if len(rows):
+            both = full.shared(np.asarray(tokens), rows)
+            yield i, rows[100 * both >= least * (len(tokens) + full.n[rows] - both)]
 
 
 def _spanning(left: dict, right: dict, least: int) -> list[tuple[int, int]]:
     """Links found, as edges from each document to the least one that they connect it to."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    ids, others = [int(x) for x in left["doc"]], [int(x) for x in right["doc"]]
+    ids, at = np.unique(np.concatenate([np.asarray(side["doc"], "int64") for side in (left, right)]), return_inverse=True)
+    ours, theirs = at[: len(left["doc"])], at[len(left["doc"]) :]
+    parent = np.arange(len(ids))
     for i, js in _links(left, right, least):
-        for j in js:
-            a, b = sorted((root(ids[i]), root(others[j])))
-            parent[b] = a
-    out = [(x, root(x)) for x in parent]
-    return [(a, b) for a, b in out if a != b]
+        met = np.append(theirs[js], ours[i])
+        tops = top_of(parent, met)
+        parent[tops] = parent[met] = tops.min()
+    top = top_of(parent, np.arange(len(ids)))
+    some = np.flatnonzero(top != np.arange(len(ids)))
+    return list(zip(ids[some].tolist(), ids[top[some]].tolist()))
 
 
 def _lists(column: pa.ListArray) -> list[np.ndarray]:
@@ -201,7 +227,8 @@ def _small(least: int):
 
 def _against(least: int):
     def run(docs: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_spanning(docs, leaders, least) if len(docs) and len(leaders) else [], columns=["a", "b"]).astype("int64")
+        few, many = sorted((docs, leaders), key=len)
+        return pd.DataFrame(_spanning(few, many, least) if len(few) else [], columns=["a", "b"]).astype("int64")
 
     return run
 

@@ -702,3 +702,44 @@ def test_recall_of_paragraphs_at_the_threshold(spark):
     found = copied_paragraphs(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), Workspace(spark, "test"))
     linked = {g.doc // 2 for g in found.collect() if g.doc % 2 and g.keep.doc == g.doc - 1}
     assert len(linked) >= 0.95 * 300
+
+
+def test_leaders_cost_what_they_meet():
+    """Documents that share no token with a leader cost it nothing, however many there are; links are those of all pairs."""
+    import time
+
+    import numpy as np
+
+    from stratalex.llm import jaccard_join as jj
+
+    def side(sets, first):
+        return {"doc": np.arange(first, first + len(sets)), "tokens": sets, "prefixes": [[x[k :: jj.ORDERS] for k in range(jj.ORDERS)] for x in sets]}
+
+    rng = np.random.default_rng(5)
+    near = [np.unique(np.append(rng.choice(60, 28, replace=False), 100 + i % 2)) for i in range(80)]
+    left, right = side(near[:30], 0), side(near[30:], 1000)
+    got = {(i, int(j)) for i, js in jj._links(left, right, 40) for j in js}
+    meet = lambda x, y: all(set(x[k :: jj.ORDERS]) & set(y[k :: jj.ORDERS]) for k in range(jj.ORDERS))
+    want = {(i, j) for i, x in enumerate(near[:30]) for j, y in enumerate(near[30:]) if meet(x, y) and 100 * len(set(x) & set(y)) >= 40 * len(set(x) | set(y))}
+    assert got == want and 0 < len(want) < 30 * 50
+    alone = [np.arange(60 * i, 60 * i + 60) for i in range(12_000)]
+    began = time.process_time()
+    assert jj._spanning(side(alone[:2_000], 0), side(alone[::-1], 50_000), 75) == [(50_000 + 11_999 - i, i) for i in range(1_999, -1, -1)]
+    assert time.process_time() - began < 15
+
+
+def test_small_components_end_in_one_task(spark, monkeypatch):
+    """A path as long as this one took a dozen rounds of jobs; rounds over what is larger give the same."""
+    from stratalex.llm import components as co
+    from stratalex.llm.common import Workspace
+
+    edges = spark.createDataFrame([(k, i, i + 1) for k in (0, 2) for i in range(0, 900 + k) if i % 300] + [(7, 5, 5)], "part int, a bigint, b bigint")
+    group, jobs = "small components", []
+    for few in (co.FEW, 0):
+        monkeypatch.setattr(co, "FEW", few)
+        spark.sparkContext.setJobGroup(group + str(few), group)
+        found = co.components(edges, Workspace(spark, "test"), "c")
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group + str(few))))
+        assert {(r.part, r.node): r.root for r in found.collect()} == {(k, i): max(1, (i - 1) // 300 * 300 + 1) for k in (0, 2) for i in range(1, 901 + k)}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] <= 6 < jobs[1]
