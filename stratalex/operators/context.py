@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from stratalex.functions.text import collapsed
+from stratalex.sources.stored import stored
 
 
 def _stripped(text: Column) -> Column:
@@ -38,23 +40,55 @@ def article_heading(context: Column) -> Column:
     return F.when(found != "", _stripped(found))
 
 
-def with_parents(provisions: DataFrame) -> DataFrame:
-    """Add parent_line: the parent's line by parent_id, else by (document, article, clause) labels.
+#: What a point's or clause's id has behind its parent's id; all that a document's ids have behind the part they share.
+_TAIL, _TAILS = r"__(diem|khoan)-[^_]+$", r"(__(diem|khoan)-[^_]+)+$"
+
 
-    Points look for their clause, clauses for their article; two left joins on keys, the id's answer first.
+def _lines_by_label(own: DataFrame) -> DataFrame | None:
+    """_d, _a, _c, _k, _by_label: lines for rows whose parent no id gives, by (document, article, clause) labels and the kind that asks; None without any.
+
+    Whose labels are asked for is settled without lines, so that only lines that are taken move.
     """
-    own = provisions.withColumn("parent_id", F.when(F.col("kind").isin("POINT", "CLAUSE"), F.regexp_replace("provision_id", r"__(diem|khoan)-[^_]+$", "")))
-    by_id = provisions.groupBy(F.col("provision_id").alias("parent_id")).agg(F.min("line").alias("_by_id"))
+    asks = F.col("kind").isin("POINT", "CLAUSE")
+    rows = own.filter(asks).select("parent_id", F.col("doc_id").alias("_d"), F.col("article").alias("_a"), F.when(F.col("kind") == "POINT", F.col("clause")).alias("_c"), F.col("kind").alias("_k"))
+    known = own.filter("line is not null and provision_id is not null").select(F.col("provision_id").alias("parent_id")).distinct()
+    # Rows without an id stay out of the join: as nulls they would all meet in one task.
+    missing = rows.filter("parent_id is not null").join(known, "parent_id", "left_anti").unionByName(rows.filter("parent_id is null"))
     up = F.when(F.col("kind") == "ARTICLE", F.lit("CLAUSE")).when(F.col("kind") == "CLAUSE", F.lit("POINT"))
     keys = [F.col("doc_id").alias("_d"), F.col("article").alias("_a"), F.when(F.col("kind") == "CLAUSE", F.col("number")).alias("_c"), up.alias("_k")]
-    by_labels = provisions.filter(F.col("kind").isin("ARTICLE", "CLAUSE")).groupBy(*keys).agg(F.min("line").alias("_by_label"))
-    # Rows that look for no parent are dealt by their own id: as nulls they would all meet in one task.
-    by_id = by_id.withColumnRenamed("parent_id", "_p")
-    sought = F.coalesce("parent_id", "provision_id") == F.col("_p")
-    joined = own.join(by_id, sought & F.col("parent_id").isNotNull(), "left").drop("_p")
-    clause = F.when(F.col("kind") == "POINT", F.col("clause"))
-    same = (F.col("doc_id") == F.col("_d")) & (F.col("article") == F.col("_a")) & clause.eqNullSafe(F.col("_c")) & (F.col("kind") == F.col("_k"))
-    return joined.join(by_labels, same, "left").withColumn("parent_line", F.coalesce("_by_id", "_by_label")).drop("_d", "_a", "_c", "_k", "_by_id", "_by_label")
+    lines = own.filter(F.col("kind").isin("ARTICLE", "CLAUSE") & F.col("line").isNotNull()).select(*keys, "line")
+    asked = missing.select(*[F.col(c).alias(f"{c}_") for c in ("_d", "_a", "_c", "_k")]).distinct()
+    same = (F.col("_d") == F.col("_d_")) & (F.col("_a") == F.col("_a_")) & F.col("_c").eqNullSafe(F.col("_c_")) & (F.col("_k") == F.col("_k_"))
+    met = stored(asked.join(lines.drop("line"), same, "left_semi"), "labels_asked")
+    if met.isEmpty():
+        return None
+    return stored(lines.join(met, same, "left_semi").groupBy("_d", "_a", "_c", "_k").agg(F.min("line").alias("_by_label")), "lines_by_label")
+
+
+def with_parents(provisions: DataFrame) -> DataFrame:
+    """Add parent_id and parent_line: the parent's line by parent_id, else by (document, article, clause) labels.
+
+    Points look for their clause, clauses for their article; the id's answer comes first. Lines are shuffled once: an
+    id and its parent's id share what is left without their endings, by which rows are dealt, and there each row stands
+    under its own id for those that look for it and under its parent's.
+    """
+    own = provisions.withColumn("parent_id", F.when(F.col("kind").isin("POINT", "CLAUSE"), F.regexp_replace("provision_id", _TAIL, "")))
+    columns, labelled = own.columns, _lines_by_label(own)
+    if labelled is None:
+        own = own.withColumn("_by_label", F.lit(None).cast("string"))
+    else:
+        clause = F.when(F.col("kind") == "POINT", F.col("clause"))
+        same = (F.col("doc_id") == F.col("_d")) & (F.col("article") == F.col("_a")) & clause.eqNullSafe(F.col("_c")) & (F.col("kind") == F.col("_k"))
+        own = own.join(labelled, same, "left").drop("_d", "_a", "_c", "_k")
+    # Rows without an id are found by none and may go anywhere, but not all to one task.
+    dealt = own.withColumn("_root", F.coalesce(F.regexp_replace("provision_id", _TAILS, ""), F.col("doc_id").cast("string"), F.xxhash64("line").cast("string"))).repartition("_root")
+    rest = F.struct(*[c for c in own.columns if c != "line"])
+    place = lambda key, asks, row: F.struct(key.alias("_key"), asks.alias("_asks"), "line", row.alias("_rest"))
+    asking = place(F.coalesce("parent_id", "provision_id"), F.col("parent_id").isNotNull(), rest)
+    places = F.when(F.col("parent_id").isNull(), F.array(asking)).otherwise(F.array(asking, place(F.col("provision_id"), F.lit(False), F.when(F.lit(False), rest))))
+    met = dealt.select("_root", F.inline(places)).withColumn("_by_id", F.min(F.when(~F.col("_asks"), F.col("line"))).over(W.partitionBy("_root", "_key"))).filter("_rest is not null")
+    found = F.coalesce(F.when(F.col("_asks"), F.col("_by_id")), F.col("_rest._by_label"))
+    return met.select(*[F.col("line") if c == "line" else F.col("_rest")[c].alias(c) for c in columns], found.alias("parent_line"))
 
 
 def enriched(provisions: DataFrame) -> DataFrame:

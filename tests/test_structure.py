@@ -1,6 +1,7 @@
 """Structure recognition against a plain sequential simulation of the same rules, on random marked lines."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -183,3 +184,29 @@ def test_lost_labels_read_the_points_once(spark):
     from stratalex.plans import structure_q
 
     assert _plan(structure_q.missing_point_labels(spark, "/root/testdata/sf0.001")).count("parquet") == 1
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_parents_against_brute_force(spark):
+    """Parents by id and by labels, of repeated, nested, nameless and foreign ids; lines cross one exchange, with those by labels too."""
+    r, rows = random.Random(11), []
+    for i in range(400):
+        kind, doc, a = r.choice(["ARTICLE", "CLAUSE", "POINT", "POINT", "TABLE", None]), r.choice([1, 2, 3, None]), r.choice(["1", "2", None])
+        number, clause = r.choice(["1", "2", None]), r.choice(["1", "2", None])
+        tail = {"ARTICLE": "", "CLAUSE": f"__khoan-{number}", "POINT": r.choice([f"__khoan-{clause}__diem-a", "__diem-đ", f"__khoan-{clause}__khoan-1__diem-\n", "__diem-", ""])}.get(kind, "__bang-1")
+        rows.append((i, doc, r.choice([f"nd-{doc}__dieu-{a}{tail}", f"x_{a}{tail}", tail, None]), kind, r.choice([f"line {i}", f"line {i % 7}", None]), a, number, clause))
+    schema = "at int, doc_id long, provision_id string, kind string, line string, article string, number string, clause string"
+    stripped = lambda x: re.sub(r"__(diem|khoan)-[^_]+\Z", "", x)
+    want = {}
+    for at, doc, pid, kind, _, a, _, c in rows:
+        by_id = [x[4] for x in rows if kind in ("CLAUSE", "POINT") and pid is not None and x[2] == stripped(pid) and x[4] is not None]
+        labels = [x[4] for x in rows if kind in ("CLAUSE", "POINT") and x[4] is not None and None not in (doc, a) and (x[1], x[5]) == (doc, a) and x[3] == {"POINT": "CLAUSE", "CLAUSE": "ARTICLE"}[kind] and (kind == "CLAUSE" or x[6] == c)]
+        want[at] = min(by_id or labels, default=None)
+    up = context.with_parents(spark.createDataFrame(rows, schema).repartition(3))
+    assert {x["at"]: x.parent_line for x in up.collect()} == want and up.count() == len(rows)
+    assert up.columns == [x.split()[0] for x in schema.split(", ")] + ["parent_id", "parent_line"]
+    whole = context.with_parents(spark.createDataFrame(rows, schema))
+    assert _exchanges(whole) - whole._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange ") == 1
