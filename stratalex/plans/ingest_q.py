@@ -16,6 +16,7 @@ from stratalex.operators import quality as qu
 from stratalex.operators import sparse as sp
 from stratalex.operators import validation as va
 from stratalex.session import table
+from stratalex.sources.stored import stored
 
 from . import views as v
 from .catalog import query
@@ -293,7 +294,9 @@ def context_gold_match(s: SparkSession, d: str) -> DataFrame:
     """Annotations of every point, blanks doubled; those of each seventh document expect another text."""
     found = cx.enriched(_context(s, d))
     expected = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("khác "), "retrieval_text")).otherwise(F.replace("retrieval_text", F.lit(" "), F.lit("  ")))
-    return cx.gold_match(found, found.filter("kind = 'POINT'").select("provision_id", expected.alias("expected")))
+    # Both sides come from one pass, so that lines move once.
+    found = stored(found.select("provision_id", "kind", cx.as_compared(F.col("retrieval_text")).alias("retrieval_digest"), F.when(F.col("kind") == "POINT", cx.as_compared(expected)).alias("expected_digest")), "gold_digests")
+    return cx.gold_match(found, found.filter("kind = 'POINT'").select("provision_id", "expected_digest"))
 
 
 @query(

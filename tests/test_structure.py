@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from stratalex.functions.text import collapsed
 from stratalex.operators import context, quality, structure
 
 LETTERS = "abcdđeghiklmnoôơpqrstuưvxy"
@@ -210,3 +211,16 @@ def test_parents_against_brute_force(spark):
     assert up.columns == [x.split()[0] for x in schema.split(", ")] + ["parent_id", "parent_line"]
     whole = context.with_parents(spark.createDataFrame(rows, schema))
     assert _exchanges(whole) - whole._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange ") == 1
+
+
+def test_gold_texts_meet_as_digests(spark):
+    found = spark.createDataFrame([("a", "x  y"), ("b", "x z"), ("c", None), ("d", "w")], "provision_id string, retrieval_text string")
+    gold = spark.createDataFrame([("a", " x\ny "), ("b", "x y"), ("c", ""), ("e", "w")], "provision_id string, expected string")
+    got = context.gold_match(found, gold)
+    assert {tuple(r) for r in got.collect()} == {("a", True), ("b", False), ("c", True)}
+    assert _plan(got).count("sha2(") == 2 and "expected" not in _plan(got).split("Join", 1)[1].split("\n", 1)[0]
+    r = random.Random(3)
+    texts = spark.createDataFrame([("".join(r.choice("  a\t\n\u00a0\u3000\x1cé") for _ in range(r.randint(0, 12))),) for _ in range(500)], "t string")
+    assert texts.filter(context.as_compared(F.col("t")) != F.unhex(F.sha2(collapsed(F.col("t")), 256))).count() == 0
+    made = found.select("provision_id", context.as_compared(found.retrieval_text).alias("retrieval_digest"))
+    assert {tuple(r) for r in context.gold_match(made, gold).collect()} == {("a", True), ("b", False), ("c", True)}
