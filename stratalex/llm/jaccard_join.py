@@ -34,7 +34,7 @@ WIDTH = 5
 LEAST = 75
 ORDERS = 3
 #: Clusters up to this size are verified by one task; larger ones by leaders, so many to a block, beside so many rows.
-SMALL, BLOCK, ROWS = 256, 4096, 4096
+SMALL, BLOCK, ROWS = 256, 1024, 1024
 #: Tokens that a task holds at most for one cluster, block or deal, but for a single set that has more.
 WEIGHT = 1 << 21
 #: Leaders drawn first; four times as many in each later turn.
